@@ -1,0 +1,23 @@
+"""Join helpers: broadcast only a side whose size has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default ceiling for a broadcast side, in serialized JSON bytes of its rows.
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df`` measured by one aggregate job; bytes = sum of each row's JSON length."""
+    r = df.select(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return int(r["n"] or 0), int(r["b"] or 0)
+
+
+def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Return ``broadcast(df)`` when its measured size is within ``max_bytes``, else ``df`` unchanged
+    (the planner then shuffles both sides, and AQE may still convert at runtime)."""
+    _, nbytes = measured_size(df)
+    return F.broadcast(df) if nbytes <= max_bytes else df
