@@ -50,6 +50,12 @@ SPARK_ERROR_CLASSES = [("TABLE_OR_VIEW_NOT_FOUND", "table_name_error"),
 
 RESPONSE_MARKER = "### Response:"
 
+# A parenthesized group nested at most four deep (no recursion, so it means the same in Java and RE2).
+_P0 = r"\([^()]*\)"
+_P1 = r"\((?:[^()]|" + _P0 + r")*\)"
+_P2 = r"\((?:[^()]|" + _P1 + r")*\)"
+PAREN_GROUP = r"\((?:[^()]|" + _P2 + r")*\)"
+
 # --- basic string helpers --------------------------------------------------------------------
 
 
@@ -112,23 +118,44 @@ def strip_sql_comments(sql) -> Column:
     return F.regexp_replace(s, r"--[^\n]*", " ")
 
 
-def statement_type(sql, max_paren_passes: int = 8) -> Column:
+def _lead_word(body: Column) -> Column:
+    return F.upper(F.regexp_extract(body, r"^[\s(]*([A-Za-z_]+)", 1))
+
+
+def _with_main(body: Column, max_paren_passes: int) -> Column:
+    w = F.regexp_replace(body, r"'[^']*'", "''")
+    for _ in range(max_paren_passes):
+        w = F.regexp_replace(w, PAREN_GROUP, " ")
+    main = F.upper(F.regexp_extract(w, r"(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b", 1))
+    return F.coalesce(F.nullif(main, F.lit("")), F.lit("UNKNOWN"))
+
+
+def _type_from(lead: Column, main: Column) -> Column:
+    known = F.create_map(*[x for k in KNOWN_STATEMENT_WORDS for x in (F.lit(k), F.lit(k))])
+    return F.when(lead == "WITH", main).otherwise(F.coalesce(F.element_at(known, lead), F.lit("UNKNOWN")))
+
+
+def statement_type(sql, max_paren_passes: int = 2) -> Column:
     """SC-10: statement type from text.
 
     Comments are removed; the leading word decides. For ``WITH`` the string literals are blanked
-    and innermost parentheses removed (bounded passes) so the main statement keyword is the first
-    SELECT/INSERT/UPDATE/DELETE word left.
+    and parenthesized groups removed (two passes of a four-deep group: nesting up to eight) so the main
+    statement keyword is the first SELECT/INSERT/UPDATE/DELETE word left. Unknown words type as UNKNOWN.
     """
     body = strip_sql_comments(sql)
-    lead = F.upper(F.regexp_extract(body, r"^[\s(]*([A-Za-z_]+)", 1))
-    w = F.regexp_replace(body, r"'[^']*'", "''")
-    for _ in range(max_paren_passes):
-        w = F.regexp_replace(w, r"\([^()]*\)", " ")
-    with_main = F.upper(F.regexp_extract(w, r"(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b", 1))
-    known = lead.isin(*KNOWN_STATEMENT_WORDS)
-    return (F.when(lead == "WITH", F.when(with_main != "", with_main).otherwise(F.lit("UNKNOWN")))
-            .when(known, lead)
-            .otherwise(F.lit("UNKNOWN")))
+    return _type_from(_lead_word(body), _with_main(body, max_paren_passes))
+
+
+def with_statement_type(df, sql: str = "sql", out: str = "statement_type", max_paren_passes: int = 2):
+    """``statement_type`` as staged projections: each regex is evaluated once per row and the generated
+    code stays small when many checks are fused into one stage."""
+    body = "_st_body"
+    df = df.withColumn(body, strip_sql_comments(F.col(sql)))
+    df = df.withColumn("_st_lead", _lead_word(F.col(body)))
+    df = df.withColumn("_st_main", F.when(F.col("_st_lead") == "WITH",
+                                          _with_main(F.col(body), max_paren_passes)))
+    return df.withColumn(out, _type_from(F.col("_st_lead"), F.col("_st_main"))) \
+             .drop(body, "_st_lead", "_st_main")
 
 
 def validity_reason(sql, word_boundary: bool = False, check_dialect: bool = True,
@@ -252,11 +279,11 @@ def evidence_text(pred, gold, match, error) -> Column:
                     F.lit("\nError: "), F.coalesce(_c(error), F.lit("None")))
 
 
-def top_level(sql, max_paren_passes: int = 8) -> Column:
+def top_level(sql, max_paren_passes: int = 2) -> Column:
     """SQL text with parenthesized groups removed (bounded passes) — what is left is top level."""
     w = F.regexp_replace(_c(sql), r"'[^']*'", "''")
     for _ in range(max_paren_passes):
-        w = F.regexp_replace(w, r"\([^()]*\)", " ")
+        w = F.regexp_replace(w, PAREN_GROUP, " ")
     return w
 
 

@@ -29,13 +29,17 @@ def classify(df: DataFrame, question: str = "question", sql: str = "sql",
     missing = F.col(sql).isNull()
     if "missing_field" in df.columns:
         missing = missing | F.coalesce(F.col("missing_field"), F.lit(False))
-    reason = F.when(missing, F.lit("Missing required field")).otherwise(
-        T.validity_reason(F.col(sql), word_boundary, check_dialect, stype=F.col("statement_type")))
+    df = T.with_statement_type(df, sql, "_stype")
+    df = df.withColumn("_dialect", T.dialect_reason(F.col(sql), word_boundary) if check_dialect
+                       else F.lit(None).cast("string"))
+    type_reason = F.when(F.col("_stype").isin(*T.VALID_STATEMENT_TYPES), F.lit(None).cast("string")) \
+        .otherwise(F.concat(F.lit("Invalid statement type: "), F.col("_stype")))
+    reason = F.when(missing, F.lit("Missing required field")).otherwise(F.coalesce(F.col("_dialect"), type_reason))
     empty = F.col(question).isNull() | (F.col(question) == "") | (F.col(sql) == "")
+    df = df.withColumn("reject_reason", reason)
     status = F.when(F.col("reject_reason").isNotNull(), F.lit(INVALID)) \
         .when(empty, F.lit(EMPTY)).otherwise(F.lit(CANDIDATE))
-    return df.withColumn("statement_type", T.statement_type(F.col(sql))) \
-             .withColumn("reject_reason", reason).withColumn("status", status).drop("statement_type")
+    return df.withColumn("status", status).drop("_stype", "_dialect")
 
 
 def with_keys(df: DataFrame, question: str = "question", sql: str = "sql") -> DataFrame:

@@ -42,12 +42,12 @@ def dialect_reason(x: str) -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
-def statement_type(x: str, passes: int = 8) -> str:
+def statement_type(x: str, passes: int = 2) -> str:
     body = f"regexp_replace(regexp_replace({x}, '(?s)/\\*.*?\\*/', ' ', 'g'), '--[^\\n]*', ' ', 'g')"
     lead = f"upper(regexp_extract({body}, '^[\\s(]*([A-Za-z_]+)', 1))"
     w = f"regexp_replace({body}, '''[^'']*''', '''''', 'g')"
     for _ in range(passes):
-        w = f"regexp_replace({w}, '\\([^()]*\\)', ' ', 'g')"
+        w = f"regexp_replace({w}, '{T.PAREN_GROUP}', ' ', 'g')"
     main = f"upper(regexp_extract({w}, '(?i)\\b(SELECT|INSERT|UPDATE|DELETE)\\b', 1))"
     known = ", ".join(q(k) for k in T.KNOWN_STATEMENT_WORDS)
     return (f"CASE WHEN {lead} = 'WITH' THEN (CASE WHEN {main} <> '' THEN {main} ELSE 'UNKNOWN' END) "

@@ -40,28 +40,35 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+# SQL templates by doc_id % 10 (0 plain, 1 COUNT+WHERE, 2 lower-case join, 3 ORDER BY/LIMIT, 4 UNION,
+# 5 WITH, 6 PRAGMA, 7 :: cast, 8 EXPLAIN, 9 scalar subquery with trailing ';'). Placeholders:
+# {m5} = doc_id % 5, {m7} = doc_id % 7, {m25} = doc_id % 25, {lim} = doc_id % 10 + 1, {th} = (doc_id % 10) * 1000.
+SQL_TEMPLATES = [
+    "SELECT n_name FROM nation WHERE n_regionkey = {m5}",
+    "SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = {m7}",
+    "select c.c_name, n.n_name from customer c join nation n on c.c_nationkey = n.n_nationkey "
+    "where n.n_regionkey = {m5}",
+    "SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_name LIMIT {lim}",
+    "SELECT s_name FROM supplier WHERE s_nationkey = {m25} UNION SELECT c_name FROM customer WHERE c_nationkey = {m25}",
+    "WITH t AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey) "
+    "SELECT COUNT(*) FROM t WHERE total > {th}",
+    "PRAGMA table_info(orders)",
+    "SELECT o_totalprice::INTEGER FROM orders",
+    "EXPLAIN SELECT * FROM lineitem",
+    "SELECT c_name FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer);",
+]
+
+
 def sql_template(doc_id: Column) -> Column:
-    """SQL text by doc_id % 10 (0 plain, 1 COUNT+WHERE, 2 lower-case join, 3 ORDER BY/LIMIT, 4 UNION,
-    5 WITH, 6 PRAGMA, 7 :: cast, 8 EXPLAIN, 9 scalar subquery with trailing ';')."""
-    k = doc_id % 10
-    return (
-        F.when(k == 0, F.concat(F.lit("SELECT n_name FROM nation WHERE n_regionkey = "), _s(doc_id % 5)))
-        .when(k == 1, F.concat(F.lit("SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = "),
-                               _s(doc_id % 7)))
-        .when(k == 2, F.concat(F.lit("select c.c_name, n.n_name from customer c join nation n "
-                                     "on c.c_nationkey = n.n_nationkey where n.n_regionkey = "), _s(doc_id % 5)))
-        .when(k == 3, F.concat(F.lit("SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_name LIMIT "),
-                               _s(doc_id % 10 + 1)))
-        .when(k == 4, F.concat(F.lit("SELECT s_name FROM supplier WHERE s_nationkey = "), _s(doc_id % 25),
-                               F.lit(" UNION SELECT c_name FROM customer WHERE c_nationkey = "), _s(doc_id % 25)))
-        .when(k == 5, F.concat(F.lit("WITH t AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders "
-                                     "GROUP BY o_custkey) SELECT COUNT(*) FROM t WHERE total > "),
-                               _s((doc_id % 10) * 1000)))
-        .when(k == 6, F.lit("PRAGMA table_info(orders)"))
-        .when(k == 7, F.lit("SELECT o_totalprice::INTEGER FROM orders"))
-        .when(k == 8, F.lit("EXPLAIN SELECT * FROM lineitem"))
-        .otherwise(F.lit("SELECT c_name FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer);"))
-    )
+    """SQL text for a document: template by doc_id % 10 with its placeholders filled.
+
+    Kept as one array lookup plus replaces so the expression stays small wherever the optimizer inlines it.
+    """
+    t = F.element_at(F.array(*[F.lit(x) for x in SQL_TEMPLATES]), (doc_id % 10 + 1).cast("int"))
+    for ph, v in (("{m5}", doc_id % 5), ("{m7}", doc_id % 7), ("{m25}", doc_id % 25),
+                  ("{lim}", doc_id % 10 + 1), ("{th}", (doc_id % 10) * 1000)):
+        t = F.replace(t, F.lit(ph), _s(v))
+    return t
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
