@@ -158,8 +158,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         verdict.alias("llm_validation"),
     ).filter(F.col("attempt_number") <= 3)
     yes = T.judge_says_yes(F.col("llm_validation")) & F.col("is_valid")
-    first_yes = F.min(F.when(yes, F.col("attempt_number"))).over(W.partitionBy("example_id"))
-    return a.filter(first_yes.isNull() | (F.col("attempt_number") <= first_yes))
+    a = a.withColumn("_first_yes", F.min(F.when(yes, F.col("attempt_number"))).over(W.partitionBy("example_id")))
+    return a.filter(F.col("_first_yes").isNull() | (F.col("attempt_number") <= F.col("_first_yes"))) \
+            .drop("_first_yes")
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
