@@ -244,10 +244,11 @@ def spark_error_class(condition) -> Column:
 
 
 def question_after_marker(text) -> Column:
-    """SC-11: text after ``question:`` (case-insensitive) to end of line, stripped; else the whole text."""
+    """SC-11: the text after the first ``question:`` (case-insensitive, whitespace after it skipped, to the
+    end of that line); the whole text when there is no such marker."""
     t = _c(text)
-    return F.when(t.rlike(r"(?i)question:"),
-                  py_strip(F.regexp_extract(t, r"(?i)question:([^\n]*)", 1))).otherwise(t)
+    pat = f"(?i)question:[{WS}]*([^\n]+)"
+    return F.when(t.rlike(pat), F.regexp_extract(t, pat, 1)).otherwise(t)
 
 
 def response_tail(text, prompt=None) -> Column:

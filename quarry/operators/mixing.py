@@ -29,3 +29,93 @@ def weight_table(kept: DataFrame, source: str = "source_dataset") -> DataFrame:
         F.coalesce(F.element_at(rmap, F.col(source)), F.lit(DEFAULT_WEIGHT[1])).alias("reason"),
         F.sum("count").over(allw).alias("total_examples"),
         F.count(F.lit(1)).over(allw).alias("num_datasets"))
+
+
+# --- hashing helpers ------------------------------------------------------------------------------------
+
+def hash_key(seed, *cols) -> F.Column:
+    """md5 hex of ``seed:col1:col2...`` — a reproducible per-row draw, the same in any partitioning."""
+    parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def unit_draw(seed, *cols) -> F.Column:
+    """u in [0, 1): the first 8 hex digits of ``hash_key`` over 2^32."""
+    return F.conv(F.substring(hash_key(seed, *cols), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """ST-1: concatenate sources with different columns (missing columns become null)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def split_train_val(df: DataFrame, id_col: str, fraction: float = 0.02, seed: int = 42) -> DataFrame:
+    """ST-4: ``split`` = 'validation' when the row's hash prefix is below ``fraction`` of the hash space,
+    else 'train'. Stable under repartitioning (unlike randomSplit) and decided on the original id, so
+    copies made later by mixing never straddle the split."""
+    threshold = format(int(fraction * (1 << 32)), "08x")
+    h = F.substring(hash_key(seed, id_col), 1, 8)
+    return df.withColumn("split", F.when(h < F.lit(threshold), F.lit("validation")).otherwise(F.lit("train")))
+
+
+def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
+    """SO-4: n rows without replacement (all rows when there are at most n): the n smallest hashes.
+    ``orderBy(...).limit(n)`` plans as TakeOrdered — per-partition top-n, no global sort."""
+    return df.orderBy(hash_key(seed, id_col), F.col(id_col)).limit(n)
+
+
+def seeded_slices(df: DataFrame, sizes: list[int], id_col: str, seed: int = 42,
+                  names: list[str] | None = None) -> DataFrame:
+    """SO-5: seeded shuffle then contiguous, disjoint slices of exact sizes (e.g. 800 train / 100 val).
+    Only ``sum(sizes)`` rows are taken (TakeOrdered), then numbered inside that bounded set."""
+    from pyspark.sql import Window as W
+    names = names or [f"slice{i}" for i in range(len(sizes))]
+    total = sum(sizes)
+    top = df.withColumn("_h", hash_key(seed, id_col)).orderBy("_h", id_col).limit(total)
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy("_h", id_col)) - 1)
+    bounds, acc = [], 0
+    for name, s in zip(names, sizes):
+        bounds.append((name, acc, acc + s))
+        acc += s
+    which = None
+    for name, lo, hi in bounds:
+        cond = (F.col("rank") >= lo) & (F.col("rank") < hi)
+        which = F.when(cond, F.lit(name)) if which is None else which.when(cond, F.lit(name))
+    return ranked.withColumn("slice", which).drop("_h")
+
+
+def mix_quotas(counts: dict[str, int], weights: dict[str, float], strategy: str = "all_exhausted") -> dict[str, float]:
+    """ST-3 (T9) expected copies per row of each loaded source.
+
+    p_i = w_i / sum(w) over loaded sources (count > 0). ``all_exhausted``: N = max_i(n_i / p_i);
+    ``first_exhausted``: N = min_i(n_i / p_i); q_i = p_i * N / n_i, rounded to 12 decimals.
+    """
+    loaded = {s: n for s, n in counts.items() if n > 0 and weights.get(s, 0) > 0}
+    if not loaded:
+        raise ValueError("no loaded source has a positive weight")
+    tw = sum(weights[s] for s in sorted(loaded))
+    p = {s: weights[s] / tw for s in loaded}
+    ratios = [loaded[s] / p[s] for s in loaded]
+    big_n = max(ratios) if strategy == "all_exhausted" else min(ratios)
+    return {s: round(p[s] * big_n / loaded[s], 12) for s in loaded}
+
+
+def interleave(df: DataFrame, source: str, id_col: str, weights: dict[str, float],
+               strategy: str = "all_exhausted", seed: int = 42) -> DataFrame:
+    """ST-3: weighted interleave without a global sort.
+
+    Source sizes come from one grouped count (a handful of rows). Each row is emitted floor(q) times plus
+    once more when its draw u < frac(q); ``copy`` numbers the copies and ``mix_key`` = md5(seed:id:copy)
+    gives the interleaved order (sort on it only if an ordered output is wanted).
+    """
+    counts = {r[source]: int(r["n"]) for r in df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}
+    quotas = mix_quotas(counts, weights, strategy)
+    qmap = F.create_map(*[x for s, v in quotas.items() for x in (F.lit(s), F.lit(float(v)))])
+    q = F.element_at(qmap, F.col(source))
+    copies = (F.floor(q) + F.when(unit_draw(seed, id_col) < q - F.floor(q), 1).otherwise(0)).cast("int")
+    d = df.filter(q.isNotNull()).withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    return d.withColumn("mix_key", hash_key(seed, id_col, "copy"))

@@ -294,8 +294,8 @@ def sc19(spark, sf):
     return r.select("method", T.method_label("method").alias("label")).distinct()
 
 
-@register("SC-11", O.with_(EX) + f"""SELECT example_id, CASE WHEN regexp_matches(t, '(?i)question:')
-  THEN {O.strip("regexp_extract(t, '(?i)question:([^\\n]*)', 1)")} ELSE t END AS question FROM (
+@register("SC-11", O.with_(EX) + f"""SELECT example_id, CASE WHEN regexp_matches(t, '(?i)question:[{O.WS}]*([^\\n]+)')
+  THEN regexp_extract(t, '(?i)question:[{O.WS}]*([^\\n]+)', 1) ELSE t END AS question FROM (
   SELECT example_id, CASE WHEN example_id % 2 = 0 THEN 'Schema: ' || context || chr(10) || 'QUESTION: ' || question || chr(10) || 'SQL:'
     ELSE question END AS t FROM examples)""")
 def sc11(spark, sf):
