@@ -18,7 +18,7 @@ def sql_length_stats(df: DataFrame, sql: str = "sql") -> DataFrame:
     """AG-9: average / min / max whitespace-token count of the SQL (one partial+final aggregate)."""
     n = F.size(tokens(sql))
     return df.agg((F.sum(n).cast("double") / F.count(F.lit(1))).alias("avg_tokens"),
-                  F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens"))
+                  F.min(n).cast("long").alias("min_tokens"), F.max(n).cast("long").alias("max_tokens"))
 
 
 def top_k(df: DataFrame, key, k: int, count_name: str = "n") -> DataFrame:

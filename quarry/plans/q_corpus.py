@@ -139,7 +139,7 @@ def src2(spark, sf):
 def prj1(spark, sf):
     d = A.table(spark, sf, "documents")
     return d.select("doc_id", F.substring("text", 1, J.CONTEXT_MAX_CHARS).alias("context"),
-                    F.length("text").alias("n_chars"))
+                    F.length("text").cast("long").alias("n_chars"))
 
 
 @register("PRJ-3", O.with_(EX) + """SELECT example_id, coalesce(question, '') AS question, coalesce(sql, '') AS query,

@@ -189,7 +189,7 @@ def result_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (run, epoch) score from events: run = user_id, epoch = day number, score = avg value (cents exact)."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "value")
-    epoch = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    epoch = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
     g = e.groupBy(F.col("user_id").alias("run"), epoch.alias("epoch")).agg(
         F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("n"))
     return g.select(
