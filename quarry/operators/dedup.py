@@ -79,38 +79,51 @@ def dedup(df: DataFrame, question: str = "question", sql: str = "sql",
 
 def ledger(df: DataFrame, source: str = "source_dataset", question: str = "question", sql: str = "sql",
            word_boundary: bool = False) -> DataFrame:
-    """AG-2 + AG-3: per source loaded / invalid / duplicate / conflicts / kept, retention and share.
+    """AG-2 + AG-3: per source loaded / invalid / duplicate / conflicts / kept (+ rows_in_repeated_keys).
 
     duplicate = empty rows + candidate rows that were not the first arrival of their key (T4);
     conflict = candidate rows whose priority is strictly below the key's top priority and whose
     normalized SQL differs from the winner's; kept = winners from that source.
+
+    Plan: the raw rows are scanned once into ``groups`` — one partial+final aggregate per
+    (status, source, priority, key, normalized SQL). Both consumers (the per-key winners and the join
+    back) read every column of ``groups``, so Spark reuses that one exchange instead of rescanning.
+    The join back is keyed by question hash; AQE's skew join splits a hot key's groups.
     """
     c = with_keys(classify(df, question, sql, word_boundary), question, sql)
-    loaded = c.groupBy(source).agg(
-        F.count(F.lit(1)).alias("loaded"),
-        F.count_if(F.col("status") == INVALID).alias("invalid"),
-        F.count_if(F.col("status") == EMPTY).alias("empty"))
-    cand = c.filter(F.col("status") == CANDIDATE)
-    winners = keep_best(cand.select("q_hash", source, "priority", "arrival", "sql", "sql_norm"),
-                        payload=[source, "sql", "sql_norm"])
-    # Pre-aggregate candidates per (key, source, priority, SQL text) before the join back.
-    groups = cand.groupBy("q_hash", source, "priority", "sql_norm").agg(
-        F.count(F.lit(1)).alias("n"), F.min("arrival").alias("min_arrival"))
-    top = winners.select("q_hash", "first_arrival",
-                         F.col("priority").alias("top_priority"), F.col("sql_norm").alias("win_sql_norm"))
-    j = groups.join(top, "q_hash")
-    per_source = j.groupBy(source).agg(
-        (F.sum("n") - F.count_if(F.col("min_arrival") == F.col("first_arrival"))).alias("dup_candidates"),
-        F.sum(F.when((F.col("priority") < F.col("top_priority"))
-                     & (F.col("sql_norm") != F.col("win_sql_norm")), F.col("n")).otherwise(0)).alias("conflicts"))
-    kept = winners.groupBy(source).agg(F.count(F.lit(1)).alias("kept"))
-    out = loaded.join(per_source, source, "left").join(kept, source, "left")
-    out = out.select(
-        source, "loaded", "invalid",
-        (F.col("empty") + F.coalesce(F.col("dup_candidates"), F.lit(0))).cast("long").alias("duplicate"),
-        F.coalesce(F.col("conflicts"), F.lit(0)).cast("long").alias("conflicts"),
-        F.coalesce(F.col("kept"), F.lit(0)).cast("long").alias("kept"))
-    return out
+    cand = F.col("status") == CANDIDATE
+    groups = c.groupBy(
+        "status", source, "priority",
+        F.when(cand, F.col("q_hash")).alias("q_hash"),
+        F.when(cand, F.col("sql_norm")).alias("sql_norm"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("arrival").alias("min_arrival"),
+          F.min(F.struct(F.length(sql).alias("len"), F.col("arrival").alias("arr"))).alias("best"))
+    # Non-candidates carry a null key: they form one extra (partially aggregated) group that joins nothing.
+    # No filter here — a filter on a grouping column would be pushed below ``groups`` and break the reuse.
+    # The join key is never null, so no not-null filter is inferred and pushed into one branch only.
+    key = F.coalesce(F.col("q_hash"), F.lit(""))
+    winners = groups.groupBy(key.alias("_k")).agg(
+        F.min(F.struct((-F.col("priority")).alias("neg_priority"), F.col("best.len").alias("len"),
+                       F.col("best.arr").alias("arr"), F.col(source).alias("src"),
+                       F.col("sql_norm").alias("sql_norm"))).alias("w"),
+        F.min("min_arrival").alias("first_arrival"),
+        F.sum("n").alias("key_rows"))
+    j = groups.withColumn("_k", key).join(winners, "_k", "left")
+    is_cand = F.col("status") == CANDIDATE
+    n = F.col("n")
+    first = F.col("min_arrival") == F.col("first_arrival")
+    wins = (F.col("w.arr") == F.col("best.arr")) & (F.col("w.len") == F.col("best.len"))
+    conflict = (F.col("priority") < -F.col("w.neg_priority")) & (F.col("sql_norm") != F.col("w.sql_norm"))
+    out = j.groupBy(source).agg(
+        F.sum(n).alias("loaded"),
+        F.sum(F.when(F.col("status") == INVALID, n).otherwise(0)).alias("invalid"),
+        F.sum(F.when(F.col("status") == EMPTY, n)
+              .when(is_cand, n - F.when(first, 1).otherwise(0)).otherwise(0)).alias("duplicate"),
+        F.sum(F.when(is_cand & conflict, n).otherwise(0)).alias("conflicts"),
+        F.sum(F.when(is_cand & wins, 1).otherwise(0)).alias("kept"),
+        F.sum(F.when(is_cand & (F.col("key_rows") > 1), n).otherwise(0)).alias("rows_in_repeated_keys"))
+    return out.select(source, *[F.col(x).cast("long").alias(x) for x in
+                                ("loaded", "invalid", "duplicate", "conflicts", "kept", "rows_in_repeated_keys")])
 
 
 def with_ratios(ledger_df: DataFrame) -> DataFrame:

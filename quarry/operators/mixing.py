@@ -103,19 +103,34 @@ def mix_quotas(counts: dict[str, int], weights: dict[str, float], strategy: str
     return {s: round(p[s] * big_n / loaded[s], 12) for s in loaded}
 
 
+def quota_table(df: DataFrame, source: str, weights: dict[str, float],
+                strategy: str = "all_exhausted") -> DataFrame:
+    """ST-3 quotas as a DataFrame ``(source, q)`` — at most ``len(weights)`` rows (the weights dimension
+    bounds it), computed from one grouped count over the data; see ``mix_quotas`` for the formula."""
+    from pyspark.sql import Window as W
+    spark = df.sparkSession
+    wdf = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], f"{source} string, _w double")
+    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
+    pr = counts.join(F.broadcast(wdf), source).filter((F.col("_n") > 0) & (F.col("_w") > 0))
+    allw = W.partitionBy()
+    pr = pr.withColumn("_p", F.col("_w") / F.sum("_w").over(allw))
+    ratio = F.col("_n") / F.col("_p")
+    big_n = F.max(ratio).over(allw) if strategy == "all_exhausted" else F.min(ratio).over(allw)
+    return pr.select(source, F.round(F.col("_p") * big_n / F.col("_n"), 12).alias("_q"))
+
+
 def interleave(df: DataFrame, source: str, id_col: str, weights: dict[str, float],
                strategy: str = "all_exhausted", seed: int = 42) -> DataFrame:
-    """ST-3: weighted interleave without a global sort.
+    """ST-3: weighted interleave without a global sort, as one plan.
 
-    Source sizes come from one grouped count (a handful of rows). Each row is emitted floor(q) times plus
-    once more when its draw u < frac(q); ``copy`` numbers the copies and ``mix_key`` = md5(seed:id:copy)
-    gives the interleaved order (sort on it only if an ordered output is wanted).
+    Quotas come from a grouped count joined to the weights (a table of at most ``len(weights)`` rows,
+    broadcast); the count and the rows read the same upstream exchange, which Spark reuses. Each row is
+    emitted floor(q) times plus once more when its draw u < frac(q); ``copy`` numbers the copies and
+    ``mix_key`` = md5(seed:id:copy) gives the interleaved order (sort on it only if wanted).
     """
-    counts = {r[source]: int(r["n"]) for r in df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}
-    quotas = mix_quotas(counts, weights, strategy)
-    qmap = F.create_map(*[x for s, v in quotas.items() for x in (F.lit(s), F.lit(float(v)))])
-    q = F.element_at(qmap, F.col(source))
+    q = F.col("_q")
     copies = (F.floor(q) + F.when(unit_draw(seed, id_col) < q - F.floor(q), 1).otherwise(0)).cast("int")
-    d = df.filter(q.isNotNull()).withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    d = df.join(F.broadcast(quota_table(df, source, weights, strategy)), source)
+    d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_q")
     return d.withColumn("mix_key", hash_key(seed, id_col, "copy"))

@@ -170,13 +170,15 @@ LEDGER_SQL = O.with_(EX, CL, """loaded AS (SELECT source_dataset, count(*) AS lo
     count(*) FILTER (WHERE status = 'invalid') AS invalid, count(*) FILTER (WHERE status = 'empty') AS empty
   FROM statused GROUP BY 1)""", """dups AS (SELECT r.source_dataset,
     count(*) FILTER (WHERE r.arrival <> r.first_arrival) AS dup_candidates,
-    count(*) FILTER (WHERE r.priority < w.priority AND r.sql_norm <> w.sql_norm) AS conflicts
-  FROM ranked r JOIN winners w USING (q_hash) GROUP BY 1)""",
+    count(*) FILTER (WHERE r.priority < w.priority AND r.sql_norm <> w.sql_norm) AS conflicts,
+    count(*) FILTER (WHERE r.key_rows > 1) AS rows_in_repeated_keys
+  FROM (SELECT *, count(*) OVER (PARTITION BY q_hash) AS key_rows FROM ranked) r JOIN winners w USING (q_hash) GROUP BY 1)""",
                      "kept AS (SELECT source_dataset, count(*) AS kept FROM winners GROUP BY 1)",
                      """ledger AS (SELECT l.source_dataset, CAST(l.loaded AS BIGINT) AS loaded,
     CAST(l.invalid AS BIGINT) AS invalid,
     CAST(l.empty + coalesce(d.dup_candidates, 0) AS BIGINT) AS duplicate,
-    CAST(coalesce(d.conflicts, 0) AS BIGINT) AS conflicts, CAST(coalesce(k.kept, 0) AS BIGINT) AS kept
+    CAST(coalesce(d.conflicts, 0) AS BIGINT) AS conflicts, CAST(coalesce(k.kept, 0) AS BIGINT) AS kept,
+    CAST(coalesce(d.rows_in_repeated_keys, 0) AS BIGINT) AS rows_in_repeated_keys
   FROM loaded l LEFT JOIN dups d USING (source_dataset) LEFT JOIN kept k USING (source_dataset))""")
 
 
