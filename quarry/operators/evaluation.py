@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.joins import sized_broadcast
 
 DEFAULT_BLOCK = 1 << 16
 MAX_ATTEMPTS = 3
@@ -142,50 +141,56 @@ def before_after(metrics_df: DataFrame, baseline: str, by: str = "method",
 
 # --- windows ------------------------------------------------------------------------------------------
 
-def positions(df: DataFrame, order: str, part: list[str] | None = None, block: int = DEFAULT_BLOCK,
-              out: str = "pos") -> DataFrame:
-    """WN-3: 0-based position of each row in ``order`` within ``part`` (numeric, unique order key).
+def running_stats(df: DataFrame, order: str, part: list[str] | None = None, flags: list[str] | None = None,
+                  block: int = DEFAULT_BLOCK, out: str = "pos") -> DataFrame:
+    """WN-3 + running counts in one pass: 0-based position of each row in ``order`` within ``part``
+    (numeric, unique order key) and ``cum_<flag>`` = true values of each flag up to and including the row.
 
-    Blocks are ``floor(order / block)``; per-block counts get an exclusive running sum over the small
-    block table (broadcast after its size is measured), and rows add their row number inside the block.
+    Rows are hash-partitioned once by (part, block = floor(order / block)); inside that partitioning
+    the windows give the row's rank and running sums within its block and the block totals. The block
+    totals (rows/block entries) get exclusive running offsets over the blocks and join back on
+    (part, block) — the rows side is already partitioned and sorted on those keys, so the join moves
+    only the small block table. No window ever spans more than one block.
     """
-    part = part or []
-    b = F.floor(F.col(order) / block).alias("_blk")
-    d = df.withColumn("_blk", b)
-    blocks = d.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
-    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*part, "_blk", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).alias("_base"))
-    wr = Window.partitionBy(*part, "_blk").orderBy(order)
-    d = d.withColumn("_rn", F.row_number().over(wr))
-    j = d.join(sized_broadcast(blocks), [*part, "_blk"])
-    return j.withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("long")).drop("_blk", "_rn", "_base")
-
-
-def running_counts(df: DataFrame, pos: str, flags: list[str], part: list[str] | None = None,
-                   block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Running count of true values of each flag column up to and including each row (by ``pos``)."""
-    part = part or []
-    d = df.withColumn("_blk", F.floor(F.col(pos) / block))
+    part, flags = part or [], flags or []
     ints = {f: F.coalesce(F.col(f), F.lit(False)).cast("long") for f in flags}
-    blocks = d.groupBy(*part, "_blk").agg(*[F.sum(v).alias("_s_" + f) for f, v in ints.items()])
-    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*part, "_blk", *[F.coalesce(F.sum("_s_" + f).over(wb), F.lit(0)).alias("_b_" + f)
-                                            for f in flags])
-    wr = Window.partitionBy(*part, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_blk", F.floor(F.col(order) / block))
+    w_in = Window.partitionBy(*part, "_blk").orderBy(order)
+    w_run = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_rn", F.row_number().over(w_in))
     for f, v in ints.items():
-        d = d.withColumn("_r_" + f, F.sum(v).over(wr))
-    j = d.join(sized_broadcast(blocks), [*part, "_blk"])
+        d = d.withColumn("_r_" + f, F.sum(v).over(w_run))
+    # Block totals are the running values' maxima, so both branches read the same windowed rows and Spark
+    # reuses the one exchange under them (pass only the needed columns in, so pruning keeps them equal).
+    blocks = d.groupBy(*part, "_blk").agg(F.max("_rn").alias("_bc"),
+                                          *[F.max("_r_" + f).alias("_bs_" + f) for f in flags])
+    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*part, "_blk", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_base"),
+                            *[F.coalesce(F.sum("_bs_" + f).over(wb), F.lit(0)).alias("_b_" + f) for f in flags])
+    # Null-safe keys: no not-null filter is inferred into only one branch (which would break the reuse),
+    # and rows with a null partition value keep their own positions.
+    keys = [*part, "_blk"]
+    o = offsets.select(*[F.col(k).alias("_o_" + k) for k in keys],
+                       *[c for c in offsets.columns if c not in keys])
+    cond = [d[k].eqNullSafe(o["_o_" + k]) for k in keys]
+    j = d.join(o, cond).drop(*["_o_" + k for k in keys])
+    j = j.withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("long"))
     for f in flags:
-        j = j.withColumn("cum_" + f, F.col("_b_" + f) + F.col("_r_" + f)).drop("_b_" + f, "_r_" + f)
-    return j.drop("_blk")
+        j = j.withColumn("cum_" + f, F.col("_b_" + f) + F.col("_r_" + f))
+    return j.drop("_blk", "_rn", "_base", *["_b_" + f for f in flags], *["_r_" + f for f in flags])
+
+
+def positions(df: DataFrame, order: str, part: list[str] | None = None, block: int = DEFAULT_BLOCK,
+              out: str = "pos") -> DataFrame:
+    """WN-3: 0-based position of each row in ``order`` within ``part`` (see ``running_stats``)."""
+    return running_stats(df, order, part, None, block, out)
 
 
 def running_metrics(results: DataFrame, every: int = 10, by: str = "method", order: str = "example_id",
-                    exact: str | None = None) -> DataFrame:
+                    exact: str | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
     """WN-1: running valid / match (/ exact) % after each example per method, emitted every ``every``-th."""
-    p = positions(results, order, [by])
     flags = ["is_valid", "results_match"] + ([exact] if exact else [])
-    r = running_counts(p, "pos", flags, [by])
+    r = running_stats(results.select(by, order, *flags), order, [by], flags, block)
     seen = F.col("pos") + 1
     r = r.filter(F.col("pos") % every == every - 1)
     cols = [by, "pos", seen.alias("seen"),
