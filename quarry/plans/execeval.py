@@ -106,12 +106,16 @@ def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", paralle
     re-run query by query to pin the failure); ``parallelism`` batches run concurrently.
     """
     out = scratch_path(spark, "results")
-    d = texts.select(F.col(sql).alias("sql")).filter(F.col("sql").isNotNull()).distinct() \
+    # No filter before the distinct: a pushed-down predicate would inline the whole text expression
+    # into the scan; null texts are skipped on arrival instead.
+    d = texts.select(F.col(sql).alias("sql")).distinct() \
         .withColumn("qid", query_id("sql")) \
         .withColumn("stype", T.statement_type(F.col("sql")))
     status: list[tuple] = []
     ready: list[tuple[str, DataFrame]] = []
     for r in d.toLocalIterator():
+        if r["sql"] is None:
+            continue
         if r["stype"] != "SELECT":
             status.append((r["qid"], False, "NOT_A_SELECT", f"Refused statement type: {r['stype']}"))
             continue
@@ -120,7 +124,9 @@ def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", paralle
             status.append(err)
         else:
             ready.append((r["qid"], vals))
-    batches = [ready[i:i + batch] for i in range(0, len(ready), batch)]
+    # Enough batches to keep ``parallelism`` jobs busy, none larger than ``batch`` queries.
+    size = max(1, min(batch, -(-len(ready) // max(parallelism, 1))))
+    batches = [ready[i:i + size] for i in range(0, len(ready), size)]
     if batches:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             for st in pool.map(lambda b: _run_batch(spark, b, out), batches):
