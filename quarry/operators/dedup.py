@@ -48,33 +48,41 @@ def with_keys(df: DataFrame, question: str = "question", sql: str = "sql") -> Da
              .withColumn("sql_norm", T.normalize_sql(F.col(sql)))
 
 
-def keep_best(candidates: DataFrame, key: str = "q_hash", payload: list[str] | None = None) -> DataFrame:
+def keep_best(candidates: DataFrame, key: str = "q_hash", payload: list[str] | None = None,
+              where: Column | None = None) -> DataFrame:
     """AG-1: one winner per key — highest priority, then shortest SQL, then earliest arrival.
 
     ``min(struct(-priority, length(sql), arrival, payload...))`` is associative, so Spark plans it as a
     partial + final aggregate (map-side combine; no window, no collect). ``arrival`` is unique, so the
-    payload fields never decide. Also returns the key's first arrival (the reference's output order)
-    and its top priority (used by the ledger).
+    payload fields never decide. Also returns the key's first arrival (the reference's output order).
+
+    ``where`` selects the rows that compete *inside* the aggregate (other rows fold into one null-key
+    group that is dropped afterwards by a test on the aggregate's result). A row filter before the
+    aggregate would be pushed into the scan by the optimizer and evaluate every derived column twice.
     """
-    payload = payload or [c for c in candidates.columns if c not in (key, "priority", "arrival")]
-    best = F.min(F.struct(
+    skip = {key, "priority", "arrival", "status", "reject_reason"}
+    payload = payload or [c for c in candidates.columns if c not in skip]
+    cand = F.lit(True) if where is None else where
+    best = F.min(F.when(cand, F.struct(
         (-F.col("priority")).alias("neg_priority"),
         F.length("sql").alias("sql_len"),
         F.col("arrival").alias("win_arrival"),
         *[F.col(c) for c in payload],
         F.col("priority"),
-    )).alias("best")
-    g = candidates.groupBy(key).agg(best, F.min("arrival").alias("first_arrival"))
+    ))).alias("best")
+    k = F.col(key) if where is None else F.when(cand, F.col(key))
+    g = candidates.groupBy(k.alias(key)).agg(best, F.min(F.when(cand, F.col("arrival"))).alias("first_arrival"))
+    if where is not None:
+        g = g.filter(F.col("best").isNotNull())
     return g.select(key, "first_arrival", *[F.col("best." + c).alias(c) for c in payload + ["priority"]],
                     F.col("best.win_arrival").alias("arrival"))
 
 
 def dedup(df: DataFrame, question: str = "question", sql: str = "sql",
           word_boundary: bool = False) -> DataFrame:
-    """Validated, keep-best deduplicated examples (classify -> keys -> keep_best)."""
+    """Validated, keep-best deduplicated examples (classify -> keys -> keep_best over the candidates)."""
     c = with_keys(classify(df, question, sql, word_boundary), question, sql)
-    cand = c.filter(F.col("status") == CANDIDATE).drop("status", "reject_reason")
-    return keep_best(cand)
+    return keep_best(c, where=F.col("status") == CANDIDATE)
 
 
 def ledger(df: DataFrame, source: str = "source_dataset", question: str = "question", sql: str = "sql",

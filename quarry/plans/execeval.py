@@ -74,20 +74,24 @@ def _write(frames: list[DataFrame], out: str) -> None:
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
-    u.write.mode("append").partitionBy("qid").parquet(out)
+    u.write.mode("overwrite").partitionBy("qid").parquet(out)
 
 
 def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str) -> list[tuple]:
-    """Execute analyzed queries as one union job; if it fails at run time, isolate per query."""
+    """Execute analyzed queries as one union job; if it fails at run time, isolate per query.
+
+    Every job commits into its own folder (``out`` is unique per batch and per retry), so concurrent
+    jobs never share a commit directory.
+    """
     try:
-        _write([df for _, df in batch], out)
+        _write([df for _, df in batch], f"{out}/try=all")
         return [(qid, True, None, None) for qid, _ in batch]
     except Exception:  # noqa: BLE001
         pass
     status = []
-    for qid, df in batch:
+    for i, (qid, df) in enumerate(batch):
         try:
-            _write([df], out)
+            _write([df], f"{out}/try={i}")
             status.append((qid, True, None, None))
         except Exception as e:  # noqa: BLE001
             cond, msg = _condition(e)
@@ -129,7 +133,7 @@ def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", paralle
     batches = [ready[i:i + size] for i in range(0, len(ready), size)]
     if batches:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            for st in pool.map(lambda b: _run_batch(spark, b, out), batches):
+            for st in pool.map(lambda ib: _run_batch(spark, ib[1], f"{out}/batch={ib[0]}"), enumerate(batches)):
                 status.extend(st)
     status_df = spark.createDataFrame(status, STATUS_SCHEMA)
     if any(s[1] for s in status):
