@@ -99,35 +99,28 @@ def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str
     return status
 
 
-def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", parallelism: int = 4,
-                batch: int = 64) -> tuple[DataFrame, DataFrame]:
-    """EX-1: run every distinct SQL text once. Returns (status, rows):
-    status ``(qid, ok, error_condition, error)`` and rows ``(qid, row_values array<string>)``.
+def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelism: int = 4,
+              batch: int = 64) -> tuple[list[tuple], DataFrame]:
+    """Run ``(qid, sql, statement_type)`` texts (distinct) once each; returns (status list, rows).
 
     Only SELECT statements are run (T14); anything else is refused with condition ``NOT_A_SELECT``.
-    Texts are parsed and analyzed on the driver; the analyzable ones run as union jobs of ``batch``
-    queries writing ``qid``-partitioned results to the shared folder (a batch that fails at run time is
-    re-run query by query to pin the failure); ``parallelism`` batches run concurrently.
+    Texts are parsed and analyzed on the driver; the analyzable ones run as union jobs of at most
+    ``batch`` queries, each job writing ``qid``-partitioned results into its own folder under the shared
+    directory (a batch that fails at run time is re-run query by query to pin the failure);
+    ``parallelism`` jobs run concurrently.
     """
     out = scratch_path(spark, "results")
-    # No filter before the distinct: a pushed-down predicate would inline the whole text expression
-    # into the scan; null texts are skipped on arrival instead.
-    d = texts.select(F.col(sql).alias("sql")).distinct() \
-        .withColumn("qid", query_id("sql")) \
-        .withColumn("stype", T.statement_type(F.col("sql")))
     status: list[tuple] = []
     ready: list[tuple[str, DataFrame]] = []
-    for r in d.toLocalIterator():
-        if r["sql"] is None:
-            continue
-        if r["stype"] != "SELECT":
-            status.append((r["qid"], False, "NOT_A_SELECT", f"Refused statement type: {r['stype']}"))
+    for qid, sql, stype in texts:
+        if stype != "SELECT":
+            status.append((qid, False, "NOT_A_SELECT", f"Refused statement type: {stype}"))
             continue
-        vals, err = _analyze(spark, r["qid"], r["sql"])
+        vals, err = _analyze(spark, qid, sql)
         if err is not None:
             status.append(err)
         else:
-            ready.append((r["qid"], vals))
+            ready.append((qid, vals))
     # Enough batches to keep ``parallelism`` jobs busy, none larger than ``batch`` queries.
     size = max(1, min(batch, -(-len(ready) // max(parallelism, 1))))
     batches = [ready[i:i + size] for i in range(0, len(ready), size)]
@@ -135,12 +128,38 @@ def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", paralle
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             for st in pool.map(lambda ib: _run_batch(spark, ib[1], f"{out}/batch={ib[0]}"), enumerate(batches)):
                 status.extend(st)
-    status_df = spark.createDataFrame(status, STATUS_SCHEMA)
     if any(s[1] for s in status):
         rows = spark.read.parquet(out).select("qid", "row_values")
     else:
         rows = spark.createDataFrame([], ROWS_SCHEMA).select("qid", "row_values")
-    return status_df, rows
+    return status, rows
+
+
+def _typed(d: DataFrame, col: str) -> DataFrame:
+    return d.withColumn("_qid_" + col, query_id(col)).withColumn("_st_" + col, T.statement_type(F.col(col)))
+
+
+def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", parallelism: int = 4,
+                batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """EX-1: run every distinct SQL text once. Returns (status, rows):
+    status ``(qid, ok, error_condition, error)`` and rows ``(qid, row_values array<string>)``.
+
+    The distinct texts — one per query to plan, which is the driver's unit of work — stream to the
+    driver; nothing else does. No filter precedes the distinct (a pushed-down predicate would inline
+    the text expression into the scan); null texts are skipped on arrival.
+    """
+    d = _typed(texts.select(F.col(sql).alias("sql")).distinct(), "sql")
+    items = [(r["_qid_sql"], r["sql"], r["_st_sql"]) for r in d.toLocalIterator() if r["sql"] is not None]
+    status, rows = run_texts(spark, items, parallelism, batch)
+    return spark.createDataFrame(status, STATUS_SCHEMA), rows
+
+
+PAIR_SCHEMA = Ty.StructType([
+    Ty.StructField("gen_qid", Ty.StringType()), Ty.StructField("gold_qid", Ty.StringType()),
+    Ty.StructField("pair_id", Ty.StringType()),
+    Ty.StructField("gen_ok", Ty.BooleanType()), Ty.StructField("gold_ok", Ty.BooleanType()),
+    Ty.StructField("gen_condition", Ty.StringType()), Ty.StructField("gen_error", Ty.StringType()),
+])
 
 
 def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id",
@@ -149,26 +168,37 @@ def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id
     """EX-3: run → compare → tag per example. Output: key, generated_sql, gold_sql, is_valid, gold_valid,
     results_match, feedback, error, error_class, complexity.
 
-    Comparison is done once per distinct (generated, gold) query pair and joined back to the examples.
+    The distinct (generated, gold) pairs reach the driver once (bounded by the evaluation set); their
+    texts run once each; the per-pair table is built on the driver and broadcast; results of all pairs
+    are compared in one plan; the predictions are scanned once more for the final join.
     """
     p = predictions.select(key, F.col(generated).alias("generated_sql"), F.col(gold).alias("gold_sql"))
-    texts = p.select(F.col("generated_sql").alias("sql")).unionByName(p.select(F.col("gold_sql").alias("sql")))
-    status, rows = run_queries(spark, texts, parallelism=parallelism)
-    p = p.withColumn("gen_qid", query_id("generated_sql")).withColumn("gold_qid", query_id("gold_sql"))
-    st_g = status.select(F.col("qid").alias("gen_qid"), F.col("ok").alias("gen_ok"),
-                         F.col("error_condition").alias("gen_condition"), F.col("error").alias("gen_error"))
-    st_d = status.select(F.col("qid").alias("gold_qid"), F.col("ok").alias("gold_ok"))
-    # status has one row per distinct query text: bounded by the evaluation set, broadcast is safe.
-    p = p.join(F.broadcast(st_g), "gen_qid", "left").join(F.broadcast(st_d), "gold_qid", "left")
-    p = p.withColumn("pair_id", F.md5(F.concat_ws("|", "gen_qid", "gold_qid")))
-    pairs = p.filter(F.col("gen_ok") & F.col("gold_ok")).select("pair_id", "gen_qid", "gold_qid").distinct()
-    long = pairs.join(rows.withColumnRenamed("qid", "gen_qid"), "gen_qid") \
+    d = _typed(_typed(p.select("generated_sql", "gold_sql").distinct(), "generated_sql"), "gold_sql")
+    pair_rows = list(d.toLocalIterator())
+    texts = {}
+    for r in pair_rows:
+        for c in ("generated_sql", "gold_sql"):
+            if r[c] is not None:
+                texts[r["_qid_" + c]] = (r["_qid_" + c], r[c], r["_st_" + c])
+    status, rows = run_texts(spark, list(texts.values()), parallelism)
+    by_qid = {s[0]: s for s in status}
+    pairs = {}
+    for r in pair_rows:
+        g, d_ = by_qid.get(r["_qid_generated_sql"]), by_qid.get(r["_qid_gold_sql"])
+        gq, dq = r["_qid_generated_sql"], r["_qid_gold_sql"]
+        pairs[(gq, dq)] = (gq, dq, f"{gq}|{dq}", bool(g and g[1]), bool(d_ and d_[1]),
+                           g[2] if g else None, g[3] if g else None)
+    pairs_df = spark.createDataFrame(list(pairs.values()), PAIR_SCHEMA)
+    ok = F.broadcast(pairs_df.filter(F.col("gen_ok") & F.col("gold_ok")).select("pair_id", "gen_qid", "gold_qid"))
+    long = rows.join(ok.select("pair_id", F.col("gen_qid").alias("qid")), "qid") \
         .select("pair_id", F.lit(CMP.GEN).alias("side"), "row_values") \
-        .unionByName(pairs.join(rows.withColumnRenamed("qid", "gold_qid"), "gold_qid")
+        .unionByName(rows.join(ok.select("pair_id", F.col("gold_qid").alias("qid")), "qid")
                      .select("pair_id", F.lit(CMP.GOLD).alias("side"), "row_values"))
-    cmp = CMP.compare_results(long, pairs.select("pair_id"), mode=mode) \
-        .select("pair_id", "results_match", "feedback")
-    out = p.join(cmp, "pair_id", "left")
+    cmp = CMP.compare_results(long, ok.select("pair_id"), mode=mode).select("pair_id", "results_match", "feedback")
+    # One row per distinct pair: bounded by the evaluation set, so the joined table is broadcast.
+    info = pairs_df.join(cmp, "pair_id", "left")
+    out = p.withColumn("gen_qid", query_id("generated_sql")).withColumn("gold_qid", query_id("gold_sql")) \
+        .join(F.broadcast(info), ["gen_qid", "gold_qid"], "left")
     both = F.coalesce(F.col("gen_ok"), F.lit(False)) & F.coalesce(F.col("gold_ok"), F.lit(False))
     return out.select(
         key, "generated_sql", "gold_sql",
