@@ -1,8 +1,8 @@
 """Augmentation: one row in, up to n+1 rows out (AU-1..AU-6, FLT-7, AG-13).
 
-Each example becomes an ``array<struct>`` of candidate variants built with built-in expressions; the
-checks that depend on each variant's SQL run inside ``transform`` (one expression tree, evaluated per
-element), the list is truncated, and ``inline`` emits the rows — a narrow stage, no shuffle.
+Each example's candidate variants are flat columns built with built-in expressions; their statement
+types are staged projections; keep / rank / truncate is arithmetic over flags; ``explode`` emits the
+rows — one narrow, code-generated stage, no shuffle.
 Random choices of the reference are replaced by md5(seed:id:purpose) draws, portable to any engine.
 """
 
@@ -103,45 +103,51 @@ def simplify(sql: Column) -> Column:
     return F.regexp_replace(s, "(?i)" + SIMPLIFY_LIMIT, "")
 
 
-def _is_select(sql: Column) -> Column:
-    return T.statement_type(sql) == "SELECT"
-
-
 def variations(df: DataFrame, n_variations: int = 3, id_col: str = "example_id", seed: int = 42) -> DataFrame:
     """AU-6 + FLT-7: original, paraphrases, rename, limit, order, simplify — in that order, each checked
     variant kept only if its SQL is a SELECT, truncated to the first n+1, then non-SELECT rows dropped.
 
     Input columns: id, question, sql, db_id, schema struct<table_names, columns> (null = no schema).
     Output: id, variant (0-based), augmentation, question, sql, db_id.
+
+    All candidates are flat columns; statement types are staged projections; the keep / rank /
+    truncate logic is plain arithmetic over flags; ``explode`` + a null filter emit the rows — the whole
+    stage is generated code (no per-element lambda evaluation).
     """
     q, sql, db = F.col("question"), F.col("sql"), F.col("db_id")
     has_schema = F.col("schema").isNotNull()
     cols = F.col("schema.columns")
-
-    def cand(kind, question, s, dbid, checked, present=F.lit(True)):
-        return F.when(present, F.struct(F.lit(kind).alias("augmentation"), question.alias("question"),
-                                        s.alias("sql"), dbid.alias("db_id"), F.lit(checked).alias("checked")))
-
     para = paraphrases(q, 2)
-    renamed = rename_tables(sql, F.col("schema.table_names"), id_col, seed)
-    simple = simplify(sql)
-    cands = F.array(
-        cand("original", q, sql, db, False),
-        cand("paraphrase", F.element_at(para, 1), sql, db, False, F.size(para) >= 1),
-        cand("paraphrase", F.element_at(para, 2), sql, db, False, F.size(para) >= 2),
-        cand("schema_shuffle", q, renamed, F.concat(db, F.lit("_shuffled")), True),
-        cand("add_limit", F.concat(q, F.lit(" (top results)")), add_limit(sql, id_col, seed), db, True, has_schema),
-        cand("add_order", F.concat(q, F.lit(" (sorted)")), add_order_by(sql, cols, id_col, seed), db, True,
-             has_schema & (F.coalesce(F.size(cols), F.lit(0)) > 0)),
-        cand("simplify", q, simple, db, True, simple != sql),
-    )
-    typed = F.transform(F.array_compact(cands), lambda c: c.withField("ok", _is_select(c["sql"])))
-    kept = F.filter(typed, lambda c: ~c["checked"] | c["ok"])
-    head = F.slice(kept, 1, n_variations + 1)
-    numbered = F.transform(head, lambda c, i: c.withField("variant", i))
-    final = F.filter(numbered, lambda c: c["ok"])
-    out = df.select(id_col, F.inline(final))
-    return out.select(id_col, "variant", "augmentation", "question", "sql", "db_id")
+    d = df.withColumn("_para", para) \
+        .withColumn("_s_rename", rename_tables(sql, F.col("schema.table_names"), id_col, seed)) \
+        .withColumn("_s_limit", add_limit(sql, id_col, seed)) \
+        .withColumn("_s_order", F.when(F.coalesce(F.size(cols), F.lit(0)) > 0, add_order_by(sql, cols, id_col, seed))) \
+        .withColumn("_s_simple", simplify(sql))
+    for c in ("sql", "_s_rename", "_s_limit", "_s_order", "_s_simple"):
+        d = T.with_statement_type(d, c, "_t" + c)
+    ok = {c: F.coalesce(F.col("_t" + c) == "SELECT", F.lit(False))
+          for c in ("sql", "_s_rename", "_s_limit", "_s_order", "_s_simple")}
+    # (augmentation, question, sql, db_id, present, checked, ok)
+    cands = [
+        ("original", q, sql, db, F.lit(True), False, ok["sql"]),
+        ("paraphrase", F.element_at(F.col("_para"), 1), sql, db, F.size("_para") >= 1, False, ok["sql"]),
+        ("paraphrase", F.element_at(F.col("_para"), 2), sql, db, F.size("_para") >= 2, False, ok["sql"]),
+        ("schema_shuffle", q, F.col("_s_rename"), F.concat(db, F.lit("_shuffled")), F.lit(True), True,
+         ok["_s_rename"]),
+        ("add_limit", F.concat(q, F.lit(" (top results)")), F.col("_s_limit"), db, has_schema, True, ok["_s_limit"]),
+        ("add_order", F.concat(q, F.lit(" (sorted)")), F.col("_s_order"), db,
+         has_schema & (F.coalesce(F.size(cols), F.lit(0)) > 0), True, ok["_s_order"]),
+        ("simplify", q, F.col("_s_simple"), db, F.col("_s_simple") != sql, True, ok["_s_simple"]),
+    ]
+    kept = [(present & (F.lit(True) if not checked else okc)).cast("int") for _, _, _, _, present, checked, okc in cands]
+    items, rank = [], F.lit(0)
+    for (kind, cq, cs, cd, present, checked, okc), k in zip(cands, kept):
+        emit = (k == 1) & (rank < n_variations + 1) & okc
+        items.append(F.when(emit, F.struct(rank.alias("variant"), F.lit(kind).alias("augmentation"),
+                                            cq.alias("question"), cs.alias("sql"), cd.alias("db_id"))))
+        rank = rank + k
+    out = d.select(id_col, F.explode(F.array(*items)).alias("v")).filter(F.col("v").isNotNull())
+    return out.select(id_col, "v.variant", "v.augmentation", "v.question", "v.sql", "v.db_id")
 
 
 def expansion(original: DataFrame, generated: DataFrame) -> DataFrame:
