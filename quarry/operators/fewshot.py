@@ -35,6 +35,29 @@ def positional_shots(df: DataFrame, order: str = "example_id", key: str = "examp
     return want.join(shots, "shot_pos").select(key, (F.col("shot_rank") + 1).alias("shot_rank"), "shot_" + key)
 
 
+def _top_k(sims, cid, kk):
+    """Exact k best per row (largest similarity, ties to the smaller id) without sorting whole rows:
+    ``argpartition`` picks k candidates; rows where the k-th value is tied with unpicked entries are
+    re-ranked over all their tied entries, so the result equals a full sort."""
+    import numpy as np
+    n = sims.shape[1]
+    rows = np.arange(sims.shape[0])[:, None]
+    if kk < n:
+        part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+    else:
+        part = np.broadcast_to(np.arange(n), (sims.shape[0], n)).copy()
+    kth = sims[rows, part].min(axis=1)
+    ties = (sims >= kth[:, None]).sum(axis=1) > kk
+    sel_sims, sel_ids = sims[rows, part], cid[part]
+    order = np.lexsort((sel_ids, -sel_sims), axis=1)
+    top_ids, top_sims = sel_ids[rows, order], sel_sims[rows, order]
+    for r in np.nonzero(ties)[0]:
+        cand = np.nonzero(sims[r] >= kth[r])[0]
+        o = np.lexsort((cid[cand], -sims[r, cand]))[:kk]
+        top_ids[r], top_sims[r] = cid[cand][o], sims[r, cand][o]
+    return top_ids, top_sims
+
+
 def _topk_fn(chunk_dir: str, k: int, exclude_self: bool, dim_col: str, chunk_rows: int):
     def run(batches):
         import numpy as np
@@ -60,10 +83,7 @@ def _topk_fn(chunk_dir: str, k: int, exclude_self: bool, dim_col: str, chunk_row
             sims = qv @ cv.T
             if exclude_self:
                 sims[qid[:, None] == cid[None, :]] = -np.inf
-            # k best per query: largest similarity, ties to the smaller neighbour id
-            order = np.lexsort((np.broadcast_to(cid, sims.shape), -sims), axis=1)[:, :kk]
-            rows = np.arange(len(qid))[:, None]
-            top_ids, top_sims = cid[order], sims[rows, order]
+            top_ids, top_sims = _top_k(sims, cid, kk)
             ok = np.isfinite(top_sims)
             yield pd.DataFrame({"qid": np.repeat(qid, kk)[ok.ravel()],
                                 "nid": top_ids.ravel()[ok.ravel()],

@@ -164,21 +164,21 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long result table ``(pair_id, side, row_values array<string>)`` from orders.
+    """Long result table ``(pair_id, side, row_values array<string>)`` from orders, in one scan.
 
     gold: (status, priority) of the customer's even orders; gen: the same columns swapped,
     upper-cased and space-padded, from even orders when custkey % 3 = 0 else from all orders.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     even = F.col("o_orderkey") % 2 == 0
-    gold = o.filter(even).select(
-        F.col("o_custkey").alias("pair_id"), F.lit("gold").alias("side"),
-        F.array(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("row_values"))
-    gen = o.filter(even | (F.col("o_custkey") % 3 != 0)).select(
-        F.col("o_custkey").alias("pair_id"), F.lit("gen").alias("side"),
+    gold = F.when(even, F.struct(F.lit("gold").alias("side"),
+                                 F.array(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("row_values")))
+    gen = F.when(even | (F.col("o_custkey") % 3 != 0), F.struct(
+        F.lit("gen").alias("side"),
         F.array(F.concat(F.lit(" "), F.upper("o_orderpriority"), F.lit(" ")),
-                F.concat(F.lit(" "), F.upper("o_orderstatus"))).alias("row_values"))
-    return gold.unionByName(gen)
+                F.concat(F.lit(" "), F.upper("o_orderstatus"))).alias("row_values")))
+    r = o.select(F.col("o_custkey").alias("pair_id"), F.explode(F.array(gold, gen)).alias("r"))
+    return r.filter(F.col("r").isNotNull()).select("pair_id", "r.side", "r.row_values")
 
 
 def result_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,3 +171,15 @@ def test_t9_interleave_copies(spark):
     out = M.interleave(df, "src", "id", {"a": 0.5, "b": 0.5})
     counts = {r["src"]: r["count"] for r in out.groupBy("src").count().collect()}
     assert counts == {"a": 100, "b": 100}
+
+
+def test_top_k_exact_with_ties():
+    import numpy as np
+    from quarry.operators.fewshot import _top_k
+    rng = np.random.default_rng(0)
+    sims = rng.integers(0, 4, size=(50, 30)).astype(float)   # many ties
+    cid = np.arange(100, 130)
+    ids, vals = _top_k(sims, cid, 3)
+    for r in range(50):
+        want = sorted(zip(-sims[r], cid))[:3]
+        assert list(ids[r]) == [i for _, i in want]
