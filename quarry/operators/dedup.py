@@ -85,6 +85,33 @@ def dedup(df: DataFrame, question: str = "question", sql: str = "sql",
     return keep_best(c, where=F.col("status") == CANDIDATE)
 
 
+_SHIFT = 10 ** 20
+_OFFSET = 1 << 63
+
+
+def _dec(v: int) -> Column:
+    return F.lit(str(v)).cast("decimal(38,0)")
+
+
+def _min_len_arrival(length: Column, arrival: Column, arrival_type) -> Column:
+    """min over rows of (length, arrival) as ``struct<len, arr>``.
+
+    For an integral arrival both parts are packed into one decimal(38,0) (length * 10^20 +
+    arrival + 2^63), whose min is a fixed-width buffer: Spark then plans a hash aggregate instead of
+    the sort aggregate a struct buffer needs. Other arrival types use ``min(struct)``.
+    """
+    from pyspark.sql.types import IntegralType
+    if not isinstance(arrival_type, IntegralType):
+        return F.min(F.struct(length.alias("len"), arrival.alias("arr")))
+    packed = F.min(length.cast("decimal(38,0)") * _dec(_SHIFT)
+                   + arrival.cast("decimal(38,0)") + _dec(_OFFSET))
+    dec = packed.cast("decimal(38,0)")
+    ln = F.floor(dec / _dec(_SHIFT)).cast("int")
+    arr = (dec - ln.cast("decimal(38,0)") * _dec(_SHIFT)
+           - _dec(_OFFSET)).cast(arrival_type)
+    return F.struct(ln.alias("len"), arr.alias("arr"))
+
+
 def ledger(df: DataFrame, source: str = "source_dataset", question: str = "question", sql: str = "sql",
            word_boundary: bool = False) -> DataFrame:
     """AG-2 + AG-3: per source loaded / invalid / duplicate / conflicts / kept (+ rows_in_repeated_keys).
@@ -105,7 +132,7 @@ def ledger(df: DataFrame, source: str = "source_dataset", question: str = "quest
         F.when(cand, F.col("q_hash")).alias("q_hash"),
         F.when(cand, F.col("sql_norm")).alias("sql_norm"),
     ).agg(F.count(F.lit(1)).alias("n"), F.min("arrival").alias("min_arrival"),
-          F.min(F.struct(F.length(sql).alias("len"), F.col("arrival").alias("arr"))).alias("best"))
+          _min_len_arrival(F.length(sql), F.col("arrival"), c.schema["arrival"].dataType).alias("best"))
     # Non-candidates carry a null key: they form one extra (partially aggregated) group that joins nothing.
     # No filter here — a filter on a grouping column would be pushed below ``groups`` and break the reuse.
     # The join key is never null, so no not-null filter is inferred and pushed into one branch only.
