@@ -30,11 +30,16 @@ def count_message(n_gen: Column, n_gold: Column) -> Column:
 def row_keys(rows: DataFrame, values: str = "row_values", mode: str = "reference") -> DataFrame:
     """SC-6/SC-7: ``row_key`` = sorted normalized values. In reference mode a row with two or more values
     and a NULL among them is flagged (the reference cannot sort it and reports an error for the pair).
-    Strict mode keeps NULLs as a sentinel that sorts first and never errors."""
+    Strict mode keeps NULLs as a sentinel that sorts first and never errors, and compares numbers by
+    value (``1`` = ``1.0``, rounded to 9 decimals) instead of by text."""
     v = F.col(values)
     if mode == "strict":
-        keyed = F.array_sort(F.transform(v, lambda x: F.coalesce(F.concat(F.lit("\u0001v:"), T.normalize_value(x)),
-                                                                 F.lit("\u0000null"))))
+        def canon(x):
+            num = x.try_cast("double")
+            as_num = F.concat(F.lit("n:"), F.round(num, 9).cast("string"))
+            as_text = F.concat(F.lit("s:"), T.normalize_value(x))
+            return F.when(x.isNull(), F.lit("\u0000null")).when(num.isNotNull(), as_num).otherwise(as_text)
+        keyed = F.array_sort(F.transform(v, canon))
         bad = F.lit(False)
     else:
         keyed = F.array_sort(F.transform(v, lambda x: T.normalize_value(x)))

@@ -187,8 +187,8 @@ def ag2(spark, sf):
     return D.ledger(_examples(spark, sf))
 
 
-@register("AG-3", LEDGER_SQL + """SELECT *, kept * 100.0 / loaded AS retention_pct,
-  kept * 100.0 / sum(kept) OVER () AS share_pct FROM ledger""")
+@register("AG-3", LEDGER_SQL + """SELECT *, CAST(kept AS DOUBLE) * 100.0 / loaded AS retention_pct,
+  CAST(kept AS DOUBLE) * 100.0 / CAST(sum(kept) OVER () AS DOUBLE) AS share_pct FROM ledger""")
 def ag3(spark, sf):
     return D.with_ratios(D.ledger(_examples(spark, sf)))
 
@@ -196,7 +196,8 @@ def ag3(spark, sf):
 @register("AG-8", LEDGER_SQL + """SELECT CAST(sum(loaded) AS BIGINT) AS total_loaded, CAST(sum(invalid) AS BIGINT) AS invalid,
   CAST(sum(duplicate) AS BIGINT) AS duplicates, CAST(sum(conflicts) AS BIGINT) AS conflicts,
   CAST(sum(kept) AS BIGINT) AS valid_unique,
-  coalesce(100.0 * (sum(loaded) - sum(kept)) / sum(loaded), 0.0) AS reduction_pct FROM ledger""")
+  coalesce(100.0 * CAST(sum(loaded) - sum(kept) AS DOUBLE) / CAST(sum(loaded) AS DOUBLE), 0.0) AS reduction_pct
+FROM ledger""")
 def ag8(spark, sf):
     return D.totals(_examples(spark, sf))
 
@@ -223,7 +224,7 @@ def ag10(spark, sf):
 
 
 @register("SO-2", O.with_(EX, CL) + """SELECT source_dataset, count(*) AS n,
-  count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM winners GROUP BY 1 ORDER BY n DESC, source_dataset LIMIT 3""")
+  CAST(count(*) AS DOUBLE) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE) AS pct FROM winners GROUP BY 1 ORDER BY n DESC, source_dataset LIMIT 3""")
 def so2(spark, sf):
     return S.top_k_share(_kept(spark, sf), "source_dataset", k=3)
 

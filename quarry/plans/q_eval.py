@@ -133,7 +133,8 @@ def jn7(spark, sf):
 @register("WN-1", O.with_(EX, ER, """run AS (SELECT method, row_number() OVER w - 1 AS pos,
   sum(CAST(is_valid AS BIGINT)) OVER w AS cv, sum(CAST(results_match AS BIGINT)) OVER w AS cm
   FROM eval_results WINDOW w AS (PARTITION BY method ORDER BY example_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
-    + """SELECT method, pos, pos + 1 AS seen, cv * 100.0 / (pos + 1) AS valid_pct, cm * 100.0 / (pos + 1) AS match_pct
+    + """SELECT method, pos, pos + 1 AS seen, CAST(cv AS DOUBLE) * 100.0 / (pos + 1) AS valid_pct,
+  CAST(cm AS DOUBLE) * 100.0 / (pos + 1) AS match_pct
 FROM run WHERE pos % 10 = 9""")
 def wn1(spark, sf):
     return E.running_metrics(A.eval_results(spark, sf), every=10)

@@ -183,3 +183,9 @@ def test_top_k_exact_with_ties():
     for r in range(50):
         want = sorted(zip(-sims[r], cid))[:3]
         assert list(ids[r]) == [i for _, i in want]
+
+
+def test_t5_strict_numeric_and_bag(spark):
+    assert _cmp(spark, [["1"]], [["1.0"]], mode="strict")["results_match"]
+    assert not _cmp(spark, [["1"]], [["1"], ["1"]], mode="strict")["results_match"]
+    assert _cmp(spark, [["0.30000000000000004", "a"]], [["A ", "0.3"]], mode="strict")["results_match"]
