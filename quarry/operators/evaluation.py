@@ -131,12 +131,11 @@ def best_candidate(scored: DataFrame, candidate: str = "candidate", match: str =
 
 def before_after(metrics_df: DataFrame, baseline: str, by: str = "method",
                  value: str = "result_match_pct") -> DataFrame:
-    """JN-7: each method's value minus the baseline method's value (join on the metric key)."""
-    base = metrics_df.filter(F.col(by) == baseline).select(F.col(value).alias("baseline_value"))
-    # The baseline side is one row per metric key (here: one row), so it is broadcast.
-    j = metrics_df.select(by, value, F.lit(1).alias("_k")).join(
-        F.broadcast(base.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return j.withColumn("delta", F.col(value) - F.col("baseline_value"))
+    """JN-7: each method's value minus the baseline method's value. The metrics table has one row per
+    method, so the baseline is taken with a window over that small table (no join needed)."""
+    base = F.max(F.when(F.col(by) == baseline, F.col(value))).over(Window.partitionBy())
+    return metrics_df.select(by, value, base.alias("baseline_value")) \
+        .withColumn("delta", F.col(value) - F.col("baseline_value"))
 
 
 # --- windows ------------------------------------------------------------------------------------------
