@@ -337,3 +337,22 @@ FROM examples WHERE source_dataset <> 'know_sql' GROUP BY 1""")
 def so6(spark, sf):
     r = read_written_sources(spark, sf)
     return r.groupBy("source_dataset").agg(F.min("arrival.rank").cast("int").alias("rank"))
+
+
+def _dialect_wb_sql(x: str) -> str:
+    parts = []
+    for label, kws in (("Contains DuckDB keyword: ", T.DUCKDB_KEYWORDS),
+                       ("Contains PostgreSQL-specific: ", T.POSTGRES_SPECIFIC)):
+        for k in kws:
+            if k[0].isalpha():
+                pat = "\\b" + k.replace(" ", "\\s+") + "\\b"
+                parts.append(f"WHEN regexp_matches(upper({x}), {O.q(pat)}) THEN {O.q(label + k)}")
+            else:
+                parts.append(f"WHEN strpos(upper({x}), {O.q(k)}) > 0 THEN {O.q(label + k)}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+@register("FLT-3-WB", O.with_(EX) + f"SELECT example_id, {_dialect_wb_sql('sql')} AS reason FROM examples")
+def flt3_wb(spark, sf):
+    """FLT-3 with whole-word keyword matching (``LOAD`` no longer rejects ``downloads``)."""
+    return _examples(spark, sf).select("example_id", T.dialect_reason("sql", word_boundary=True).alias("reason"))

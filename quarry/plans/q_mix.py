@@ -207,3 +207,11 @@ def snk4(spark, sf):
     back = spark.read.schema("method string, metrics struct<total_examples:long, valid_sql_count:long, "
                              "result_match_count:long, valid_sql_pct:double, result_match_pct:double>").json(path)
     return back.select("method", "metrics.total_examples", "metrics.valid_sql_count", "metrics.result_match_count")
+
+
+@register("ST-3-FE", MIX_SQL.replace("(SELECT max(n / p) FROM pr)", "(SELECT min(n / p) FROM pr)"))
+def st3_fe(spark, sf):
+    """ST-3 with the first-exhausted strategy (every source under-sampled to the scarcest one's pace)."""
+    kept = _kept(spark, sf).select("example_id", "source_dataset")
+    return M.interleave(kept, "source_dataset", "example_id", TRAIN_WEIGHTS, "first_exhausted") \
+        .select("example_id", "source_dataset", F.col("copy").cast("long").alias("copy"), "mix_key")
