@@ -78,8 +78,10 @@ def collapse_ws(c) -> Column:
 
 
 def rstrip_chars(c, chars: str) -> Column:
+    """Python ``str.rstrip(chars)``. ``\\z`` is the very end; Java's ``$`` would also match before a final
+    newline and strip characters Python keeps."""
     cls = "".join("\\" + ch if ch in "\\^]-[" else ch for ch in chars)
-    return F.regexp_replace(_c(c), f"[{cls}]+$", "")
+    return F.regexp_replace(_c(c), f"[{cls}]+\\z", "")
 
 
 # --- SC-1 / SC-2 / SC-3: dedup keys ------------------------------------------------------------

@@ -189,3 +189,8 @@ def test_t5_strict_numeric_and_bag(spark):
     assert _cmp(spark, [["1"]], [["1.0"]], mode="strict")["results_match"]
     assert not _cmp(spark, [["1"]], [["1"], ["1"]], mode="strict")["results_match"]
     assert _cmp(spark, [["0.30000000000000004", "a"]], [["A ", "0.3"]], mode="strict")["results_match"]
+
+
+def test_t10_semicolon_before_newline_kept(spark):
+    # Python's rstrip(';') does not look past a trailing newline; strip() then removes the newline.
+    assert one_col(spark, ["SELECT 1;\n-- x"], T.extract_sql) == ["SELECT 1;"]
