@@ -165,3 +165,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id FROM r WHERE rank <
 def jn5(spark, sf):
     e = A.embeddings(spark, sf)
     return FS.knn(e, e, k=2, exclude_self=True)
+
+
+@register("SC-12-FEWSHOT", O.with_(O.EXAMPLES, """pos AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS i FROM examples)""",
+                                   """want AS (SELECT example_id, i, unnest(CASE WHEN i = 0 THEN [1, 2] WHEN i = 1 THEN [0]
+    WHEN i <= 5 THEN [0, 1] ELSE [i - 5, i - 4] END) AS shot_pos,
+    unnest(CASE WHEN i = 1 THEN [1] ELSE [1, 2] END) AS shot_rank FROM pos)""",
+                                   """blocks AS (SELECT w.example_id, string_agg('**Example ' || w.shot_rank || ':**' || chr(10) ||
+    'Schema: ' || coalesce(s.context, 'N/A') || chr(10) || 'Question: ' || s.question || chr(10) || 'SQL: ' ||
+    coalesce(s.sql, '') || chr(10) || chr(10), '' ORDER BY w.shot_rank) AS body
+  FROM want w JOIN pos p ON p.i = w.shot_pos JOIN examples s ON s.example_id = p.example_id GROUP BY 1)""")
+    + f"""SELECT e.example_id, {q(__import__('quarry.functions.prompts', fromlist=['x']).FEW_SHOT_HEAD)} || coalesce(b.body, '') ||
+  '### Now convert this question:' || chr(10) || 'Schema:' || chr(10) || e.context || chr(10) || chr(10) ||
+  'Question: ' || e.question || chr(10) || chr(10) || 'SQL Query:' || chr(10) AS prompt
+FROM examples e LEFT JOIN blocks b USING (example_id)""")
+def sc12_fewshot(spark, sf):
+    """SC-12 few-shot prompt with the positional shots of JN-4 (at most two per row)."""
+    from quarry.functions import prompts as P
+    ex = A.examples(spark, sf).select("example_id", "question", "sql", "context")
+    shots = FS.positional_shots(ex.select("example_id"))
+    sx = ex.select(F.col("example_id").alias("shot_example_id"),
+                   F.struct("context", "question", "sql").alias("shot"))
+    g = shots.join(sx, "shot_example_id").groupBy("example_id").agg(
+        F.array_sort(F.collect_list(F.struct("shot_rank", "shot"))).alias("_s"))
+    g = g.select("example_id", F.transform("_s", lambda x: x["shot"]).alias("shots"))
+    j = ex.join(g, "example_id", "left").withColumn("shots", F.coalesce("shots", F.array().cast(
+        "array<struct<context:string,question:string,sql:string>>")))
+    return j.select("example_id", P.few_shot_prompt(F.col("shots")).alias("prompt"))
