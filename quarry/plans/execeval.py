@@ -70,29 +70,63 @@ def _analyze(spark: SparkSession, qid: str, sql: str):
         return None, (qid, False, cond, msg)
 
 
-def _write(frames: list[DataFrame], out: str) -> None:
+class QueryTimeout(Exception):
+    pass
+
+
+def _write(spark: SparkSession, frames: list[DataFrame], out: str, timeout_s: float | None = None) -> None:
+    """Write the union of ``frames``; with ``timeout_s`` the job runs in its own job group and is
+    cancelled when the time is up (``QueryTimeout``)."""
+    import threading
+    import uuid
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
-    u.write.mode("overwrite").partitionBy("qid").parquet(out)
+    if timeout_s is None:
+        u.write.mode("overwrite").partitionBy("qid").parquet(out)
+        return
+    sc = spark.sparkContext
+    group = f"quarry-exec-{uuid.uuid4().hex[:12]}"
+    fired = threading.Event()
+
+    def cancel():
+        fired.set()
+        sc.cancelJobGroup(group)
+
+    sc.setJobGroup(group, "quarry query execution", interruptOnCancel=True)
+    timer = threading.Timer(timeout_s, cancel)
+    timer.start()
+    try:
+        u.write.mode("overwrite").partitionBy("qid").parquet(out)
+    except Exception as e:  # noqa: BLE001
+        if fired.is_set():
+            raise QueryTimeout(f"[QUERY_TIMEOUT] no result within {timeout_s} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
-def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str) -> list[tuple]:
-    """Execute analyzed queries as one union job; if it fails at run time, isolate per query.
+def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str,
+               timeout_s: float | None = None) -> list[tuple]:
+    """Execute analyzed queries as one union job; if it fails (or times out), isolate per query.
 
     Every job commits into its own folder (``out`` is unique per batch and per retry), so concurrent
     jobs never share a commit directory.
     """
     try:
-        _write([df for _, df in batch], f"{out}/try=all")
+        _write(spark, [df for _, df in batch], f"{out}/try=all",
+               None if timeout_s is None else timeout_s * len(batch))
         return [(qid, True, None, None) for qid, _ in batch]
     except Exception:  # noqa: BLE001
         pass
     status = []
     for i, (qid, df) in enumerate(batch):
         try:
-            _write([df], f"{out}/try={i}")
+            _write(spark, [df], f"{out}/try={i}", timeout_s)
             status.append((qid, True, None, None))
+        except QueryTimeout as e:
+            status.append((qid, False, "QUERY_TIMEOUT", str(e)))
         except Exception as e:  # noqa: BLE001
             cond, msg = _condition(e)
             status.append((qid, False, cond, msg))
@@ -100,14 +134,15 @@ def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str
 
 
 def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelism: int = 4,
-              batch: int = 64) -> tuple[list[tuple], DataFrame]:
+              batch: int = 64, timeout_s: float | None = None) -> tuple[list[tuple], DataFrame]:
     """Run ``(qid, sql, statement_type)`` texts (distinct) once each; returns (status list, rows).
 
     Only SELECT statements are run (T14); anything else is refused with condition ``NOT_A_SELECT``.
     Texts are parsed and analyzed on the driver; the analyzable ones run as union jobs of at most
     ``batch`` queries, each job writing ``qid``-partitioned results into its own folder under the shared
     directory (a batch that fails at run time is re-run query by query to pin the failure);
-    ``parallelism`` jobs run concurrently.
+    ``parallelism`` jobs run concurrently. With ``timeout_s`` a query that has not finished in time is
+    cancelled and reported with condition ``QUERY_TIMEOUT`` (the reference had no limit).
     """
     out = scratch_path(spark, "results")
     status: list[tuple] = []
@@ -126,7 +161,8 @@ def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelis
     batches = [ready[i:i + size] for i in range(0, len(ready), size)]
     if batches:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            for st in pool.map(lambda ib: _run_batch(spark, ib[1], f"{out}/batch={ib[0]}"), enumerate(batches)):
+            for st in pool.map(lambda ib: _run_batch(spark, ib[1], f"{out}/batch={ib[0]}", timeout_s),
+                               enumerate(batches)):
                 status.extend(st)
     if any(s[1] for s in status):
         rows = spark.read.parquet(out).select("qid", "row_values")
@@ -140,7 +176,7 @@ def _typed(d: DataFrame, col: str) -> DataFrame:
 
 
 def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", parallelism: int = 4,
-                batch: int = 64) -> tuple[DataFrame, DataFrame]:
+                batch: int = 64, timeout_s: float | None = None) -> tuple[DataFrame, DataFrame]:
     """EX-1: run every distinct SQL text once. Returns (status, rows):
     status ``(qid, ok, error_condition, error)`` and rows ``(qid, row_values array<string>)``.
 
@@ -150,7 +186,7 @@ def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", paralle
     """
     d = _typed(texts.select(F.col(sql).alias("sql")).distinct(), "sql")
     items = [(r["_qid_sql"], r["sql"], r["_st_sql"]) for r in d.toLocalIterator() if r["sql"] is not None]
-    status, rows = run_texts(spark, items, parallelism, batch)
+    status, rows = run_texts(spark, items, parallelism, batch, timeout_s)
     return spark.createDataFrame(status, STATUS_SCHEMA), rows
 
 
@@ -164,7 +200,7 @@ PAIR_SCHEMA = Ty.StructType([
 
 def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id",
              generated: str = "generated_sql", gold: str = "gold_sql", mode: str = "reference",
-             parallelism: int = 4) -> DataFrame:
+             parallelism: int = 4, timeout_s: float | None = None) -> DataFrame:
     """EX-3: run → compare → tag per example. Output: key, generated_sql, gold_sql, is_valid, gold_valid,
     results_match, feedback, error, error_class, complexity.
 
@@ -180,7 +216,7 @@ def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id
         for c in ("generated_sql", "gold_sql"):
             if r[c] is not None:
                 texts[r["_qid_" + c]] = (r["_qid_" + c], r[c], r["_st_" + c])
-    status, rows = run_texts(spark, list(texts.values()), parallelism)
+    status, rows = run_texts(spark, list(texts.values()), parallelism, timeout_s=timeout_s)
     by_qid = {s[0]: s for s in status}
     pairs = {}
     for r in pair_rows:

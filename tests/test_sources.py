@@ -61,3 +61,20 @@ def test_write_jsonl_keeps_nulls_and_counts(spark):
     assert J.write_jsonl(df, d) == 2
     text = "".join(open(os.path.join(d, f)).read() for f in os.listdir(d) if f.endswith(".json"))
     assert '"v":null' in text
+
+
+def test_execution_errors_and_timeout(spark):
+    from quarry.plans import execeval as X
+    spark.createDataFrame([(1,), (2,)], "a long").createOrReplaceTempView("tiny_t")
+    texts = [("q1", "SELECT a FROM tiny_t", "SELECT"), ("q2", "SELECT b FROM tiny_t", "SELECT"),
+             ("q3", "SELECT a FROM missing_t", "SELECT"), ("q4", "SELEC a", "UNKNOWN"),
+             ("q5", "SELECT 1 / 0", "SELECT"), ("q6", "DROP TABLE tiny_t", "DROP"),
+             ("q7", "SELECT sum(hash(a.id, b.id)) FROM range(200000) a JOIN range(200000) b ON a.id % 3 = b.id % 3", "SELECT")]
+    status, rows = X.run_texts(spark, texts, parallelism=2, timeout_s=5)
+    by = {s[0]: s for s in status}
+    assert by["q1"][1] and not by["q2"][1] and by["q2"][2].startswith("UNRESOLVED_COLUMN")
+    assert by["q3"][2] == "TABLE_OR_VIEW_NOT_FOUND"
+    assert by["q4"][2] == "NOT_A_SELECT" and by["q6"][2] == "NOT_A_SELECT"
+    assert not by["q5"][1] and "DIVIDE_BY_ZERO" in (by["q5"][2] + (by["q5"][3] or ""))
+    assert by["q7"][2] == "QUERY_TIMEOUT"
+    assert sorted(r["row_values"][0] for r in rows.filter("qid = 'q1'").collect()) == ["1", "2"]
