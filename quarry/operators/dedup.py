@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 INVALID = "invalid"
+MISSING = "Missing required field"
 EMPTY = "empty"
 CANDIDATE = "candidate"
 
@@ -34,7 +35,7 @@ def classify(df: DataFrame, question: str = "question", sql: str = "sql",
                        else F.lit(None).cast("string"))
     type_reason = F.when(F.col("_stype").isin(*T.VALID_STATEMENT_TYPES), F.lit(None).cast("string")) \
         .otherwise(F.concat(F.lit("Invalid statement type: "), F.col("_stype")))
-    reason = F.when(missing, F.lit("Missing required field")).otherwise(F.coalesce(F.col("_dialect"), type_reason))
+    reason = F.when(missing, F.lit(MISSING)).otherwise(F.coalesce(F.col("_dialect"), type_reason))
     empty = F.col(question).isNull() | (F.col(question) == "") | (F.col(sql) == "")
     df = df.withColumn("reject_reason", reason)
     status = F.when(F.col("reject_reason").isNotNull(), F.lit(INVALID)) \
@@ -129,6 +130,7 @@ def ledger(df: DataFrame, source: str = "source_dataset", question: str = "quest
     cand = F.col("status") == CANDIDATE
     groups = c.groupBy(
         "status", source, "priority",
+        (F.col("reject_reason") == MISSING).alias("missing"),
         F.when(cand, F.col("q_hash")).alias("q_hash"),
         F.when(cand, F.col("sql_norm")).alias("sql_norm"),
     ).agg(F.count(F.lit(1)).alias("n"), F.min("arrival").alias("min_arrival"),
@@ -152,13 +154,15 @@ def ledger(df: DataFrame, source: str = "source_dataset", question: str = "quest
     out = j.groupBy(source).agg(
         F.sum(n).alias("loaded"),
         F.sum(F.when(F.col("status") == INVALID, n).otherwise(0)).alias("invalid"),
+        F.sum(F.when((F.col("status") == INVALID) & F.col("missing"), n).otherwise(0)).alias("missing_field"),
         F.sum(F.when(F.col("status") == EMPTY, n)
               .when(is_cand, n - F.when(first, 1).otherwise(0)).otherwise(0)).alias("duplicate"),
         F.sum(F.when(is_cand & conflict, n).otherwise(0)).alias("conflicts"),
         F.sum(F.when(is_cand & wins, 1).otherwise(0)).alias("kept"),
         F.sum(F.when(is_cand & (F.col("key_rows") > 1), n).otherwise(0)).alias("rows_in_repeated_keys"))
     return out.select(source, *[F.col(x).cast("long").alias(x) for x in
-                                ("loaded", "invalid", "duplicate", "conflicts", "kept", "rows_in_repeated_keys")])
+                                ("loaded", "invalid", "missing_field", "duplicate", "conflicts", "kept",
+                                 "rows_in_repeated_keys")])
 
 
 def with_ratios(ledger_df: DataFrame) -> DataFrame:
@@ -178,6 +182,7 @@ def totals(df: DataFrame, source: str = "source_dataset", enriched: Column | Non
     t = led.agg(
         F.sum("loaded").cast("long").alias("total_loaded"),
         F.sum("invalid").cast("long").alias("invalid"),
+        (F.sum("invalid") - F.sum("missing_field")).cast("long").alias("invalid_sql"),
         F.sum("duplicate").cast("long").alias("duplicates"),
         F.sum("conflicts").cast("long").alias("conflicts"),
         F.sum("kept").cast("long").alias("valid_unique"))

@@ -167,7 +167,8 @@ def ag1(spark, sf):
 
 
 LEDGER_SQL = O.with_(EX, CL, """loaded AS (SELECT source_dataset, count(*) AS loaded,
-    count(*) FILTER (WHERE status = 'invalid') AS invalid, count(*) FILTER (WHERE status = 'empty') AS empty
+    count(*) FILTER (WHERE status = 'invalid') AS invalid, count(*) FILTER (WHERE status = 'empty') AS empty,
+    count(*) FILTER (WHERE status = 'invalid' AND reject_reason = 'Missing required field') AS missing_field
   FROM statused GROUP BY 1)""", """dups AS (SELECT r.source_dataset,
     count(*) FILTER (WHERE r.arrival <> r.first_arrival) AS dup_candidates,
     count(*) FILTER (WHERE r.priority < w.priority AND r.sql_norm <> w.sql_norm) AS conflicts,
@@ -175,7 +176,7 @@ LEDGER_SQL = O.with_(EX, CL, """loaded AS (SELECT source_dataset, count(*) AS lo
   FROM (SELECT *, count(*) OVER (PARTITION BY q_hash) AS key_rows FROM ranked) r JOIN winners w USING (q_hash) GROUP BY 1)""",
                      "kept AS (SELECT source_dataset, count(*) AS kept FROM winners GROUP BY 1)",
                      """ledger AS (SELECT l.source_dataset, CAST(l.loaded AS BIGINT) AS loaded,
-    CAST(l.invalid AS BIGINT) AS invalid,
+    CAST(l.invalid AS BIGINT) AS invalid, CAST(l.missing_field AS BIGINT) AS missing_field,
     CAST(l.empty + coalesce(d.dup_candidates, 0) AS BIGINT) AS duplicate,
     CAST(coalesce(d.conflicts, 0) AS BIGINT) AS conflicts, CAST(coalesce(k.kept, 0) AS BIGINT) AS kept,
     CAST(coalesce(d.rows_in_repeated_keys, 0) AS BIGINT) AS rows_in_repeated_keys
@@ -194,6 +195,7 @@ def ag3(spark, sf):
 
 
 @register("AG-8", LEDGER_SQL + """SELECT CAST(sum(loaded) AS BIGINT) AS total_loaded, CAST(sum(invalid) AS BIGINT) AS invalid,
+  CAST(sum(invalid) - sum(missing_field) AS BIGINT) AS invalid_sql,
   CAST(sum(duplicate) AS BIGINT) AS duplicates, CAST(sum(conflicts) AS BIGINT) AS conflicts,
   CAST(sum(kept) AS BIGINT) AS valid_unique,
   coalesce(100.0 * CAST(sum(loaded) - sum(kept) AS DOUBLE) / CAST(sum(loaded) AS DOUBLE), 0.0) AS reduction_pct

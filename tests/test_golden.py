@@ -194,3 +194,14 @@ def test_t5_strict_numeric_and_bag(spark):
 def test_t10_semicolon_before_newline_kept(spark):
     # Python's rstrip(';') does not look past a trailing newline; strip() then removes the newline.
     assert one_col(spark, ["SELECT 1;\n-- x"], T.extract_sql) == ["SELECT 1;"]
+
+
+def test_t4_missing_field_is_invalid_but_not_invalid_sql(spark):
+    rows = [(1, "q1", "SELECT 1", "spider", 5, 1, False), (2, None, "SELECT 2", "spider", 5, 2, True),
+            (3, "q3", "PRAGMA x", "spider", 5, 3, False)]
+    df = spark.createDataFrame(rows, "example_id long, question string, sql string, source_dataset string, "
+                                     "priority int, arrival long, missing_field boolean")
+    led = D.ledger(df).collect()[0]
+    assert (led["loaded"], led["invalid"], led["missing_field"], led["kept"]) == (3, 2, 1, 1)
+    t = D.totals(df).collect()[0]
+    assert t["invalid"] == 2 and t["invalid_sql"] == 1
