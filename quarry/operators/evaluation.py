@@ -212,7 +212,28 @@ def accept_revert(log: DataFrame, run: str = "run", epoch: str = "epoch", score:
     return d.withColumn("current_prompt", F.coalesce(cur, F.lit(initial_prompt)))
 
 
+def global_positions(df: DataFrame, order: str, num_partitions: int | None = None,
+                     out: str = "pos") -> DataFrame:
+    """WN-3 for one global order over any sortable, unique key: range-partitioned sort + per-partition
+    offsets (no single-partition window, no assumption about the key's distribution).
+
+    ``repartitionByRange`` samples the key to cut balanced ranges (one shuffle); inside each sorted
+    range a row's index is its position in the partition. The per-partition counts — one row per
+    partition, so their size is bounded by ``num_partitions`` — get running offsets and are broadcast
+    back; the rows themselves move only once.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, order).sortWithinPartitions(order) \
+        .withColumn("_pid", F.spark_partition_id()) \
+        .withColumn("_li", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    return d.join(F.broadcast(offsets), "_pid") \
+        .withColumn(out, (F.col("_off") + F.col("_li")).cast("long")).drop("_pid", "_li", "_off")
+
+
 def mini_batches(df: DataFrame, batch_size: int, order: str = "example_id") -> DataFrame:
     """WN-4: batch number of consecutive rows (global order); the last batch may be short."""
-    p = positions(df, order)
+    p = global_positions(df, order)
     return p.withColumn("batch", F.floor(F.col("pos") / batch_size))

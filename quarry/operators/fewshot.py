@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from quarry.operators.evaluation import positions
+from quarry.operators.evaluation import global_positions
 from quarry.sources.jsonl import scratch_path
 
 DEFAULT_CHUNK_ROWS = 4096
@@ -23,8 +23,8 @@ DEFAULT_CHUNK_ROWS = 4096
 def positional_shots(df: DataFrame, order: str = "example_id", key: str = "example_id") -> DataFrame:
     """JN-4 (T8): for the row at position i, the first two of rows max(0, i-5)..i-1; row 0 takes rows 1
     and 2. Output long form ``(key, shot_rank, shot_<key>)``; an equi-join on position, no window over
-    the whole set (positions come from the blocked prefix count)."""
-    p = positions(df.select(key) if order == key else df.select(key, order), order)
+    the whole set (positions come from a range-partitioned sort with per-partition offsets)."""
+    p = global_positions(df.select(key) if order == key else df.select(key, order), order)
     i = F.col("pos")
     wanted = (F.when(i == 0, F.array(F.lit(1), F.lit(2)))
               .when(i == 1, F.array(F.lit(0)))

@@ -99,3 +99,12 @@ def test_compare_symmetric(spark):
     a = {r["pair_id"]: r["results_match"] for r in CMP.compare_results(rr).collect()}
     b = {r["pair_id"]: r["results_match"] for r in CMP.compare_results(swapped).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_global_positions_any_partitioning(spark, parts):
+    from quarry.operators.evaluation import global_positions
+    rows = [(k,) for k in random.Random(parts).sample(range(10 ** 9), 500)]
+    df = spark.createDataFrame(rows, "k long")
+    got = sorted((r["k"], r["pos"]) for r in global_positions(df, "k", parts).collect())
+    assert [p for _, p in got] == list(range(500))
