@@ -61,30 +61,42 @@ def split_train_val(df: DataFrame, id_col: str, fraction: float = 0.02, seed: in
     return df.withColumn("split", F.when(h < F.lit(threshold), F.lit("validation")).otherwise(F.lit("train")))
 
 
+# Up to this many rows a top-n goes through one final task (TakeOrdered); beyond it rows are ranked by a
+# range-partitioned sort so that no task ever holds the n rows.
+TAKE_ORDERED_MAX = 100_000
+
+
+def ranked_by_hash(df: DataFrame, id_col: str, seed: int, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest md5(seed:id) with their 0-based ``rank`` (ties: id)."""
+    from pyspark.sql import Window as W
+    from quarry.operators.evaluation import global_positions
+    h = df.withColumn("_h", F.concat(hash_key(seed, id_col), F.lit(":"), F.col(id_col).cast("string")))
+    if n <= TAKE_ORDERED_MAX:
+        top = h.orderBy("_h").limit(n)
+        # at most n (bounded by the parameter) rows are numbered here
+        return top.withColumn("rank", (F.row_number().over(W.orderBy("_h")) - 1).cast("long")).drop("_h")
+    return global_positions(h, "_h", out="rank").filter(F.col("rank") < n).drop("_h")
+
+
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """SO-4: n rows without replacement (all rows when there are at most n): the n smallest hashes.
-    ``orderBy(...).limit(n)`` plans as TakeOrdered — per-partition top-n, no global sort."""
-    return df.orderBy(hash_key(seed, id_col), F.col(id_col)).limit(n)
+    Small n plans as TakeOrdered (per-partition top-n, no global sort); large n ranks by range."""
+    if n <= TAKE_ORDERED_MAX:
+        return df.orderBy(hash_key(seed, id_col), F.col(id_col)).limit(n)
+    return ranked_by_hash(df, id_col, seed, n).drop("rank")
 
 
 def seeded_slices(df: DataFrame, sizes: list[int], id_col: str, seed: int = 42,
                   names: list[str] | None = None) -> DataFrame:
-    """SO-5: seeded shuffle then contiguous, disjoint slices of exact sizes (e.g. 800 train / 100 val).
-    Only ``sum(sizes)`` rows are taken (TakeOrdered), then numbered inside that bounded set."""
-    from pyspark.sql import Window as W
+    """SO-5: seeded shuffle then contiguous, disjoint slices of exact sizes (e.g. 800 train / 100 val)."""
     names = names or [f"slice{i}" for i in range(len(sizes))]
-    total = sum(sizes)
-    top = df.withColumn("_h", hash_key(seed, id_col)).orderBy("_h", id_col).limit(total)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy("_h", id_col)) - 1)
-    bounds, acc = [], 0
-    for name, s in zip(names, sizes):
-        bounds.append((name, acc, acc + s))
-        acc += s
-    which = None
-    for name, lo, hi in bounds:
-        cond = (F.col("rank") >= lo) & (F.col("rank") < hi)
+    ranked = ranked_by_hash(df, id_col, seed, sum(sizes))
+    which, acc = None, 0
+    for name, size in zip(names, sizes):
+        cond = (F.col("rank") >= acc) & (F.col("rank") < acc + size)
         which = F.when(cond, F.lit(name)) if which is None else which.when(cond, F.lit(name))
-    return ranked.withColumn("slice", which).drop("_h")
+        acc += size
+    return ranked.withColumn("slice", which)
 
 
 def mix_quotas(counts: dict[str, int], weights: dict[str, float], strategy: str = "all_exhausted") -> dict[str, float]:

@@ -108,3 +108,15 @@ def test_global_positions_any_partitioning(spark, parts):
     df = spark.createDataFrame(rows, "k long")
     got = sorted((r["k"], r["pos"]) for r in global_positions(df, "k", parts).collect())
     assert [p for _, p in got] == list(range(500))
+
+
+def test_large_slices_rank_by_range(spark, monkeypatch):
+    from quarry.operators import mixing as M
+    ex = A.examples(spark, SF_SMALL).select("example_id")
+    small = M.seeded_slices(ex, [50, 20], "example_id", 42, ["a", "b"])
+    monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 10)
+    large = M.seeded_slices(ex, [50, 20], "example_id", 42, ["a", "b"])
+    key = lambda r: (r["example_id"], r["rank"], r["slice"])
+    assert sorted(map(key, small.collect())) == sorted(map(key, large.collect()))
+    assert sorted(r[0] for r in M.sample_n(ex, 30, "example_id").collect()) == \
+        sorted(r["example_id"] for r in small.filter("rank < 30").collect())
