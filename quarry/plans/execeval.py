@@ -74,7 +74,8 @@ class QueryTimeout(Exception):
     pass
 
 
-def _write(spark: SparkSession, frames: list[DataFrame], out: str, timeout_s: float | None = None) -> None:
+def _write(spark: SparkSession, frames: list[DataFrame], out: str, timeout_s: float | None = None,
+           keep_rows: bool = True) -> None:
     """Write the union of ``frames``; with ``timeout_s`` the job runs in its own job group and is
     cancelled when the time is up (``QueryTimeout``)."""
     import threading
@@ -82,8 +83,14 @@ def _write(spark: SparkSession, frames: list[DataFrame], out: str, timeout_s: fl
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
+    def run():
+        if keep_rows:
+            u.write.mode("overwrite").partitionBy("qid").parquet(out)
+        else:  # executed for validity only: every row is produced, none is stored
+            u.write.format("noop").mode("overwrite").save()
+
     if timeout_s is None:
-        u.write.mode("overwrite").partitionBy("qid").parquet(out)
+        run()
         return
     sc = spark.sparkContext
     group = f"quarry-exec-{uuid.uuid4().hex[:12]}"
@@ -97,7 +104,7 @@ def _write(spark: SparkSession, frames: list[DataFrame], out: str, timeout_s: fl
     timer = threading.Timer(timeout_s, cancel)
     timer.start()
     try:
-        u.write.mode("overwrite").partitionBy("qid").parquet(out)
+        run()
     except Exception as e:  # noqa: BLE001
         if fired.is_set():
             raise QueryTimeout(f"[QUERY_TIMEOUT] no result within {timeout_s} s") from e
@@ -108,7 +115,7 @@ def _write(spark: SparkSession, frames: list[DataFrame], out: str, timeout_s: fl
 
 
 def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str,
-               timeout_s: float | None = None) -> list[tuple]:
+               timeout_s: float | None = None, keep_rows: bool = True) -> list[tuple]:
     """Execute analyzed queries as one union job; if it fails (or times out), isolate per query.
 
     Every job commits into its own folder (``out`` is unique per batch and per retry), so concurrent
@@ -116,14 +123,14 @@ def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str
     """
     try:
         _write(spark, [df for _, df in batch], f"{out}/try=all",
-               None if timeout_s is None else timeout_s * len(batch))
+               None if timeout_s is None else timeout_s * len(batch), keep_rows)
         return [(qid, True, None, None) for qid, _ in batch]
     except Exception:  # noqa: BLE001
         pass
     status = []
     for i, (qid, df) in enumerate(batch):
         try:
-            _write(spark, [df], f"{out}/try={i}", timeout_s)
+            _write(spark, [df], f"{out}/try={i}", timeout_s, keep_rows)
             status.append((qid, True, None, None))
         except QueryTimeout as e:
             status.append((qid, False, "QUERY_TIMEOUT", str(e)))
@@ -134,7 +141,8 @@ def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str
 
 
 def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelism: int = 4,
-              batch: int = 64, timeout_s: float | None = None) -> tuple[list[tuple], DataFrame]:
+              batch: int = 64, timeout_s: float | None = None,
+              keep_rows: bool = True) -> tuple[list[tuple], DataFrame]:
     """Run ``(qid, sql, statement_type)`` texts (distinct) once each; returns (status list, rows).
 
     Only SELECT statements are run (T14); anything else is refused with condition ``NOT_A_SELECT``.
@@ -142,7 +150,8 @@ def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelis
     ``batch`` queries, each job writing ``qid``-partitioned results into its own folder under the shared
     directory (a batch that fails at run time is re-run query by query to pin the failure);
     ``parallelism`` jobs run concurrently. With ``timeout_s`` a query that has not finished in time is
-    cancelled and reported with condition ``QUERY_TIMEOUT`` (the reference had no limit).
+    cancelled and reported with condition ``QUERY_TIMEOUT`` (the reference had no limit). With
+    ``keep_rows=False`` the queries run for validity only (all rows produced, none stored).
     """
     out = scratch_path(spark, "results")
     status: list[tuple] = []
@@ -161,10 +170,10 @@ def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelis
     batches = [ready[i:i + size] for i in range(0, len(ready), size)]
     if batches:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            for st in pool.map(lambda ib: _run_batch(spark, ib[1], f"{out}/batch={ib[0]}", timeout_s),
+            for st in pool.map(lambda ib: _run_batch(spark, ib[1], f"{out}/batch={ib[0]}", timeout_s, keep_rows),
                                enumerate(batches)):
                 status.extend(st)
-    if any(s[1] for s in status):
+    if keep_rows and any(s[1] for s in status):
         rows = spark.read.parquet(out).select("qid", "row_values")
     else:
         rows = spark.createDataFrame([], ROWS_SCHEMA).select("qid", "row_values")
@@ -216,7 +225,19 @@ def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id
         for c in ("generated_sql", "gold_sql"):
             if r[c] is not None:
                 texts[r["_qid_" + c]] = (r["_qid_" + c], r[c], r["_st_" + c])
-    status, rows = run_texts(spark, list(texts.values()), parallelism, timeout_s=timeout_s)
+    # Gold texts first (their rows are needed); then generated texts: with rows only where some pair's
+    # gold ran, otherwise executed for validity alone — results nobody compares are never stored.
+    gold_q = {r["_qid_gold_sql"] for r in pair_rows if r["gold_sql"] is not None}
+    status, rows = run_texts(spark, [texts[q] for q in gold_q], parallelism, timeout_s=timeout_s)
+    by_qid = {s[0]: s for s in status}
+    need = {r["_qid_generated_sql"] for r in pair_rows
+            if r["generated_sql"] is not None and by_qid.get(r["_qid_gold_sql"], (None, False))[1]}
+    rest = [q for q in texts if q not in by_qid]
+    st_rows, more_rows = run_texts(spark, [texts[q] for q in rest if q in need], parallelism, timeout_s=timeout_s)
+    st_valid, _ = run_texts(spark, [texts[q] for q in rest if q not in need], parallelism,
+                            timeout_s=timeout_s, keep_rows=False)
+    status = status + st_rows + st_valid
+    rows = rows.unionByName(more_rows)
     by_qid = {s[0]: s for s in status}
     pairs = {}
     for r in pair_rows:
