@@ -29,3 +29,28 @@ def test_scan_prunes_columns(spark):
     df = queries()["SC-2"](spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "lang" not in p and "n_chars" not in p
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ledger_and_windows_reuse_their_exchange(spark):
+    from __spark_entry__ import queries
+    for name in ("AG-2", "ST-3", "WN-1", "WN-4"):
+        p = _final_plan(queries()[name](spark, SF_SMALL))
+        assert "ReusedExchange" in p, name
+
+
+def test_catalog_dimension_is_broadcast(spark):
+    from __spark_entry__ import queries
+    p = _final_plan(queries()["JN-1"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in p
+
+
+def test_attempt_scan_pushes_role_filter(spark):
+    from __spark_entry__ import queries
+    df = queries()["AG-7"](spark, SF_SMALL)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)]" in p
