@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quarry import oracle as O
 from quarry.functions import prompts as P
-from quarry.functions import text as T
 from quarry.operators import dedup as D
 from quarry.operators import evaluation as E
 from quarry.operators import mixing as M

@@ -1,6 +1,5 @@
 """Golden edge rows for the exact-semantics notes (T1..T13, WN-2)."""
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarry.functions import prompts as P
