@@ -120,3 +120,27 @@ def test_large_slices_rank_by_range(spark, monkeypatch):
     assert sorted(map(key, small.collect())) == sorted(map(key, large.collect()))
     assert sorted(r[0] for r in M.sample_n(ex, 30, "example_id").collect()) == \
         sorted(r["example_id"] for r in small.filter("rank < 30").collect())
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+def test_ledger_and_compare_partition_independent(spark, parts):
+    from quarry.operators import compare as CMP
+    ex = A.examples(spark, SF_SMALL)
+    rr = A.result_rows(spark, SF_SMALL)
+    base_led = sorted(tuple(r) for r in D.ledger(ex).collect())
+    base_cmp = sorted(tuple(r) for r in CMP.compare_results(rr).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        led = sorted(tuple(r) for r in D.ledger(ex.repartition(parts)).collect())
+        cmp = sorted(tuple(r) for r in CMP.compare_results(rr.repartition(parts)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert led == base_led and cmp == base_cmp
+
+
+def test_stream_equals_batch(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    batch = sorted(map(tuple, q["AU-6"](spark, SF_SMALL).collect()))
+    stream = sorted(map(tuple, q["STR-1"](spark, SF_SMALL).select(*q["AU-6"](spark, SF_SMALL).columns).collect()))
+    assert batch == stream
