@@ -299,9 +299,25 @@ def top_level(sql, max_paren_passes: int = 2) -> Column:
     return w
 
 
+# Words that end a FROM list (the FROM item, or comma-separated items, stops before them).
+FROM_LIST_END = ["WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "GROUP", "ORDER",
+                 "LIMIT", "HAVING", "UNION", "INTERSECT", "EXCEPT", "ON", "USING", "WINDOW"]
+FROM_END_MARK = "\u0001"
+
+
+def from_list_marked(sql) -> Column:
+    """Top-level SQL with each FROM-list terminator replaced by a marker character."""
+    pat = r"(?i)\s+(" + "|".join(FROM_LIST_END) + r")\b"
+    return F.regexp_replace(top_level(sql), pat, FROM_END_MARK)
+
+
 def from_tables(sql) -> Column:
-    """SC-17: first table after each top-level FROM (JOINed tables are not collected)."""
-    return F.regexp_extract_all(top_level(sql), F.lit(r"(?i)\bFROM\s+([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
+    """SC-17: the items of each top-level FROM list, alias attached (``customer c``); JOINed tables are
+    not collected."""
+    segs = F.regexp_extract_all(from_list_marked(sql), F.lit(r"(?i)\bFROM\s+([^" + FROM_END_MARK + r";]+)"),
+                                F.lit(1))
+    items = F.flatten(F.transform(segs, lambda s: F.split(s, ",")))
+    return F.filter(F.transform(items, lambda x: py_strip(x)), lambda x: x != "")
 
 
 def method_label(method) -> Column:

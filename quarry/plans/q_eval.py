@@ -315,10 +315,12 @@ def sc14(spark, sf):
     return ex.select("example_id", T.response_tail(t).alias("sql"))
 
 
-@register("SC-17", O.with_(EX) + """SELECT example_id, array_to_string(regexp_extract_all(TOPLEVEL, '(?i)\\bFROM\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1), ',') AS tables
+@register("SC-17", O.with_(EX) + """SELECT example_id, array_to_string(list_filter(list_transform(flatten(list_transform(
+  regexp_extract_all(MARKED, '(?i)\\bFROM\\s+([^\x01;]+)', 1), lambda s: string_split(s, ','))),
+  lambda x: STRIPX), lambda x: x <> ''), '|') AS tables
 FROM examples""".replace("TOPLEVEL", "TOPLEVEL_EXPR"))
 def sc17(spark, sf):
-    return A.examples(spark, sf).select("example_id", F.array_join(T.from_tables("sql"), ",").alias("tables"))
+    return A.examples(spark, sf).select("example_id", F.array_join(T.from_tables("sql"), "|").alias("tables"))
 
 
 def _toplevel_sql(x: str) -> str:
@@ -330,7 +332,9 @@ def _toplevel_sql(x: str) -> str:
 
 from quarry.plans.registry import ORACLES as _OR  # noqa: E402
 
-_OR["SC-17"] = _OR["SC-17"].replace("TOPLEVEL_EXPR", _toplevel_sql("sql"))
+_marked = "regexp_replace(" + _toplevel_sql("sql") + ", " + O.q(r"(?i)\s+(" + "|".join(T.FROM_LIST_END) + r")\b") \
+    + ", chr(1), 'g')"
+_OR["SC-17"] = _OR["SC-17"].replace("MARKED", _marked).replace("STRIPX", O.strip("x"))
 
 
 # --- execution-based evaluation (no single-SQL oracle: every distinct text is its own query) ----------

@@ -204,3 +204,11 @@ def test_t4_missing_field_is_invalid_but_not_invalid_sql(spark):
     assert (led["loaded"], led["invalid"], led["missing_field"], led["kept"]) == (3, 2, 1, 1)
     t = D.totals(df).collect()[0]
     assert t["invalid"] == 2 and t["invalid_sql"] == 1
+
+
+def test_sc17_from_list(spark):
+    got = one_col(spark, ["SELECT a FROM customer c, nation n WHERE x = 1",
+                          "select c.c_name from customer c join nation n on c.k = n.k",
+                          "SELECT s FROM supplier UNION SELECT c FROM customer;"],
+                  lambda c: F.array_join(T.from_tables(c), "|"))
+    assert got == ["customer c|nation n", "customer c", "supplier|customer"]
