@@ -156,15 +156,19 @@ def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelis
     out = scratch_path(spark, "results")
     status: list[tuple] = []
     ready: list[tuple[str, DataFrame]] = []
+    to_analyze = []
     for qid, sql, stype in texts:
         if stype != "SELECT":
             status.append((qid, False, "NOT_A_SELECT", f"Refused statement type: {stype}"))
-            continue
-        vals, err = _analyze(spark, qid, sql)
-        if err is not None:
-            status.append(err)
         else:
-            ready.append((qid, vals))
+            to_analyze.append((qid, sql))
+    # Parsing and analysis are driver work per text; run them concurrently as well.
+    with ThreadPoolExecutor(max_workers=max(parallelism, 1)) as pool:
+        for (qid, _), (vals, err) in zip(to_analyze, pool.map(lambda qs: _analyze(spark, *qs), to_analyze)):
+            if err is not None:
+                status.append(err)
+            else:
+                ready.append((qid, vals))
     # Enough batches to keep ``parallelism`` jobs busy, none larger than ``batch`` queries.
     size = max(1, min(batch, -(-len(ready) // max(parallelism, 1))))
     batches = [ready[i:i + size] for i in range(0, len(ready), size)]
