@@ -141,7 +141,10 @@ def unify_source(df: DataFrame, name: str, truncate_context: bool = True) -> Dat
 
 
 def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """SRC-3: schema catalog (one JSON array of databases, or JSON Lines with ``multi_line=False``)."""
+    """SRC-3: schema catalog (one JSON array of databases, or JSON Lines with ``multi_line=False``).
+
+    A JSON array file is not splittable (one task parses it); large catalogs should be JSON Lines,
+    which split like any text input."""
     from quarry.operators.catalog import normalize_catalog
     df = spark.read.option("multiLine", multi_line).json(path)
     return normalize_catalog(df)
