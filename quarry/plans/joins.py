@@ -18,6 +18,15 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
 
 def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Return ``broadcast(df)`` when its measured size is within ``max_bytes``, else ``df`` unchanged
-    (the planner then shuffles both sides, and AQE may still convert at runtime)."""
-    _, nbytes = measured_size(df)
-    return F.broadcast(df) if nbytes <= max_bytes else df
+    (the planner then shuffles both sides, and AQE may still convert at runtime).
+
+    The side is persisted while it is measured, so the join reuses the measured rows instead of
+    computing the dimension a second time; a side that turns out too large is released again.
+    """
+    from pyspark import StorageLevel
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _, nbytes = measured_size(kept)
+    if nbytes <= max_bytes:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
