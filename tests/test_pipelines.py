@@ -46,3 +46,18 @@ def test_prepare_assemble_evaluate(spark):
     m = ev["metrics"].collect()[0]
     assert m["total_examples"] == preds.count()
     assert 0 < m["result_match_count"] <= m["valid_sql_count"]
+
+
+def test_command_line_prepare(spark, capsys):
+    import json as _json
+    from quarry.__main__ import main
+    base = tempfile.mkdtemp()
+    ex = A.examples(spark, SF_SMALL)
+    J.write_jsonl(ex.select(F.col("source_dataset").alias("dataset"), "question", "sql", "db_id", "context",
+                            "source_dataset"), os.path.join(base, "src"), partition_by=["source_dataset"])
+    args = ["prepare", "--out", os.path.join(base, "out")]
+    for s in A.SOURCE_NAMES:
+        args += ["--source", f"{s}={base}/src/source_dataset={s}/*.json"]
+    assert main(args) == 0
+    out = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["totals"]["total_loaded"] == ex.count()
