@@ -40,8 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialized intermediates.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, fault-tolerant folder there).
-    Only when it is unset — local runs and tests — a fresh scratch folder is created and
-    registered, so lineage can still be cut with ``checkpoint()``.
+    Only when it is unset on a local master — local runs and tests — a fresh scratch folder is created
+    and registered; on a cluster an unset value is an error rather than a machine-local folder.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -50,6 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store): executors "
+                           "read and write intermediates there, so a machine-local folder cannot be used")
     local = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
