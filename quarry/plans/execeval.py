@@ -142,7 +142,7 @@ def _run_batch(spark: SparkSession, batch: list[tuple[str, DataFrame]], out: str
 
 def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelism: int = 4,
               batch: int = 64, timeout_s: float | None = None,
-              keep_rows: bool = True) -> tuple[list[tuple], DataFrame]:
+              keep_rows: bool = True, out: str | None = None) -> tuple[list[tuple], DataFrame]:
     """Run ``(qid, sql, statement_type)`` texts (distinct) once each; returns (status list, rows).
 
     Only SELECT statements are run (T14); anything else is refused with condition ``NOT_A_SELECT``.
@@ -153,7 +153,7 @@ def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelis
     cancelled and reported with condition ``QUERY_TIMEOUT`` (the reference had no limit). With
     ``keep_rows=False`` the queries run for validity only (all rows produced, none stored).
     """
-    out = scratch_path(spark, "results")
+    out = out or scratch_path(spark, "results")
     status: list[tuple] = []
     ready: list[tuple[str, DataFrame]] = []
     to_analyze = []
@@ -184,6 +184,55 @@ def run_texts(spark: SparkSession, texts: list[tuple[str, str, str]], parallelis
     return status, rows
 
 
+CHUNK_TEXTS = 512
+
+
+def run_stream(spark: SparkSession, texts: DataFrame, parallelism: int = 4, timeout_s: float | None = None,
+               keep_rows: bool = True, chunk: int = CHUNK_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """Run distinct texts given as a DataFrame ``(sql, _qid_sql, _st_sql[, _keep])`` in chunks.
+
+    The driver holds one chunk of texts at a time; each chunk's outcomes are appended to a status table
+    in the shared folder, and results go to per-chunk folders there. A ``_keep`` column chooses per text
+    whether its rows are stored (else it runs for validity only). Returns (status, rows) read back.
+    """
+    base = scratch_path(spark, "exec")
+    status_path, rows_path = f"{base}/status", f"{base}/rows"
+    state = {"rows": False, "status": False}
+    has_keep = "_keep" in texts.columns
+    buf: list[tuple[tuple[str, str, str], bool]] = []
+
+    def flush(i: int):
+        if not buf:
+            return
+        st: list[tuple] = []
+        for flag in (True, False):
+            part = [t for t, k in buf if k == flag]
+            if part:
+                got, _ = run_texts(spark, part, parallelism, timeout_s=timeout_s, keep_rows=flag,
+                                   out=f"{rows_path}/chunk={i}-{int(flag)}")
+                st += got
+                state["rows"] = state["rows"] or (flag and any(x[1] for x in got))
+        spark.createDataFrame(st, STATUS_SCHEMA).write.mode("append").parquet(status_path)
+        state["status"] = True
+        buf.clear()
+
+    n = 0
+    for r in texts.toLocalIterator():
+        if r["sql"] is None:
+            continue
+        keep = bool(r["_keep"]) if has_keep else keep_rows
+        buf.append(((r["_qid_sql"], r["sql"], r["_st_sql"]), keep))
+        if len(buf) >= chunk:
+            flush(n)
+            n += 1
+    flush(n)
+    status = spark.read.schema(STATUS_SCHEMA).parquet(status_path) if state["status"] \
+        else spark.createDataFrame([], STATUS_SCHEMA)
+    rows = spark.read.parquet(rows_path).select("qid", "row_values") if state["rows"] \
+        else spark.createDataFrame([], ROWS_SCHEMA).select("qid", "row_values")
+    return status, rows
+
+
 def _typed(d: DataFrame, col: str) -> DataFrame:
     return d.withColumn("_qid_" + col, query_id(col)).withColumn("_st_" + col, T.statement_type(F.col(col)))
 
@@ -193,22 +242,12 @@ def run_queries(spark: SparkSession, texts: DataFrame, sql: str = "sql", paralle
     """EX-1: run every distinct SQL text once. Returns (status, rows):
     status ``(qid, ok, error_condition, error)`` and rows ``(qid, row_values array<string>)``.
 
-    The distinct texts — one per query to plan, which is the driver's unit of work — stream to the
-    driver; nothing else does. No filter precedes the distinct (a pushed-down predicate would inline
+    Distinct texts — each one query to plan, the driver's unit of work — stream to the driver in
+    chunks; nothing else does. No filter precedes the distinct (a pushed-down predicate would inline
     the text expression into the scan); null texts are skipped on arrival.
     """
     d = _typed(texts.select(F.col(sql).alias("sql")).distinct(), "sql")
-    items = [(r["_qid_sql"], r["sql"], r["_st_sql"]) for r in d.toLocalIterator() if r["sql"] is not None]
-    status, rows = run_texts(spark, items, parallelism, batch, timeout_s)
-    return spark.createDataFrame(status, STATUS_SCHEMA), rows
-
-
-PAIR_SCHEMA = Ty.StructType([
-    Ty.StructField("gen_qid", Ty.StringType()), Ty.StructField("gold_qid", Ty.StringType()),
-    Ty.StructField("pair_id", Ty.StringType()),
-    Ty.StructField("gen_ok", Ty.BooleanType()), Ty.StructField("gold_ok", Ty.BooleanType()),
-    Ty.StructField("gen_condition", Ty.StringType()), Ty.StructField("gen_error", Ty.StringType()),
-])
+    return run_stream(spark, d, parallelism, timeout_s)
 
 
 def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id",
@@ -217,49 +256,44 @@ def evaluate(spark: SparkSession, predictions: DataFrame, key: str = "example_id
     """EX-3: run → compare → tag per example. Output: key, generated_sql, gold_sql, is_valid, gold_valid,
     results_match, feedback, error, error_class, complexity.
 
-    The distinct (generated, gold) pairs reach the driver once (bounded by the evaluation set); their
-    texts run once each; the per-pair table is built on the driver and broadcast; results of all pairs
-    are compared in one plan; the predictions are scanned once more for the final join.
+    Gold texts run first (rows kept); a generated text keeps its rows only when some pair with it has a
+    gold that ran, otherwise it runs for validity alone. Texts stream through the driver in chunks; the
+    pair bookkeeping (which texts need rows, per-pair outcomes) is done with joins, and the results of
+    all pairs are compared in one plan.
     """
-    p = predictions.select(key, F.col(generated).alias("generated_sql"), F.col(gold).alias("gold_sql"))
-    d = _typed(_typed(p.select("generated_sql", "gold_sql").distinct(), "generated_sql"), "gold_sql")
-    pair_rows = list(d.toLocalIterator())
-    texts = {}
-    for r in pair_rows:
-        for c in ("generated_sql", "gold_sql"):
-            if r[c] is not None:
-                texts[r["_qid_" + c]] = (r["_qid_" + c], r[c], r["_st_" + c])
-    # Gold texts first (their rows are needed); then generated texts: with rows only where some pair's
-    # gold ran, otherwise executed for validity alone — results nobody compares are never stored.
-    gold_q = {r["_qid_gold_sql"] for r in pair_rows if r["gold_sql"] is not None}
-    status, rows = run_texts(spark, [texts[q] for q in gold_q], parallelism, timeout_s=timeout_s)
-    by_qid = {s[0]: s for s in status}
-    need = {r["_qid_generated_sql"] for r in pair_rows
-            if r["generated_sql"] is not None and by_qid.get(r["_qid_gold_sql"], (None, False))[1]}
-    rest = [q for q in texts if q not in by_qid]
-    st_rows, more_rows = run_texts(spark, [texts[q] for q in rest if q in need], parallelism, timeout_s=timeout_s)
-    st_valid, _ = run_texts(spark, [texts[q] for q in rest if q not in need], parallelism,
-                            timeout_s=timeout_s, keep_rows=False)
-    status = status + st_rows + st_valid
-    rows = rows.unionByName(more_rows)
-    by_qid = {s[0]: s for s in status}
-    pairs = {}
-    for r in pair_rows:
-        g, d_ = by_qid.get(r["_qid_generated_sql"]), by_qid.get(r["_qid_gold_sql"])
-        gq, dq = r["_qid_generated_sql"], r["_qid_gold_sql"]
-        pairs[(gq, dq)] = (gq, dq, f"{gq}|{dq}", bool(g and g[1]), bool(d_ and d_[1]),
-                           g[2] if g else None, g[3] if g else None)
-    pairs_df = spark.createDataFrame(list(pairs.values()), PAIR_SCHEMA)
-    ok = F.broadcast(pairs_df.filter(F.col("gen_ok") & F.col("gold_ok")).select("pair_id", "gen_qid", "gold_qid"))
+    p = predictions.select(key, F.col(generated).alias("generated_sql"), F.col(gold).alias("gold_sql")) \
+        .withColumn("gen_qid", query_id("generated_sql")).withColumn("gold_qid", query_id("gold_sql"))
+    # Lineage cut: the predictions (extraction included) are written once to the shared folder and every
+    # step below reads that table instead of recomputing it.
+    p_path = scratch_path(spark, "predictions")
+    p.write.mode("overwrite").parquet(p_path)
+    p = spark.read.parquet(p_path)
+    gold_texts = _typed(p.select(F.col("gold_sql").alias("sql")).distinct(), "sql")
+    gold_status, gold_rows = run_stream(spark, gold_texts, parallelism, timeout_s)
+    g_ok = gold_status.select(F.col("qid").alias("gold_qid"), F.col("ok").alias("g_ok"))
+    need = p.filter(F.col("gold_sql").isNotNull()).select("gen_qid", "gold_qid").distinct() \
+        .join(g_ok, "gold_qid").groupBy("gen_qid").agg(F.max("g_ok").alias("need"))
+    gen = _typed(p.select(F.col("generated_sql").alias("sql")).distinct(), "sql") \
+        .join(gold_status.select(F.col("qid").alias("_qid_sql")), "_qid_sql", "left_anti") \
+        .join(need.withColumnRenamed("gen_qid", "_qid_sql"), "_qid_sql", "left")
+    gen = gen.withColumn("_keep", F.coalesce(F.col("need"), F.lit(False)))
+    st_gen, gen_rows = run_stream(spark, gen, parallelism, timeout_s)
+    status = gold_status.unionByName(st_gen)
+    rows = gold_rows.unionByName(gen_rows)
+    s_gen = status.select(F.col("qid").alias("gen_qid"), F.col("ok").alias("gen_ok"),
+                          F.col("error_condition").alias("gen_condition"), F.col("error").alias("gen_error"))
+    s_gold = status.select(F.col("qid").alias("gold_qid"), F.col("ok").alias("gold_ok"))
+    pairs = p.select("gen_qid", "gold_qid").distinct() \
+        .join(s_gen, "gen_qid", "left").join(s_gold, "gold_qid", "left") \
+        .withColumn("pair_id", F.concat_ws("|", "gen_qid", "gold_qid"))
+    ok = pairs.filter(F.col("gen_ok") & F.col("gold_ok")).select("pair_id", "gen_qid", "gold_qid")
     long = rows.join(ok.select("pair_id", F.col("gen_qid").alias("qid")), "qid") \
         .select("pair_id", F.lit(CMP.GEN).alias("side"), "row_values") \
         .unionByName(rows.join(ok.select("pair_id", F.col("gold_qid").alias("qid")), "qid")
                      .select("pair_id", F.lit(CMP.GOLD).alias("side"), "row_values"))
     cmp = CMP.compare_results(long, ok.select("pair_id"), mode=mode).select("pair_id", "results_match", "feedback")
-    # One row per distinct pair: bounded by the evaluation set, so the joined table is broadcast.
-    info = pairs_df.join(cmp, "pair_id", "left")
-    out = p.withColumn("gen_qid", query_id("generated_sql")).withColumn("gold_qid", query_id("gold_sql")) \
-        .join(F.broadcast(info), ["gen_qid", "gold_qid"], "left")
+    info = pairs.join(cmp, "pair_id", "left")
+    out = p.join(info, ["gen_qid", "gold_qid"], "left")
     both = F.coalesce(F.col("gen_ok"), F.lit(False)) & F.coalesce(F.col("gold_ok"), F.lit(False))
     return out.select(
         key, "generated_sql", "gold_sql",
