@@ -1,4 +1,4 @@
-"""Command line for the end-to-end pipelines.
+"""Command line for the end-to-end workflows.
 
     python -m quarry prepare  --source spider=PATH --source sqale=PATH ... --out DIR [--catalog FILE] [--eval FILE]
     python -m quarry assemble --kept DIR --out DIR [--weight spider=0.4 ...] [--template train_response_only]
@@ -47,9 +47,10 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--tables", default="region,nation,customer,supplier,part,orders,lineitem")
     e.add_argument("--out", required=True)
     e.add_argument("--mode", default="reference", choices=["reference", "strict"])
+    e.add_argument("--timeout", type=float, help="seconds per query before it is cancelled")
     args = ap.parse_args(argv)
 
-    from quarry.plans import pipelines as PL
+    from quarry.plans import workflows as PL
     from quarry.session import get_session
     spark = get_session()
     if args.cmd == "prepare":
@@ -70,7 +71,8 @@ def main(argv: list[str] | None = None) -> int:
                                 Ty.StructField("model_text", Ty.StringType()),
                                 Ty.StructField("gold_sql", Ty.StringType())])
         preds = spark.read.schema(schema).json(args.predictions)
-        out = PL.evaluate_predictions(spark, preds, args.tables_dir, args.out, args.tables.split(","), args.mode)
+        out = PL.evaluate_predictions(spark, preds, args.tables_dir, args.out, args.tables.split(","), args.mode,
+                                      args.timeout)
         print(json.dumps([r.asDict() for r in out["metrics"].collect()]))
     return 0
 

@@ -1,4 +1,4 @@
-"""End-to-end pipelines: corpus preparation, training-set assembly, evaluation of predictions.
+"""End-to-end workflows: corpus preparation, training-set assembly, evaluation of predictions.
 
 Each pipeline is a chain of the library's DataFrame operators with explicit materialization points:
 the keep-best result is written once to the output folder (a lineage cut in shared storage, read back
@@ -91,7 +91,7 @@ def assemble_training(spark: SparkSession, kept: DataFrame, out_dir: str, weight
 
 
 def evaluate_predictions(spark: SparkSession, predictions: DataFrame, sf_dir: str, out_dir: str,
-                         tables: list[str], mode: str = "reference") -> dict:
+                         tables: list[str], mode: str = "reference", timeout_s: float | None = None) -> dict:
     """Evaluation: extract SQL from model text (SC-4) -> run generated and gold once per distinct text
     over registered views (EX-1) -> compare (ST-2) -> metrics per method and complexity (AG-4/5),
     error taxonomy (AG-6) -> results per method (SNK-3) and a summary (SNK-4).
@@ -101,7 +101,8 @@ def evaluate_predictions(spark: SparkSession, predictions: DataFrame, sf_dir: st
     X.register_views(spark, sf_dir, tables)
     p = predictions.withColumn("generated_sql", T.extract_sql(F.col("model_text"))) \
         .withColumn("_key", F.concat_ws(":", "method", F.col("example_id").cast("string")))
-    ev = X.evaluate(spark, p.select("_key", "generated_sql", "gold_sql"), key="_key", mode=mode)
+    ev = X.evaluate(spark, p.select("_key", "generated_sql", "gold_sql"), key="_key", mode=mode,
+                    timeout_s=timeout_s)
     res = p.select("_key", "method", "example_id").join(ev, "_key").drop("_key") \
         .withColumn("inference_time", F.lit(None).cast("double")).withColumn("num_attempts", F.lit(None).cast("int"))
     res_path = os.path.join(out_dir, "results")

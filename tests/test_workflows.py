@@ -1,4 +1,4 @@
-"""End-to-end pipelines on files derived from the smallest driver tables."""
+"""End-to-end workflows on files derived from the smallest driver tables."""
 
 import os
 import tempfile
@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from quarry.plans import pipelines as PL
+from quarry.plans import workflows as PL
 from quarry.sources import adapters as A
 from quarry.sources import jsonl as J
 
