@@ -222,7 +222,8 @@ def global_positions(df: DataFrame, order: str, num_partitions: int | None = Non
     partition, so their size is bounded by ``num_partitions`` — get running offsets and are broadcast
     back; the rows themselves move only once.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    n = num_partitions or (int(conf) if str(conf).isdigit() else 200)
     d = df.repartitionByRange(n, order).sortWithinPartitions(order) \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_li", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
