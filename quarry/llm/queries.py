@@ -29,3 +29,64 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.substring_dedup import remove_repeated
     out = remove_repeated(_documents(spark, sf_dir), "doc_id", "text", width=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import quality_rules as Q
+    from quarry.llm.shared import Scratch
+    rules, scratch = Q.Rules(), Scratch(spark, "quality")
+    docs = Q.measure(_documents(spark, sf_dir), "text")
+    measured = scratch.write(docs.select("doc_id", "lang", "source", "quality_rules"), "measured")
+    sketch = scratch.write(Q.sketches(measured, "lang", "source", rules), "sketches")
+    limits = scratch.write(Q.fences(sketch, rules), "fences")
+    out = Q.judge(measured, limits, "lang", "source", rules)
+    return out.select("doc_id", *(f"quality_rules.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+def source_targets(docs: DataFrame) -> list[tuple[str | None, int, float]]:
+    """(source, size, target) by code point, null last, for weights 5, 2, 1 in turn; ``docs`` has source and size."""
+    from quarry.llm.source_mix import capped_targets
+    rows = sorted(((r["source"], int(r["size"] or 0)) for r in docs.groupBy("source").agg(F.sum("size").alias("size")).collect()),
+                  key=lambda r: (r[0] is None, r[0] or ""))
+    targets = capped_targets([s for _, s in rows], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(rows))])
+    return [(name, size, t) for (name, size), t in zip(rows, targets)]
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, copies of every document, for the sizes and weights of the mix contract."""
+    from quarry.llm.shared import Scratch, n_words
+    from quarry.llm.source_mix import mix
+    spark = docs.sparkSession
+    sized = Scratch(spark, "sized").write(docs.select("doc_id", "source", n_words("text").alias("size")), "docs")
+    goals = source_targets(sized)
+    out = mix(sized.withColumn("sources", F.array("source")), {s: t for s, _, t in goals}, "doc_id", "size", "sources")
+    known = spark.createDataFrame(goals, "name string, source_size long, target double")
+    return (out.join(F.broadcast(known), F.col("members")[0].eqNullSafe(F.col("name")))
+            .select("doc_id", "size", "source_size", "target", "copies"))
+
+
+@query("op2_source_mix")
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(_documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@query("op10_kd_sharding")
+def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.kd_sharding import assign
+    text = F.coalesce(F.encode("text", "utf-8"), F.lit("").cast("binary"))
+    place = lambda c: F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10)
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", text.alias("raw"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"),
+        place("lang").cast("double").alias("lang"), place("source").cast("double").alias("source"))
+    # equal texts are known by their digest, from which the checksum is recovered after the join
+    key = F.concat(F.unhex(F.md5("raw")), F.unhex(F.lpad(F.hex("crc"), 8, "0")))
+    from quarry.llm.shared import Scratch
+    slim = Scratch(spark, "sharding").write(docs.select("doc_id", "size", key.alias("grp"), "crc", "lang", "source"), "docs")
+    out = assign(slim.withColumn("both", F.struct("doc_id", "crc")), F.col("grp"), F.col("size"),
+                 {"size": F.log2("size"), "lang": F.col("lang"), "source": F.col("source")}, 40, id_col="both")
+    return out.select("both.doc_id", "size", F.col("both.crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                      F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"))
