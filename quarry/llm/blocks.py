@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, data binary"
 MESSAGE_SCHEMA = "block long, shard int, data binary"

@@ -90,3 +90,9 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("both.doc_id", "size", F.col("both.crc").alias("text_crc32"), F.lit("bytes").alias("law"),
                       F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_dart_minhash")
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.dart_minhash import near_duplicates
+    return near_duplicates(_documents(spark, sf_dir), "doc_id", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,15 @@ from quarry.session import checkpoint_dir
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package; elsewhere submit it with ``--py-files``."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if top not in known:
+        env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, known)])
+
+
 class Scratch:
     """Written tables of one operator call.
 
@@ -22,6 +32,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex[:12]}"
 

@@ -89,11 +89,12 @@ def cheapest_flow(capacity: Sequence[float], members: Sequence[Sequence[int]], q
             cap[e ^ 1] += push
 
 
-def _thresholds(rows: DataFrame, cuts: list[tuple[int, float]]) -> list[int]:
-    """For each (pattern, tokens), the hash below which that pattern's documents come nearest to the tokens."""
+def _thresholds(rows: DataFrame, cuts: list[tuple[int, float]]) -> tuple[list[int], dict[int, float]]:
+    """For each (pattern, tokens), the hash below which that pattern's documents hold at most the tokens, and the gap."""
     spark = rows.sparkSession
     state = [[p, value, 0, 0.0] for p, value in cuts]  # pattern, tokens, hash prefix, tokens before the prefix
     done: dict[int, int] = {}
+    gaps: dict[int, float] = {}
     for depth in range(0, HASH_BITS, STEP_BITS):
         todo = [(k, s[0], s[2]) for k, s in enumerate(state) if k not in done]
         if not todo:
@@ -112,14 +113,32 @@ def _thresholds(rows: DataFrame, cuts: list[tuple[int, float]]) -> list[int]:
                 if s[3] + size <= s[1]:
                     s[3] += size
                     continue
-                if n == 1 or low == 0:  # one document: the nearer side
-                    done[k] = (b + 1 if s[1] - s[3] >= size / 2 else b) << low
+                if n == 1 or low == 0:  # one document: it is left out, the gap is filled afterwards
+                    done[k] = b << low
+                    gaps[k] = s[1] - s[3]
                 else:
                     s[2] = b
                 break
             else:
                 done[k] = (prefix + 1) << (HASH_BITS - depth)
-    return [done[k] for k in range(len(cuts))]
+    return [done[k] for k in range(len(cuts))], gaps
+
+
+def _fill(rows: DataFrame, at: list[int], cuts: list[tuple[int, float]], gaps: dict[int, float], rounds: int = 4) -> list[tuple[int, int]]:
+    """(pattern, hash) of documents beyond the cut that fill its gap: each round the largest one that fits."""
+    spark, taken = rows.sparkSession, []
+    left = dict(gaps)
+    for _ in range(rounds):
+        todo = [(k, cuts[k][0], at[k], left[k]) for k in left if left[k] >= 1]
+        if not todo:
+            break
+        want = F.broadcast(spark.createDataFrame(todo, "cut int, pattern int, after long, gap double"))
+        used = F.broadcast(spark.createDataFrame(taken, "pattern int, h long"))
+        best = (rows.join(want, "pattern").where("h >= after and size <= gap and size > 0").join(used, ["pattern", "h"], "left_anti")
+                .groupBy("cut").agg(F.max(F.struct("size", "h")).alias("b")).collect())
+        left = {r["cut"]: left[r["cut"]] - r["b"]["size"] for r in best}
+        taken += [(cuts[r["cut"]][0], r["b"]["h"]) for r in best]
+    return taken
 
 
 def mix(df: DataFrame, quotas: dict[str | None, float], id_col: str = "doc_id", size_col: str = "size",
@@ -161,7 +180,11 @@ def mix(df: DataFrame, quotas: dict[str | None, float], id_col: str = "doc_id",
     schema = T.StructType([T.StructField("members", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType())])
     ids = F.broadcast(spark.createDataFrame([(r["members"], p) for p, r in enumerate(found)], schema))
     rows = base.join(ids, "members")
-    at = _thresholds(rows.select("pattern", "size", "h"), cuts) if cuts else []
+    slim = rows.select("pattern", "size", "h")
+    at, gaps = _thresholds(slim, cuts) if cuts else ([], {})
+    # With a single cut there is one next stretch to borrow documents from; it is shorter by what they hold.
+    single = {first for _, _, marks, first in plans if len(marks) == 1}
+    more = _fill(slim, at, cuts, {k: g for k, g in gaps.items() if k in single})
 
     spec = []
     for p, ends, marks, first in plans:
@@ -178,7 +201,9 @@ def mix(df: DataFrame, quotas: dict[str | None, float], id_col: str = "doc_id",
         spec.append((p, [at[first + k] for k in range(len(marks))], stretches))
     plan = spark.createDataFrame(spec, "pattern int, cuts array<long>, stretches array<array<struct<source:string,copies:int>>>")
     taken = rows.join(F.broadcast(plan), "pattern")
-    place = F.size(F.filter("cuts", lambda c: c <= F.col("h")))
+    extra = F.broadcast(spark.createDataFrame(sorted(set(more)), "pattern int, h long").withColumn("extra", F.lit(1)))
+    taken = taken.join(extra, ["pattern", "h"], "left")
+    place = F.size(F.filter("cuts", lambda c: c <= F.col("h"))) - F.coalesce("extra", F.lit(0))
     return (taken.withColumn("per_source", F.col("stretches")[place])
             .select(F.col("id").alias(id_col), "size", "members",
                     F.aggregate("per_source", F.lit(0), lambda a, x: a + x["copies"]).alias("copies"), "per_source"))

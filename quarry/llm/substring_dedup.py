@@ -148,7 +148,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
     # words are taken to be six bytes long; eight cells for each window
     bits = max(20, int(total // 6).bit_length() + 3)
-    shards = 1 << max(5, bits - 25)
+    shards = 1 << max(5, bits - 24)
     slim = stored.select("block", "data")
 
     def send_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
