@@ -126,3 +126,29 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_lines(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", min_lines=2)
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed",
                       F.sha2(F.coalesce("line_dedup.kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+    from quarry.llm.harmonic_packing import pack
+    return pack(docs, "doc_id", "text", tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    return packed(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op4_harmonic_packing")
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(_documents(spark, sf_dir))
+
+
+@query("op7_wavelet_tokens")
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quarry.llm.shared import Scratch
+    from quarry.llm.wavelet_tokens import FILE_SCHEMA, read_documents, write_files
+    path = Scratch(spark, "wavelet").path("files")
+    write_files(_documents(spark, sf_dir), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    out = read_documents(spark.read.schema(FILE_SCHEMA).parquet(path))
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
