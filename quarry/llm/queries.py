@@ -152,3 +152,9 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_files(_documents(spark, sf_dir), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     out = read_documents(spark.read.schema(FILE_SCHEMA).parquet(path))
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_embedding_join")
+def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.embedding_join import near_duplicates
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", cosine=0.9)
