@@ -158,3 +158,9 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.embedding_join import near_duplicates
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", cosine=0.9)
+
+
+@query("op6_hidden_markov_lm")
+def op6_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.hmm_lm import score
+    return score(_documents(spark, sf_dir), "doc_id", "text", states=8, iterations=6)
