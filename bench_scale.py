@@ -54,7 +54,7 @@ def main() -> None:
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 4)
     ex = replicated(spark, sf_dir, r, int(cpus) * 4)
     n = ex.count()
-    weights = {"spider": 0.4, "sqale": 0.3, "gretel": 0.15, "sql_context": 0.1, "know_sql": 0.05}
+    weights = {"spider": 0.4, "sqale": 0.3, "gretel": 0.1, "sql_context": 0.15, "know_sql": 0.05}
     from quarry.operators import compare as CMP
     rr = replicated_results(spark, sf_dir, r, int(cpus) * 4)
     n_rr = rr.count()

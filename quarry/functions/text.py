@@ -50,11 +50,9 @@ SPARK_ERROR_CLASSES = [("TABLE_OR_VIEW_NOT_FOUND", "table_name_error"),
 
 RESPONSE_MARKER = "### Response:"
 
-# A parenthesized group nested at most four deep (no recursion, so it means the same in Java and RE2).
-_P0 = r"\([^()]*\)"
-_P1 = r"\((?:[^()]|" + _P0 + r")*\)"
-_P2 = r"\((?:[^()]|" + _P1 + r")*\)"
-PAREN_GROUP = r"\((?:[^()]|" + _P2 + r")*\)"
+# An innermost parenthesized group. A class repeated by itself does not recurse in Java's matcher, so its
+# length is not limited by the stack; nesting is removed from the inside, one level at a time.
+PAREN_GROUP = r"\([^()]*\)"
 
 # --- basic string helpers --------------------------------------------------------------------
 
@@ -133,10 +131,21 @@ def _lead_word(body: Column) -> Column:
     return F.upper(F.regexp_extract(body, r"^[\s(]*([A-Za-z_]+)", 1))
 
 
-def _with_main(body: Column, max_paren_passes: int) -> Column:
-    w = F.regexp_replace(body, r"'[^']*'", "''")
-    for _ in range(max_paren_passes):
-        w = F.regexp_replace(w, PAREN_GROUP, " ")
+def _without_groups(sql: Column) -> Column:
+    """String literals blanked and parenthesized groups removed, as many levels as the text has."""
+    blank = F.regexp_replace(sql, r"'[^']*'", "''")
+    marks = F.split(F.regexp_replace(blank, r"[^()]+", ""), "")
+    depth = F.aggregate(
+        marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, m: F.struct(F.greatest(F.lit(0), s["now"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("now"),
+                              F.greatest(s["most"], s["now"] + F.when(m == "(", 1).otherwise(0)).alias("most")),
+        lambda s: s["most"])
+    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, blank, lambda w, _: F.regexp_replace(w, PAREN_GROUP, " "))
+
+
+def _with_main(body: Column) -> Column:
+    w = _without_groups(body)
     main = F.upper(F.regexp_extract(w, r"(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b", 1))
     return F.coalesce(F.nullif(main, F.lit("")), F.lit("UNKNOWN"))
 
@@ -146,25 +155,24 @@ def _type_from(lead: Column, main: Column) -> Column:
     return F.when(lead == "WITH", main).otherwise(F.coalesce(F.element_at(known, lead), F.lit("UNKNOWN")))
 
 
-def statement_type(sql, max_paren_passes: int = 2) -> Column:
+def statement_type(sql) -> Column:
     """SC-10: statement type from text.
 
     Comments are removed; the leading word decides. For ``WITH`` the string literals are blanked
-    and parenthesized groups removed (two passes of a four-deep group: nesting up to eight) so the main
-    statement keyword is the first SELECT/INSERT/UPDATE/DELETE word left. Unknown words type as UNKNOWN.
+    and parenthesized groups removed (any nesting) so the main statement keyword is the first SELECT/INSERT/UPDATE/DELETE word left. Unknown words type as UNKNOWN.
     """
     body = strip_sql_comments(sql)
-    return _type_from(_lead_word(body), _with_main(body, max_paren_passes))
+    return _type_from(_lead_word(body), _with_main(body))
 
 
-def with_statement_type(df, sql: str = "sql", out: str = "statement_type", max_paren_passes: int = 2):
+def with_statement_type(df, sql: str = "sql", out: str = "statement_type"):
     """``statement_type`` as staged projections: each regex is evaluated once per row and the generated
     code stays small when many checks are fused into one stage."""
     body = "_st_body"
     df = df.withColumn(body, strip_sql_comments(F.col(sql)))
     df = df.withColumn("_st_lead", _lead_word(F.col(body)))
     df = df.withColumn("_st_main", F.when(F.col("_st_lead") == "WITH",
-                                          _with_main(F.col(body), max_paren_passes)))
+                                          _with_main(F.col(body))))
     return df.withColumn(out, _type_from(F.col("_st_lead"), F.col("_st_main"))) \
              .drop(body, "_st_lead", "_st_main")
 
@@ -291,12 +299,9 @@ def evidence_text(pred, gold, match, error) -> Column:
                     F.lit("\nError: "), F.coalesce(_c(error), F.lit("None")))
 
 
-def top_level(sql, max_paren_passes: int = 2) -> Column:
-    """SQL text with parenthesized groups removed (bounded passes) — what is left is top level."""
-    w = F.regexp_replace(_c(sql), r"'[^']*'", "''")
-    for _ in range(max_paren_passes):
-        w = F.regexp_replace(w, PAREN_GROUP, " ")
-    return w
+def top_level(sql) -> Column:
+    """SQL text with parenthesized groups removed — what is left is top level."""
+    return _without_groups(_c(sql))
 
 
 # Words that end a FROM list (the FROM item, or comma-separated items, stops before them).

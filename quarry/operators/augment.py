@@ -76,8 +76,11 @@ def rename_tables(sql: Column, table_names: Column, id_col: str, seed: int = 42)
         return F.struct(t.alias("old"), F.element_at(options, idx.cast("int")).alias("new"))
 
     mapping = F.transform(F.coalesce(table_names, F.array().cast("array<string>")), pick)
+    # \\Q..\\E quotes a name (one that holds \\E is quoted in parts); a replacement escapes \\ and $
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    plain = lambda x: F.regexp_replace(x, "([\\\\$])", "\\\\$1")
     return F.aggregate(mapping, sql, lambda acc, m: F.regexp_replace(
-        acc, F.concat(F.lit("(?i)\\b\\Q"), m["old"], F.lit("\\E\\b")), m["new"]))
+        acc, F.concat(F.lit("(?iuU)\\b"), quoted(m["old"]), F.lit("\\b")), plain(m["new"])))
 
 
 def add_limit(sql: Column, id_col: str, seed: int = 42) -> Column:

@@ -218,15 +218,19 @@ def global_positions(df: DataFrame, order: str, num_partitions: int | None = Non
     offsets (no single-partition window, no assumption about the key's distribution).
 
     ``repartitionByRange`` samples the key to cut balanced ranges (one shuffle); inside each sorted
-    range a row's index is its position in the partition. The per-partition counts — one row per
-    partition, so their size is bounded by ``num_partitions`` — get running offsets and are broadcast
-    back; the rows themselves move only once.
+    range a row's index is its position in the partition. The range bounds depend on the sample, so the ranges
+    are written to the shared folder once, and counts and rows both read that table. The per-partition
+    counts — one row per partition — get running offsets and are broadcast back.
     """
+    from quarry.sources.jsonl import scratch_path
     conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
     n = num_partitions or (int(conf) if str(conf).isdigit() else 200)
     d = df.repartitionByRange(n, order).sortWithinPartitions(order) \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_li", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path = scratch_path(df.sparkSession, "positions")
+    d.write.parquet(path)
+    d = df.sparkSession.read.schema(d.schema).parquet(path)
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))

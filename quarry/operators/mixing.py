@@ -61,28 +61,32 @@ def split_train_val(df: DataFrame, id_col: str, fraction: float = 0.02, seed: in
     return df.withColumn("split", F.when(h < F.lit(threshold), F.lit("validation")).otherwise(F.lit("train")))
 
 
-# Up to this many rows a top-n goes through one final task (TakeOrdered); beyond it rows are ranked by a
-# range-partitioned sort so that no task ever holds the n rows.
-TAKE_ORDERED_MAX = 100_000
+# Hex digits of the md5 whose fixed ranges number the rows: 65,536 ranges of equal expected size.
+RANGE_DIGITS = 4
 
 
 def ranked_by_hash(df: DataFrame, id_col: str, seed: int, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest md5(seed:id) with their 0-based ``rank`` (ties: id)."""
+    """The ``n`` rows with the smallest md5(seed:id) with their 0-based ``rank`` (ties: id).
+
+    The hash is uniform, so fixed ranges of its first digits need no sampling: a row's rank is the number of
+    rows in lower ranges (a count per range, at most 16^RANGE_DIGITS rows, broadcast) plus its place in its own
+    range. Both are functions of the data alone; no branch depends on another's partitioning, and ranges
+    above the n-th row are dropped before the sort.
+    """
     from pyspark.sql import Window as W
-    from quarry.operators.evaluation import global_positions
-    h = df.withColumn("_h", F.concat(hash_key(seed, id_col), F.lit(":"), F.col(id_col).cast("string")))
-    if n <= TAKE_ORDERED_MAX:
-        top = h.orderBy("_h").limit(n)
-        # at most n (bounded by the parameter) rows are numbered here
-        return top.withColumn("rank", (F.row_number().over(W.orderBy("_h")) - 1).cast("long")).drop("_h")
-    return global_positions(h, "_h", out="rank").filter(F.col("rank") < n).drop("_h")
+    h = df.withColumn("_h", F.concat(hash_key(seed, id_col), F.lit(":"), F.col(id_col).cast("string"))) \
+        .withColumn("_range", F.substring("_h", 1, RANGE_DIGITS))
+    counts = h.groupBy("_range").agg(F.count(F.lit(1)).alias("_cnt"))
+    below = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    lower = counts.select("_range", F.coalesce(F.sum("_cnt").over(below), F.lit(0)).alias("_lower")) \
+        .filter(F.col("_lower") < n)
+    place = F.row_number().over(W.partitionBy("_range").orderBy("_h")) - 1
+    return h.join(F.broadcast(lower), "_range").withColumn("rank", (F.col("_lower") + place).cast("long")) \
+        .filter(F.col("rank") < n).drop("_h", "_range", "_lower")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """SO-4: n rows without replacement (all rows when there are at most n): the n smallest hashes.
-    Small n plans as TakeOrdered (per-partition top-n, no global sort); large n ranks by range."""
-    if n <= TAKE_ORDERED_MAX:
-        return df.orderBy(hash_key(seed, id_col), F.col(id_col)).limit(n)
+    """SO-4: n rows without replacement (all rows when there are at most n): the n smallest hashes."""
     return ranked_by_hash(df, id_col, seed, n).drop("rank")
 
 
@@ -137,12 +141,15 @@ def interleave(df: DataFrame, source: str, id_col: str, weights: dict[str, float
 
     Quotas come from a grouped count joined to the weights (a table of at most ``len(weights)`` rows,
     broadcast); the count and the rows read the same upstream exchange, which Spark reuses. Each row is
-    emitted floor(q) times plus once more when its draw u < frac(q); ``copy`` numbers the copies and
+    emitted floor(q) times plus once more when its draw u < frac(q); a source without a weight is an error; ``copy`` numbers the copies and
     ``mix_key`` = md5(seed:id:copy) gives the interleaved order (sort on it only if wanted).
     """
     q = F.col("_q")
     copies = (F.floor(q) + F.when(unit_draw(seed, id_col) < q - F.floor(q), 1).otherwise(0)).cast("int")
-    d = df.join(F.broadcast(quota_table(df, source, weights, strategy)), source)
+    quotas = quota_table(df, source, weights, strategy)
+    d = df.join(F.broadcast(quotas), source, "left")
+    d = d.withColumn("_q", F.when(F.col(source).isin(*weights), F.col("_q")).otherwise(
+        F.raise_error(F.concat(F.lit("no mix weight for source "), F.coalesce(F.col(source), F.lit("null"))))))
     d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_q")
     return d.withColumn("mix_key", hash_key(seed, id_col, "copy"))

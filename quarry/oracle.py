@@ -42,12 +42,12 @@ def dialect_reason(x: str) -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
-def statement_type(x: str, passes: int = 2) -> str:
+def statement_type(x: str, passes: int = 4) -> str:
     body = f"regexp_replace(regexp_replace({x}, '(?s)/\\*.*?\\*/', ' ', 'g'), '--[^\\n]*', ' ', 'g')"
     lead = f"upper(regexp_extract({body}, '^[\\s(]*([A-Za-z_]+)', 1))"
     w = f"regexp_replace({body}, '''[^'']*''', '''''', 'g')"
     for _ in range(passes):
-        w = f"regexp_replace({w}, '{T.PAREN_GROUP}', ' ', 'g')"
+        w = f"regexp_replace({w}, '\\([^()]*\\)', ' ', 'g')"
     main = f"upper(regexp_extract({w}, '(?i)\\b(SELECT|INSERT|UPDATE|DELETE)\\b', 1))"
     known = ", ".join(q(k) for k in T.KNOWN_STATEMENT_WORDS)
     return (f"CASE WHEN {lead} = 'WITH' THEN (CASE WHEN {main} <> '' THEN {main} ELSE 'UNKNOWN' END) "
@@ -87,7 +87,7 @@ _prio = "CASE source_dataset " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SO
 
 EXAMPLES = f"""examples0 AS (
   SELECT doc_id AS example_id,
-         split_part(text, chr(10), 1) AS question,
+         text AS question,
          {sql_template()} AS sql,
          CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'conv_' || (doc_id // 4) END AS db_id,
          {_names}[CAST(substr(source, 4) AS INTEGER) % 5 + 1] AS source_dataset

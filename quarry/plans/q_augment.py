@@ -108,9 +108,11 @@ def au2(spark, sf):
                     F.concat(F.col("db_id"), F.lit("_shuffled")).alias("db_id"))
 
 
-@register("AU-3", AUG + "SELECT example_id, question, sql FROM variants WHERE augmentation = 'add_limit'")
+@register("AU-3", AUG + "SELECT example_id, question || ' (top results)' AS question, limited AS sql FROM qa2 WHERE has_schema")
 def au3(spark, sf):
-    return _aug(spark, sf).filter(F.col("augmentation") == "add_limit").select("example_id", "question", "sql")
+    d = A.questions_aug(spark, sf).filter(F.col("schema").isNotNull())
+    return d.select("example_id", F.concat("question", F.lit(" (top results)")).alias("question"),
+                    AU.add_limit(F.col("sql"), "example_id").alias("sql"))
 
 
 @register("AU-4", AUG + """SELECT example_id, question || ' (sorted)' AS question, ordered AS sql FROM qa2

@@ -311,31 +311,30 @@ def spider_enriched(spark, sf):
 # --- SRC-4 / PRJ-2 / SO-6: per-source files, one missing, read in priority order ---------------------
 
 def source_files(spark, sf) -> dict[str, str]:
-    """Write each source's examples as JSONL under the shared folder; the fifth source is left missing
-    (its path does not exist), as happens when a source was never published."""
+    """Write each source's examples as JSONL under the shared folder; a sixth source has a path that does
+    not exist, as happens when a source was never published."""
     ex = _examples(spark, sf).select("example_id", "question", "sql", "db_id", "context", "source_dataset")
     base = J.scratch_path(spark, "sources")
-    J.write_jsonl(ex.filter(F.col("source_dataset") != "know_sql"), base, partition_by=["source_dataset"])
-    return {s: f"{base}/source_dataset={s}/*.json" for s in A.SOURCE_NAMES}
+    J.write_jsonl(ex, base, partition_by=["source_dataset"])
+    return {s: f"{base}/source_dataset={s}/*.json" for s in [*A.SOURCE_NAMES, "unpublished"]}
 
 
 def read_written_sources(spark, sf):
     return J.read_sources(spark, source_files(spark, sf), LINE_SCHEMA, priority=A.SOURCE_PRIORITY)
 
 
-@register("SRC-4", O.with_(EX) + """SELECT example_id, question, sql, source_dataset FROM examples
-WHERE source_dataset <> 'know_sql'""")
+@register("SRC-4", O.with_(EX) + """SELECT example_id, question, sql, source_dataset FROM examples""")
 def src4(spark, sf):
     return read_written_sources(spark, sf).select("example_id", "question", "sql", "source_dataset")
 
 
-@register("PRJ-2", O.with_(EX) + "SELECT example_id, source_dataset FROM examples WHERE source_dataset <> 'know_sql'")
+@register("PRJ-2", O.with_(EX) + "SELECT example_id, source_dataset FROM examples")
 def prj2(spark, sf):
     return read_written_sources(spark, sf).select("example_id", "source_dataset")
 
 
 @register("SO-6", O.with_(EX) + """SELECT source_dataset, CAST(row_number() OVER (ORDER BY max(priority) DESC) - 1 AS INTEGER) AS rank
-FROM examples WHERE source_dataset <> 'know_sql' GROUP BY 1""")
+FROM examples GROUP BY 1""")
 def so6(spark, sf):
     r = read_written_sources(spark, sf)
     return r.groupBy("source_dataset").agg(F.min("arrival.rank").cast("int").alias("rank"))

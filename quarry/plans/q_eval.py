@@ -9,7 +9,6 @@ from quarry import oracle as O
 from quarry.functions import text as T
 from quarry.operators import compare as CMP
 from quarry.operators import evaluation as E
-from quarry.plans import execeval as X
 from quarry.plans.registry import register
 from quarry.sources import adapters as A
 
@@ -75,11 +74,13 @@ def so1(spark, sf):
         .agg(F.count(F.lit(1)).alias("n")).orderBy("complexity_tag")
 
 
-ATTEMPTS = """a0 AS (SELECT conv_id AS example_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS attempt_number,
+# The assistant's turns of a conversation in groups of three: every turn belongs to one example.
+ATTEMPTS = """a00 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE role = 'assistant'),
+a0 AS (SELECT conv_id * 1000000 + nth // 3 AS example_id, CAST(nth % 3 + 1 AS INTEGER) AS attempt_number,
     text AS sql, length(text) % 3 <> 0 AS is_valid,
     CASE WHEN length(text) % 3 = 0 THEN 'no such column: y' END AS execution_error,
     CASE WHEN length(text) % 3 <> 0 THEN CASE WHEN length(text) % 5 = 0 THEN 'Yes, correct' ELSE 'No, wrong' END END AS llm_validation
-  FROM conversations WHERE role = 'assistant'),
+  FROM a00),
 a1 AS (SELECT * FROM a0 WHERE attempt_number <= 3),
 fy AS (SELECT example_id, min(attempt_number) AS first_yes FROM a1
   WHERE is_valid AND starts_with(lower(llm_validation), 'yes') GROUP BY 1),
@@ -325,8 +326,8 @@ def sc17(spark, sf):
 
 def _toplevel_sql(x: str) -> str:
     w = f"regexp_replace({x}, '''[^'']*''', '''''', 'g')"
-    for _ in range(2):
-        w = f"regexp_replace({w}, '{T.PAREN_GROUP}', ' ', 'g')"
+    for _ in range(4):
+        w = f"regexp_replace({w}, '\\([^()]*\\)', ' ', 'g')"
     return w
 
 
@@ -337,36 +338,36 @@ _marked = "regexp_replace(" + _toplevel_sql("sql") + ", " + O.q(r"(?i)\s+(" + "|
 _OR["SC-17"] = _OR["SC-17"].replace("MARKED", _marked).replace("STRIPX", O.strip("x"))
 
 
-# --- execution-based evaluation (no single-SQL oracle: every distinct text is its own query) ----------
+# --- scoring of stored result tables ------------------------------------------------------------------
 
-TPCH = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+# Pairs whose prediction is blank, whose prediction failed, and whose gold query failed.
+BLANK, FAILED, GOLD_FAILED = 13, 7, 11
 
 
-def predictions(spark, sf) -> DataFrame:
-    m = A.model_text(spark, sf)
-    return m.select("example_id", T.extract_sql(F.col("model_text")).alias("generated_sql"), "gold_sql")
+def scored_pairs(spark, sf) -> DataFrame:
+    """Stored outcomes of each pair: compared rows, which side ran, the generated text, and the score."""
+    c = F.col("pair_id")
+    text = F.when(c % BLANK == 0, F.lit(" \n")).otherwise(A.sql_template(c))
+    r = CMP.compare_results(A.result_rows(spark, sf), A.result_pairs(spark, sf))
+    return CMP.score(r.withColumns({"generated_sql": text, "gen_ok": c % FAILED != 0, "gold_ok": c % GOLD_FAILED != 0}))
 
 
-@register("EX-1")
-def ex1(spark, sf):
-    X.register_views(spark, sf, TPCH)
-    status, rows = X.run_queries(spark, A.examples(spark, sf).select("sql"))
-    counts = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rows"))
-    return status.join(counts, "qid", "left").select(
-        "qid", "ok", "error_condition", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+_ST2 = _OR["ST-2"]
+_PAIRS = f"""SELECT pair_id, CASE WHEN pair_id % 13 = 0 THEN ' ' || chr(10) ELSE {O.sql_template('pair_id')} END AS generated_sql,
+  pair_id % 7 <> 0 AS is_valid, pair_id % 11 <> 0 AS gold_valid,
+  pair_id % 7 <> 0 AND pair_id % 11 <> 0 AND results_match AS results_match,
+  CAST(pair_id % 13 <> 0 AND pair_id % 7 <> 0 AND pair_id % 11 <> 0 AND results_match AS INTEGER) AS score FROM ({_ST2})"""
 
 
-@register("EX-3")
-def ex3(spark, sf):
-    X.register_views(spark, sf, TPCH)
-    return X.evaluate(spark, predictions(spark, sf)).select(
-        "example_id", "is_valid", "gold_valid", "results_match", "feedback", "error_class",
-        F.array_join("complexity", ",").alias("complexity"))
+@register("EX-2", f"SELECT pair_id, score FROM ({_PAIRS})")
+def ex2(spark, sf):
+    return scored_pairs(spark, sf).select("pair_id", "score")
 
 
-@register("EX-2")
-def ex2(spark, sf):
-    X.register_views(spark, sf, TPCH)
-    ev = X.evaluate(spark, predictions(spark, sf))
-    ev = ev.withColumn("gen_ok", F.col("is_valid")).withColumn("gold_ok", F.col("gold_valid"))
-    return CMP.score(ev).select("example_id", "score")
+@register("EX-3", f"""SELECT pair_id, is_valid, gold_valid, results_match, score,
+  array_to_string({O.complexity_tags('generated_sql')}, ',') AS complexity FROM ({_PAIRS})""")
+def ex3(spark, sf):
+    r = scored_pairs(spark, sf)
+    return r.select("pair_id", F.col("gen_ok").alias("is_valid"), F.col("gold_ok").alias("gold_valid"),
+                    (F.col("gen_ok") & F.col("gold_ok") & F.col("results_match")).alias("results_match"), "score",
+                    F.array_join(T.complexity_tags("generated_sql"), ",").alias("complexity"))

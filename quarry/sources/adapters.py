@@ -84,7 +84,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     db_id = F.when(doc % 4 == 3, F.lit("")).otherwise(F.concat(F.lit("conv_"), _s(F.floor(doc / 4))))
     out = d.select(
         doc.alias("example_id"),
-        F.substring_index(F.col("text"), "\n", 1).alias("question"),
+        F.col("text").alias("question"),
         sql_template(doc).alias("sql"),
         db_id.alias("db_id"),
         source_dataset.alias("source_dataset"),
@@ -138,7 +138,8 @@ def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-correction attempts: assistant turns of each conversation, at most 3, cut after the first yes.
+    """Self-correction attempts: the assistant's turns of each conversation in groups of three (one example
+    each, so no turn is lost), every group cut after the first yes.
 
     Attempt numbers come from a per-conversation window (bounded: one chat), not a global order.
     """
@@ -148,15 +149,16 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     n = F.length("text")
     is_valid = n % 3 != 0
+    nth = F.row_number().over(w) - 1
     verdict = F.when(is_valid, F.when(n % 5 == 0, F.lit("Yes, correct")).otherwise(F.lit("No, wrong")))
     a = c.select(
-        F.col("conv_id").alias("example_id"),
-        F.row_number().over(w).cast("int").alias("attempt_number"),
+        (F.col("conv_id") * 1000000 + F.floor(nth / 3)).alias("example_id"),
+        (nth % 3 + 1).cast("int").alias("attempt_number"),
         F.col("text").alias("sql"),
         is_valid.alias("is_valid"),
         F.when(~is_valid, F.lit("no such column: y")).alias("execution_error"),
         verdict.alias("llm_validation"),
-    ).filter(F.col("attempt_number") <= 3)
+    )
     yes = T.judge_says_yes(F.col("llm_validation")) & F.col("is_valid")
     a = a.withColumn("_first_yes", F.min(F.when(yes, F.col("attempt_number"))).over(W.partitionBy("example_id")))
     return a.filter(F.col("_first_yes").isNull() | (F.col("attempt_number") <= F.col("_first_yes"))) \

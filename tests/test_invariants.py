@@ -88,7 +88,7 @@ def test_split_disjoint_and_exhaustive(spark):
 def test_all_exhausted_keeps_every_row(spark):
     kept = D.dedup(A.examples(spark, SF_SMALL)).select("example_id", "source_dataset")
     mixed = M.interleave(kept, "source_dataset", "example_id",
-                         {"spider": 0.4, "sqale": 0.3, "gretel": 0.15, "sql_context": 0.1, "know_sql": 0.05})
+                         {"spider": 0.4, "sqale": 0.3, "gretel": 0.1, "sql_context": 0.15, "know_sql": 0.05})
     assert mixed.select("example_id").distinct().count() == kept.count()
 
 
@@ -110,16 +110,34 @@ def test_global_positions_any_partitioning(spark, parts):
     assert [p for _, p in got] == list(range(500))
 
 
-def test_large_slices_rank_by_range(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_large_slices_are_exact_with_payload(spark, parts):
+    """Exact sizes, contiguous ranks and the same rows in any partitioning, payload columns included."""
     from quarry.operators import mixing as M
-    ex = A.examples(spark, SF_SMALL).select("example_id")
-    small = M.seeded_slices(ex, [50, 20], "example_id", 42, ["a", "b"])
-    monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 10)
-    large = M.seeded_slices(ex, [50, 20], "example_id", 42, ["a", "b"])
-    key = lambda r: (r["example_id"], r["rank"], r["slice"])
-    assert sorted(map(key, small.collect())) == sorted(map(key, large.collect()))
-    assert sorted(r[0] for r in M.sample_n(ex, 30, "example_id").collect()) == \
-        sorted(r["example_id"] for r in small.filter("rank < 30").collect())
+    df = spark.range(400_000).repartition(parts).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("p"),
+                                                        (F.col("id") % 7).alias("r"))
+    def digest():
+        s = M.seeded_slices(df, [100_000, 50_000], "k", 42, ["a", "b"])
+        r = s.agg(F.count(F.lit(1)), F.countDistinct("rank"), F.max("rank"), F.countDistinct("k"),
+                  F.sum(F.when(F.col("slice") == "a", 1)), F.sum(F.xxhash64("k", "p", "r", "rank").cast("decimal(38,0)"))).first()
+        return tuple(r)
+    first = digest()
+    assert first[:5] == (150_000, 150_000, 149_999, 150_000, 100_000)
+    assert digest() == first
+    if parts == 8:
+        assert M.sample_n(df, 150_000, "k").select(F.countDistinct("k")).first()[0] == 150_000
+
+
+def test_shots_follow_an_order_that_is_not_the_key(spark):
+    from quarry.operators import fewshot as FS
+    df = spark.range(40_000).repartition(8).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("o"))
+    shots = FS.positional_shots(df, "o", "k")
+    order = [r["k"] for r in df.orderBy("o").collect()]
+    at = {k: i for i, k in enumerate(order)}
+    for r in shots.collect():
+        i = at[r["k"]]
+        want = [1, 2] if i == 0 else [0] if i == 1 else [0, 1] if i <= 5 else [i - 5, i - 4]
+        assert at[r["shot_k"]] == want[r["shot_rank"] - 1]
 
 
 @pytest.mark.parametrize("parts", [1, 64])

@@ -36,7 +36,7 @@ def test_prepare_assemble_evaluate(spark):
     assert kept.count() == sum(r["kept"] for r in led)
 
     counts = PL.assemble_training(spark, kept, os.path.join(base, "mix"),
-                                  {"spider": 0.4, "sqale": 0.3, "gretel": 0.15, "sql_context": 0.1})
+                                  {"spider": 0.4, "sqale": 0.3, "gretel": 0.1, "sql_context": 0.15})
     assert counts["train"] > kept.count() * 0.9
 
     preds = A.model_text(spark, SF_SMALL).select(F.lit("zero_shot").alias("method"), "example_id",
