@@ -1,23 +1,21 @@
 """Few-shot selection: positional (JN-4) and exact k-nearest neighbours by vector similarity (JN-5).
 
-JN-5 never materializes pairs. The query vectors are written once to the shared checkpoint folder in
-bounded chunks; every corpus partition streams those chunks from storage (no driver hop, no broadcast of
-an unbounded table), multiplies its Arrow batches with each chunk in numpy, and keeps only a running
-top-k per query. A final grouped merge of the per-partition top-k lists gives the exact answer.
-Work is O(queries x corpus) — inherent to exact search — but memory per task is bounded by
-``chunk_rows x batch rows``.
+JN-5 never materializes pairs. Query and corpus vectors are packed into blocks of bounded size; every corpus
+block meets every query block (an equi-join on the query block's number, all through Spark), and a task
+multiplies the two matrices and keeps the top k of the block per query. A grouped merge of these short lists
+gives the exact answer. Work is O(queries x corpus) — inherent to exact search — but memory per task is
+bounded by two blocks and their product, whatever the size of a split.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from quarry.operators.evaluation import global_positions
 from quarry.sources.jsonl import scratch_path
 
-DEFAULT_CHUNK_ROWS = 4096
+DEFAULT_CHUNK_ROWS = 2048
 
 
 def positional_shots(df: DataFrame, order: str = "example_id", key: str = "example_id") -> DataFrame:
@@ -58,36 +56,46 @@ def _top_k(sims, cid, kk):
     return top_ids, top_sims
 
 
-def _topk_fn(chunk_dir: str, k: int, exclude_self: bool, dim_col: str, chunk_rows: int):
+def _pack(rows: int):
+    """Blocks of at most ``rows`` vectors: their ids and vectors as little-endian bytes."""
     def run(batches):
         import numpy as np
-        import pandas as pd
-        import pyarrow.dataset as ds
-
-        corpus_ids, corpus_vecs = [], []
-        for pdf in batches:
-            if len(pdf):
-                corpus_ids.append(pdf["id"].to_numpy(dtype=np.int64))
-                corpus_vecs.append(np.stack(pdf[dim_col].to_numpy()).astype(np.float64))
-        if not corpus_ids:
-            return
-        cid = np.concatenate(corpus_ids)
-        cv = np.concatenate(corpus_vecs)
-        kk = min(k, len(cid))
-        # Query chunks stream from the shared folder (any file system pyarrow can open).
-        for t in ds.dataset(chunk_dir, format="parquet").to_batches(columns=["qid", "qvec"], batch_size=chunk_rows):
-            if t.num_rows == 0:
-                continue
-            qid = t.column("qid").to_numpy()
-            qv = np.stack(t.column("qvec").to_numpy(zero_copy_only=False)).astype(np.float64)
-            sims = qv @ cv.T
-            if exclude_self:
-                sims[qid[:, None] == cid[None, :]] = -np.inf
-            top_ids, top_sims = _top_k(sims, cid, kk)
-            ok = np.isfinite(top_sims)
-            yield pd.DataFrame({"qid": np.repeat(qid, kk)[ok.ravel()],
-                                "nid": top_ids.ravel()[ok.ravel()],
-                                "sim": top_sims.ravel()[ok.ravel()]})
+        import pyarrow as pa
+
+        def block(ids, vecs):
+            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).astype("<i8").tobytes()],
+                                               "vecs": [np.concatenate(vecs).astype("<f8").tobytes()]})
+        ids, vecs, n = [], [], 0
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                piece = b.slice(lo, rows)
+                if n + piece.num_rows > rows:
+                    yield block(ids, vecs)
+                    ids, vecs, n = [], [], 0
+                ids.append(piece.column(0).to_numpy())
+                flat = piece.column(1).flatten().to_numpy(zero_copy_only=False)
+                vecs.append(flat.astype(np.float64))
+                n += piece.num_rows
+        if n:
+            yield block(ids, vecs)
+    return run
+
+
+def _best(k: int, exclude_self: bool):
+    """The k best of a corpus block for each query of a query block."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            for row in zip(*(b.column(c) for c in range(4))):
+                qid, qv, cid, cv = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<i8", "<f8", "<i8", "<f8")))
+                sims = qv.reshape(len(qid), -1) @ cv.reshape(len(cid), -1).T
+                if exclude_self:
+                    sims[qid[:, None] == cid[None, :]] = -np.inf
+                kk = min(k, len(cid))
+                ids, top = _top_k(sims, cid, kk)
+                ok = np.isfinite(top).ravel()
+                yield pa.RecordBatch.from_pydict({"qid": np.repeat(qid, kk)[ok], "nid": ids.ravel()[ok], "sim": top.ravel()[ok]})
     return run
 
 
@@ -99,16 +107,20 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 2, exclude_self: bool =
     neighbour_id)``, rank 1..k, ties broken by the smaller neighbour id.
     """
     spark = queries.sparkSession
+    packed = "ids binary, vecs binary"
     path = scratch_path(spark, "knn-queries")
-    n = queries.count()
-    n_chunks = max(1, -(-n // chunk_rows))
-    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    q.repartition(n_chunks).write.mode("overwrite").parquet(path)
-    schema = Ty.StructType([Ty.StructField("qid", Ty.LongType()), Ty.StructField("nid", Ty.LongType()),
-                            Ty.StructField("sim", Ty.DoubleType())])
-    local = corpus.select("id", "vec").mapInPandas(_topk_fn(path, k, exclude_self, "vec", chunk_rows), schema)
+    numbered = queries.select("id", "vec").mapInArrow(_pack(chunk_rows), packed) \
+        .select(F.monotonically_increasing_id().alias("chunk"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    numbered.write.parquet(path)
+    chunks = spark.read.schema(numbered.schema).parquet(path)
+    # one number per query block: queries / chunk_rows, or the number of query splits if that is larger
+    numbers = [r["chunk"] for r in chunks.select("chunk").collect()] or [-1]
+    blocks = corpus.select("id", "vec").mapInArrow(_pack(chunk_rows), packed) \
+        .withColumn("chunk", F.explode(F.array(*[F.lit(c).cast("long") for c in numbers])))
+    met = blocks.join(chunks, "chunk").select("qids", "qvecs", "ids", "vecs")
+    local = met.mapInArrow(_best(k, exclude_self), "qid long, nid long, sim double")
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("nid"))
-    # Per query at most k rows per corpus partition reach this window.
+    # Per query at most k rows per corpus block reach this window.
     merged = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return merged.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
                          F.col("nid").alias("neighbour_id"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -36,7 +36,8 @@ def prepare_corpus(spark: SparkSession, sources: dict[str, str], out_dir: str,
     per-source outputs, ledger, totals, weights, held-out eval set. Returns paths and small tables."""
     priority = priority or A.SOURCE_PRIORITY
     raw = J.read_sources(spark, sources, EXAMPLE_SCHEMA, priority=priority)
-    raw = raw.withColumn("priority", A.priority_of("source_dataset")) \
+    ranks = F.create_map(*[F.lit(x) for pair in priority.items() for x in pair])
+    raw = raw.withColumn("priority", F.coalesce(F.element_at(ranks, F.col("source_dataset")), F.lit(0))) \
              .withColumn("context", F.coalesce("context", F.lit(""))) \
              .withColumn("db_id", F.coalesce("db_id", F.lit("")))
     enriched_count = 0
@@ -72,21 +73,28 @@ def prepare_corpus(spark: SparkSession, sources: dict[str, str], out_dir: str,
 
 def assemble_training(spark: SparkSession, kept: DataFrame, out_dir: str, weights: dict[str, float],
                       template: str = "train_response_only", strategy: str = "all_exhausted",
-                      val_fraction: float = 0.02, seed: int = 42, id_col: str = "arrival") -> dict:
+                      val_fraction: float = 0.02, seed: int = 42, id_col: str = "arrival",
+                      max_samples: dict[str, int] | None = None) -> dict:
     """Training-set assembly: split on the original row (ST-4) -> weighted interleave of the train part
     (ST-3) -> template (SC-12) -> length filter (FLT-5) -> JSONL. Shuffle-free up to the write except the
-    per-source count behind the mixing quotas."""
+    per-source count behind the mixing quotas. ``max_samples`` limits single sources to a seeded sample. Returns
+    the rows written of each part, and under ``<part>_dropped`` those the length filter left out."""
     k = kept.withColumn("_id", F.to_json(F.struct(F.col(id_col))) if dict(kept.dtypes).get(id_col, "")
                         .startswith("struct") else F.col(id_col).cast("string"))
+    for name, n in (max_samples or {}).items():
+        own = F.col("source_dataset").eqNullSafe(F.lit(name))
+        k = k.filter(~own).unionByName(M.sample_n(k.filter(own), n, "_id", seed))
     s = M.split_train_val(k, "_id", val_fraction, seed)
     train = M.interleave(s.filter(F.col("split") == "train"), "source_dataset", "_id", weights, strategy, seed)
     val = s.filter(F.col("split") == "validation")
     outs = {}
     for name, df in (("train", train), ("validation", val)):
         txt = df.select(P.render(template).alias("text"))
-        kept_txt = P.keep_long_texts(txt)
+        seen = Observation(f"{name}_texts")
+        kept_txt = P.keep_long_texts(txt.observe(seen, F.count(F.lit(1)).alias("n")))
         path = os.path.join(out_dir, name)
         outs[name] = J.write_jsonl(kept_txt, path)
+        outs[name + "_dropped"] = int(seen.get["n"]) - outs[name]
     return outs
 
 
