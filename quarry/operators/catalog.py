@@ -1,8 +1,8 @@
 """Schema catalog: rendering (AG-12) and lookups (JN-1, JN-2, JN-3).
 
 The catalog holds one row per database with nested arrays, so rendering is a row-local projection
-with higher-order functions — no explode, no shuffle. Lookups join examples to the rendered text
-through ``plans.joins.sized_broadcast``: broadcast only after the catalog's size has been measured.
+with higher-order functions — no explode, no shuffle. Lookups are plain equi-joins: Spark broadcasts the
+catalog when its size at run time allows it, and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.joins import sized_broadcast
-
 
 def normalize_catalog(df: DataFrame) -> DataFrame:
     """SRC-3 shape fix: ``column_names_original`` pairs ``[idx, name]`` (read by JSON as array<string>)
@@ -40,12 +38,26 @@ def render_schema(catalog: DataFrame) -> DataFrame:
     return cat.select("db_id", F.array_join(lines, "\n").alias("schema"))
 
 
+# Rows without a database ('') match none: as a null key they stay out of the shuffle by key.
+def _key() -> Column:
+    return F.nullif(F.col("db_id"), F.lit(""))
+
+
+def _with_schema(examples: DataFrame, schema_text: DataFrame) -> DataFrame:
+    """Left join on the database; Spark chooses the strategy from the sides' sizes at run time."""
+    s = schema_text.select(F.col("db_id").alias("_known"), F.col("schema").alias("_schema"))
+    return examples.join(s, _key() == F.col("_known"), "left").drop("_known")
+
+
+def _known(databases: DataFrame) -> DataFrame:
+    return databases.select(F.col("db_id").alias("_known")).distinct()
+
+
 def enrich_context(examples: DataFrame, schema_text: DataFrame, only_source: str | None = "spider",
                    source: str = "source_dataset") -> DataFrame:
     """JN-1: replace ``context`` with the database's schema text when db_id is non-empty, the context lacks
     ``CREATE TABLE`` (case-sensitive) and the database is known. Adds ``enriched`` (boolean)."""
-    s = sized_broadcast(schema_text.select("db_id", F.col("schema").alias("_schema")))
-    j = examples.join(s, "db_id", "left")
+    j = _with_schema(examples, schema_text)
     cond = (F.col("db_id") != "") & ~F.col("context").contains("CREATE TABLE") & F.col("_schema").isNotNull()
     if only_source is not None:
         cond = cond & (F.col(source) == only_source)
@@ -66,18 +78,17 @@ FALLBACK_POLICIES = {
 
 def lookup_schema(examples: DataFrame, schema_text: DataFrame, policy: str = "context_then_db") -> DataFrame:
     """JN-2: ``schema`` column from the catalog with a fallback policy. A present but empty context stays ''."""
-    s = sized_broadcast(schema_text.select("db_id", F.col("schema").alias("_schema")))
     fb = FALLBACK_POLICIES[policy]
     ctx: Column = F.col("context") if "context" in examples.columns else F.lit(None).cast("string")
-    j = examples.join(s, "db_id", "left")
+    j = _with_schema(examples, schema_text)
     return j.withColumn("schema", F.coalesce(F.col("_schema"), fb(ctx, F.col("db_id")))).drop("_schema")
 
 
 def available(examples: DataFrame, databases: DataFrame) -> DataFrame:
     """JN-3: keep examples whose database is available (left semi join)."""
-    return examples.join(sized_broadcast(databases.select("db_id").distinct()), "db_id", "left_semi")
+    return examples.join(_known(databases), _key() == F.col("_known"), "left_semi")
 
 
 def unavailable(examples: DataFrame, databases: DataFrame) -> DataFrame:
     """JN-3 warning list: examples whose database is missing (left anti join)."""
-    return examples.join(sized_broadcast(databases.select("db_id").distinct()), "db_id", "left_anti")
+    return examples.join(_known(databases), _key() == F.col("_known"), "left_anti")

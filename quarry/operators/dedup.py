@@ -122,7 +122,8 @@ def ledger(df: DataFrame, source: str = "source_dataset", question: str = "quest
     normalized SQL differs from the winner's; kept = winners from that source.
 
     Plan: the raw rows are scanned once into ``groups`` — one partial+final aggregate per
-    (status, source, priority, key, normalized SQL). Both consumers (the per-key winners and the join
+    (status, source, priority, key, 128-bit digest of the normalized SQL, which is only compared for
+    equality; texts never enter a shuffle). Both consumers (the per-key winners and the join
     back) read every column of ``groups``, so Spark reuses that one exchange instead of rescanning.
     The join back is keyed by question hash; AQE's skew join splits a hot key's groups.
     """
@@ -132,7 +133,7 @@ def ledger(df: DataFrame, source: str = "source_dataset", question: str = "quest
         "status", source, "priority",
         (F.col("reject_reason") == MISSING).alias("missing"),
         F.when(cand, F.col("q_hash")).alias("q_hash"),
-        F.when(cand, F.col("sql_norm")).alias("sql_norm"),
+        F.when(cand, F.unhex(F.md5("sql_norm"))).alias("sql_norm"),
     ).agg(F.count(F.lit(1)).alias("n"), F.min("arrival").alias("min_arrival"),
           _min_len_arrival(F.length(sql), F.col("arrival"), c.schema["arrival"].dataType).alias("best"))
     # Non-candidates carry a null key: they form one extra (partially aggregated) group that joins nothing.
