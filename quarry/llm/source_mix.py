@@ -125,7 +125,8 @@ def _thresholds(rows: DataFrame, cuts: list[tuple[int, float]]) -> tuple[list[in
 
 
 def _fill(rows: DataFrame, at: list[int], cuts: list[tuple[int, float]], gaps: dict[int, float], rounds: int = 4) -> list[tuple[int, int]]:
-    """(pattern, hash) of documents beyond the cut that fill its gap: each round the largest one that fits."""
+    """(pattern, hash) of documents beyond the cut that fill its gap: each round the largest one that fits, and at last
+    the smallest that exceeds the gap if that comes nearer."""
     spark, taken = rows.sparkSession, []
     left = dict(gaps)
     for _ in range(rounds):
@@ -134,10 +135,20 @@ def _fill(rows: DataFrame, at: list[int], cuts: list[tuple[int, float]], gaps: d
             break
         want = F.broadcast(spark.createDataFrame(todo, "cut int, pattern int, after long, gap double"))
         used = F.broadcast(spark.createDataFrame(taken, "pattern int, h long"))
-        best = (rows.join(want, "pattern").where("h >= after and size <= gap and size > 0").join(used, ["pattern", "h"], "left_anti")
-                .groupBy("cut").agg(F.max(F.struct("size", "h")).alias("b")).collect())
-        left = {r["cut"]: left[r["cut"]] - r["b"]["size"] for r in best}
-        taken += [(cuts[r["cut"]][0], r["b"]["h"]) for r in best]
+        fits = F.col("size") <= F.col("gap")
+        best = (rows.join(want, "pattern").where("h >= after and size > 0").join(used, ["pattern", "h"], "left_anti")
+                .groupBy("cut").agg(F.max(F.when(fits, F.struct("size", "h"))).alias("under"),
+                                    F.min(F.when(~fits, F.struct("size", "h"))).alias("over")).collect())
+        nxt = {}
+        for r in best:
+            k, under, over = r["cut"], r["under"], r["over"]
+            gap = left[k]
+            if over is not None and over["size"] - gap < gap - (under["size"] if under is not None else 0):
+                taken.append((cuts[k][0], over["h"]))
+            elif under is not None:
+                taken.append((cuts[k][0], under["h"]))
+                nxt[k] = gap - under["size"]
+        left = nxt
     return taken
 
 

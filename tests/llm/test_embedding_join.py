@@ -10,6 +10,7 @@ def brute(rows, cosine):
         if v and all(x is not None for x in v):
             a = np.array(v, float)
             if np.isfinite(a).all() and a.any():
+                a = a / np.abs(a).max()  # so that squares stay in range
                 good[i] = a / np.linalg.norm(a)
     up = {i: i for i, _ in rows}
     n = dict.fromkeys(up, 0)
