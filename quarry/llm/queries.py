@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,14 +26,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", sql.SUBSTRING)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.substring_dedup import remove_repeated
     out = remove_repeated(_documents(spark, sf_dir), "doc_id", "text", width=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", sql.QUALITY)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import quality_rules as Q
     from quarry.llm.shared import Scratch
@@ -98,29 +100,7 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), "doc_id", "text")
 
 
-#: A place is deleted if the pair of lines that begins there, or one line before, begins earlier somewhere too.
-_LINE_SQL = r"""
-WITH units AS (
-  SELECT doc_id, text, unnest(generate_series(0, len(u) - 1)) AS pos, unnest(u) AS unit, u
-  FROM (SELECT doc_id, text, string_split_regex(regexp_replace(coalesce(text, ''),
-               '\n([\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])', chr(1) || '\1', 'g'), chr(1)) AS u FROM documents)),
-lines AS (SELECT doc_id, pos, rtrim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM units),
-real AS (SELECT * FROM lines WHERE line <> ''),
-pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM real),
-ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, pos) AS nth
-           FROM pairs WHERE after IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM ranked WHERE nth > 1),
-per_doc AS (SELECT d.doc_id, count(r.pos) AS n_lines, count(g.pos) AS n_removed
-            FROM documents d LEFT JOIN real r USING (doc_id) LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos
-            GROUP BY d.doc_id),
-kept AS (SELECT u.doc_id, string_agg(u.unit, chr(10) ORDER BY u.pos) AS kept_text
-         FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos WHERE g.pos IS NULL GROUP BY u.doc_id)
-SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
-FROM per_doc LEFT JOIN kept USING (doc_id)
-"""
-
-
-@query("op8_line_dedup", _LINE_SQL)
+@query("op8_line_dedup", sql.LINES)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.line_dedup import remove_repeated_lines
     out = remove_repeated_lines(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", min_lines=2)
@@ -163,4 +143,4 @@ def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_hidden_markov_lm")
 def op6_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.hmm_lm import score
-    return score(_documents(spark, sf_dir), "doc_id", "text", states=8, iterations=6)
+    return score(_documents(spark, sf_dir), "doc_id", "text", states=8, iterations=5)

@@ -123,3 +123,14 @@ def test_wavelet_query_and_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     V.write_files(documents(spark, []), path, tokenizer=BYTES, end_id=2)
     assert V.read_documents(spark.read.schema(V.FILE_SCHEMA).parquet(path)).count() == 0
+
+
+def test_memo_generations(monkeypatch):
+    """Ids do not depend on what the memo still holds."""
+    monkeypatch.setattr(T, "MEMO_PIECES", 6)
+    monkeypatch.setattr(T, "BATCH_CHARS", 20)
+    lib = Tokenizer.from_file(BYTES)
+    texts = [f"alpha beta w{i % 7} gamma{i % 3}" for i in range(40)]
+    enc = T.Encoder(BYTES, "bytes")
+    assert enc.encode(texts) == [np.array(lib.encode(t).ids, "<u4").tobytes() for t in texts]
+    assert len(enc.memo) <= 6 + 8 and len(enc.old) <= 6 + 8
