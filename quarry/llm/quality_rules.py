@@ -74,14 +74,16 @@ def _repeat_words(words: Column) -> Column:
 def measure(df: DataFrame, text_col: str = "text", out: str = "quality_rules") -> DataFrame:
     """``df`` with a struct ``out``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed
     and the measures that have adaptive fences."""
-    tmp = f"__{out}_parts"
+    tmp, nums = f"__{out}_parts", f"__{out}_counts"
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     solid = F.translate(text, " \t\n\x0b\f\r", "")
-    first = df.withColumn(tmp, F.struct(words.alias("words"), lines.alias("lines"), solid.alias("solid")))
+    # One-element arrays are exploded where an expensive value is used several times: what stands below a generator is
+    # evaluated once for each row, while the optimizer would copy it into every filter and field above it.
+    first = df.select("*", F.explode(F.array(F.struct(words.alias("words"), lines.alias("lines"), solid.alias("solid")))).alias(tmp))
     p = F.col(tmp)
-    counted = first.withColumn(tmp, F.struct(
+    counted = first.select(*(c for c in df.columns if c != out), F.explode(F.array(F.struct(
         F.size(p["words"]).cast("long").alias("n_words"),
         F.length(p["solid"]).cast("long").alias("word_chars"),
         (F.length(p["solid"]) - F.length(F.translate(p["solid"], SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -89,7 +91,8 @@ def measure(df: DataFrame, text_col: str = "text", out: str = "quality_rules") -
         (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
         _repeat_words(p["words"]).alias("n_repeat_words"),
         F.length(F.regexp_replace(p["solid"], "[^\\p{L}\\p{M}]+", "")).cast("long").alias("n_letters"),
-        F.regexp_count(p["solid"], F.lit("\\p{Lu}")).cast("long").alias("n_upper")))
+        F.regexp_count(p["solid"], F.lit("\\p{Lu}")).cast("long").alias("n_upper")))).alias(nums))
+    p = F.col(nums)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return counted.withColumn(out, F.struct(
         *(p[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
@@ -99,7 +102,7 @@ def measure(df: DataFrame, text_col: str = "text", out: str = "quality_rules") -
         share(p["n_upper"], p["n_letters"]).alias("upper_share"),
         share(p["n_dup_lines"], p["n_lines"]).alias("dup_line_share"),
         share(p["n_repeat_words"], p["n_words"]).alias("repeat_share"),
-        share(p["word_chars"], p["n_words"]).alias("word_length"))).drop(tmp)
+        share(p["word_chars"], p["n_words"]).alias("word_length"))).drop(nums)
 
 
 def sketches(measured: DataFrame, lang_col: str, source_col: str, rules: Rules, out: str = "quality_rules") -> DataFrame:
