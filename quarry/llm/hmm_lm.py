@@ -37,7 +37,9 @@ END = (U(0x51ED270B9F7D4A63), U(0x2545F4914F6CDD1D))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Words of a segment; longer documents are cut.
-SEGMENT = 1024
+SEGMENT = 2048
+#: Words of documents that are worked on together; a task holds some arrays of states for them.
+BATCH = 400_000
 FOLD = 32
 
 
@@ -260,59 +262,74 @@ def forward(lat: Lattice, model: Model, dtype=np.float64) -> tuple[np.ndarray, n
     seen = model.emit.T.astype(dtype)[lat.cls]
     before, after = lat.ends(model, seen)
     alpha, scale = np.empty_like(seen), np.empty(len(seen), dtype)
-    move, a = model.move.astype(dtype), before
+    move, ones, a = model.move.astype(dtype), np.ones(seen.shape[1], dtype), before
     for t, b in enumerate(lat.width):
         lo, hi = lat.at[t], lat.at[t + 1]
-        x = (a if t == 0 else a[:b] @ move) * seen[lo:hi]
-        s = x.sum(axis=1)
+        x, s = alpha[lo:hi], scale[lo:hi]
+        np.multiply(a if t == 0 else a[:b] @ move, seen[lo:hi], out=x)
+        np.dot(x, ones, out=s)
         x /= s[:, None]
-        alpha[lo:hi], scale[lo:hi] = x, s
         a = x
     return alpha, scale, seen, after
 
 
+def _parts(tokens: np.ndarray, sizes: np.ndarray):
+    """Runs of documents of at most BATCH words (or one document)."""
+    ends, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH, "right")) - 1)
+        yield tokens[ends[lo]:ends[hi]], sizes[lo:hi]
+        lo = hi
+
+
 def log10_likelihoods(tokens: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
     """log10 probability of each document's classes."""
-    lat = Lattice(tokens, sizes)
-    _, scale, _, _ = forward(lat, model)
-    out = np.empty(len(tokens))
-    out[lat.index] = np.log10(scale)
-    return np.add.reduceat(out, np.concatenate([[0], np.cumsum(sizes)])[:-1]) if len(sizes) else out
+    out = []
+    for part, n in _parts(tokens, sizes):
+        lat = Lattice(part, n)
+        _, scale, _, _ = forward(lat, model)
+        flat = np.empty(len(part))
+        flat[lat.index] = np.log10(scale)
+        out.append(np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)])[:-1]))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def expected_counts(tokens: np.ndarray, sizes: np.ndarray, model: Model, dtype=np.float32) -> np.ndarray:
     """Expected starts, moves and emissions as one vector, and the log likelihood at its end."""
     k, c = model.emit.shape
-    lat = Lattice(tokens, sizes)
+    total = np.zeros(k + k * k + k * c + 1)
+    for part, n in _parts(tokens, sizes):
+        total += _counts(Lattice(part, n), model, dtype)
+    return total
+
+
+def _counts(lat: Lattice, model: Model, dtype) -> np.ndarray:
+    k, c = model.emit.shape
     alpha, scale, seen, after = forward(lat, model, dtype)
-    beta = np.empty_like(alpha)
-    back = model.move.T.astype(dtype)
-    nxt = np.zeros((0, k), dtype)
+    # beta is scaled so that alpha * beta sums to one at every word
+    after /= (alpha[lat.last] * after).sum(axis=1, keepdims=True)
+    finish = alpha[lat.last]
+    back, pairs = model.move.T.astype(dtype), np.zeros((k, k))
+    nxt = seen[:0]  # of the words one step on: emission * beta / scale
     for t in range(len(lat.width) - 1, -1, -1):
-        lo, hi, b = lat.at[t], lat.at[t + 1], lat.width[t]
-        x = after[:b].copy()
-        n = len(nxt)
+        lo, hi, n = lat.at[t], lat.at[t + 1], len(nxt)
+        beta = after[:lat.width[t]].copy()
         if n:
-            x[:n] = nxt @ back
-        beta[lo:hi] = x / x.sum(axis=1, keepdims=True)
-        nxt = beta[lo:hi] * seen[lo:hi]
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(lat.cls, weights=gamma[:, s], minlength=c) for s in range(k)])
-    # moves inside the documents: from every word to the next one
-    flat_a, flat_n = np.empty_like(alpha), np.empty_like(alpha)
-    flat_a[lat.index], flat_n[lat.index] = alpha, beta * seen
-    firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    inner = np.ones(len(tokens), bool)
-    inner[firsts] = False
-    to = np.flatnonzero(inner)
-    a, n = flat_a[to - 1], flat_n[to]
-    weight = ((a @ model.move.astype(dtype)) * n).sum(axis=1, keepdims=True)
-    moves = model.move * (a.astype(np.float64).T @ (n / weight))
-    opening = np.empty_like(gamma)
-    opening[lat.index] = gamma
-    return np.concatenate([opening[firsts].sum(axis=0, dtype=np.float64), moves.ravel(), emit.ravel(),
-                           [np.log10(scale.astype(np.float64)).sum()]])
+            pairs += alpha[lo:lo + n].T @ nxt
+            np.dot(nxt, back, out=beta[:n])
+        nxt = seen[lo:hi]
+        nxt *= beta
+        nxt /= scale[lo:hi, None]
+        alpha[lo:hi] *= beta  # now the posterior of the state
+    # moves from the last word of a segment to the first of the document's next one
+    if len(lat.long):
+        more = np.flatnonzero(lat.nth > 0)
+        a, n = finish[lat.place[more - 1]], seen[lat.place[more]]
+        weight = ((a @ model.move.astype(dtype)) * n).sum(axis=1, keepdims=True)
+        pairs += a.T @ (n / weight)
+    emit = np.stack([np.bincount(lat.cls, weights=alpha[:, s], minlength=c) for s in range(k)])
+    start = alpha[lat.place[lat.first]].sum(axis=0, dtype=np.float64)
+    return np.concatenate([start, (model.move * pairs).ravel(), emit.ravel(), [np.log10(scale.astype(np.float64)).sum()]])
 
 
 def initial(classes: Classes, states: int, seed: int = 7) -> Model:
@@ -398,7 +415,7 @@ def _score(model: Model):
     return run
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, states: int = 8, iterations: int = 6,
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, states: int = 8, iterations: int = 5,
           top: int = 3072, hashed: int = 1024, log: list | None = None) -> DataFrame:
     """Train on the documents that are not held out and score all: id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10). ``log`` gets the training log likelihood before each iteration."""
