@@ -16,8 +16,8 @@ from quarry.llm.shared import Scratch
 def components(scratch: Scratch, edges: DataFrame, part: str = "cc") -> DataFrame:
     """``edges(u, v)`` of longs -> ``(v, c)`` for every vertex that is not the smallest of its component."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("c")).distinct()
-    cur, done, k = scratch.write(e, f"{part}-0"), None, 0
-    while True:
+    cur, k = scratch.write(e, f"{part}-0"), 0
+    while not _stars(cur):
         both = cur.unionByName(cur.select(F.col("c").alias("v"), F.col("v").alias("c")))
         low = both.groupBy("v").agg(F.min("c").alias("m")).select("v", F.least("m", "v").alias("m"))
         large = (both.join(low, "v").where("c > v").select(F.col("c").alias("v"), F.col("m").alias("c"))
@@ -29,9 +29,13 @@ def components(scratch: Scratch, edges: DataFrame, part: str = "cc") -> DataFram
                  .unionByName(small_low.select("v", F.col("m").alias("c"))).where("v <> c").distinct())
         nxt = scratch.write(small, f"{part}-{k + 1}")
         scratch.drop(f"{part}-{k}-large")
-        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "c").cast("decimal(38,0)"))).first()
         scratch.drop(f"{part}-{k}")
         cur, k = nxt, k + 1
-        if tuple(state) == done:
-            return cur
-        done = tuple(state)
+    return cur
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each vertex has one parent and no parent has one."""
+    several = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
+    inner = edges.select(F.col("c").alias("v")).distinct().join(edges.select("v"), "v", "left_semi")
+    return several.unionByName(inner).isEmpty()

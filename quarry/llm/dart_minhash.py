@@ -6,10 +6,12 @@ same darts where their weights overlap. Ranks below t / (total weight) bring abo
 document; each dart belongs to one of the signature's coordinates by its hash, and a coordinate keeps the earliest.
 The probability that two documents keep the same dart is their weighted Jaccard similarity.
 
-Bands of coordinates are joined by key. A bucket is never expanded into pairs: its members are compared with a
-leader (the document with the fullest buckets), exactly, on the shingle counts; then components are built, and
-buckets that still hold several components choose the next leader among the members that no leader reached,
-until no bucket has a new pair to compare. Equal texts are one member. There is no cap on a bucket.
+Bands of coordinates are joined by key. A bucket is never expanded into pairs: all its members are compared, exactly, on
+the shingle counts, with its leaders, the members with the fullest buckets. Then components are built, and members
+outside the component of their bucket's first leader meet the next leaders, of that component and of the others, until a
+round finds no further link. So a bucket costs its members times a few leaders, and there is no cap on it. What this
+can miss is a link between two members that never met as member and leader in a common bucket, and whose components no
+other link joins; the README gives the measured figures. Equal texts are one member.
 
 Shingles are 64-bit hashes. A pair at similarity s is missed with probability (1 - s**rows)**bands: 4e-7 at 0.8.
 
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm import words as W
 from quarry.llm.components import components
@@ -36,6 +39,8 @@ BANDS, BAND_ROWS = 28, 4
 SHINGLE = 5
 #: Cells that are thrown at together; bounds the temporaries of a task.
 STRIDE = 1 << 18
+#: Leaders of a bucket in the first round; further rounds have as many from its first leader's component and from the others.
+LEADERS = 2
 #: A list of ids up to this length is broadcast, a longer one joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -178,6 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .where(F.col("digest") == F.col("own")).select("id", F.explode("bands").alias("key")))
     keys = scratch.write(keys, "keys")
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = scratch.write(full, "full")  # written, so that AQE can split the join where a bucket is very full
     held = scratch.write(keys.join(full, "key"), "buckets")
     scratch.drop("keys")
     rank = held.groupBy("id").agg(F.sum("n").alias("fame"))
@@ -189,41 +195,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = docs.join(F.broadcast(need) if few else need, "id", "left_semi")
     cells = scratch.write(chosen.mapInArrow(_cells(width), "id long, cells binary"), "cells")
 
-    edges, tested, k = None, None, 0
-    state = held.withColumn("c", F.col("id"))
-    leaders = held.select("key").limit(0).withColumn("lead", F.lit(0).cast("long"))
+    comp, tested, k = None, None, 0
+    famous = Window.partitionBy("key").orderBy(F.desc("r"))
+    lead = scratch.write(held.withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS)
+                         .select("key", F.col("id").alias("lead"), F.col("id").alias("lead_c"), "nth"), "lead-0")
+    tops, rest = lead.where("nth = 1").select("key", F.col("lead").alias("id")), held.withColumn("c", F.col("id"))
     while True:
-        # the members that no earlier leader of the bucket has reached, and the next leader among them
-        open_keys = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        now = state.join(open_keys, "key")
-        if k:
-            reached = leaders.join(state.select(F.col("id").alias("lead"), "key", "c"), ["lead", "key"]).select("key", "c").distinct()
-            free = now.join(reached, ["key", "c"], "left_anti")
-        else:
-            free = now
-        lead = free.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.m")).alias("lead"))
-        lead = scratch.write(lead, f"lead-{k}")
-        who = now.join(lead, "key")
-        lead_c = who.where("id = lead").select("key", F.col("c").alias("lead_c"))
-        pairs = (who.join(lead_c, "key").where("c <> lead_c")
+        pairs = (rest.join(lead.select("key", "lead", "lead_c"), "key").where("c <> lead_c")
                  .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{k}")
-        if pairs.isEmpty():
-            break  # nothing left to compare
         both = (pairs.join(cells.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
                 .join(cells.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b").select("a", "b", "x", "y"))
         found = scratch.write(both.mapInArrow(_compare(*similarity), "a long, b long"), f"links-{k}")
-        edges = found if edges is None else edges.unionByName(found)
+        if found.isEmpty():
+            break
+        edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if comp is not None:
+            edges = edges.unionByName(comp.select(F.col("v").alias("u"), F.col("c").alias("v")))
+        comp = components(scratch, edges, f"cc-{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        leaders = leaders.unionByName(lead)
-        comp = components(scratch, edges.select(F.col("a").alias("u"), F.col("b").alias("v")), f"cc-{k}")
-        state = held.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
         k += 1
+        # each bucket's members by component: that of its first leader, and the rest, which meets new leaders from both
+        state = held.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        main = scratch.write(tops.join(state.select("id", "key", "c"), ["id", "key"]).select("key", F.col("c").alias("main")), f"main-{k}")
+        state = scratch.write(state.join(main, "key"), f"state-{k}")
+        rest = state.where("c <> main")
+        inner = state.where("c = main").withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS * (k + 1)).where(
+            F.col("nth") > LEADERS * k)
+        best = rest.groupBy("key", "c").agg(F.max("r").alias("r"))
+        outer = best.withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS * k).where(
+            F.col("nth") > LEADERS * (k - 1))
+        lead = scratch.write(inner.select("key", F.col("id").alias("lead"), F.col("c").alias("lead_c")).unionByName(
+            outer.select("key", (-F.col("r.m")).alias("lead"), F.col("c").alias("lead_c"))), f"lead-{k}")
 
     # a representative is the smallest id of its equal texts, so the component's smallest one is that of the class
-    classes = links if k == 0 else (links.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left")
+    classes = links if comp is None else (links.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left")
                                     .select("id", F.coalesce("c", "rep").alias("rep")))
     out = sig.select("id").join(classes.select("id", F.col("rep").alias("c")).distinct(), "id", "left")
     cls = F.coalesce("c", "id")
