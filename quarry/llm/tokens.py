@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-#: Pieces that a worker remembers; when there are more it starts anew.
-MEMO_PIECES = 400_000
+#: Pieces of a generation; a worker remembers two, and what it meets again moves to the younger one.
+MEMO_PIECES = 500_000
 #: Characters of text that are looked up together.
 BATCH_CHARS = 4_000_000
 
@@ -26,9 +26,13 @@ def encoder(path: str, kind: str) -> "Encoder":
     return _loaded[path]
 
 
+#: Pieces that are encoded in one call.
+TOGETHER = 512
+
+
 class Encoder:
-    #: A text that has one of these is encoded whole: white space of other kinds, at an end, or next to other.
-    _ODD = re.compile("^[ \n]|[ \n][ \n]|[ \n]$|[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]")
+    #: Kinds of white space besides the space and the line feed, and characters that a rule may count as such.
+    _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,23 +41,55 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.kind = kind
         self.memo: dict = {}
+        self.old: dict = {}
+        self.line_feed = self.tok.encode("\n", add_special_tokens=False).ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_pieces(self, pieces: list) -> list[bytes]:
+        """Ids of each piece; many are encoded in one text, which no piece's ids depend on, and parted again."""
+        groups = [pieces[i:i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        if self.kind == "words":  # by the place of each token in the text
+            texts, out = [b" ".join(g).decode() for g in groups], []
+            for g, text, e in zip(groups, texts, self.tok.encode_batch(texts, add_special_tokens=False)):
+                spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+                at = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
+                ends = [0, *(4 * np.searchsorted(at, spaces)).tolist(), 4 * len(at)]
+                raw = np.array(e.ids, "<u4").tobytes()
+                out += [raw[x:y] for x, y in zip(ends, ends[1:])]
+            return out
+        coded, out = self.tok.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), []
+        for g, e in zip(groups, coded):  # by the line feeds, which are tokens of their own between such pieces
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.line_feed[0])
+            if len(at) != len(g) - 1:
+                out += self._ids(g)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * x:4 * y] for x, y in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
+        return out
+
     def _learn(self, pieces: set) -> None:
-        new = sorted(pieces - self.memo.keys())
+        new = pieces - self.memo.keys()
         if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = sorted(pieces)
-        texts = new if self.kind == "bytes" else [p.decode() for p in new]
-        self.memo.update(zip(new, self._ids(texts)))
+            self.old, self.memo, new = self.memo, {}, pieces
+        known = new & self.old.keys()
+        self.memo.update((p, self.old[p]) for p in known)
+        new = list(new - known)
+        if self.kind == "words":
+            self.memo.update(zip(new, self._ids_of_pieces(new)))
+            return
+        plain = [p for p in new if p not in ("", "\n")]
+        self.memo.update(zip(plain, self._ids_of_pieces(plain)))
+        self.memo[""], self.memo["\n"] = b"", np.array(self.line_feed, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list | None:
         if self.kind == "words":
-            return text.encode().split()
-        if self._ODD.search(text):
-            return None
+            return text.encode().lower().split()  # the tokenizer lower-cases too
+        if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+                or self._ODD.search(text)):
+            return None  # white space next to other, at an end, or of another kind: encoded whole
         # a space goes with the word after it, a line feed stands alone
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
