@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,7 +43,8 @@ def to_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            t = pa.Table.from_batches(held).sort_by("id")
+            t = pa.Table.from_batches(held)
+            t = t.take(pc.sort_indices(t, sort_keys=[("id", "ascending")], null_placement="at_start"))
             return pa.RecordBatch.from_pydict({"block": [(part << 32) + seq], "n_docs": [t.num_rows],
                                                "n_bytes": [size], "data": [to_ipc(t)]})
 
