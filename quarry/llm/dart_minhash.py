@@ -6,12 +6,13 @@ same darts where their weights overlap. Ranks below t / (total weight) bring abo
 document; each dart belongs to one of the signature's coordinates by its hash, and a coordinate keeps the earliest.
 The probability that two documents keep the same dart is their weighted Jaccard similarity.
 
-Bands of coordinates are joined by key. A bucket is never expanded into pairs: all its members are compared, exactly, on
-the shingle counts, with its leaders, the members with the fullest buckets. Then components are built, and members
-outside the component of their bucket's first leader meet the next leaders, of that component and of the others, until a
-round finds no further link. So a bucket costs its members times a few leaders, and there is no cap on it. What this
-can miss is a link between two members that never met as member and leader in a common bucket, and whose components no
-other link joins; the README gives the measured figures. Equal texts are one member.
+Bands of coordinates are joined by key, and every pair of a bucket is decided: compared, exactly, on the shingle counts, or
+found to be in one component already. While the buckets hold many undecided pairs, all members are compared with their bucket's
+leaders, the members with the fullest buckets; then components are built, and members outside the component of their
+bucket's first leader meet the next leaders, of that component and of the others, until a round finds no further link. These
+rounds only save work: the pairs that are left, of members in different components, are all compared in the end. Buckets of up
+to FULL members are expanded for that. The members of fuller ones meet by an exact prefix filter: of two documents at similarity s
+or more, each has one of the common cells among its (1 - s) * size + 1 rarest ones. Equal texts are one member.
 
 Shingles are 64-bit hashes. A pair at similarity s is missed with probability (1 - s**rows)**bands: 4e-7 at 0.8.
 
@@ -41,6 +42,10 @@ SHINGLE = 5
 STRIDE = 1 << 18
 #: Leaders of a bucket in the first round; further rounds have as many from its first leader's component and from the others.
 LEADERS = 2
+#: Undecided pairs for each member of a bucket up to which they are compared without further rounds of leaders.
+FEW = 2
+#: Members of a bucket whose undecided pairs are listed; those of fuller buckets meet by the prefix filter.
+FULL = 64
 #: A list of ids up to this length is broadcast, a longer one joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -165,6 +170,38 @@ def _compare(num: int, den: int):
     return run
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each cell of a document, with the document's number of cells."""
+    for batch in batches:
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            cells = np.frombuffer(data.as_buffer(), np.int64)
+            n = np.full(len(cells), len(cells), np.int64)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(cells), i, np.int64)), "size": pa.array(n), "cell": pa.array(cells)})
+
+
+def _prefix_pairs(scratch: Scratch, members: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``members(id, c)`` of different components that can have a similarity of num / den, all of them."""
+    flat = cells.join(members, "id", "left_semi").mapInArrow(_explode, "id long, size long, cell long")
+    flat = scratch.write(flat, "flat")
+    often = scratch.write(flat.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    shared = scratch.write(flat.join(often, "cell"), "shared")
+    scratch.drop("flat")
+    # cells of one document only are the rarest ones, and nobody's common ones
+    own = Window.partitionBy("id")
+    first = F.expr(f"size - (size * {num} + {den - 1}) div {den} + 1") - (F.col("size") - F.count(F.lit(1)).over(own))
+    near = shared.withColumn("nth", F.row_number().over(own.orderBy("n", "cell"))).withColumn("first", first).where("nth <= first")
+    near = scratch.write(near.select("id", "size", "cell").join(members, "id"), "prefixes")
+    scratch.drop("shared")
+    # members of a cell's largest component are not paired among themselves
+    main = near.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(
+        F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = scratch.write(main.select("cell", F.col("top.c").alias("main")), "prefix-main")
+    rest = scratch.write(near.join(main, "cell").where("c <> main").select("cell", F.col("id").alias("x"), F.col("size").alias("m"),
+                                                                          F.col("c").alias("d")), "prefix-rest")
+    met = near.join(rest, "cell").where(f"c <> d and {den} * least(size, m) >= {num} * greatest(size, m)")
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] = (4, 5),
                     bands: int = BANDS, rows: int = BAND_ROWS, width: int = SHINGLE) -> DataFrame:
     """One row per row of ``df``: id, ``component_id`` (smallest id of its class) and ``kept`` (whether it is that)."""
@@ -197,38 +234,72 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     comp, tested, k = None, None, 0
     famous = Window.partitionBy("key").orderBy(F.desc("r"))
-    lead = scratch.write(held.withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS)
-                         .select("key", F.col("id").alias("lead"), F.col("id").alias("lead_c"), "nth"), "lead-0")
-    tops, rest = lead.where("nth = 1").select("key", F.col("lead").alias("id")), held.withColumn("c", F.col("id"))
-    while True:
-        pairs = (rest.join(lead.select("key", "lead", "lead_c"), "key").where("c <> lead_c")
-                 .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    n_held = held.count()
+
+    def undecided(state: DataFrame) -> tuple[DataFrame, int]:
+        """Buckets with members (n) of several components, and their pairs of different ones, in all."""
+        parts = state.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+        per = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        per = scratch.write(per.where("n * n > same"), f"undecided-{k}")
+        return per, per.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+
+    def compared(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(pairs not compared before, links among them)."""
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{k}")
+        pairs = scratch.write(pairs, f"pairs-{name}")
         both = (pairs.join(cells.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
                 .join(cells.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b").select("a", "b", "x", "y"))
-        found = scratch.write(both.mapInArrow(_compare(*similarity), "a long, b long"), f"links-{k}")
-        if found.isEmpty():
-            break
+        return pairs, scratch.write(both.mapInArrow(_compare(*similarity), "a long, b long"), f"links-{name}")
+
+    def joined(found: DataFrame, name: str) -> DataFrame:
         edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if comp is not None:
             edges = edges.unionByName(comp.select(F.col("v").alias("u"), F.col("c").alias("v")))
-        comp = components(scratch, edges, f"cc-{k}")
+        return components(scratch, edges, name)
+
+    state = held.withColumn("c", F.col("id"))
+    buckets, left = undecided(state)
+    while left > FEW * n_held:
+        if k == 0:
+            lead = scratch.write(held.withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS)
+                                 .select("key", F.col("id").alias("lead"), F.col("id").alias("lead_c"), "nth"), "lead-0")
+            tops, rest = lead.where("nth = 1").select("key", F.col("lead").alias("id")), state
+        else:
+            # each bucket's members by component: that of its first leader, and the rest, which meets new leaders from both
+            main = scratch.write(tops.join(state.select("id", "key", "c"), ["id", "key"]).select("key", F.col("c").alias("main")), f"main-{k}")
+            sides = scratch.write(state.join(main, "key"), f"sides-{k}")
+            rest = sides.where("c <> main")
+            inner = sides.where("c = main").withColumn("nth", F.row_number().over(famous)).where(
+                F.col("nth") <= LEADERS * (k + 1)).where(F.col("nth") > LEADERS * k)
+            best = rest.groupBy("key", "c").agg(F.max("r").alias("r"))
+            outer = best.withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS * k).where(
+                F.col("nth") > LEADERS * (k - 1))
+            lead = scratch.write(inner.select("key", F.col("id").alias("lead"), F.col("c").alias("lead_c")).unionByName(
+                outer.select("key", (-F.col("r.m")).alias("lead"), F.col("c").alias("lead_c"))), f"lead-{k}")
+        pairs = (rest.join(lead.select("key", "lead", "lead_c"), "key").where("c <> lead_c")
+                 .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+        pairs, found = compared(pairs, str(k))
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if found.isEmpty():
+            break
+        comp = joined(found, f"cc-{k}")
         k += 1
-        # each bucket's members by component: that of its first leader, and the rest, which meets new leaders from both
-        state = held.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        main = scratch.write(tops.join(state.select("id", "key", "c"), ["id", "key"]).select("key", F.col("c").alias("main")), f"main-{k}")
-        state = scratch.write(state.join(main, "key"), f"state-{k}")
-        rest = state.where("c <> main")
-        inner = state.where("c = main").withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS * (k + 1)).where(
-            F.col("nth") > LEADERS * k)
-        best = rest.groupBy("key", "c").agg(F.max("r").alias("r"))
-        outer = best.withColumn("nth", F.row_number().over(famous)).where(F.col("nth") <= LEADERS * k).where(
-            F.col("nth") > LEADERS * (k - 1))
-        lead = scratch.write(inner.select("key", F.col("id").alias("lead"), F.col("c").alias("lead_c")).unionByName(
-            outer.select("key", (-F.col("r.m")).alias("lead"), F.col("c").alias("lead_c"))), f"lead-{k}")
+        state = scratch.write(held.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")), f"state-{k}")
+        buckets, left = undecided(state)
+
+    if left:
+        open_ = scratch.write(state.select("id", "key", "c").join(buckets.select("key", "n"), "key"), "open")
+        one = open_.where(F.col("n") <= FULL)
+        pairs = (one.join(one.select("key", F.col("id").alias("x"), F.col("c").alias("d")), "key").where("id < x and c <> d")
+                 .select(F.col("id").alias("a"), F.col("x").alias("b")).distinct())
+        full = open_.where(F.col("n") > FULL).select("id", "c").distinct()
+        if not full.isEmpty():
+            full = scratch.write(full, "full-members")
+            pairs = pairs.unionByName(_prefix_pairs(scratch, full, cells, *similarity)).distinct()
+        _, found = compared(pairs, "left")
+        if not found.isEmpty():
+            comp = joined(found, "cc-left")
 
     # a representative is the smallest id of its equal texts, so the component's smallest one is that of the class
     classes = links if comp is None else (links.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left")

@@ -70,6 +70,33 @@ def test_edges_and_groups(spark):
     assert got(documents(spark, rows)) == brute(dict(rows))
 
 
+def templated(n, seed):
+    """Documents of one template with many words of their own, and at the end two with few, near each other only."""
+    rng = random.Random(seed)
+    base = [f"t{j}" for j in range(100)]
+    rows = [(i, " ".join(base + [f"o{i}x{rng.randrange(10**6)}" for _ in range(60)])) for i in range(n)]
+    return rows + [(n + i, " ".join(base + [f"p{i}x{j}" for j in range(8)])) for i in range(2)]
+
+
+def test_link_of_two_members_that_never_lead(spark, monkeypatch):
+    rows = templated(40, 1)
+    want = brute(dict(rows))
+    assert want[41] == (40, False)
+    monkeypatch.setattr(D, "FEW", 0)  # leaders first, whatever the number of pairs
+    for full in (64, 1):  # listed pairs, prefix filter
+        monkeypatch.setattr(D, "FULL", full)
+        out = D.near_duplicates(documents(spark, rows), bands=1, rows=1)
+        assert {r.doc_id: (r.component_id, r.kept) for r in out.collect()} == want
+
+
+def test_prefix_filter_of_full_buckets(spark, monkeypatch):
+    monkeypatch.setattr(D, "FEW", 0)
+    monkeypatch.setattr(D, "FULL", 1)
+    test_edges_and_groups(spark)
+    rows = templated(30, 2) + [(100 + i, " ".join(f"c{j}" for j in range(6 * i, 6 * i + 100))) for i in range(12)]
+    assert got(documents(spark, rows)) == brute(dict(rows))
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     out = [(r.doc_id, r.component_id, r.kept) for r in D.near_duplicates(documents(spark, rows)).collect()]
