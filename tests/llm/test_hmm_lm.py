@@ -71,6 +71,13 @@ def test_query_and_held_out_gain(spark):
     assert np.mean([r.score > r.base_score for r in held]) > 0.9
 
 
+def test_query_trains_six_iterations(spark, monkeypatch):
+    full, log = H.score, []
+    monkeypatch.setattr(H, "score", lambda *a, **k: full(*a, **k, log=log))
+    QUERIES["op6_hidden_markov_lm"](spark, "/root/testdata/sf0.001")
+    assert len(log) == 6
+
+
 def test_training_raises_the_likelihood_and_probabilities_sum_to_one(spark):
     log = []
     rows = [(i, ("der die das und " if i % 2 else "the of and to ") * (i % 9 + 1)) for i in range(80)]
