@@ -1,12 +1,12 @@
 """A hidden Markov language model.
 
 Words are counted exactly over all training documents: every block of documents sends its distinct words to the shards of a hash
-range and gets their counts back. The model emits word classes: the most frequent words are classes of their own, words seen
-once are one class, the rest share a fixed number of classes by hash; a word's probability is that of its class in the state
-times its share of the class. A word that was never seen is one more class, with the probability that the state gives
-to words seen once (Good-Turing). So the parameters that every task needs have a fixed size, whatever the vocabulary.
+range and gets their counts back. Every word seen twice or more has emissions of its own, whatever the vocabulary; words seen
+once are one class, in which each has an equal share, and a word that was never seen is one more class, with the probability that
+the state gives to words seen once (Good-Turing). The emissions live where the counts do: in every iteration a block sends the
+expected counts of its own words by state to their shards and gets the totals back. What all tasks share has a fixed size.
 
-Training is Baum-Welch: each task returns expected counts for its documents, which are added up in groups of tasks.
+Training is Baum-Welch; the expected starts and moves of the blocks are added up in groups.
 Scores are exact: the scaled forward recursion runs over whole documents. Long ones are cut into segments whose transfer
 matrices are multiplied first, so that many segments advance together; the result is that of the plain recursion.
 
@@ -54,7 +54,7 @@ class Model:
 
 @dataclass(frozen=True)
 class Classes:
-    """Word classes: ``top`` (sorted hashes) first, then words seen once, ``hashed`` shared ones, and unseen words.
+    """Word classes of the dense form: ``top`` (sorted hashes) first, then words seen once, ``hashed`` shared ones, and unseen words.
 
     ``mass`` is the sum of count + 0.5 in each class, the unseen word's 0.5 included."""
 
@@ -70,19 +70,38 @@ class Classes:
     def unseen(self) -> int:
         return len(self.mass) - 1
 
-    def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = self.once + 1 + _bucket(h, self.hashed)
-        out[count == 1] = self.once
-        out[count == 0] = self.unseen
-        if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-            hit = self.top[at] == h
-            out[hit] = at[hit]
-        return out
+
+@dataclass(frozen=True)
+class Shared:
+    """What all blocks need: a word's emission is (expected count + prior * (count + 0.5)) * scale of the state."""
+
+    start: np.ndarray
+    move: np.ndarray
+    scale: np.ndarray
+    once: np.ndarray
+    unseen: np.ndarray
+    prior: float
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Training tokens, distinct words, words seen once, and the disturbed masses of the others by state."""
+
+    tokens: int
+    words: int
+    once: int
+    begin: np.ndarray
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (W.mix(h) % U(n)).astype(np.int64)
+def disturbed(h: np.ndarray, states: int) -> np.ndarray:
+    """(states, words): the factors of the first emissions, drawn by the words' hashes."""
+    key = W.mix(h)[None, :] + np.arange(1, 2 * states + 1, dtype=U)[:, None] * U(0x9E3779B97F4A7C15)
+    u = ((W.mix(key) >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    return np.exp(1.5 * np.sqrt(-2 * np.log(u[:states])) * np.cos(2 * np.pi * u[states:]))
+
+
+#: Stands for the hash of the class of words seen once.
+ONCE = np.array([0x6A09E667F3BCC908], U)
 
 
 def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
@@ -122,8 +141,8 @@ def _encode(shards: int):
     return run
 
 
-def _count(hashed: int, top: int):
-    """A shard's total of each word, back to the blocks; block -1 gets what the model needs of the vocabulary."""
+def _count(states: int):
+    """A shard's total of each word and its number among those seen twice or more, back to the blocks; block -1 gets sums."""
 
     def reply(shard: int, ids: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
         got = [B.unpack_sorted(d) for d in data]
@@ -133,75 +152,57 @@ def _count(hashed: int, top: int):
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         starts = np.flatnonzero(new)
         total = np.add.reduceat(n[order].astype(np.int64), starts)
-        each = np.empty(len(a), np.int64)
-        each[order] = np.repeat(total, np.diff(np.append(starts, len(a))))
+        own, runs = total > 1, np.diff(np.append(starts, len(a)))
+        each, spot = np.empty(len(a), np.int64), np.empty(len(a), np.int32)
+        each[order] = np.repeat(total, runs)
+        spot[order] = np.repeat(np.where(own, np.cumsum(own) - 1, -1), runs)
         at = 0
         for block, g in zip(ids, got):
-            yield block, B.pack(each[at:at + len(g[0])])
+            yield block, B.pack(each[at:at + len(g[0])], spot[at:at + len(g[0])])
             at += len(g[0])
-        h = a[order][starts]
-        seen = total > 0
-        h, total = h[seen], total[seen]
-        best = np.argsort(-total, kind="stable")[:top]
-        twice = np.bincount(_bucket(h, hashed)[total > 1], weights=(2 * total + 1)[total > 1], minlength=hashed).astype(np.int64)
-        yield -1, B.pack(h[best], total[best], twice, np.array([len(h), total.sum(), (total == 1).sum()], np.int64))
+        begin = disturbed(a[order][starts][own], states) @ (total[own] + 0.5)
+        yield -1, B.pack(np.array([total.sum(), (total > 0).sum(), (total == 1).sum()], np.int64), begin)
 
     return reply
 
 
-def _vocabulary(stats: DataFrame, hashed: int, top: int) -> tuple[Classes, int, int]:
-    """(classes, number of training tokens, number of distinct ones)."""
+def _vocabulary(stats: DataFrame, states: int) -> Vocabulary:
+    sums, begin = np.zeros(3, np.int64), np.zeros(states)
+    for r in stats.orderBy("shard").select("data").collect():  # one small row for each shard
+        x, y = B.unpack(bytes(r["data"]))
+        sums, begin = sums + x, begin + y
+    return Vocabulary(int(sums[0]), int(sums[1]), int(sums[2]), begin)
+
+
+CODED = "block long, ids binary, tokens binary, words binary"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                h, n, twice, sums = B.unpack(data.as_py())
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array([0] * len(h) + [1] * len(twice) + [2] * len(sums), pa.int32()),
-                    "key": pa.array(np.concatenate([h.view(np.int64), np.arange(len(twice)), np.arange(len(sums))]), pa.int64()),
-                    "value": pa.array(np.concatenate([n, twice, sums]), pa.int64())})
-
-    flat = stats.select("data").mapInArrow(rows, "kind int, key long, value long")
-    best = flat.where("kind = 0 and value > 1").orderBy(F.desc("value"), "key").limit(top).collect()
-    sums = flat.where("kind > 0").groupBy("kind", "key").agg(F.sum("value").alias("value")).collect()
-    bucket, whole = np.zeros(hashed), [0, 0, 0]
-    for r in sums:
-        if r["kind"] == 1:
-            bucket[r["key"]] = r["value"] / 2
-        else:
-            whole[r["key"]] = r["value"]
-    h = np.array([r["key"] for r in best], np.int64).view(U)
-    n = np.array([r["value"] for r in best], np.float64)
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    bucket -= np.bincount(_bucket(h, hashed), weights=n + 0.5, minlength=hashed) if len(h) else 0
-    mass = np.concatenate([n + 0.5, [1.5 * whole[2]], bucket, [0.5]])
-    return Classes(h, hashed, mass), whole[1], whole[0]
-
-
-CODED = "block long, ids binary, tokens binary"
-
-
-def _code(classes: Classes, n: int, v: int, shards: int):
-    """A block's documents as classes, with what does not depend on the states."""
+
+def _code(voc: Vocabulary):
+    """A block's documents as numbers of its own words, with what does not depend on the states."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_pydict({"block": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "tokens": pa.array([], pa.binary())})
+            none = pa.array([], pa.binary())
+            return pa.Table.from_pydict({"block": pa.array([], pa.int64()), "ids": none, "tokens": none, "words": none})
         parts = {s: d for s, d in zip(table["shard"].to_pylist(), table["data"].to_pylist())}
         ids, valid, held, sizes, number = B.unpack(parts[-1])
         replies = dict(zip(answers["shard"].to_pylist(), answers["data"].to_pylist()))
         order = sorted(replies)
         h = np.concatenate([B.unpack_sorted(parts[s])[0] for s in order])
-        count = np.concatenate([B.unpack(replies[s])[0] for s in order])
-        cls = classes.of(h, count)
-        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        within = np.log10((count + 0.5) / classes.mass[cls])
+        got = [B.unpack(replies[s]) for s in order]
+        count, spot = (np.concatenate([g[k] for g in got]) for k in range(2))
+        own = spot >= 0
+        m = int(own.sum())
+        cls = np.where(own, np.cumsum(own) - 1, np.where(count == 1, m, m + 1))
+        base = np.log10((count + 0.5) / (voc.tokens + 0.5 * (voc.words + 1)))
+        within = np.where(count == 1, -np.log10(max(1, voc.once)), 0.0)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         sums = [np.add.reduceat(x[number], starts) for x in (base, within, (count > 0).astype(np.int64))]
         head = B.pack(ids, valid, held, sizes, sums[0], sums[1], sums[2])
+        words = B.pack(h[own], count[own], spot[own], np.array(order, np.int32), np.array([(g[1] >= 0).sum() for g in got], np.int64))
         return pa.Table.from_pydict({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": pa.array([head], pa.binary()),
-                                     "tokens": pa.array([B.pack(cls[number].astype(np.uint16))], pa.binary())})
+                                     "tokens": pa.array([B.pack(cls[number].astype(np.uint32))], pa.binary()),
+                                     "words": pa.array([words], pa.binary())})
 
     return run
 
@@ -259,7 +260,7 @@ class Lattice:
 
 def forward(lat: Lattice, model: Model, dtype=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(alphas, scales, emissions of the words, what follows each segment)."""
-    seen = model.emit.T.astype(dtype)[lat.cls]
+    seen = np.ascontiguousarray(model.emit.T, dtype)[lat.cls]
     before, after = lat.ends(model, seen)
     alpha, scale = np.empty_like(seen), np.empty(len(seen), dtype)
     move, ones, a = model.move.astype(dtype), np.ones(seen.shape[1], dtype), before
@@ -333,7 +334,7 @@ def _counts(lat: Lattice, model: Model, dtype) -> np.ndarray:
 
 
 def initial(classes: Classes, states: int, seed: int = 7) -> Model:
-    """States that stay, with the corpus' class frequencies disturbed at random."""
+    """Dense form: states that stay, with the corpus' class frequencies disturbed at random."""
     rng = np.random.default_rng(seed)
     emit = classes.mass[None, :] * np.exp(1.5 * rng.standard_normal((states, len(classes.mass))))
     emit[:, classes.unseen] = 0
@@ -366,7 +367,7 @@ def _fold(scratch: Scratch, counts: DataFrame, name: str) -> np.ndarray | None:
     """Add up vectors in groups of tasks until a few are left."""
 
     def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
+        table = table.sort_by([("part", "ascending"), ("data", "ascending")])
         total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in table["data"]], axis=0)
         return pa.Table.from_pydict({"part": pa.array([table["up"][0].as_py()], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 
@@ -375,48 +376,113 @@ def _fold(scratch: Scratch, counts: DataFrame, name: str) -> np.ndarray | None:
         level += 1
         counts = scratch.write(counts.withColumn("up", F.floor(F.col("part") / FOLD)).groupBy("up").applyInArrow(add, "part long, data binary"),
                                f"{name}-{level}")
-    rows = counts.orderBy("part").collect()
+    rows = counts.orderBy("part", "data").collect()
     return np.sum([np.frombuffer(r["data"], "<f8") for r in rows], axis=0) if rows else None
 
 
-def _e_step(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        total = None
+def shared(start: np.ndarray, move: np.ndarray, own: np.ndarray, once: np.ndarray, voc: Vocabulary, prior: float = 20.0) -> Shared:
+    """As ``finished``, from the sums by state: ``own`` of the words with emissions of their own, ``once`` of those seen once."""
+    whole = voc.tokens + 0.5 * voc.words
+    each = prior / max(whole, 1e-9)
+    total = np.maximum(own + once + each * whole, 1e-300)
+    single = (once + each * 1.5 * voc.once) / total
+    unseen = np.maximum(single, 0.5 / (whole + 0.5))
+    return Shared(start, move, (1 - unseen) / total, single * (1 - unseen), unseen, each)
+
+
+def first(voc: Vocabulary, states: int) -> Shared:
+    """States that stay, with the corpus' word frequencies disturbed."""
+    move = np.full((states, states), 0.2 / max(1, states - 1))
+    np.fill_diagonal(move, 0.8 if states > 1 else 1.0)
+    return shared(np.full(states, 1 / states), move, voc.begin, 1.5 * voc.once * disturbed(ONCE, states)[:, 0], voc)
+
+
+def _next(counts: np.ndarray, voc: Vocabulary, k: int) -> Shared:
+    start, move = counts[:k] + 0.1, counts[k:k + k * k].reshape(k, k) + 0.1
+    own, once = counts[k + k * k:2 * k + k * k], counts[2 * k + k * k:-1]
+    return shared(start / start.sum(), move / move.sum(axis=1, keepdims=True), own, once, voc)
+
+
+def _local(sh: Shared, words: list[np.ndarray], expected: list[bytes] | None) -> Model:
+    """The model over a block's own words, words seen once and unseen words."""
+    h, count, k = words[0], words[1] + 0.5, len(sh.start)
+    if expected is None:
+        e = count * disturbed(h, k)
+    else:
+        e = np.concatenate([np.zeros((k, 0)), *(np.frombuffer(d, "<f4").reshape(k, -1) for d in expected)], axis=1)
+    return Model(sh.start, sh.move, np.concatenate([(e + sh.prior * count) * sh.scale[:, None], sh.once[:, None], sh.unseen[:, None]], axis=1))
+
+
+def _over_blocks(coded: DataFrame, totals: DataFrame | None, run, schema: str) -> DataFrame:
+    """``run(block, ids, tokens, words, expected counts by shard)`` for each block, which gives a record batch."""
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for head, data in zip(batch.column(0), batch.column(1)):
-                _, _, held, sizes, *_ = B.unpack(head.as_py())
-                tokens = B.unpack(data.as_py())[0]
-                use = held == 0
-                tokens, sizes = tokens[np.repeat(use, sizes)], sizes[use]
-                if len(sizes):
-                    got = expected_counts(tokens, sizes, model)
-                    total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()),
-                                              "data": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                yield run(*row, None)
+
+    def met(table: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("shard")
+        return pa.Table.from_batches([run(*(c[0].as_py() for c in table.columns), answers["data"].to_pylist())])
+
+    if totals is None:
+        return coded.mapInArrow(plain, schema)
+    return coded.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(met, schema)
+
+
+def _e_step(sh: Shared):
+    """Rows of MESSAGE_SCHEMA: shard -1 gets a block's starts, moves, emissions by state and likelihood, the others its words'."""
+
+    def run(block: int, ids: bytes, tokens: bytes, words: bytes, expected: list[bytes] | None) -> pa.RecordBatch:
+        _, _, held, sizes, *_ = B.unpack(ids)
+        words = B.unpack(words)
+        model, use = _local(sh, words, expected), held == 0
+        k, c = model.emit.shape
+        got = expected_counts(B.unpack(tokens)[0][np.repeat(use, sizes)], sizes[use], model)
+        emit = got[k + k * k:-1].reshape(k, c)
+        rows = [(block, -1, np.concatenate([got[:k + k * k], emit[:, :c - 2].sum(axis=1), emit[:, c - 2], got[-1:]]).astype("<f8").tobytes())]
+        _, _, spot, shards, n = words
+        ends = np.concatenate([[0], np.cumsum(n)])
+        rows += [(block, int(s), spot[a:b].astype("<i4").tobytes() + emit[:, a:b].astype("<f4").tobytes())
+                 for s, a, b in zip(shards, ends, ends[1:]) if b > a]
+        return B.messages(rows)
 
     return run
 
 
+def _total(states: int):
+    """A shard's expected counts of its words by state, back to the blocks."""
+
+    def reply(shard: int, ids: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        got = []
+        for d in data:
+            n = len(d) // (4 + 4 * states)
+            got.append((np.frombuffer(d, "<i4", n), np.frombuffer(d, "<f4", n * states, 4 * n).reshape(states, n)))
+        total = np.zeros((states, 1 + max(int(spot.max()) for spot, _ in got)))
+        for spot, e in got:
+            total[:, spot] += e
+        for block, (spot, _) in zip(ids, got):
+            yield block, total[:, spot].astype("<f4").tobytes()
+
+    return reply
+
+
 RESULT = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for head, data in zip(batch.column(0), batch.column(1)):
-                ids, valid, held, sizes, base, within, known = B.unpack(head.as_py())
-                own = log10_likelihoods(B.unpack(data.as_py())[0], sizes, model)
-                yield pa.RecordBatch.from_pydict({
-                    "id": pa.array(ids, pa.int64(), mask=valid == 0), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(sizes, pa.int64()),
-                    "n_known": pa.array(known, pa.int64()), "base_score": base, "score": own + within})
+def _score(sh: Shared):
+    def run(block: int, ids: bytes, tokens: bytes, words: bytes, expected: list[bytes] | None) -> pa.RecordBatch:
+        ids, valid, held, sizes, base, within, known = B.unpack(ids)
+        own = log10_likelihoods(B.unpack(tokens)[0], sizes, _local(sh, B.unpack(words), expected))
+        return pa.RecordBatch.from_pydict({
+            "id": pa.array(ids, pa.int64(), mask=valid == 0), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(sizes, pa.int64()),
+            "n_known": pa.array(known, pa.int64()), "base_score": base, "score": own + within})
 
     return run
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, states: int = 8, iterations: int = 6,
-          top: int = 3072, hashed: int = 1024, log: list | None = None) -> DataFrame:
+          log: list | None = None) -> DataFrame:
     """Train on the documents that are not held out and score all: id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10). ``log`` gets the training log likelihood before each iteration."""
     scratch = Scratch(df.sparkSession, "hmm")
@@ -425,18 +491,24 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, stat
     shards = 1 << max(5, (total // (64 << 20)).bit_length())
     sent = scratch.write(stored.select("block", "data").mapInArrow(_encode(shards), B.MESSAGE_SCHEMA), "encoded", codec="uncompressed")
     scratch.drop("blocks")
-    replies = scratch.write(B.answer(sent.where("shard >= 0"), _count(hashed, top)), "counts", codec="uncompressed")
-    classes, n, v = _vocabulary(replies.where("block < 0"), hashed, top)
-    coded = sent.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(_code(classes, n, v, shards), CODED)
+    replies = scratch.write(B.answer(sent.where("shard >= 0"), _count(states)), "counts", codec="uncompressed")
+    voc = _vocabulary(replies.where("block < 0"), states)
+    coded = sent.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(_code(voc), CODED)
     coded = scratch.write(coded, "coded", codec="uncompressed")
     scratch.drop("encoded")
     scratch.drop("counts")
-    model = initial(classes, states)
-    for k in range(iterations if n else 0):
-        counts = _fold(scratch, coded.select("ids", "tokens").mapInArrow(_e_step(model), "part long, data binary"), f"em-{k}")
+    sh, totals = first(voc, states), None
+    for k in range(iterations if voc.tokens else 0):
+        out = scratch.write(_over_blocks(coded, totals, _e_step(sh), B.MESSAGE_SCHEMA), f"expected-{k}", codec="uncompressed")
+        parts = out.where("shard < 0").select(F.shiftright("block", 32).alias("part"), "data")
+        counts = _fold(scratch, parts, f"em-{k}")
         if log is not None:
             log.append(float(counts[-1]))
-        model = maximize(counts, classes, states)
-    out = coded.select("ids", "tokens").mapInArrow(_score(model), RESULT)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        if totals is not None:
+            scratch.drop(f"totals-{k - 1}")
+        totals = scratch.write(B.answer(out.where("shard >= 0"), _total(states)), f"totals-{k}", codec="uncompressed")
+        scratch.drop(f"expected-{k}")
+        sh = _next(counts, voc, states)
+    out = _over_blocks(coded, totals, _score(sh), RESULT)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(voc.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")

@@ -3,8 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quarry.llm import blocks as B
 from quarry.llm import hmm_lm as H
 from quarry.llm.queries import QUERIES
 from tests.llm.common import EDGE, documents
@@ -78,6 +80,33 @@ def test_query_trains_six_iterations(spark, monkeypatch):
     assert len(log) == 6
 
 
+def dense(rows, states, iterations):
+    """Scores by a model in one piece, in which every word seen twice or more is a class."""
+    ids, held, sizes, known, _, number = H._read_block(B.to_ipc(pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]})))
+    count = np.bincount(number[np.repeat(~held, sizes)], minlength=len(known))
+    own, once = count > 1, (count == 1).sum()
+    c = H.Classes(known[own], 0, np.concatenate([count[own] + 0.5, [1.5 * once, 0.5]]))
+    cls = np.where(own, np.cumsum(own) - 1, np.where(count == 1, c.once, c.unseen))
+    emit = c.mass * np.concatenate([H.disturbed(np.append(c.top, H.ONCE), states), np.zeros((states, 1))], axis=1)
+    m = H.initial(c, states)
+    m = H.finished(m.start, m.move, emit, c)
+    use = np.repeat(~held, sizes)
+    for _ in range(iterations):
+        m = H.maximize(H.expected_counts(cls[number][use], sizes[~held], m, np.float64), c, states)
+    within = np.where(count == 1, -np.log10(once), 0)[number]
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    return len(c.top), dict(zip(ids.to_pylist(), H.log10_likelihoods(cls[number], sizes, m) + np.add.reduceat(within, starts)))
+
+
+def test_every_word_seen_twice_has_emissions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"t{i % 3}w{x}" for x in rng.integers(0, 3000, 200)) + f" only{i}") for i in range(250)]
+    classes, want = dense(rows, 3, 3)
+    assert classes > 4098  # more than the shared classes of before
+    got = {r.doc_id: r.score for r in H.score(documents(spark, rows), states=3, iterations=3).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-5) for i, x in want.items()}
+
+
 def test_training_raises_the_likelihood_and_probabilities_sum_to_one(spark):
     log = []
     rows = [(i, ("der die das und " if i % 2 else "the of and to ") * (i % 9 + 1)) for i in range(80)]
