@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm import sql
 
@@ -75,14 +76,20 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def ranked(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with the place of each value among the column's distinct ones, null for null."""
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("__value")).distinct()
+    places = values.withColumn(out, F.row_number().over(Window.orderBy("__value")))  # one row for each value
+    return df.join(F.broadcast(places), F.col(col) == F.col("__value"), "left").drop("__value")
+
+
 @query("op10_kd_sharding")
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.kd_sharding import assign
     text = F.coalesce(F.encode("text", "utf-8"), F.lit("").cast("binary"))
-    place = lambda c: F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10)
-    docs = _documents(spark, sf_dir).select(
+    docs = ranked(ranked(_documents(spark, sf_dir), "lang", "lang_rank"), "source", "source_rank").select(
         "doc_id", text.alias("raw"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"),
-        place("lang").cast("double").alias("lang"), place("source").cast("double").alias("source"))
+        F.col("lang_rank").cast("double").alias("lang"), F.col("source_rank").cast("double").alias("source"))
     # equal texts are known by their digest, from which the checksum is recovered after the join
     key = F.concat(F.unhex(F.md5("raw")), F.unhex(F.lpad(F.hex("crc"), 8, "0")))
     from quarry.llm.shared import Scratch

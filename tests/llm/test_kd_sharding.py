@@ -32,6 +32,16 @@ def test_query(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_sources_of_a_common_prefix_are_split(spark, tmp_path):
+    rows = [(i, f"text {i:04d} of one length", "en", f"common_prefix_{i % 40:02d}", 26) for i in range(2000)]
+    rows += [(2000, "text 2000 of one length", "en", None, 26)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    source, spread = {r[0]: r[3] for r in rows}, defaultdict(set)
+    for r in QUERIES["op10_kd_sharding"](spark, str(tmp_path)).collect():
+        spread[r.shard].add(source[r.doc_id])
+    assert len(spread) == 40 and max(map(len, spread.values())) <= 4
+
+
 def test_hot_group_nulls_and_ties(spark):
     rows = [(i, "hot", 10, None, "x") for i in range(1000)] + [(1000 + i, f"g{i // 2}", 10, float(i % 7), "y") for i in range(2000)]
     rows += [(None, None, None, None, None), (4000, None, 5, 1.0, None)]
