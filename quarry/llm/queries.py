@@ -151,3 +151,11 @@ def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.hmm_lm import score
     return score(_documents(spark, sf_dir), "doc_id", "text", states=8, iterations=6)
+
+
+@query("op13_merkle_manifest", sql.MERKLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.merkle_manifest import lower_ascii, verified_proofs
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return verified_proofs(_documents(spark, sf_dir), "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"],
+                           {"text": lower_ascii("text")}, chosen)

@@ -84,3 +84,54 @@ verdict AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept
 FROM judged JOIN verdict USING (doc_id)
 """
+
+
+def _merkle(levels: int = 7) -> str:
+    """Trees of up to 16 ** levels leaves: every level's digests, siblings before and after, and the fold along them."""
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    crc = ("xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), "
+           "lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1]::UBIGINT[], "
+           "lambda x, k: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)")
+    ctes = [f"""base AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+              CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} END AS altered FROM documents)""",
+            """d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+              count(*) OVER (PARTITION BY source) AS n FROM base)""",
+            """s0 AS (SELECT source, i, n, leaf AS h FROM d)"""]
+    for k in range(levels):
+        over = ("OVER (PARTITION BY source, i // 16 ORDER BY i ROWS BETWEEN {})")
+        ctes += [f"""p{k} AS (SELECT source, i, n > 1 AS up,
+                   coalesce(string_agg(h, '') {over.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS before,
+                   coalesce(string_agg(h, '') {over.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS after FROM s{k})""",
+                 f"""s{k + 1} AS (SELECT source, i // 16 AS i, (n + 15) // 16 AS n,
+                   CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM s{k} GROUP BY source, i // 16, n)"""]
+    ctes.append(f"t0 AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM s{levels})")
+    for k in range(levels):
+        over = ("OVER (PARTITION BY i // 16 ORDER BY i ROWS BETWEEN {})")
+        ctes += [f"""q{k} AS (SELECT i, n > 1 AS up,
+                   coalesce(string_agg(h, '') {over.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS before,
+                   coalesce(string_agg(h, '') {over.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS after FROM t{k})""",
+                 f"""t{k + 1} AS (SELECT i // 16 AS i, (n + 15) // 16 AS n,
+                   CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM t{k} GROUP BY i // 16, n)"""]
+    ctes.append(f"""f0 AS (SELECT d.doc_id, d.source, d.i, d.leaf, s.h AS subroot, t0.i AS ti, (SELECT h FROM t{levels}) AS root,
+                   coalesce(d.altered, d.leaf) AS h, '' AS proof
+                   FROM d JOIN s{levels} s ON s.source IS NOT DISTINCT FROM d.source JOIN t0 ON t0.source IS NOT DISTINCT FROM d.source)""")
+    for k in range(levels):
+        ctes.append(f"""f{k + 1} AS (SELECT f.* EXCLUDE (h, proof, i), f.i // 16 AS i,
+                   CASE WHEN p.up THEN sha256(before || h || after) ELSE h END AS h, proof || CASE WHEN p.up THEN before || after ELSE '' END AS proof
+                   FROM f{k} f JOIN p{k} p ON p.source IS NOT DISTINCT FROM f.source AND p.i = f.i)""")
+    for k in range(levels):
+        ctes.append(f"""g{k + 1} AS (SELECT f.* EXCLUDE (h, proof, ti), f.ti // 16 AS ti,
+                   CASE WHEN p.up THEN sha256(before || h || after) ELSE h END AS h, proof || CASE WHEN p.up THEN before || after ELSE '' END AS proof
+                   FROM {f'g{k}' if k else f'f{levels}'} f JOIN q{k} p ON p.i = f.ti)""")
+    return ("WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM g{levels}""")
+
+
+#: The digests of every level, and each row folded along its siblings.
+MERKLE = _merkle()
