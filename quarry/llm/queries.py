@@ -159,3 +159,26 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return verified_proofs(_documents(spark, sf_dir), "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"],
                            {"text": lower_ascii("text")}, chosen)
+
+
+#: (verdict, host, path) of the URL contract.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op12_url_rules", sql.URLS)
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels speak of pages by their number: a page is bad if it is labelled toxic or of quality 0."""
+    from quarry.llm.url_rules import judge
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null or quality is not null")
+    bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", labels.select(F.col("doc_id").alias("id"), bad.alias("bad")),
+                 URL_RULES, min_rows=25, min_support=0.001, min_confidence=0.5)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+    from quarry.llm.token_alignment import align
+    out = align(_documents(spark, sf_dir), "doc_id", "text", P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

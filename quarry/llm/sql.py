@@ -135,3 +135,31 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_r
 
 #: The digests of every level, and each row folded along its siblings.
 MERKLE = _merkle()
+
+#: The longest listed rule; else any set of url tokens of enough support and confidence among labelled pages blocks.
+URLS = r"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS cut FROM pages),
+b AS (SELECT page_id, u, CASE WHEN cut > 0 THEN substr(u, cut + 3) ELSE '' END AS rest FROM a),
+c AS (SELECT page_id, u, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM b),
+d AS (SELECT page_id, u, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM c),
+rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(verdict, name, start)),
+e AS (SELECT d.*, (SELECT max({'n': length(name || start), 'rule': name || start, 'verdict': verdict}) FROM rules
+                   WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS best,
+             array_to_string(list_sort(list_distinct(list_transform(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'),
+                                                                    lambda x: split_part(x, '=', 1)))), '&') AS names FROM d),
+f AS (SELECT page_id, host, path, best, CASE WHEN host = '' THEN [] ELSE list_filter([
+        'scheme:' || lower(split_part(u, '://', 1)), 'host:' || host, 'domain:' || regexp_extract(host, '(?s)^[^.]*\.(.+)\z', 1),
+        'name:' || regexp_extract(host, '^([^.]*)\.', 1), 'dir:' || regexp_replace(regexp_extract(path, '(?s)^.*/'), '[0-9]+', '0', 'g'),
+        'ext:' || regexp_extract(path, '\.([^./]*)\z', 1), 'query:' || names,
+        'fragment:' || CASE WHEN contains(u, '#') THEN 'yes' ELSE '' END], lambda x: NOT regexp_matches(x, '^[a-z]+:\z')) END AS items FROM e),
+bad AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false) OR coalesce(quality = 0, false)) AS bad FROM labels
+        WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
+known AS (SELECT list_sort(items) AS items, bad FROM f JOIN bad ON doc_id = page_id WHERE len(items) > 0),
+sets AS (SELECT items, bad, unnest(generate_series(1, (1 << len(items)) - 1)) AS mask FROM known),
+mined AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s, count(*) AS n, count(*) FILTER (bad) AS b FROM sets GROUP BY 1
+          HAVING b >= 25 AND b >= 0.001::DOUBLE * (SELECT count(*) FROM known) AND b >= 0.5::DOUBLE * n)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM mined WHERE list_has_all(items, s))
+       THEN 'block' ELSE 'allow' END) AS verdict FROM f
+"""
