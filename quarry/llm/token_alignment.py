@@ -291,11 +291,11 @@ def _node(part, lane, data: bytes) -> pa.Table:
     return pa.table({"part": pa.array([part], pa.int32()), "lane": pa.array([lane], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
-def _count_runs(key, table: pa.Table) -> pa.Table:
+def _count_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _node(key[0].as_py(), key[1].as_py(), write_run(merge([pairs_of(read_run(d.as_py())) for d in table["data"]])))
 
 
-def _merge_lanes(key, table: pa.Table) -> pa.Table:
+def _merge_lanes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _node(key[0].as_py(), key[1].as_py(), write_run(merge([read_run(d.as_py()) for d in table["data"]])))
 
 
@@ -305,7 +305,7 @@ def _maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _node(part.as_py(), lane.as_py(), write_run(with_maxima(read_run(data.as_py())))).to_batches()
 
 
-def _answer_lanes(key, answers: pa.Table, below: pa.Table) -> pa.Table:
+def _answer_lanes(key: tuple[pa.Scalar, ...], answers: pa.Table, below: pa.Table) -> pa.Table:
     """The parent's answers, for each child's own pairs."""
     out = []
     for lane, data in zip(below["lane"].to_pylist(), below["data"]):
@@ -315,7 +315,7 @@ def _answer_lanes(key, answers: pa.Table, below: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _node(0, 0, b"").slice(0, 0)
 
 
-def _contribute(key, answers: pa.Table, runs: pa.Table) -> pa.Table:
+def _contribute(key: tuple[pa.Scalar, ...], answers: pa.Table, runs: pa.Table) -> pa.Table:
     """Sums of a lane's runs over their documents: n_best and count_sum of one radix."""
     blocks, out = [], []
     for block, data in zip(runs["block"].to_pylist(), runs["data"]):
@@ -333,7 +333,7 @@ def _contribute(key, answers: pa.Table, runs: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
 
 
-def _finish(key, docs: pa.Table, sums: pa.Table) -> pa.Table:
+def _finish(key: tuple[pa.Scalar, ...], docs: pa.Table, sums: pa.Table) -> pa.Table:
     table = from_ipc(docs["data"][0].as_py())
     best, total = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, np.int64)
     for data in sums["data"]:

@@ -89,7 +89,7 @@ def test_many_lanes_and_chunks(spark, monkeypatch):
     """Small blocks, lanes and chunks: several levels of the tree, chunks that split a pair's records."""
     for name, value in {"BLOCK_BYTES": 500, "TOGETHER_BYTES": 300, "CHUNK": 7, "LANE_BLOCKS": 2, "FAN_IN": 3}.items():
         monkeypatch.setattr(T, name, value)
-    import cloudpickle
+    from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(T)  # workers get the small sizes too
     try:
         rows = [r for r in corpus() if len(r[1] or "") < 6000]
