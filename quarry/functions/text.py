@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values (must equal the reference's for equal results) -----------------------------
+from quarry.functions import sqltokens as K
+from quarry.functions.sqltokens import WS, WS_CHARS
 
-# Python's str.strip()/\s whitespace set, written as a regex class body usable by Java and RE2.
-WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# --- fixed values (must equal the reference's for equal results) -----------------------------
 
 # Dialect filter keywords, in the reference's order (first hit names the reason).
 DUCKDB_KEYWORDS = ["PRAGMA", "ATTACH", "DETACH", "INSTALL", "LOAD",
@@ -50,10 +50,6 @@ SPARK_ERROR_CLASSES = [("TABLE_OR_VIEW_NOT_FOUND", "table_name_error"),
 
 RESPONSE_MARKER = "### Response:"
 
-# An innermost parenthesized group. A class repeated by itself does not recurse in Java's matcher, so its
-# length is not limited by the stack; nesting is removed from the inside, one level at a time.
-PAREN_GROUP = r"\([^()]*\)"
-
 # --- basic string helpers --------------------------------------------------------------------
 
 
@@ -61,10 +57,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# The same whitespace set as characters (Python's own definition, generated by rule).
-WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
-
-
 def py_strip(c) -> Column:
     """Python ``str.strip()``: removes all Unicode whitespace at both ends. Spark's one-argument ``trim``
     removes only spaces, so the character set is given explicitly (a scan from both ends, no regex)."""
@@ -85,14 +77,18 @@ def rstrip_chars(c, chars: str) -> Column:
 # --- SC-1 / SC-2 / SC-3: dedup keys ------------------------------------------------------------
 
 
+_WS_ODD = WS.replace(" ", "", 1)  # white space besides the blank
+
+
 def normalize_question(c) -> Column:
     """SC-1: lower -> strip -> collapse whitespace -> drop punctuation (keeps letters, numbers, ``_``).
 
     Collapsing first turns any leading/trailing whitespace run into one space, so a space-only ``trim``
-    afterwards equals strip-then-collapse with one regex pass less.
+    afterwards equals strip-then-collapse with one regex pass less. Single blanks are matched by neither regex, and
+    punctuation is removed in runs.
     """
-    q = F.trim(collapse_ws(F.lower(_c(c))))
-    return F.regexp_replace(q, f"[^\\p{{L}}\\p{{N}}_{WS}]", "")
+    q = F.trim(F.regexp_replace(F.lower(_c(c)), f" [{WS}]+|[{_WS_ODD}][{WS}]*", " "))
+    return F.regexp_replace(q, f"[^\\p{{L}}\\p{{N}}_{WS}]+", "")
 
 
 def question_hash(c) -> Column:
@@ -101,8 +97,8 @@ def question_hash(c) -> Column:
 
 
 def normalize_sql(c) -> Column:
-    """SC-3: whitespace collapsed, stripped, upper-cased."""
-    return F.upper(py_strip(collapse_ws(_c(c))))
+    """SC-3: keywords upper-cased, whitespace between tokens collapsed, stripped; literals, names and comments stay."""
+    return K.normalized(c)
 
 
 # --- FLT-3 / FLT-4 / SC-10: dialect and statement type ------------------------------------------
@@ -123,58 +119,30 @@ def dialect_reason(sql, word_boundary: bool = False) -> Column:
 
 
 def strip_sql_comments(sql) -> Column:
-    s = F.regexp_replace(_c(sql), r"(?s)/\*.*?\*/", " ")
-    return F.regexp_replace(s, r"--[^\n]*", " ")
-
-
-def _lead_word(body: Column) -> Column:
-    return F.upper(F.regexp_extract(body, r"^[\s(]*([A-Za-z_]+)", 1))
-
+    """Each comment replaced by a space; comment marks inside literals and quoted names are text."""
+    return K.without_comments(sql)
 
-def _without_groups(sql: Column) -> Column:
-    """String literals blanked and parenthesized groups removed, as many levels as the text has."""
-    blank = F.regexp_replace(sql, r"'[^']*'", "''")
-    marks = F.split(F.regexp_replace(blank, r"[^()]+", ""), "")
-    depth = F.aggregate(
-        marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda s, m: F.struct(F.greatest(F.lit(0), s["now"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("now"),
-                              F.greatest(s["most"], s["now"] + F.when(m == "(", 1).otherwise(0)).alias("most")),
-        lambda s: s["most"])
-    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(levels, blank, lambda w, _: F.regexp_replace(w, PAREN_GROUP, " "))
 
-
-def _with_main(body: Column) -> Column:
-    w = _without_groups(body)
-    main = F.upper(F.regexp_extract(w, r"(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b", 1))
-    return F.coalesce(F.nullif(main, F.lit("")), F.lit("UNKNOWN"))
-
-
-def _type_from(lead: Column, main: Column) -> Column:
+def _type_of(code: Column) -> Column:
+    """Statement type from an array of code tokens."""
     known = F.create_map(*[x for k in KNOWN_STATEMENT_WORDS for x in (F.lit(k), F.lit(k))])
-    return F.when(lead == "WITH", main).otherwise(F.coalesce(F.element_at(known, lead), F.lit("UNKNOWN")))
+    lead = K.lead_word(code)
+    return F.coalesce(F.when(lead == "WITH", K.main_word(code)).otherwise(F.element_at(known, lead)), F.lit("UNKNOWN"))
 
 
 def statement_type(sql) -> Column:
-    """SC-10: statement type from text.
+    """SC-10: statement type from the tokens of a text.
 
-    Comments are removed; the leading word decides. For ``WITH`` the string literals are blanked
-    and parenthesized groups removed (any nesting) so the main statement keyword is the first SELECT/INSERT/UPDATE/DELETE word left. Unknown words type as UNKNOWN.
+    The first word that is no comment or opening parenthesis decides. For ``WITH`` it is the first SELECT/INSERT/UPDATE/DELETE
+    outside all parentheses. Words inside literals, quoted names and comments are text. Unknown words type as UNKNOWN, as does null.
     """
-    body = strip_sql_comments(sql)
-    return _type_from(_lead_word(body), _with_main(body))
+    return F.when(_c(sql).isNull(), F.lit("UNKNOWN")).otherwise(K.let(K.code(K.tokens(sql)), _type_of))
 
 
 def with_statement_type(df, sql: str = "sql", out: str = "statement_type"):
-    """``statement_type`` as staged projections: each regex is evaluated once per row and the generated
-    code stays small when many checks are fused into one stage."""
-    body = "_st_body"
-    df = df.withColumn(body, strip_sql_comments(F.col(sql)))
-    df = df.withColumn("_st_lead", _lead_word(F.col(body)))
-    df = df.withColumn("_st_main", F.when(F.col("_st_lead") == "WITH",
-                                          _with_main(F.col(body))))
-    return df.withColumn(out, _type_from(F.col("_st_lead"), F.col("_st_main"))) \
-             .drop(body, "_st_lead", "_st_main")
+    """``statement_type`` as staged projections: a text is cut into tokens once per row."""
+    df = df.withColumn("_st_code", K.code(K.tokens(sql)))
+    return df.withColumn(out, F.when(F.col(sql).isNull(), F.lit("UNKNOWN")).otherwise(_type_of(F.col("_st_code")))).drop("_st_code")
 
 
 def validity_reason(sql, word_boundary: bool = False, check_dialect: bool = True,
@@ -299,30 +267,10 @@ def evidence_text(pred, gold, match, error) -> Column:
                     F.lit("\nError: "), F.coalesce(_c(error), F.lit("None")))
 
 
-def top_level(sql) -> Column:
-    """SQL text with parenthesized groups removed — what is left is top level."""
-    return _without_groups(_c(sql))
-
-
-# Words that end a FROM list (the FROM item, or comma-separated items, stops before them).
-FROM_LIST_END = ["WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "GROUP", "ORDER",
-                 "LIMIT", "HAVING", "UNION", "INTERSECT", "EXCEPT", "ON", "USING", "WINDOW"]
-FROM_END_MARK = "\u0001"
-
-
-def from_list_marked(sql) -> Column:
-    """Top-level SQL with each FROM-list terminator replaced by a marker character."""
-    pat = r"(?i)\s+(" + "|".join(FROM_LIST_END) + r")\b"
-    return F.regexp_replace(top_level(sql), pat, FROM_END_MARK)
-
-
 def from_tables(sql) -> Column:
     """SC-17: the items of each top-level FROM list, alias attached (``customer c``); JOINed tables are
     not collected."""
-    segs = F.regexp_extract_all(from_list_marked(sql), F.lit(r"(?i)\bFROM\s+([^" + FROM_END_MARK + r";]+)"),
-                                F.lit(1))
-    items = F.flatten(F.transform(segs, lambda s: F.split(s, ",")))
-    return F.filter(F.transform(items, lambda x: py_strip(x)), lambda x: x != "")
+    return K.from_items(sql)
 
 
 def method_label(method) -> Column:

@@ -126,8 +126,14 @@ def variations(df: DataFrame, n_variations: int = 3, id_col: str = "example_id",
         .withColumn("_s_limit", add_limit(sql, id_col, seed)) \
         .withColumn("_s_order", F.when(F.coalesce(F.size(cols), F.lit(0)) > 0, add_order_by(sql, cols, id_col, seed))) \
         .withColumn("_s_simple", simplify(sql))
-    for c in ("sql", "_s_rename", "_s_limit", "_s_order", "_s_simple"):
-        d = T.with_statement_type(d, c, "_t" + c)
+    d = T.with_statement_type(d, "sql", "_tsql")
+    # An unchanged text keeps its type, and an appended LIMIT changes none; an appended ORDER BY could only give an unknown text
+    # a main word (its column's name), so few texts are cut into tokens again.
+    again = {"_s_rename": ~F.col("_s_rename").eqNullSafe(sql), "_s_simple": ~F.col("_s_simple").eqNullSafe(sql),
+             "_s_order": F.col("_s_order").isNotNull() & (F.col("_tsql") == "UNKNOWN")}
+    for c, changed in again.items():
+        d = d.withColumn("_t" + c, F.when(changed, T.statement_type(c)).otherwise(F.col("_tsql")))
+    d = d.withColumn("_t_s_limit", F.col("_tsql"))
     ok = {c: F.coalesce(F.col("_t" + c) == "SELECT", F.lit(False))
           for c in ("sql", "_s_rename", "_s_limit", "_s_order", "_s_simple")}
     # (augmentation, question, sql, db_id, present, checked, ok)

@@ -1,16 +1,42 @@
 """DuckDB SQL for the adapters, used by ``oracle_sql()`` in ``__spark_entry__``.
 
-These strings re-state the adapter rules of ``quarry.sources.adapters`` in DuckDB SQL over the
-pre-registered driver views, so every oracle reads the same parquet tables as the Spark query.
-Regexes use RE2 syntax that means the same as the Java patterns in ``quarry.functions.text``.
+These strings re-state the adapter rules of ``quarry.sources.adapters`` and the functions under test in DuckDB SQL over the
+pre-registered driver views, so every oracle reads the same parquet tables as the Spark query. Nothing is
+imported from the code under test: lists, patterns and weights are written out here. Regexes use RE2 syntax.
 """
 
 from __future__ import annotations
 
-from quarry.functions import text as T
-from quarry.sources.adapters import EVAL_ERRORS, METHODS, SOURCE_NAMES, SOURCE_PRIORITY
-
-WS = T.WS
+# --- fixed values -------------------------------------------------------------------------------------
+
+# Python's white space, as a regex class body.
+WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SOURCES = ["spider", "sqale", "gretel", "sql_context", "know_sql"]
+PRIORITIES = [5, 4, 3, 2, 1]
+METHODS = ["zero_shot", "few_shot", "self_correction"]
+ERRORS = ["no such table: x", "no such column: y", 'near "z": syntax error', "out of memory"]
+ERROR_CLASSES = [("no such table", "table_name_error"), ("no such column", "column_name_error"), ("syntax", "syntax_error")]
+DUCKDB_WORDS = ["PRAGMA", "ATTACH", "DETACH", "INSTALL", "LOAD", "DESCRIBE", "SUMMARIZE", "UNNEST", "STRUCT_PACK"]
+POSTGRES_WORDS = ["RETURNING", "ILIKE", "SIMILAR TO", "::", "LATERAL", "GENERATE_SERIES"]
+VALID_TYPES = ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]
+KNOWN_TYPES = VALID_TYPES + ["REPLACE", "MERGE"]
+COMPLEXITY = [("simple_select", r"^\s*SELECT\s+.*\s+FROM\s+\w+\s*;?\s*$"), ("with_where", "WHERE"), ("with_join", "JOIN"),
+              ("with_aggregation", "(COUNT|SUM|AVG|MIN|MAX|GROUP BY)"), ("with_subquery", "SELECT.*SELECT"),
+              ("with_union", "UNION"), ("with_order_limit", "(ORDER BY|LIMIT)")]
+SQL_ENDS = ["\n\n", "###", "Question:", "Schema:", "--"]
+FROM_ENDS = ["WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "GROUP", "ORDER", "LIMIT", "HAVING",
+             "UNION", "INTERSECT", "EXCEPT", "ON", "USING", "WINDOW"]
+SQL_WORDS = """
+ADD ALL ALTER AND ANY AS ASC BEGIN BETWEEN BY CASE CAST CHECK COLLATE COLUMN COMMIT CONSTRAINT CREATE CROSS
+CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP DATABASE DEFAULT DELETE DESC DISTINCT DROP ELSE END ESCAPE EXCEPT EXISTS
+EXPLAIN FETCH FIRST FOLLOWING FOR FOREIGN FROM FULL GLOB GROUP HAVING IF ILIKE IN INDEX INNER INSERT INTERSECT INTERVAL
+INTO IS JOIN KEY LAST LATERAL LEFT LIKE LIMIT MERGE NATURAL NOT NULL NULLS OFFSET ON OR ORDER OUTER OVER PARTITION
+PRAGMA PRECEDING PRIMARY RANGE RECURSIVE REFERENCES RENAME REPLACE RETURNING RIGHT ROLLBACK ROW ROWS SELECT SET SIMILAR
+TABLE TEMPORARY THEN TO TRUNCATE UNBOUNDED UNION UNIQUE UPDATE USING VALUES VIEW WHEN WHERE WINDOW WITH
+""".split()
+# Literal, quoted name, comment, member name, word, number, white space, anything else.
+SQL_TOKEN = (r"'[^']*'?" r'|"[^"]*"?' r"|`[^`]*`?|--[^\r\n]*|/\*(?s:.*?)(?:\*/|\z)|\.[\p{L}_][\p{L}\p{M}\p{N}_$]*"
+             r"|[\p{L}_][\p{L}\p{M}\p{N}_$]*|[0-9][0-9A-Za-z_]*" rf"|[{WS}]+|(?s:.)")
 
 
 def q(s: str) -> str:
@@ -30,40 +56,65 @@ def norm_question(x: str) -> str:
     return f"regexp_replace({collapse(strip(f'lower({x})'))}, '[^\\p{{L}}\\p{{N}}_{WS}]', '', 'g')"
 
 
+def words_in(words: list[str]) -> str:
+    return ", ".join(q(w) for w in words)
+
+
+def sql_tokens(x: str) -> str:
+    return f"regexp_extract_all({x}, {q(SQL_TOKEN)})"
+
+
 def norm_sql(x: str) -> str:
-    return f"upper({strip(collapse(x))})"
+    one = f"CASE WHEN regexp_matches(t, '^[{WS}]') THEN ' ' WHEN upper(t) IN ({words_in(SQL_WORDS)}) THEN upper(t) ELSE t END"
+    return strip(f"array_to_string(list_transform({sql_tokens(x)}, lambda t: {one}), '')")
+
+
+def code_tokens(x: str) -> str:
+    return f"list_filter({sql_tokens(x)}, lambda t: NOT regexp_matches(t, '^([{WS}]|--|/\\*)'))"
+
+
+def outside_groups(x: str, passes: int = 4) -> str:
+    for _ in range(passes):
+        x = f"regexp_replace({x}, '\\([^()]*\\)', ' ', 'g')"
+    return x
 
 
 def dialect_reason(x: str) -> str:
-    parts = [f"WHEN strpos(upper({x}), {q(k)}) > 0 THEN {q('Contains DuckDB keyword: ' + k)}"
-             for k in T.DUCKDB_KEYWORDS]
-    parts += [f"WHEN strpos(upper({x}), {q(k)}) > 0 THEN {q('Contains PostgreSQL-specific: ' + k)}"
-              for k in T.POSTGRES_SPECIFIC]
+    parts = [f"WHEN strpos(upper({x}), {q(k)}) > 0 THEN {q('Contains DuckDB keyword: ' + k)}" for k in DUCKDB_WORDS]
+    parts += [f"WHEN strpos(upper({x}), {q(k)}) > 0 THEN {q('Contains PostgreSQL-specific: ' + k)}" for k in POSTGRES_WORDS]
     return "CASE " + " ".join(parts) + " END"
 
 
-def statement_type(x: str, passes: int = 4) -> str:
-    body = f"regexp_replace(regexp_replace({x}, '(?s)/\\*.*?\\*/', ' ', 'g'), '--[^\\n]*', ' ', 'g')"
-    lead = f"upper(regexp_extract({body}, '^[\\s(]*([A-Za-z_]+)', 1))"
-    w = f"regexp_replace({body}, '''[^'']*''', '''''', 'g')"
-    for _ in range(passes):
-        w = f"regexp_replace({w}, '\\([^()]*\\)', ' ', 'g')"
-    main = f"upper(regexp_extract({w}, '(?i)\\b(SELECT|INSERT|UPDATE|DELETE)\\b', 1))"
-    known = ", ".join(q(k) for k in T.KNOWN_STATEMENT_WORDS)
+def statement_type(x: str) -> str:
+    code = code_tokens(x)
+    lead = f"upper(list_filter({code}, lambda t: t <> '(')[1])"
+    # literals and quoted names masked, then the first main word of what is left outside parentheses
+    masked = f"array_to_string(list_transform({code}, lambda t: CASE WHEN t[1] IN ('''', '\"', '`') THEN 'x' ELSE t END), ' ')"
+    main = f"upper(regexp_extract({outside_groups(masked)}, '(?i)(?:^| )(SELECT|INSERT|UPDATE|DELETE)(?: |$)', 1))"
     return (f"CASE WHEN {lead} = 'WITH' THEN (CASE WHEN {main} <> '' THEN {main} ELSE 'UNKNOWN' END) "
-            f"WHEN {lead} IN ({known}) THEN {lead} ELSE 'UNKNOWN' END")
+            f"WHEN {lead} IN ({words_in(KNOWN_TYPES)}) THEN {lead} ELSE 'UNKNOWN' END")
 
 
 def validity_reason(x: str) -> str:
-    valid = ", ".join(q(k) for k in T.VALID_STATEMENT_TYPES)
     st = statement_type(x)
-    return (f"coalesce({dialect_reason(x)}, CASE WHEN {st} IN ({valid}) THEN NULL "
+    return (f"coalesce({dialect_reason(x)}, CASE WHEN {st} IN ({words_in(VALID_TYPES)}) THEN NULL "
             f"ELSE 'Invalid statement type: ' || {st} END)")
 
 
+def from_tables(x: str) -> str:
+    """Items of the FROM lists outside parentheses, joined by a bar."""
+    one = (f"CASE WHEN regexp_matches(t, '^([{WS}]|--|/\\*)') THEN ' ' WHEN upper(t) = 'FROM' THEN chr(2) "
+           f"WHEN upper(t) IN ({words_in(FROM_ENDS)}) OR t = ';' THEN chr(1) WHEN t = ',' THEN chr(3) "
+           f"WHEN t IN ('(', ')') THEN t ELSE translate(t, '()', chr(4) || chr(5)) END")
+    top = outside_groups(f"array_to_string(list_transform({sql_tokens(x)}, lambda t: {one}), '')")
+    items = f"flatten(list_transform(string_split({top}, chr(2))[2:], lambda s: string_split(string_split(s, chr(1))[1], chr(3))))"
+    clean = f"list_transform({items}, lambda s: translate({strip('s')}, chr(4) || chr(5), '()'))"
+    return f"array_to_string(list_filter({clean}, lambda s: s <> ''), '|')"
+
+
 def complexity_tags(x: str) -> str:
     items = ", ".join(f"CASE WHEN regexp_matches(upper({x}), {q('(?is)' + p)}) THEN {q(name)} END"
-                      for name, p in T.SQL_PATTERNS)
+                      for name, p in COMPLEXITY)
     tags = f"list_filter([{items}], lambda t: t IS NOT NULL)"
     return f"(CASE WHEN len({tags}) = 0 THEN ['simple_select'] ELSE {tags} END)"
 
@@ -82,13 +133,23 @@ def sql_template(d: str = "doc_id") -> str:
       ELSE 'SELECT c_name FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer);' END"""
 
 
-_names = "[" + ", ".join(q(s) for s in SOURCE_NAMES) + "]"
-_prio = "CASE source_dataset " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SOURCE_PRIORITY.items()) + " ELSE 0 END"
+def sql_of_text(d: str = "doc_id", text: str = "text") -> str:
+    """The template with the document's text inside: as literal, as comment, in a WITH list, or in a line before it."""
+    t, base = f"coalesce({text}, '')", sql_template(d)
+    literal = f"replace({t}, '''', '''''')"
+    return f"""CASE {d} % 10 WHEN 0 THEN ({base}) || ' AND n_comment <> ''' || {literal} || ''''
+      WHEN 2 THEN ({base}) || ' /* ' || replace({t}, '*/', '* /') || ' */'
+      WHEN 5 THEN 'WITH n AS (SELECT ''' || {literal} || ''' AS note),' || substr({base}, 5)
+      WHEN 9 THEN '-- ' || regexp_replace({t}, '[\\r\\n]', ' ', 'g') || chr(10) || ({base}) ELSE {base} END"""
+
+
+_names = "[" + ", ".join(q(s) for s in SOURCES) + "]"
+_prio = "CASE source_dataset " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in zip(SOURCES, PRIORITIES)) + " ELSE 0 END"
 
 EXAMPLES = f"""examples0 AS (
   SELECT doc_id AS example_id,
          text AS question,
-         {sql_template()} AS sql,
+         {sql_of_text()} AS sql,
          CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'conv_' || (doc_id // 4) END AS db_id,
          {_names}[CAST(substr(source, 4) AS INTEGER) % 5 + 1] AS source_dataset
   FROM documents),
@@ -119,7 +180,7 @@ ranked AS (
 winners AS (SELECT * FROM ranked WHERE rk = 1)"""
 
 _methods = "[" + ", ".join(q(m) for m in METHODS) + "]"
-_errors = "[" + ", ".join(q(e) for e in EVAL_ERRORS) + "]"
+_errors = "[" + ", ".join(q(e) for e in ERRORS) + "]"
 
 EVAL_RESULTS = f"""eval_results AS (
   SELECT example_id, question, db_id,

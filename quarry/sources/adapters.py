@@ -71,6 +71,18 @@ def sql_template(doc_id: Column) -> Column:
     return t
 
 
+def sql_of_text(doc_id: Column, text: Column) -> Column:
+    """The template of a document with the text inside it: as a literal (0), a comment (2), a literal of a WITH list (5) or
+    a line comment before it (9)."""
+    base, k, t = sql_template(doc_id), doc_id % 10, F.coalesce(text, F.lit(""))
+    literal = F.replace(t, F.lit("'"), F.lit("''"))
+    before = F.when(k == 9, F.concat(F.lit("-- "), F.translate(t, "\r\n", "  "), F.lit("\n"))) \
+        .when(k == 5, F.concat(F.lit("WITH n AS (SELECT '"), literal, F.lit("' AS note),"))).otherwise(F.lit(""))
+    after = F.when(k == 0, F.concat(F.lit(" AND n_comment <> '"), literal, F.lit("'"))) \
+        .when(k == 2, F.concat(F.lit(" /* "), F.replace(t, F.lit("*/"), F.lit("* /")), F.lit(" */"))).otherwise(F.lit(""))
+    return F.concat(before, F.when(k == 5, F.substring(base, 5, 1 << 30)).otherwise(base), after)
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Example rows from documents (one per document).
 
@@ -85,7 +97,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = d.select(
         doc.alias("example_id"),
         F.col("text").alias("question"),
-        sql_template(doc).alias("sql"),
+        sql_of_text(doc, F.col("text")).alias("sql"),
         db_id.alias("db_id"),
         source_dataset.alias("source_dataset"),
     )
@@ -123,18 +135,21 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated text wrapping the example SQL in six ways by doc_id % 6."""
-    ex = examples(spark, sf_dir)
-    i, sql = F.col("example_id"), F.col("sql")
-    k = i % 6
-    text = (F.when(k == 0, sql)
+def wrapped_sql(example_id: Column, sql: Column) -> Column:
+    """Generated text that wraps a SQL text in six ways by the example's number."""
+    k = example_id % 6
+    return (F.when(k == 0, sql)
             .when(k == 1, F.concat(F.lit("```sql\n"), sql, F.lit("\n```")))
             .when(k == 2, F.concat(F.lit("]] "), sql))
             .when(k == 3, F.concat(F.lit("Here is the query you asked for: "), sql))
             .when(k == 4, F.concat(sql, F.lit("\n\nThis query answers the question.")))
             .otherwise(F.concat(sql, F.lit("; "))))
-    return ex.select("example_id", sql.alias("gold_sql"), text.alias("model_text"))
+
+
+def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated text wrapping the example SQL in six ways by doc_id % 6."""
+    ex = examples(spark, sf_dir)
+    return ex.select("example_id", F.col("sql").alias("gold_sql"), wrapped_sql(F.col("example_id"), F.col("sql")).alias("model_text"))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
