@@ -1,6 +1,6 @@
 """Command line for the end-to-end workflows.
 
-    python -m quarry prepare  --source spider=PATH --source sqale=PATH ... --out DIR [--catalog FILE] [--eval FILE]
+    python -m quarry prepare  --source spider=PATH --source sqale=PATH ... --out DIR [--catalog FILE] [--eval FILE] [--raw]
     python -m quarry assemble --kept DIR --out DIR [--weight spider=0.4 ...] [--template train_response_only]
     python -m quarry evaluate --predictions FILE --tables-dir DIR --out DIR [--timeout 60]
 
@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--catalog-jsonl", action="store_true", help="catalog is JSON Lines, not one array")
     p.add_argument("--eval")
     p.add_argument("--word-boundary", action="store_true")
+    p.add_argument("--raw", action="store_true", help="sources are in their own shapes and are unified first")
     a = sub.add_parser("assemble", help="split, weighted interleave, template, length filter")
     a.add_argument("--kept", required=True, help="the 'kept' folder written by prepare")
     a.add_argument("--out", required=True)
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "prepare":
         out = PL.prepare_corpus(spark, _pairs(args.source), args.out, catalog_path=args.catalog,
                                 eval_path=args.eval, word_boundary=args.word_boundary,
-                                catalog_multi_line=not args.catalog_jsonl)
+                                catalog_multi_line=not args.catalog_jsonl, raw=args.raw)
         print(json.dumps({"kept": out["kept"], "totals": out["totals"].first().asDict()}))
     elif args.cmd == "assemble":
         kept = spark.read.parquet(args.kept)

@@ -137,16 +137,37 @@ def ag13(spark, sf):
     return AU.expansion(d, AU.variations(d, 3))
 
 
+def feed_lines(spark, sf, damaged: bool) -> str:
+    """The augmentable rows as JSON Lines in a feed folder; damaged: every 11th line is cut short, every 7th lacks its SQL."""
+    d, i = A.questions_aug(spark, sf), F.col("example_id")
+    keep = {"ignoreNullFields": "false"}
+    line = F.to_json(F.struct(*d.columns), keep)
+    if damaged:
+        line = F.when(i % 7 == 0, F.to_json(F.struct(*[c for c in d.columns if c != "sql"]), keep)).otherwise(line)
+        line = F.when(i % 11 == 0, F.concat(line, F.lit("}"))).otherwise(line)
+    feed = J.scratch_path(spark, "feed")
+    d.select(line.alias("value")).write.text(feed)
+    return feed
+
+
 @register("STR-1", AUG + "SELECT * FROM variants")
 def str1(spark, sf):
     """Write the augmentable rows as JSONL files into a feed folder, stream them through, read the sink."""
-    feed = J.scratch_path(spark, "feed")
-    J.write_jsonl(A.questions_aug(spark, sf), feed)
-    sink = J.scratch_path(spark, "sink")
-    out = STR.run_available(spark, feed, sink, J.scratch_path(spark, "stream-ckpt"))
+    out = STR.run_available(spark, feed_lines(spark, sf, False), J.scratch_path(spark, "sink"), J.scratch_path(spark, "stream-ckpt"))
     return out.select("example_id", "variant", "augmentation", "question", "sql", "db_id")
 
 
+@register("STR-1-ACCOUNTS", O.with_(QA) + f"""SELECT count(*) AS lines, count(*) FILTER (WHERE example_id % 11 = 0) AS skipped,
+  count(*) FILTER (WHERE example_id % 11 <> 0 AND example_id % 7 = 0) AS absent,
+  count(*) FILTER (WHERE example_id % 11 <> 0 AND example_id % 7 <> 0 AND {O.validity_reason('sql')} IS NOT NULL) AS rejected,
+  count(*) FILTER (WHERE example_id % 11 <> 0 AND example_id % 7 <> 0 AND {O.validity_reason('sql')} IS NULL) AS passed FROM qa""")
+def str1_accounts(spark, sf):
+    """The stream's accounts over a feed with unparsable lines and absent keys."""
+    sink = J.scratch_path(spark, "sink")
+    STR.run_available(spark, feed_lines(spark, sf, True), sink, J.scratch_path(spark, "stream-ckpt"))
+    return STR.totals(spark, sink)
+
+
 # --- few-shot ------------------------------------------------------------------------------------------
 
 @register("JN-4", O.with_(O.EXAMPLES, """pos AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS i FROM examples)""",
@@ -169,6 +190,14 @@ def jn5(spark, sf):
     return FS.knn(e, e, k=2, exclude_self=True)
 
 
+@register("JN-5-INDEX", "SELECT 2 * count(*) AS n_neighbours, true AS recall_reached FROM embeddings WHERE (SELECT count(*) FROM embeddings) > 2")
+def jn5_index(spark, sf):
+    """JN-5 among the candidates of a random-projection index, held against the exact answer: recall of at least 0.9."""
+    e = A.embeddings(spark, sf)
+    found = FS.knn(e, e, k=2, exclude_self=True, index=FS.fit_index(e, k=2))
+    return FS.recall(FS.knn(e, e, k=2, exclude_self=True), found).select("n_neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @register("SC-12-FEWSHOT", O.with_(O.EXAMPLES, """pos AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS i FROM examples)""",
                                    """want AS (SELECT example_id, i, unnest(CASE WHEN i = 0 THEN [1, 2] WHEN i = 1 THEN [0]
     WHEN i <= 5 THEN [0, 1] ELSE [i - 5, i - 4] END) AS shot_pos,

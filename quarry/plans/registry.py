@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every query module so the registry is complete."""
-    from quarry.plans import q_corpus, q_eval, q_mix, q_augment  # noqa: F401
+    from quarry.plans import q_corpus, q_eval, q_mix, q_augment, q_modes  # noqa: F401

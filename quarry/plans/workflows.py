@@ -1,9 +1,8 @@
 """End-to-end workflows: corpus preparation, training-set assembly, evaluation of predictions.
 
-Each pipeline is a chain of the library's DataFrame operators with explicit materialization points:
-the keep-best result is written once to the output folder (a lineage cut in shared storage, read back
-by every downstream output), so a lost executor later on recomputes from that table, not from the
-raw sources.
+Each pipeline is a chain of the library's DataFrame operators with explicit materialization points: the classified rows
+(parsed, enriched, validated, keyed) and the keep-best result are written once (lineage cuts in shared storage, read
+back by every downstream output), so raw text is parsed once and a lost executor later on recomputes from those tables.
 """
 
 from __future__ import annotations
@@ -28,32 +27,52 @@ EXAMPLE_SCHEMA = Ty.StructType([Ty.StructField(n, Ty.StringType())
                                 for n in ("dataset", "question", "sql", "db_id", "context")])
 
 
+def ingest_raw(spark: SparkSession, sources: dict[str, str], out_dir: str, truncate_context: bool = True) -> dict[str, str]:
+    """Raw source files (each in its own shape) -> unified JSON Lines, one folder per source; the paths that
+    ``prepare_corpus`` takes. Sources whose file is missing are skipped, as are unparsable lines."""
+    rows = J.read_raw_sources(spark, sources, truncate_context).select(*J.EXAMPLE_FIELDS, "source_dataset")
+    base = os.path.join(out_dir, "unified")
+    J.write_jsonl(rows, base, partition_by=["source_dataset"])
+    return {name: os.path.join(base, f"source_dataset={name}") for name in sources
+            if J.existing_paths(spark, [os.path.join(base, f"source_dataset={name}")])}
+
+
 def prepare_corpus(spark: SparkSession, sources: dict[str, str], out_dir: str,
                    catalog_path: str | None = None, eval_path: str | None = None,
                    priority: dict[str, int] | None = None, word_boundary: bool = False,
-                   catalog_multi_line: bool = True) -> dict:
+                   catalog_multi_line: bool = True, raw: bool = False) -> dict:
     """Corpus preparation: read sources (missing ones skipped) -> enrich -> validate -> keep-best ->
-    per-source outputs, ledger, totals, weights, held-out eval set. Returns paths and small tables."""
+    per-source outputs, ledger, totals, weights, held-out eval set. Returns paths and small tables.
+
+    With ``raw`` the sources are in their own shapes and are unified first (``ingest_raw``).
+    """
     priority = priority or A.SOURCE_PRIORITY
-    raw = J.read_sources(spark, sources, EXAMPLE_SCHEMA, priority=priority)
+    if raw:
+        sources = ingest_raw(spark, sources, out_dir)
+    rows = J.read_sources(spark, sources, EXAMPLE_SCHEMA, priority=priority)
     ranks = F.create_map(*[F.lit(x) for pair in priority.items() for x in pair])
-    raw = raw.withColumn("priority", F.coalesce(F.element_at(ranks, F.col("source_dataset")), F.lit(0))) \
-             .withColumn("context", F.coalesce("context", F.lit(""))) \
-             .withColumn("db_id", F.coalesce("db_id", F.lit("")))
-    enriched_count = 0
+    rows = rows.withColumn("priority", F.coalesce(F.element_at(ranks, F.col("source_dataset")), F.lit(0))) \
+               .withColumn("context", F.coalesce("context", F.lit(""))) \
+               .withColumn("db_id", F.coalesce("db_id", F.lit("")))
     if catalog_path:
-        schema_text = C.render_schema(J.read_catalog(spark, catalog_path, catalog_multi_line))
-        raw = C.enrich_context(raw, schema_text)
-        enriched_count = raw.agg(F.count_if("enriched")).first()[0]
+        rows = C.enrich_context(rows, C.render_schema(J.read_catalog(spark, catalog_path, catalog_multi_line)))
+    else:
+        rows = rows.withColumn("enriched", F.lit(False))
+    # Lineage cut: parsed, enriched, validated and keyed once; everything below reads this table.
+    classified_path, seen = J.scratch_path(spark, "classified"), Observation("classified")
+    D.with_keys(D.classify(rows, word_boundary=word_boundary)).observe(seen, F.count_if("enriched").alias("enriched")) \
+        .write.parquet(classified_path)
+    classified = spark.read.parquet(classified_path)
+    enriched_count = int(seen.get["enriched"])
     # Lineage cut: the winners are written once and every output below reads them back.
     kept_path = os.path.join(out_dir, "kept")
-    D.dedup(raw, word_boundary=word_boundary).drop("missing_field", "enriched") \
-        .write.mode("overwrite").partitionBy("source_dataset").parquet(kept_path)
+    payload = ["dataset", "question", "sql", "db_id", "context", "source_dataset"]
+    D.best_of(classified, payload).write.mode("overwrite").partitionBy("source_dataset").parquet(kept_path)
     kept = spark.read.parquet(kept_path)
     clean_path = os.path.join(out_dir, "clean")
     J.write_jsonl(kept.select("question", "sql", "db_id", "context", "source_dataset"), clean_path,
                   partition_by=["source_dataset"])
-    led = D.with_ratios(D.ledger(raw, word_boundary=word_boundary))
+    led = D.with_ratios(D.ledger_of(classified))
     totals = led.agg(F.sum("loaded").alias("total_loaded"), F.sum("invalid").alias("invalid"),
                      F.sum("duplicate").alias("duplicates"), F.sum("conflicts").alias("conflicts"),
                      F.sum("kept").alias("valid_unique")) \

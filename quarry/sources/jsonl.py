@@ -1,7 +1,7 @@
 """JSON Lines sources and sinks (SRC-1, SRC-2, SRC-3, SRC-4, SRC-5, SNK-1..4).
 
-Lines are read as text and parsed with ``from_json``; ``json_object_keys`` tells an unparsable line
-(skipped, counted) from a parsed one, and an *absent* key from an explicit null (T1).
+Lines are read as text and parsed once, strictly, into a VARIANT; that one value decides whether a line is
+skipped, whether a key is absent or explicitly null, and what every field holds (T1).
 Arrival order — needed for the keep-best tie-break — is (source rank, file path, split start,
 row index inside the split), all taken from the scan itself, so it is stable under any parallelism.
 """
@@ -31,29 +31,87 @@ SOURCE_MAPPINGS = {
     "know_sql": {"question": (["question"], ""), "sql": (["answer"], ""), "db_id": ([], ""),
                  "context": (["context"], "")},
 }
+# Value of ``dataset`` that each source's rows carry.
+SOURCE_TAGS = {"spider": "spider", "sqale": "sqale", "gretel": "gretel-synthetic", "sql_context": "sql-context", "know_sql": "know-sql"}
 CONTEXT_MAX_CHARS = 1000
 
 
+# A string, or text outside strings, or a quote that is never closed: joined, the matches give back the line.
+# Possessive repetition does not recurse, so strings of any length and number of escapes take no stack.
+_JSON_PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+_JSON_CONSTANT = r"-?Infinity|NaN"
+
+
+def strict_json(line) -> Column:
+    """A line as VARIANT, or null if it is not exactly one JSON value (white space around it allowed).
+
+    As in the reference's parser, the bare constants ``NaN``, ``Infinity`` and ``-Infinity`` are values (they become
+    strings) and trailing text, a second value, single quotes and raw control characters make a line unparsable. The
+    line is parsed as first element of an array whose second one is the line's own digest, which shows that
+    nothing else stood between them. A line in which one object has a key twice is unparsable, unless
+    ``spark.sql.variant.allowDuplicateKeys`` is set (the last one counts then, as in the reference).
+    """
+    c = F.col(line) if isinstance(line, str) else line
+    parts = F.transform(F.regexp_extract_all(c, F.lit(_JSON_PARTS), F.lit(0)),
+                        lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, _JSON_CONSTANT, '"$0"')))
+    plain = F.when(F.contains(c, F.lit("NaN")) | F.contains(c, F.lit("Infinity")), F.array_join(parts, "")).otherwise(c)
+    mark = F.md5(c)
+    both = F.try_parse_json(F.concat(F.lit("["), plain, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == mark, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def _path(name: str) -> str:
+    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def has_key(value, name: str) -> Column:
+    """Whether a VARIANT is an object with that key; an explicit null counts, an array or scalar has no keys."""
+    return F.try_variant_get(value, _path(name), "variant").isNotNull()
+
+
+def key_is_null(value, name: str) -> Column:
+    """Whether the key is there and explicitly null."""
+    return F.coalesce(F.is_variant_null(F.try_variant_get(value, _path(name), "variant")), F.lit(False))
+
+
 def parse_json_lines(lines: DataFrame, schema: Ty.StructType, value: str = "value",
-                     required: tuple[str, ...] = ("question", "sql")) -> DataFrame:
+                     required: tuple[str, ...] = ("question", "sql"), keep_skipped: bool = False) -> DataFrame:
     """SRC-1 + FLT-2 over a DataFrame of text lines.
 
-    Returns parsed rows (unparsable lines dropped) with ``missing_field`` = a required key is absent.
-    Extra columns of ``lines`` (for example the arrival columns) are carried along.
+    Returns parsed rows (unparsable lines dropped) with ``missing_field`` = a required key is absent. A field whose
+    value does not fit its type is null; numbers, booleans, arrays and objects in string fields become text.
+    Extra columns of ``lines`` (for example the arrival columns) are carried along. With ``keep_skipped`` the
+    unparsable lines stay, with null fields and ``skipped`` = true, so that one scan serves rows and accounts.
     """
-    keys = F.json_object_keys(F.col(value))
-    parsed = lines.withColumn("_keys", keys).filter(F.col("_keys").isNotNull())
+    carry = [c for c in lines.columns if c != value]
+    parsed = lines.select(*carry, strict_json(value).alias("_json"))
+    if not keep_skipped:
+        parsed = parsed.filter(F.col("_json").isNotNull())
     missing = F.lit(False)
     for r in required:
-        missing = missing | ~F.array_contains(F.col("_keys"), r)
-    parsed = parsed.withColumn("_row", F.from_json(F.col(value), schema)).withColumn("missing_field", missing)
-    carry = [c for c in lines.columns if c != value]
-    return parsed.select(*carry, "_row.*", "missing_field")
+        missing = missing | ~has_key("_json", r)
+    fields = [F.try_variant_get("_json", _path(f.name), f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    flags = [F.col("_json").isNull().alias("skipped")] if keep_skipped else []
+    return parsed.select(*carry, *fields, (F.col("_json").isNotNull() & missing).alias("missing_field"), *flags)
 
 
 def skipped_lines(lines: DataFrame, value: str = "value") -> Column:
     """Aggregate expression: number of unparsable (skipped) lines, including empty ones."""
-    return F.count_if(F.json_object_keys(F.col(value)).isNull())
+    return F.count_if(strict_json(value).isNull())
+
+
+def line_counts(lines: DataFrame, value: str = "value", required: tuple[str, ...] = ("question", "sql")) -> DataFrame:
+    """FLT-2 accounts of text lines: skipped, missing (a required key is absent), null (one is explicitly null), complete."""
+    v = F.col("_json")
+    parsed = lines.select(strict_json(value).alias("_json"))
+    absent, null = F.lit(False), F.lit(False)
+    for r in required:
+        absent, null = absent | ~has_key(v, r), null | key_is_null(v, r)
+    ok = v.isNotNull()
+    return parsed.select(ok.alias("ok"), absent.alias("absent"), null.alias("null")).agg(
+        F.count_if(~F.col("ok")).alias("skipped"), F.count_if(F.col("ok") & F.col("absent")).alias("missing"),
+        F.count_if(F.col("ok") & ~F.col("absent") & F.col("null")).alias("null_field"),
+        F.count_if(F.col("ok") & ~F.col("absent") & ~F.col("null")).alias("complete"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], source_rank: int = 0) -> DataFrame:
@@ -112,11 +170,17 @@ def read_sources(spark: SparkSession, sources: dict[str, str], schema: Ty.Struct
     return out
 
 
+def raw_schema(name: str) -> Ty.StructType:
+    """The fields of a raw source that its mapping reads, as strings."""
+    fields = list(dict.fromkeys(f for srcs, _ in SOURCE_MAPPINGS[name].values() for f in srcs))
+    return Ty.StructType([Ty.StructField(f, Ty.StringType()) for f in fields])
+
+
 def unify_source(df: DataFrame, name: str, truncate_context: bool = True) -> DataFrame:
     """SRC-2: map one source shape onto ``dataset, question, sql, db_id, context`` (+ carried columns).
 
-    SQaLe rows with an empty question or SQL are dropped (FLT-1) and its context is cut to 1,000
-    characters (PRJ-1).
+    ``dataset`` is the tag that the source's rows carry, ``source_dataset`` the source's short name. SQaLe rows with
+    an empty question or SQL are dropped (FLT-1) and its context is cut to 1,000 characters (PRJ-1).
     """
     mapping = SOURCE_MAPPINGS[name]
     cols = set(df.columns)
@@ -132,7 +196,8 @@ def unify_source(df: DataFrame, name: str, truncate_context: bool = True) -> Dat
         return F.coalesce(c, F.lit(default)) if default is not None else c
 
     carry = [c for c in df.columns if c in ("arrival", "example_id")]
-    out = df.select(F.lit(name).alias("dataset"), *[pick(f).alias(f) for f in EXAMPLE_FIELDS[1:]], *carry)
+    out = df.select(F.lit(SOURCE_TAGS[name]).alias("dataset"), *[pick(f).alias(f) for f in EXAMPLE_FIELDS[1:]],
+                    F.lit(name).alias("source_dataset"), *carry)
     if name == "sqale":
         out = out.filter((F.length("question") > 0) & (F.length("sql") > 0))
         if truncate_context:
@@ -140,6 +205,22 @@ def unify_source(df: DataFrame, name: str, truncate_context: bool = True) -> Dat
     return out
 
 
+def read_raw_sources(spark: SparkSession, sources: dict[str, str], truncate_context: bool = True) -> DataFrame:
+    """SRC-2 over files: each raw source present on storage is parsed strictly with its own fields and unified.
+
+    Sources whose path is missing are skipped; all missing is an error. Unparsable lines are dropped.
+    """
+    out = None
+    for name, path in sources.items():
+        if not existing_paths(spark, [path]):
+            continue
+        rows = unify_source(read_jsonl(spark, path, raw_schema(name), required=()).drop("missing_field"), name, truncate_context)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise FileNotFoundError("no source found: " + ", ".join(sources.values()))
+    return out
+
+
 def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """SRC-3: schema catalog (one JSON array of databases, or JSON Lines with ``multi_line=False``).
 
