@@ -1,8 +1,9 @@
 """Validation, keep-best deduplication and the per-source ledger (FLT-2/3/4, AG-1, AG-2, AG-3, AG-8).
 
 Plan shape: narrow validation projection -> one hash shuffle on ``q_hash`` with partial (map-side)
-aggregation for the winners -> the ledger from a pre-aggregated candidate table joined back to the
-winners on the same key. A hot question key is absorbed by the partial aggregation; the join back is
+aggregation of fixed-width values for the winners -> a join on the winners' arrivals that fetches only the columns
+that are wanted (late materialisation: no text in the aggregation). The ledger comes from a pre-aggregated candidate
+table joined back to the winners on the same key. A hot question key is absorbed by the partial aggregation; the ledger's join back is
 from pre-aggregated groups (one row per key x source x SQL text) and AQE's skew join splits what is left.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quarry.functions import text as T
 
@@ -49,49 +51,21 @@ def with_keys(df: DataFrame, question: str = "question", sql: str = "sql") -> Da
              .withColumn("sql_norm", T.normalize_sql(F.col(sql)))
 
 
-def keep_best(candidates: DataFrame, key: str = "q_hash", payload: list[str] | None = None,
-              where: Column | None = None) -> DataFrame:
-    """AG-1: one winner per key — highest priority, then shortest SQL, then earliest arrival.
-
-    ``min(struct(-priority, length(sql), arrival, payload...))`` is associative, so Spark plans it as a
-    partial + final aggregate (map-side combine; no window, no collect). ``arrival`` is unique, so the
-    payload fields never decide. Also returns the key's first arrival (the reference's output order).
-
-    ``where`` selects the rows that compete *inside* the aggregate (other rows fold into one null-key
-    group that is dropped afterwards by a test on the aggregate's result). A row filter before the
-    aggregate would be pushed into the scan by the optimizer and evaluate every derived column twice.
-    """
-    skip = {key, "priority", "arrival", "status", "reject_reason"}
-    payload = payload or [c for c in candidates.columns if c not in skip]
-    cand = F.lit(True) if where is None else where
-    best = F.min(F.when(cand, F.struct(
-        (-F.col("priority")).alias("neg_priority"),
-        F.length("sql").alias("sql_len"),
-        F.col("arrival").alias("win_arrival"),
-        *[F.col(c) for c in payload],
-        F.col("priority"),
-    ))).alias("best")
-    k = F.col(key) if where is None else F.when(cand, F.col(key))
-    g = candidates.groupBy(k.alias(key)).agg(best, F.min(F.when(cand, F.col("arrival"))).alias("first_arrival"))
-    if where is not None:
-        g = g.filter(F.col("best").isNotNull())
-    return g.select(key, "first_arrival", *[F.col("best." + c).alias(c) for c in payload + ["priority"]],
-                    F.col("best.win_arrival").alias("arrival"))
+# Parts of a packed decimal(38,0): priority (from the top, so that less is better), length, arrival moved to be positive.
+_ARRIVAL, _LENGTH, _TOP = 10 ** 20, 10 ** 30, 10 ** 6
+_OFFSET = 1 << 63
 
 
-def dedup(df: DataFrame, question: str = "question", sql: str = "sql",
-          word_boundary: bool = False) -> DataFrame:
-    """Validated, keep-best deduplicated examples (classify -> keys -> keep_best over the candidates)."""
-    c = with_keys(classify(df, question, sql, word_boundary), question, sql)
-    return keep_best(c, where=F.col("status") == CANDIDATE)
+def _dec(v: int) -> Column:
+    return F.lit(str(v)).cast("decimal(38,0)")
 
 
-_SHIFT = 10 ** 20
-_OFFSET = 1 << 63
+def _packed(length: Column, arrival: Column) -> Column:
+    return length.cast("decimal(38,0)") * _dec(_ARRIVAL) + arrival.cast("decimal(38,0)") + _dec(_OFFSET)
 
 
-def _dec(v: int) -> Column:
-    return F.lit(str(v)).cast("decimal(38,0)")
+def _arrival_of(packed: Column, arrival_type) -> Column:
+    return (packed % _dec(_ARRIVAL) - _dec(_OFFSET)).cast(arrival_type)
 
 
 def _min_len_arrival(length: Column, arrival: Column, arrival_type) -> Column:
@@ -101,16 +75,62 @@ def _min_len_arrival(length: Column, arrival: Column, arrival_type) -> Column:
     arrival + 2^63), whose min is a fixed-width buffer: Spark then plans a hash aggregate instead of
     the sort aggregate a struct buffer needs. Other arrival types use ``min(struct)``.
     """
-    from pyspark.sql.types import IntegralType
     if not isinstance(arrival_type, IntegralType):
         return F.min(F.struct(length.alias("len"), arrival.alias("arr")))
-    packed = F.min(length.cast("decimal(38,0)") * _dec(_SHIFT)
-                   + arrival.cast("decimal(38,0)") + _dec(_OFFSET))
-    dec = packed.cast("decimal(38,0)")
-    ln = F.floor(dec / _dec(_SHIFT)).cast("int")
-    arr = (dec - ln.cast("decimal(38,0)") * _dec(_SHIFT)
-           - _dec(_OFFSET)).cast(arrival_type)
-    return F.struct(ln.alias("len"), arr.alias("arr"))
+    packed = F.min(_packed(length, arrival)).cast("decimal(38,0)")
+    return F.struct(F.floor(packed / _dec(_ARRIVAL)).cast("int").alias("len"), _arrival_of(packed, arrival_type).alias("arr"))
+
+
+def winners(candidates: DataFrame, key: str = "q_hash", where: Column | None = None) -> DataFrame:
+    """One row per key: ``first_arrival`` and the ``arrival`` of its winner (highest priority, shortest SQL, earliest arrival).
+
+    For an integral arrival the three parts are one packed decimal (priorities within a million of 0), so the
+    aggregate is a partial + final hash aggregate over fixed-width values; other arrivals take ``min(struct)``
+    over the three parts. ``where`` selects the rows that compete *inside* the aggregate (other rows fold into one
+    null-key group that is dropped afterwards by a test on the aggregate's result). A row filter before the
+    aggregate would be pushed into the scan by the optimizer and evaluate every derived column twice.
+    """
+    cand = F.lit(True) if where is None else where
+    kind = candidates.schema["arrival"].dataType
+    if isinstance(kind, IntegralType):
+        rank = (_dec(_TOP) - F.col("priority").cast("decimal(38,0)")) * _dec(_LENGTH)
+        best = F.min(F.when(cand, rank + _packed(F.length("sql"), F.col("arrival"))))
+    else:
+        best = F.min(F.when(cand, F.struct((-F.col("priority")).alias("p"), F.length("sql").alias("len"), F.col("arrival").alias("arr"))))
+    k = F.col(key) if where is None else F.when(cand, F.col(key))
+    g = candidates.groupBy(k.alias(key)).agg(best.alias("best"), F.min(F.when(cand, F.col("arrival"))).alias("first_arrival"))
+    if where is not None:
+        g = g.filter(F.col("best").isNotNull())
+    won = _arrival_of(F.col("best"), kind) if isinstance(kind, IntegralType) else F.col("best.arr")
+    return g.select(key, "first_arrival", won.alias("arrival"))
+
+
+def keep_best(candidates: DataFrame, key: str = "q_hash", payload: list[str | Column] | None = None,
+              where: Column | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """AG-1: one winner per key — highest priority, then shortest SQL, then earliest arrival.
+
+    The winners' arrivals come from ``winners``; a join on the arrival, which is unique, then fetches the
+    ``payload`` (column names or expressions) of the winners from ``rows`` (default: the candidates themselves).
+    Unused payload columns are pruned from that join. Also returns the key's first arrival (the reference's output order).
+    """
+    rows = candidates if rows is None else rows
+    payload = payload if payload is not None else [c for c in rows.columns if c not in {key, "priority", "arrival", "status", "reject_reason"}]
+    taken = rows.select(F.col("arrival").alias("_arrival"), *payload, "priority")
+    won = winners(candidates, key, where)
+    out = won.join(taken, F.col("arrival") == F.col("_arrival"))
+    return out.select(key, "first_arrival", *[c for c in taken.columns if c != "_arrival"], "arrival")
+
+
+def dedup(df: DataFrame, question: str = "question", sql: str = "sql", word_boundary: bool = False,
+          payload: list[str | Column] | None = None) -> DataFrame:
+    """Validated, keep-best deduplicated examples (classify -> keys -> winners over the candidates -> their columns)."""
+    c = with_keys(classify(df, question, sql, word_boundary), question, sql)
+    return best_of(c, payload, df)
+
+
+def best_of(classified: DataFrame, payload: list[str | Column] | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """AG-1 over rows that already have their status and keys (for example a written table of them)."""
+    return keep_best(classified, payload=payload, where=F.col("status") == CANDIDATE, rows=rows)
 
 
 def ledger(df: DataFrame, source: str = "source_dataset", question: str = "question", sql: str = "sql",
@@ -127,7 +147,11 @@ def ledger(df: DataFrame, source: str = "source_dataset", question: str = "quest
     back) read every column of ``groups``, so Spark reuses that one exchange instead of rescanning.
     The join back is keyed by question hash; AQE's skew join splits a hot key's groups.
     """
-    c = with_keys(classify(df, question, sql, word_boundary), question, sql)
+    return ledger_of(with_keys(classify(df, question, sql, word_boundary), question, sql), source, sql)
+
+
+def ledger_of(c: DataFrame, source: str = "source_dataset", sql: str = "sql") -> DataFrame:
+    """The ledger of rows that already have their status and keys."""
     cand = F.col("status") == CANDIDATE
     groups = c.groupBy(
         "status", source, "priority",

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 
-def tokens(sql) -> F.Column:
-    """Whitespace tokens of a text (Python ``str.split()``)."""
-    c = F.col(sql) if isinstance(sql, str) else sql
-    return F.filter(F.split(c, f"[{T.WS}]+"), lambda x: x != "")
+def token_count(sql) -> F.Column:
+    """Number of whitespace tokens, by counting them in place."""
+    return F.regexp_count(F.col(sql) if isinstance(sql, str) else sql, F.lit(f"[^{T.WS}]+"))
 
 
-def sql_length_stats(df: DataFrame, sql: str = "sql") -> DataFrame:
-    """AG-9: average / min / max whitespace-token count of the SQL (one partial+final aggregate)."""
-    n = F.size(tokens(sql))
+def head_word(sql) -> F.Column:
+    """First whitespace token, upper-cased; null if there is none."""
+    return F.upper(F.nullif(F.regexp_extract(F.col(sql) if isinstance(sql, str) else sql, f"[^{T.WS}]+", 0), F.lit("")))
+
+
+def sql_length_stats(df: DataFrame, sql: str = "sql", n_tokens: str | None = None) -> DataFrame:
+    """AG-9: average / min / max whitespace-token count of the SQL (one partial+final aggregate), or of counts at hand."""
+    n = F.col(n_tokens) if n_tokens else token_count(sql)
     return df.agg((F.sum(n).cast("double") / F.count(F.lit(1))).alias("avg_tokens"),
                   F.min(n).cast("long").alias("min_tokens"), F.max(n).cast("long").alias("max_tokens"))
 
@@ -29,10 +33,9 @@ def top_k(df: DataFrame, key, k: int, count_name: str = "n") -> DataFrame:
     return g.orderBy(F.desc(count_name), F.asc(name)).limit(k)
 
 
-def head_word_top(df: DataFrame, k: int = 5, sql: str = "sql") -> DataFrame:
-    """AG-10: statement head-word frequency, top k."""
-    head = F.upper(F.element_at(tokens(sql), 1))
-    return top_k(df.select(head.alias("head")), "head", k)
+def head_word_top(df: DataFrame, k: int = 5, sql: str = "sql", head: str | None = None) -> DataFrame:
+    """AG-10: statement head-word frequency, top k (of the SQL's heads, or of a column that holds them)."""
+    return top_k(df.select((F.col(head) if head else head_word(sql)).alias("head")), "head", k)
 
 
 def top_k_share(df: DataFrame, key: str, k: int) -> DataFrame:

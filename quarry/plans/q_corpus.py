@@ -64,40 +64,46 @@ def flt1(spark, sf):
 
 
 # --- JSON lines: SRC-1 / FLT-2 over lines derived from documents ----------------------------------
-# Lines are the examples serialized as JSON; every 13th is cut short (unparsable) and every 17th
-# lacks its question key.
+# Lines are the examples serialized as JSON. Every 17th lacks its question key, every 23rd has a null question, every 29th
+# holds a bare NaN; a cut end (every 13th), trailing text (19th), a raw tab in a string (31st) or single
+# quotes (37th) make a line unparsable.
 
 LINE_SCHEMA = Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in ("question", "sql", "db_id", "context")]
                             + [Ty.StructField("example_id", Ty.LongType())])
 
 
 def example_lines(spark, sf) -> DataFrame:
-    ex = _examples(spark, sf)
-    full = F.to_json(F.struct("example_id", "question", "sql", "db_id", "context"))
-    noq = F.to_json(F.struct("example_id", "sql", "db_id", "context"))
-    line = F.when(F.col("example_id") % 17 == 0, noq).otherwise(full)
-    line = F.when(F.col("example_id") % 13 == 0, F.expr("substring(_l, 1, length(_l) - 1)")).otherwise(F.col("_l"))
-    return ex.withColumn("_l", F.when(F.col("example_id") % 17 == 0, noq).otherwise(full)) \
-             .select(line.alias("value"), "arrival")
-
-
-@register("SRC-1", O.with_(EX) + """SELECT example_id, CASE WHEN example_id % 17 = 0 THEN NULL ELSE question END AS question,
-  sql, example_id % 17 = 0 AS missing_field FROM examples WHERE example_id % 13 <> 0""")
+    i = F.col("example_id")
+    question = F.when(i % 23 != 0, F.col("question")).alias("question")
+    keep = {"ignoreNullFields": "false"}
+    ex = _examples(spark, sf).withColumn(
+        "_l", F.when(i % 17 == 0, F.to_json(F.struct("example_id", "sql", "db_id", "context"), keep))
+        .otherwise(F.to_json(F.struct("example_id", question, "sql", "db_id", "context"), keep)))
+    line = F.col("_l")
+    line = F.when(i % 29 == 0, F.concat(F.lit('{"score": NaN, '), F.substring(line, 2, 1 << 30))).otherwise(line)
+    line = F.when(i % 31 == 0, F.replace(line, F.lit('"db_id":"'), F.lit('"db_id":"\t'))).otherwise(line)
+    line = F.when(i % 37 == 0, F.replace(line, F.lit('"'), F.lit("'"))).otherwise(line)
+    line = F.when(i % 19 == 0, F.concat(line, F.lit(' {"more": 1}'))).otherwise(line)
+    line = F.when(i % 13 == 0, F.expr("substring(_l, 1, length(_l) - 1)")).otherwise(line)
+    return ex.select(line.alias("value"), "arrival")
+
+
+_PARSES = "example_id % 13 <> 0 AND example_id % 19 <> 0 AND example_id % 31 <> 0 AND example_id % 37 <> 0"
+
+
+@register("SRC-1", O.with_(EX) + f"""SELECT example_id, CASE WHEN example_id % 17 <> 0 AND example_id % 23 <> 0 THEN question END AS question,
+  sql, example_id % 17 = 0 AS missing_field FROM examples WHERE {_PARSES}""")
 def src1(spark, sf):
     p = J.parse_json_lines(example_lines(spark, sf), LINE_SCHEMA)
     return p.select("example_id", "question", "sql", "missing_field")
 
 
-@register("FLT-2", O.with_(EX) + """SELECT count(*) FILTER (WHERE example_id % 13 = 0) AS skipped,
-  count(*) FILTER (WHERE example_id % 13 <> 0 AND example_id % 17 = 0) AS missing,
-  count(*) FILTER (WHERE example_id % 13 <> 0 AND example_id % 17 <> 0) AS complete FROM examples""")
+@register("FLT-2", O.with_(EX) + f"""SELECT count(*) FILTER (WHERE NOT ({_PARSES})) AS skipped,
+  count(*) FILTER (WHERE {_PARSES} AND example_id % 17 = 0) AS missing,
+  count(*) FILTER (WHERE {_PARSES} AND example_id % 17 <> 0 AND (example_id % 23 = 0 OR question IS NULL)) AS null_field,
+  count(*) FILTER (WHERE {_PARSES} AND example_id % 17 <> 0 AND example_id % 23 <> 0 AND question IS NOT NULL) AS complete FROM examples""")
 def flt2(spark, sf):
-    lines = example_lines(spark, sf)
-    keys = F.json_object_keys("value")
-    has_all = F.array_contains(keys, "question") & F.array_contains(keys, "sql")
-    return lines.agg(J.skipped_lines(lines).alias("skipped"),
-                     F.count_if(keys.isNotNull() & ~has_all).alias("missing"),
-                     F.count_if(keys.isNotNull() & has_all).alias("complete"))
+    return J.line_counts(example_lines(spark, sf))
 
 
 # --- SRC-2: five source shapes unified ------------------------------------------------------------
@@ -125,7 +131,9 @@ def unified(spark, sf) -> DataFrame:
     return out
 
 
-@register("SRC-2", O.with_(EX) + """SELECT source_dataset AS dataset, example_id, question, sql,
+@register("SRC-2", O.with_(EX) + """SELECT CASE source_dataset WHEN 'spider' THEN 'spider' WHEN 'sqale' THEN 'sqale'
+  WHEN 'gretel' THEN 'gretel-synthetic' WHEN 'sql_context' THEN 'sql-context' ELSE 'know-sql' END AS dataset,
+  source_dataset, example_id, question, sql,
   CASE WHEN source_dataset = 'spider' THEN db_id ELSE '' END AS db_id,
   CASE source_dataset WHEN 'spider' THEN 'Database: ' || db_id
        WHEN 'sqale' THEN substr(context || chr(10) || question, 1, 1000)
@@ -206,8 +214,9 @@ def ag8(spark, sf):
 
 # --- corpus statistics over the kept rows --------------------------------------------------------------
 
-def _kept(spark, sf):
-    return D.dedup(_examples(spark, sf))
+def _kept(spark, sf, *payload):
+    """Winners with only the given columns."""
+    return D.dedup(_examples(spark, sf), payload=list(payload))
 
 
 WORDS = f"list_filter(regexp_split_to_array(sql, '[{O.WS}]+'), lambda x: x <> '')"
@@ -216,19 +225,19 @@ WORDS = f"list_filter(regexp_split_to_array(sql, '[{O.WS}]+'), lambda x: x <> ''
 @register("AG-9", O.with_(EX, CL) + f"""SELECT CAST(sum(len({WORDS})) AS DOUBLE) / count(*) AS avg_tokens,
   min(len({WORDS})) AS min_tokens, max(len({WORDS})) AS max_tokens FROM winners""")
 def ag9(spark, sf):
-    return S.sql_length_stats(_kept(spark, sf))
+    return S.sql_length_stats(_kept(spark, sf, S.token_count("sql").alias("n_tokens")), n_tokens="n_tokens")
 
 
 @register("AG-10", O.with_(EX, CL) + f"""SELECT upper({WORDS}[1]) AS head, count(*) AS n FROM winners
 GROUP BY 1 ORDER BY n DESC, head LIMIT 5""")
 def ag10(spark, sf):
-    return S.head_word_top(_kept(spark, sf), k=5)
+    return S.head_word_top(_kept(spark, sf, S.head_word("sql").alias("head")), k=5, head="head")
 
 
 @register("SO-2", O.with_(EX, CL) + """SELECT source_dataset, count(*) AS n,
   CAST(count(*) AS DOUBLE) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE) AS pct FROM winners GROUP BY 1 ORDER BY n DESC, source_dataset LIMIT 3""")
 def so2(spark, sf):
-    return S.top_k_share(_kept(spark, sf), "source_dataset", k=3)
+    return S.top_k_share(_kept(spark, sf, "source_dataset"), "source_dataset", k=3)
 
 
 @register("AG-11", O.with_(EX, CL) + """SELECT source_dataset, CAST(count(*) AS BIGINT) AS count,
@@ -242,7 +251,7 @@ def so2(spark, sf):
 FROM winners GROUP BY 1""")
 def ag11(spark, sf):
     from quarry.operators.mixing import weight_table
-    return weight_table(_kept(spark, sf))
+    return weight_table(_kept(spark, sf, "source_dataset"))
 
 
 # --- catalog ------------------------------------------------------------------------------------------
@@ -342,8 +351,8 @@ def so6(spark, sf):
 
 def _dialect_wb_sql(x: str) -> str:
     parts = []
-    for label, kws in (("Contains DuckDB keyword: ", T.DUCKDB_KEYWORDS),
-                       ("Contains PostgreSQL-specific: ", T.POSTGRES_SPECIFIC)):
+    for label, kws in (("Contains DuckDB keyword: ", O.DUCKDB_WORDS),
+                       ("Contains PostgreSQL-specific: ", O.POSTGRES_WORDS)):
         for k in kws:
             if k[0].isalpha():
                 pat = "\\b" + k.replace(" ", "\\s+") + "\\b"
