@@ -1,8 +1,8 @@
 """Evaluation analytics: metrics (AG-4/5/6/15, JN-7), attempts (AG-7, AG-14), running windows (WN-1..4).
 
-Running totals and positions use a blocked prefix sum: counts per (partition, block) — a table of
-rows/block entries — get an exclusive running sum, and rows add their running count inside their
-block. Every window therefore spans at most one block, never a whole method or the whole table.
+Running totals and positions are prefix sums by rank, whatever the order key's values: rows lie in written, sorted ranges;
+a block is a fixed number of consecutive rows of a range. Rows are summed inside their block, blocks inside
+their range, ranges inside their method, so no window holds a whole method or the whole table.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
-DEFAULT_BLOCK = 1 << 16
+#: Rows of a block of a prefix sum.
+DEFAULT_BLOCK = 1 << 14
 MAX_ATTEMPTS = 3
 
 
@@ -54,15 +55,18 @@ def metrics(results: DataFrame, by: list[str] | None = None, **kw) -> DataFrame:
     return results.groupBy(*by).agg(*metric_columns(**kw))
 
 
-def metrics_by_complexity(results: DataFrame, tags: str = "complexity", by: str = "method") -> DataFrame:
-    """AG-5: per (method x complexity tag); tags overlap, so totals must come from ``metrics``, not here."""
-    e = results.select(by, F.explode(tags).alias("complexity_tag"), "is_valid", "results_match")
+def metrics_by_complexity(results: DataFrame, tags: str = "complexity", by: str = "method", exact: str | None = None) -> DataFrame:
+    """AG-5: per (method x complexity tag), with exact matches if their column is named; tags overlap, so totals must
+    come from ``metrics``, not here."""
+    e = results.select(by, F.explode(tags).alias("complexity_tag"), "is_valid", "results_match", *([exact] if exact else []))
     n = F.count(F.lit(1))
     v = F.count_if(F.coalesce(F.col("is_valid"), F.lit(False)))
     m = F.count_if(F.coalesce(F.col("results_match"), F.lit(False)))
-    return e.groupBy(by, "complexity_tag").agg(
-        n.alias("total"), v.alias("valid"), m.alias("matched"),
-        _pct(v, n).alias("valid_pct"), _pct(m, n).alias("match_pct"))
+    cols = [n.alias("total"), v.alias("valid"), m.alias("matched"), _pct(v, n).alias("valid_pct"), _pct(m, n).alias("match_pct")]
+    if exact:
+        x = F.count_if(F.coalesce(F.col(exact), F.lit(False)))
+        cols += [x.alias("exact"), _pct(x, n).alias("exact_pct")]
+    return e.groupBy(by, "complexity_tag").agg(*cols)
 
 
 def error_taxonomy(results: DataFrame, error: str = "error", by: str = "method") -> DataFrame:
@@ -120,10 +124,15 @@ def attempt_history(attempts: DataFrame, key: str = "example_id") -> DataFrame:
     return g.select(key, F.array_join(F.transform("_b", lambda x: x["_block"]), "").alias("history"))
 
 
-def best_candidate(scored: DataFrame, candidate: str = "candidate", match: str = "results_match") -> DataFrame:
-    """AG-15: mean match per candidate, and the best (highest mean; ties to the smallest candidate id)."""
+def best_candidate(scored: DataFrame, candidate: str = "candidate", match: str = "results_match",
+                   metric: Column | None = None) -> DataFrame:
+    """AG-15: mean match per candidate, and the best (highest mean; ties to the smallest candidate id).
+
+    ``metric`` is a user's own score of a row, any numeric or boolean column expression (a null scores 0).
+    """
+    value = F.col(match) if metric is None else metric
     s = scored.groupBy(candidate).agg(
-        F.avg(F.coalesce(F.col(match), F.lit(False)).cast("int")).alias("mean_score"),
+        F.avg(F.coalesce(value.cast("double"), F.lit(0.0))).alias("mean_score"),
         F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("mean_score"), F.asc(candidate))
     return s.withColumn("is_best", F.row_number().over(w) == 1)
@@ -142,41 +151,50 @@ def before_after(metrics_df: DataFrame, baseline: str, by: str = "method",
 
 def running_stats(df: DataFrame, order: str, part: list[str] | None = None, flags: list[str] | None = None,
                   block: int = DEFAULT_BLOCK, out: str = "pos") -> DataFrame:
-    """WN-3 + running counts in one pass: 0-based position of each row in ``order`` within ``part``
-    (numeric, unique order key) and ``cum_<flag>`` = true values of each flag up to and including the row.
-
-    Rows are hash-partitioned once by (part, block = floor(order / block)); inside that partitioning
-    the windows give the row's rank and running sums within its block and the block totals. The block
-    totals (rows/block entries) get exclusive running offsets over the blocks and join back on
-    (part, block) — the rows side is already partitioned and sorted on those keys, so the join moves
-    only the small block table. No window ever spans more than one block.
+    """WN-3 + running counts in one pass: 0-based position of each row in ``order`` (any sortable, unique key) within
+    ``part`` and ``cum_<flag>`` = true values of each flag up to and including the row.
+
+    Rows are range-partitioned by (part, order) and written as they lie, since the ranges come from a sample. A block is
+    ``block`` consecutive places of a range, whatever the keys' values and gaps. Windows give each row's
+    running values inside its block; the totals of the blocks are summed inside their range, those of the ranges
+    inside their part (a table of one row for each range and part), and both join back as the block's offset. No window
+    over rows spans more than one block, and no window over totals more than the blocks of a range or the ranges of a part.
     """
+    from quarry.sources.jsonl import scratch_path
     part, flags = part or [], flags or []
-    ints = {f: F.coalesce(F.col(f), F.lit(False)).cast("long") for f in flags}
-    d = df.withColumn("_blk", F.floor(F.col(order) / block))
-    w_in = Window.partitionBy(*part, "_blk").orderBy(order)
+    keys = [F.col(c).asc_nulls_first() for c in [*part, order]]
+    ints = [F.coalesce(F.col(f), F.lit(False)).cast("long").alias("_f_" + f) for f in flags]
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", *ints, F.monotonically_increasing_id().alias("_at"))
+    path = scratch_path(df.sparkSession, "ranges")
+    laid.write.parquet(path)
+    d = df.sparkSession.read.schema(laid.schema).parquet(path)
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    d = d.withColumn("_range", F.shiftright("_at", 33)).withColumn("_blk", F.floor(place / block))
+    totals = [F.count(F.lit(1)).alias("_n"), *[F.sum("_f_" + f).alias("_n_" + f) for f in flags]]
+    sums = ["_n", *["_n_" + f for f in flags]]
+    blocks = d.groupBy(*part, "_range", "_blk").agg(*totals)
+    ranges = blocks.groupBy(*part, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    in_range = Window.partitionBy(*part, "_range").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    in_part = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(t: DataFrame, own: list[str], w, name: str) -> DataFrame:
+        return t.select(*[F.col(k).alias(f"{name}{k}") for k in own],
+                        *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name + c) for c in sums])
+
+    # null-safe keys: rows with a null part keep their own positions
+    def met(left: DataFrame, right: DataFrame, own: list[str], name: str) -> DataFrame:
+        cond = [left[k].eqNullSafe(right[f"{name}{k}"]) for k in own]
+        return left.join(right, cond).drop(*[f"{name}{k}" for k in own])
+
+    blk, rng = [*part, "_range", "_blk"], [*part, "_range"]
+    offsets = met(before(blocks, blk, in_range, "b").withColumnsRenamed({"b" + k: k for k in blk}), before(ranges, rng, in_part, "r"), rng, "r")
+    offsets = offsets.select(*[F.col(k).alias("o" + k) for k in blk], *[(F.col("b" + c) + F.col("r" + c)).alias("o" + c) for c in sums])
+    w_in = Window.partitionBy(*blk).orderBy("_at")
     w_run = w_in.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_rn", F.row_number().over(w_in))
-    for f, v in ints.items():
-        d = d.withColumn("_r_" + f, F.sum(v).over(w_run))
-    # Block totals are the running values' maxima, so both branches read the same windowed rows and Spark
-    # reuses the one exchange under them (pass only the needed columns in, so pruning keeps them equal).
-    blocks = d.groupBy(*part, "_blk").agg(F.max("_rn").alias("_bc"),
-                                          *[F.max("_r_" + f).alias("_bs_" + f) for f in flags])
-    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*part, "_blk", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_base"),
-                            *[F.coalesce(F.sum("_bs_" + f).over(wb), F.lit(0)).alias("_b_" + f) for f in flags])
-    # Null-safe keys: no not-null filter is inferred into only one branch (which would break the reuse),
-    # and rows with a null partition value keep their own positions.
-    keys = [*part, "_blk"]
-    o = offsets.select(*[F.col(k).alias("_o_" + k) for k in keys],
-                       *[c for c in offsets.columns if c not in keys])
-    cond = [d[k].eqNullSafe(o["_o_" + k]) for k in keys]
-    j = d.join(o, cond).drop(*["_o_" + k for k in keys])
-    j = j.withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("long"))
-    for f in flags:
-        j = j.withColumn("cum_" + f, F.col("_b_" + f) + F.col("_r_" + f))
-    return j.drop("_blk", "_rn", "_base", *["_b_" + f for f in flags], *["_r_" + f for f in flags])
+    d = d.withColumn("_rn", F.row_number().over(w_in)).withColumns({"_r_" + f: F.sum("_f_" + f).over(w_run) for f in flags})
+    j = met(d, offsets, blk, "o")
+    return j.select(*df.columns, (F.col("o_n") + F.col("_rn") - 1).cast("long").alias(out),
+                    *[(F.col("o_n_" + f) + F.col("_r_" + f)).alias("cum_" + f) for f in flags])
 
 
 def positions(df: DataFrame, order: str, part: list[str] | None = None, block: int = DEFAULT_BLOCK,

@@ -1,14 +1,17 @@
 """Few-shot selection: positional (JN-4) and exact k-nearest neighbours by vector similarity (JN-5).
 
-JN-5 never materializes pairs. Query and corpus vectors are packed into blocks of bounded size; every corpus
-block meets every query block (an equi-join on the query block's number, all through Spark), and a task
-multiplies the two matrices and keeps the top k of the block per query. A grouped merge of these short lists
-gives the exact answer. Work is O(queries x corpus) — inherent to exact search — but memory per task is
-bounded by two blocks and their product, whatever the size of a split.
+JN-5 never materializes pairs. Query and corpus vectors are packed into blocks of bounded size; groups of blocks of both
+sides meet in the cells of a grid (an equi-join on the cell, all through Spark), and a task multiplies one pair of
+blocks after the other and keeps the top k per query. A grouped merge of these short lists gives the exact
+answer. Exact work is O(queries x corpus); an index of random-projection buckets, fitted on a bounded sample, leaves a
+query only the buckets that it probes, at a recall that is measured. Memory per task is bounded by two groups of blocks and
+the product of two blocks, whatever the size of a split.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from quarry.operators.evaluation import global_positions
 from quarry.sources.jsonl import scratch_path
 
 DEFAULT_CHUNK_ROWS = 2048
+#: Blocks of one side in a cell, on average.
+EDGE = 16
 
 
 def positional_shots(df: DataFrame, order: str = "example_id", key: str = "example_id") -> DataFrame:
@@ -56,71 +61,176 @@ def _top_k(sims, cid, kk):
     return top_ids, top_sims
 
 
-def _pack(rows: int):
-    """Blocks of at most ``rows`` vectors: their ids and vectors as little-endian bytes."""
+def _pack(rows: int, index: "Index | None" = None, probes: int = 0):
+    """Blocks of at most ``rows`` vectors: bucket, ids and vectors as little-endian bytes.
+
+    Without an index all blocks are of bucket 0. With one a vector goes to its own bucket, or, if ``probes`` is
+    given, to the ``probes`` buckets that are most likely to hold its neighbours.
+    """
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def block(ids, vecs):
-            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).astype("<i8").tobytes()],
+        def block(bucket, ids, vecs):
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()),
+                                               "ids": [np.concatenate(ids).astype("<i8").tobytes()],
                                                "vecs": [np.concatenate(vecs).astype("<f8").tobytes()]})
-        ids, vecs, n = [], [], 0
+        held: dict[int, list] = {}
+
+        def put(bucket, ids, vecs):
+            ours = held.setdefault(bucket, [[], [], 0])
+            if ours[2] + len(ids) > rows:
+                yield block(bucket, *ours[:2])
+                ours = held[bucket] = [[], [], 0]
+            ours[0].append(ids)
+            ours[1].append(vecs)
+            ours[2] += len(ids)
+
         for b in batches:
             for lo in range(0, b.num_rows, rows):
                 piece = b.slice(lo, rows)
-                if n + piece.num_rows > rows:
-                    yield block(ids, vecs)
-                    ids, vecs, n = [], [], 0
-                ids.append(piece.column(0).to_numpy())
-                flat = piece.column(1).flatten().to_numpy(zero_copy_only=False)
-                vecs.append(flat.astype(np.float64))
-                n += piece.num_rows
-        if n:
-            yield block(ids, vecs)
+                ids = piece.column(0).to_numpy()
+                vecs = piece.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                if index is None:
+                    yield from put(0, ids, vecs)
+                    continue
+                near = index.nearest(vecs, probes) if probes else index.own(vecs)[:, None]
+                for bucket in np.unique(near).tolist():
+                    at = (near == bucket).any(axis=1)
+                    yield from put(bucket, ids[at], vecs[at])
+        for bucket, (ids, vecs, n) in held.items():
+            if n:
+                yield block(bucket, ids, vecs)
     return run
 
 
 def _best(k: int, exclude_self: bool):
-    """The k best of a corpus block for each query of a query block."""
-    def run(batches):
+    """The k best of a cell's corpus blocks for each query of its query blocks; one product of two blocks at a time."""
+    def run(key, queries, corpus):
         import numpy as np
         import pyarrow as pa
-        for b in batches:
-            for row in zip(*(b.column(c) for c in range(4))):
-                qid, qv, cid, cv = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<i8", "<f8", "<i8", "<f8")))
-                sims = qv.reshape(len(qid), -1) @ cv.reshape(len(cid), -1).T
+
+        def blocks(t):
+            for ids, vecs in zip(t["ids"], t["vecs"]):
+                i = np.frombuffer(ids.as_buffer(), "<i8")
+                yield i, np.frombuffer(vecs.as_buffer(), "<f8").reshape(len(i), -1)
+        out = []
+        for qid, qv in blocks(queries):
+            ids, sims = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+            for cid, cv in blocks(corpus):
+                new = qv @ cv.T
                 if exclude_self:
-                    sims[qid[:, None] == cid[None, :]] = -np.inf
-                kk = min(k, len(cid))
-                ids, top = _top_k(sims, cid, kk)
-                ok = np.isfinite(top).ravel()
-                yield pa.RecordBatch.from_pydict({"qid": np.repeat(qid, kk)[ok], "nid": ids.ravel()[ok], "sim": top.ravel()[ok]})
+                    new[qid[:, None] == cid[None, :]] = -np.inf
+                i, s = _top_k(new, cid, min(k, len(cid)))
+                ids, sims = np.hstack([ids, i]), np.hstack([sims, s])
+                order = np.lexsort((ids, -sims), axis=1)[:, :k]
+                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            ok = np.isfinite(sims).ravel()
+            out.append(pa.table({"qid": np.repeat(qid, ids.shape[1])[ok], "nid": ids.ravel()[ok], "sim": sims.ravel()[ok]}))
+        return pa.concat_tables(out) if out else pa.table({"qid": pa.array([], pa.int64()), "nid": pa.array([], pa.int64()),
+                                                           "sim": pa.array([], pa.float64())})
     return run
 
 
+@dataclass
+class Index:
+    """Random-projection buckets: a vector's bucket is on which side of a threshold its projections fall.
+
+    ``directions`` (dimensions x bits) are drawn by a seed, ``thresholds`` are the sample's medians, ``probes`` is
+    how many buckets a query visits, and ``sample_recall`` what that reached on the sample.
+    """
+
+    directions: "object"
+    thresholds: "object"
+    probes: int
+    sample_recall: float
+
+    def _margins(self, vecs):
+        return vecs @ self.directions - self.thresholds
+
+    def own(self, vecs):
+        """Number of each vector's bucket."""
+        import numpy as np
+        return ((self._margins(vecs) > 0) @ (1 << np.arange(len(self.thresholds)))).astype(np.int64)
+
+    def nearest(self, vecs, probes: int):
+        """The buckets that cost least to reach, where a threshold crossed costs its distance."""
+        import numpy as np
+        bits = len(self.thresholds)
+        sides = np.where(np.arange(1 << bits)[:, None] >> np.arange(bits) & 1, 1.0, -1.0)
+        fit = self._margins(vecs) @ sides.T
+        return np.argsort(-fit, axis=1, kind="stable")[:, :probes]
+
+
+def fit_index(corpus: DataFrame, k: int = 2, bits: int = 6, sample: int = 2048, target: float = 0.95, seed: int = 42) -> Index:
+    """Fit thresholds and the number of probes on at most ``sample`` vectors of the corpus (those of least md5(seed:id)).
+
+    ``probes`` is the least number with which the k nearest neighbours inside the sample are found at rate
+    ``target``. A larger corpus has nearer neighbours, so its recall is not expected to be lower; measure it with ``recall``.
+    """
+    import numpy as np
+    from quarry.operators.mixing import sample_n
+    rows = sample_n(corpus.select("id", "vec"), sample, "id", seed).orderBy("id").collect()  # at most ``sample`` rows
+    vecs = np.array([r["vec"] for r in rows], np.float64)
+    if len(rows) <= k:
+        return Index(np.zeros((vecs.shape[1] if rows else 1, 0)), np.zeros(0), 1, 1.0)
+    directions = np.random.default_rng(seed).normal(size=(vecs.shape[1], bits))
+    index = Index(directions, np.median(vecs @ directions, axis=0), 1 << bits, 1.0)
+    sims = vecs @ vecs.T
+    np.fill_diagonal(sims, -np.inf)
+    best, _ = _top_k(sims, np.arange(len(rows)), k)
+    order, own = index.nearest(vecs, 1 << bits), index.own(vecs)
+    place = np.argsort(order, axis=1)  # at which probe a bucket is visited
+    needed = np.take_along_axis(place, own[best], axis=1) + 1
+    for probes in range(1, (1 << bits) + 1):
+        got = float((needed <= probes).mean())
+        if got >= target:
+            return Index(directions, index.thresholds, probes, got)
+    return index
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 2, exclude_self: bool = True,
-        chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """JN-5: exact k nearest neighbours by dot product (cosine for unit vectors).
+        chunk_rows: int = DEFAULT_CHUNK_ROWS, index: Index | None = None) -> DataFrame:
+    """JN-5: k nearest neighbours by dot product (cosine for unit vectors), exact, or among an index's candidates.
 
     ``queries`` and ``corpus`` have ``id long`` and ``vec array<float>``. Output ``(query_id, rank,
-    neighbour_id)``, rank 1..k, ties broken by the smaller neighbour id.
+    neighbour_id)``, rank 1..k, ties broken by the smaller neighbour id. With an ``index`` (of this corpus) a query meets
+    only the buckets that it probes, and what it meets is ranked exactly.
+
+    Within a bucket the blocks of both sides are dealt into groups of about EDGE and every query group meets every
+    corpus group in one cell: a block is sent once for each group of the other side, not for each of its blocks.
     """
     spark = queries.sparkSession
-    packed = "ids binary, vecs binary"
-    path = scratch_path(spark, "knn-queries")
-    numbered = queries.select("id", "vec").mapInArrow(_pack(chunk_rows), packed) \
-        .select(F.monotonically_increasing_id().alias("chunk"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-    numbered.write.parquet(path)
-    chunks = spark.read.schema(numbered.schema).parquet(path)
-    # one number per query block: queries / chunk_rows, or the number of query splits if that is larger
-    numbers = [r["chunk"] for r in chunks.select("chunk").collect()] or [-1]
-    blocks = corpus.select("id", "vec").mapInArrow(_pack(chunk_rows), packed) \
-        .withColumn("chunk", F.explode(F.array(*[F.lit(c).cast("long") for c in numbers])))
-    met = blocks.join(chunks, "chunk").select("qids", "qvecs", "ids", "vecs")
-    local = met.mapInArrow(_best(k, exclude_self), "qid long, nid long, sim double")
+    packed = "bucket int, ids binary, vecs binary"
+
+    def blocks(df: DataFrame, name: str, probes: int) -> DataFrame:
+        path = scratch_path(spark, name)
+        b = df.select("id", "vec").mapInArrow(_pack(chunk_rows, index, probes), packed).withColumn("no", F.monotonically_increasing_id())
+        b.write.option("compression", "uncompressed").parquet(path)
+        return spark.read.schema(b.schema).parquet(path)
+
+    q, c = blocks(queries, "knn-queries", index.probes if index else 0), blocks(corpus, "knn-corpus", 0)
+    groups = (q.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / EDGE).alias("n_q"))
+              .join(c.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / EDGE).alias("n_c")), "bucket"))  # one row for each bucket
+
+    def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        d = side.join(groups, "bucket")
+        return d.select("bucket", F.pmod(F.xxhash64("no"), F.col(own_n)).alias(own),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1)).alias(other), "ids", "vecs")
+
+    cell = ["bucket", "i", "j"]
+    local = (dealt(q, "i", "n_q", "j", "n_c").groupBy(*cell).cogroup(dealt(c, "j", "n_c", "i", "n_q").groupBy(*cell))
+             .applyInArrow(_best(k, exclude_self), "qid long, nid long, sim double"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("nid"))
-    # Per query at most k rows per corpus block reach this window.
+    # Per query at most k rows per cell reach this window.
     merged = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return merged.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
                          F.col("nid").alias("neighbour_id"))
+
+
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: neighbours of the exact answer (n_neighbours), those that were found (n_found), and their share (recall)."""
+    hit = exact.select("query_id", "neighbour_id").join(
+        found.select("query_id", "neighbour_id", F.lit(1).alias("_hit")), ["query_id", "neighbour_id"], "left")
+    n = hit.agg(F.count(F.lit(1)).alias("n_neighbours"), F.count("_hit").alias("n_found"))
+    return n.withColumn("recall", F.try_divide(F.col("n_found").cast("double"), F.col("n_neighbours")))
