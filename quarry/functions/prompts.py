@@ -108,6 +108,12 @@ def keep_long_texts(df: DataFrame, text: str = "text", min_chars: int = 10) -> D
     return df.filter(F.length(text) > min_chars)
 
 
+def long_text_counts(df: DataFrame, text: str = "text", min_chars: int = 10) -> DataFrame:
+    """FLT-5's accounts in one row: formatted texts, those kept and those dropped (a null text is dropped)."""
+    n, kept = F.count(F.lit(1)), F.count_if(F.length(text) > min_chars)
+    return df.agg(n.alias("formatted"), kept.alias("kept"), (n - kept).alias("dropped"))
+
+
 def usable_schema(df: DataFrame, schema: str = "schema") -> DataFrame:
     """FLT-6: drop evaluation rows whose schema is empty or only a ``Database:`` placeholder."""
     return df.filter((F.coalesce(F.col(schema), F.lit("")) != "") & ~F.col(schema).startswith("Database:"))

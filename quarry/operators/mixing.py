@@ -85,6 +85,43 @@ def ranked_by_hash(df: DataFrame, id_col: str, seed: int, n: int) -> DataFrame:
         .filter(F.col("rank") < n).drop("_h", "_range", "_lower")
 
 
+def hash_limits(df: DataFrame, id_col: str, seed: int, wanted: DataFrame, group: str | None = None) -> DataFrame:
+    """The hash of the k-th row in order of md5(seed:id) for each group: ``_limit``; rows up to it are the k smallest.
+
+    ``wanted`` has the group column (none without ``group``) and ``_k`` >= 1, at most the group's size; one row each. A histogram over
+    the hash's first digits (at most 16^RANGE_DIGITS rows a group) finds the range that holds the k-th row; only
+    the rows of that range are ranked. Row ids are unique in their group.
+    """
+    from pyspark.sql import Window as W
+    keys = [group] if group else []
+    h = df.select(*keys, F.concat(hash_key(seed, id_col), F.lit(":"), F.col(id_col).cast("string")).alias("_h")) \
+        .withColumn("_range", F.substring("_h", 1, RANGE_DIGITS))
+    counts = h.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_cnt"))
+    upto = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
+    c = counts.withColumn("_upto", F.sum("_cnt").over(upto))
+    c = c.join(F.broadcast(wanted), keys) if keys else c.withColumn("_k", F.lit(int(wanted.first()["_k"])))
+    at = c.filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_cnt") < F.col("_k"))) \
+        .select(*keys, "_range", (F.col("_k") - F.col("_upto") + F.col("_cnt")).alias("_place"))  # one row a group
+    near = h.join(F.broadcast(at), [*keys, "_range"])
+    place = F.row_number().over(W.partitionBy(*keys, "_range").orderBy("_h"))
+    return near.withColumn("_rn", place).filter(F.col("_rn") == F.col("_place")).select(*keys, F.col("_h").alias("_limit"))
+
+
+def split_exact(df: DataFrame, id_col: str, fraction: float = 0.02, seed: int = 42) -> DataFrame:
+    """ST-4 with an exact count: the ceil(fraction * rows) rows of least md5(seed:id) are 'validation', the others 'train'.
+
+    The threshold is one order statistic of the hash, so the split is the same under any partitioning.
+    """
+    import math
+    n = df.count()
+    k = math.ceil(round(fraction * n, 9))
+    if k == 0:
+        return df.withColumn("split", F.lit("train"))
+    limit = hash_limits(df, id_col, seed, df.sparkSession.createDataFrame([(k,)], "_k long")).first()["_limit"]
+    h = F.concat(hash_key(seed, id_col), F.lit(":"), F.col(id_col).cast("string"))
+    return df.withColumn("split", F.when(h <= F.lit(limit), F.lit("validation")).otherwise(F.lit("train")))
+
+
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """SO-4: n rows without replacement (all rows when there are at most n): the n smallest hashes."""
     return ranked_by_hash(df, id_col, seed, n).drop("rank")
@@ -153,3 +190,44 @@ def interleave(df: DataFrame, source: str, id_col: str, weights: dict[str, float
     d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_q")
     return d.withColumn("mix_key", hash_key(seed, id_col, "copy"))
+
+
+def exact_quotas(df: DataFrame, source: str, weights: dict[str, float], strategy: str = "all_exhausted") -> DataFrame:
+    """Rows to emit of each loaded source, ``(source, n, quota)``: largest remainders of the weights' shares of a whole total.
+
+    The total is the least (``all_exhausted``) or greatest (``first_exhausted``) whole number at which every source is
+    emitted at least, or at most, once. At most ``len(weights)`` rows; ties of remainders go to the name that sorts first.
+    """
+    from pyspark.sql import Window as W
+    wdf = df.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], f"{source} string, _w double")
+    pr = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(wdf), source).filter(F.col("_w") > 0)
+    allw = W.partitionBy()
+    pr = pr.withColumn("_p", F.col("_w") / F.sum("_w").over(allw))
+    ratio = F.round(F.col("n") / F.col("_p"), 6)
+    total = F.ceil(F.max(ratio).over(allw)) if strategy == "all_exhausted" else F.floor(F.min(ratio).over(allw))
+    pr = pr.withColumn("_total", total).withColumn("_share", F.round(F.col("_p") * F.col("_total"), 6))
+    pr = pr.withColumn("_base", F.floor("_share"))
+    left = F.col("_total") - F.sum("_base").over(allw)
+    turn = F.row_number().over(W.orderBy(F.desc(F.round(F.col("_share") - F.col("_base"), 6)), F.asc(source)))
+    return pr.select(source, "n", (F.col("_base") + F.when(turn <= left, 1).otherwise(0)).cast("long").alias("quota"))
+
+
+def interleave_exact(df: DataFrame, source: str, id_col: str, weights: dict[str, float],
+                     strategy: str = "all_exhausted", seed: int = 42) -> DataFrame:
+    """ST-3 with exact quotas: each source is emitted exactly ``quota`` times (``exact_quotas``).
+
+    Every row gets quota // n copies; the quota % n rows of least md5(seed:id) in their source get one more. The
+    rows' order and their ``copy`` and ``mix_key`` are as in ``interleave``. A source without a weight is an error.
+    """
+    quotas = exact_quotas(df, source, weights, strategy)
+    more = quotas.select(source, (F.col("quota") % F.col("n")).alias("_k")).filter(F.col("_k") > 0)
+    limits = hash_limits(df, id_col, seed, more, source)
+    per = quotas.select(source, F.floor(F.col("quota") / F.col("n")).alias("_full")).join(limits, source, "left")
+    d = df.join(F.broadcast(per), source, "left")
+    full = F.when(F.col(source).isin(*weights), F.col("_full")).otherwise(
+        F.raise_error(F.concat(F.lit("no mix weight for source "), F.coalesce(F.col(source), F.lit("null")))))
+    h = F.concat(hash_key(seed, id_col), F.lit(":"), F.col(id_col).cast("string"))
+    copies = (F.coalesce(full, F.lit(0)) + F.coalesce((h <= F.col("_limit")).cast("int"), F.lit(0))).cast("int")
+    d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_full", "_limit")
+    return d.withColumn("mix_key", hash_key(seed, id_col, "copy"))

@@ -9,7 +9,7 @@ from quarry import oracle as O
 from quarry.functions import text as T
 from quarry.operators import compare as CMP
 from quarry.operators import evaluation as E
-from quarry.plans.registry import register
+from quarry.plans.registry import ORACLES, register
 from quarry.sources import adapters as A
 
 EX, ER = O.EXAMPLES, O.EVAL_RESULTS
@@ -47,7 +47,7 @@ def ag5(spark, sf):
 
 
 def _error_class_sql(x: str) -> str:
-    parts = " ".join(f"WHEN strpos(lower({x}), {q(n)}) > 0 THEN {q(c)}" for n, c in T.ERROR_CLASSES)
+    parts = " ".join(f"WHEN strpos(lower({x}), {q(n)}) > 0 THEN {q(c)}" for n, c in O.ERROR_CLASSES)
     return f"CASE {parts} ELSE 'other_error' END"
 
 
@@ -242,9 +242,9 @@ def extract_sql_sql(x: str) -> str:
 
 
 EXTRACT = f"""ext0 AS (SELECT example_id, gold_sql, {extract_sql_sql('model_text')} AS t FROM model_text),
-ext1 AS (SELECT *, strpos(upper(t), 'SELECT') AS pos FROM ext0),
+ext1 AS (SELECT *, strpos(upper(replace(t, 'ß', 'ss')), 'SELECT') AS pos FROM ext0),
 ext2 AS (SELECT *, substr(t, pos) AS s FROM ext1),
-ext3 AS (SELECT *, least({", ".join(f"CASE WHEN strpos(s, {q(d)}) > 1 THEN strpos(s, {q(d)}) END" for d in T.SQL_END_DELIMITERS)}) AS cut FROM ext2),
+ext3 AS (SELECT *, least({", ".join(f"CASE WHEN strpos(s, {q(d)}) > 1 THEN strpos(s, {q(d)}) END" for d in O.SQL_ENDS)}) AS cut FROM ext2),
 extracted AS (SELECT example_id, gold_sql,
   CASE WHEN pos > 0 THEN {O.strip("regexp_replace(CASE WHEN cut IS NULL THEN s ELSE substr(s, 1, cut - 1) END, ';+$', '')")} ELSE t END AS generated_sql
   FROM ext3)"""
@@ -316,28 +316,11 @@ def sc14(spark, sf):
     return ex.select("example_id", T.response_tail(t).alias("sql"))
 
 
-@register("SC-17", O.with_(EX) + """SELECT example_id, array_to_string(list_filter(list_transform(flatten(list_transform(
-  regexp_extract_all(MARKED, '(?i)\\bFROM\\s+([^\x01;]+)', 1), lambda s: string_split(s, ','))),
-  lambda x: STRIPX), lambda x: x <> ''), '|') AS tables
-FROM examples""".replace("TOPLEVEL", "TOPLEVEL_EXPR"))
+@register("SC-17", O.with_(EX) + f"SELECT example_id, {O.from_tables('sql')} AS tables FROM examples")
 def sc17(spark, sf):
     return A.examples(spark, sf).select("example_id", F.array_join(T.from_tables("sql"), "|").alias("tables"))
 
 
-def _toplevel_sql(x: str) -> str:
-    w = f"regexp_replace({x}, '''[^'']*''', '''''', 'g')"
-    for _ in range(4):
-        w = f"regexp_replace({w}, '\\([^()]*\\)', ' ', 'g')"
-    return w
-
-
-from quarry.plans.registry import ORACLES as _OR  # noqa: E402
-
-_marked = "regexp_replace(" + _toplevel_sql("sql") + ", " + O.q(r"(?i)\s+(" + "|".join(T.FROM_LIST_END) + r")\b") \
-    + ", chr(1), 'g')"
-_OR["SC-17"] = _OR["SC-17"].replace("MARKED", _marked).replace("STRIPX", O.strip("x"))
-
-
 # --- scoring of stored result tables ------------------------------------------------------------------
 
 # Pairs whose prediction is blank, whose prediction failed, and whose gold query failed.
@@ -352,7 +335,7 @@ def scored_pairs(spark, sf) -> DataFrame:
     return CMP.score(r.withColumns({"generated_sql": text, "gen_ok": c % FAILED != 0, "gold_ok": c % GOLD_FAILED != 0}))
 
 
-_ST2 = _OR["ST-2"]
+_ST2 = ORACLES["ST-2"]
 _PAIRS = f"""SELECT pair_id, CASE WHEN pair_id % 13 = 0 THEN ' ' || chr(10) ELSE {O.sql_template('pair_id')} END AS generated_sql,
   pair_id % 7 <> 0 AS is_valid, pair_id % 11 <> 0 AS gold_valid,
   pair_id % 7 <> 0 AND pair_id % 11 <> 0 AND results_match AS results_match,
