@@ -77,7 +77,8 @@ def normalized(sql) -> Column:
     """White space between tokens collapsed, keywords upper-cased; literals, names and comments as they are."""
     def one(t: Column) -> Column:
         up = F.upper(t)
-        return F.when(is_space(t), F.lit(" ")).when(up.isin(*KEYWORDS), up).otherwise(t)
+        # no keyword is longer than 24 bytes; long literals are not upper-cased
+        return F.when(is_space(t), F.lit(" ")).when((F.octet_length(t) <= 24) & up.isin(*KEYWORDS), up).otherwise(t)
     return F.trim(F.array_join(F.transform(tokens(sql), one), ""), F.lit(WS_CHARS))
 
 

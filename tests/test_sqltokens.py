@@ -14,7 +14,8 @@ TYPES = {"WITH t AS (SELECT '/*' AS a) DELETE FROM x WHERE b = '*/'": "DELETE",
 
 NORMAL = {"select  a ,b from\tt where x = 'a  b' and y=\"Order  By\"": "SELECT a ,b FROM t WHERE x = 'a  b' AND y=\"Order  By\"",
           " select t.select, `from` from t -- keep  this\n limit 1 ;": "SELECT t.select, `from` FROM t -- keep  this LIMIT 1 ;",
-          "SELECT 'select from'": "SELECT 'select from'", "select Name from Users": "SELECT Name FROM Users", "a = 'it''s  in'": "a = 'it''s  in'"}
+          "SELECT 'select from'": "SELECT 'select from'", "select Name from Users": "SELECT Name FROM Users", "a = 'it''s  in'": "a = 'it''s  in'",
+          "select" + " \n" * 40 + "a": "SELECT a"}
 
 FROMS = {"SELECT a FROM customer c, (select x from y) n WHERE x = 'from z, w'": ["customer c", "n"], "SELECT 1 FROM \"a,b\" x, `c (d`, e": ['"a,b" x', "`c (d`", "e"],
          "select x from a /* from b */ join c on 1=1 union select y from d -- from e\n;": ["a", "d"], "SELECT ')' FROM t WHERE a IN (SELECT b FROM u)": ["t"],
