@@ -231,16 +231,21 @@ def _join(least: float):
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, cosine: float = 0.9) -> DataFrame:
     """One row per row of ``df``: id, n_links (other vectors with at least that cosine), component_id (smallest id that
-    links reach) and kept (whether it is that)."""
+    links reach) and kept (whether it is that).
+
+    Vectors are told apart by their place, equal ones are one vector that is counted as often as it occurs, so
+    rows that share an id, or have none, keep their links; a component without any id has a null component_id.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "embeddings")
     r = math.sqrt(2 - 2 * cosine) + 1e-9
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = scratch.write(rows.mapInArrow(_prepare, "id long, vec binary").withColumn("digest", F.md5("vec")), "vectors")
-    good = rows.where("vec is not null and id is not null")
-    same = scratch.write(good.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "same")
-    reps = good.join(same.where("true").select(F.col("rep").alias("id"), F.col("digest").alias("own"), "n"), "id")
-    reps = scratch.write(reps.where(F.col("digest") == F.col("own")).dropDuplicates(["id"]).select("id", "n", "vec"), "reps")
+    rows = rows.mapInArrow(_prepare, "id long, vec binary").withColumn("digest", F.md5("vec")).withColumn("key", F.monotonically_increasing_id())
+    rows = scratch.write(rows, "vectors")
+    same = rows.where("vec is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    same = scratch.write(same, "same")
+    reps = rows.select(F.col("key").alias("id"), "vec").join(same.select(F.col("rep").alias("id"), "n"), "id")
+    reps = scratch.write(reps.select("id", "n", "vec"), "reps")
     total = reps.count()
     sample = [bytes(x["vec"]) for x in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
     cells = Cells(choose_pivots(sample, total))
@@ -255,8 +260,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = (same.join(links.withColumnRenamed("id", "rep"), "rep", "left")
              .join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left")
-             .select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("c", "rep").alias("c")))
-    out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left")
-    cls = F.coalesce("c", "id")
+             .select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("c", "rep").alias("root")))
+    known = scratch.write(known, "known")
+    named = known.groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(named, "root").select("digest", "n_links", "component")
+    out = rows.select("id", "digest", F.col("vec").isNotNull().alias("good")).join(known, "digest", "left")
+    cls = F.when(F.col("good"), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      cls.alias("component_id"), F.coalesce(F.col("id") == cls, F.lit(True)).alias("kept"))
+                      cls.alias("component_id"), F.col("id").eqNullSafe(cls).alias("kept"))

@@ -70,3 +70,14 @@ def test_query(spark):
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op3_embedding_join"](spark, sf).collect()}
     assert out == brute(rows, 0.9)
+
+
+def test_repeated_and_null_ids_keep_their_links(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.999, 0.01, 0.0]
+    rows = [(1, a), (1, b), (2, c), (None, a), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0]), (3, b), (3, b), (4, None), (4, a), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect()), key=str)
+    # links within {a, a, a, c}: 3 each; {b, b, b}: 2; the two null ids: 1
+    want = [(1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (4, 3, 1, False),
+            (1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (4, 0, 4, True), (None, 0, None, True)]
+    assert out == sorted(want, key=str)
