@@ -110,7 +110,7 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_dedup", sql.LINES)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.line_dedup import remove_repeated_lines
-    out = remove_repeated_lines(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", min_lines=2)
+    out = remove_repeated_lines(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", min_lines=2, min_words=20)
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed",
                       F.sha2(F.coalesce("line_dedup.kept_text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -13,7 +13,8 @@ SELECT w.doc_id, len(w.ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha2
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-#: A place is deleted if the pair of lines that begins there, or one line before, begins earlier somewhere too.
+#: A place is deleted if the pair of lines that begins there, or one line before, begins earlier somewhere too, or if its line
+#: has 20 words or more and stands earlier too.
 LINES = r"""
 WITH units AS (
   SELECT doc_id, text, unnest(generate_series(0, len(u) - 1)) AS pos, unnest(u) AS unit, u
@@ -24,7 +25,10 @@ real AS (SELECT * FROM lines WHERE line <> ''),
 pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM real),
 ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, pos) AS nth
            FROM pairs WHERE after IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM ranked WHERE nth > 1),
+long AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM real
+         WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM ranked WHERE nth > 1
+         UNION SELECT doc_id, pos FROM long WHERE nth > 1),
 per_doc AS (SELECT d.doc_id, count(r.pos) AS n_lines, count(g.pos) AS n_removed
             FROM documents d LEFT JOIN real r USING (doc_id) LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos
             GROUP BY d.doc_id),

@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are deleted from the texts; a text that loses all of them goes."""
-    out = remove_repeated_lines(docs, "doc_id", "text", min_lines=2)
+    out = remove_repeated_lines(docs, "doc_id", "text", min_lines=2, min_words=20)
     d = F.col("line_dedup")
     out = out.where((d["n_removed"] == 0) | (d["n_removed"] < d["n_lines"]))
     changed = d["n_removed"] > 0
