@@ -38,7 +38,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: Strings that the library takes for tokens of their own wherever they stand; a text with one is encoded whole.
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = kind
         self.memo: dict = {}
         self.old: dict = {}
@@ -85,8 +86,13 @@ class Encoder:
         self.memo[""], self.memo["\n"] = b"", np.array(self.line_feed, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list | None:
+        raw = text.encode()
         if self.kind == "words":
-            return text.encode().lower().split()  # the tokenizer lower-cases too
+            raw = raw.lower()  # the tokenizer lower-cases too, but only what is no such string as it stands
+        if any(s in raw for s in self.special):
+            return None
+        if self.kind == "words":
+            return raw.split()
         if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
                 or self._ODD.search(text)):
             return None  # white space next to other, at an end, or of another kind: encoded whole

@@ -43,6 +43,8 @@ class WaveletMatrix:
     @classmethod
     def build(cls, a: np.ndarray, bits: int) -> "WaveletMatrix":
         planes, counts, zeros = [], [], []
+        if len(a) and int(a.max()) >> bits:
+            raise ValueError(f"id {int(a.max())} needs more than {bits} bits")
         a = a.astype(np.uint16 if bits <= 16 else np.uint32)
         for k in range(bits - 1, -1, -1):
             one = (a & a.dtype.type(1 << k)) != 0
@@ -142,18 +144,22 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
 
 
 def write_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str, end_id: int,
-                bits: int = 16, file_tokens: int = FILE_TOKENS) -> None:
-    """Encode every text with the end id appended, in ascending order of id, and write the shards' files to ``path``."""
+                bits: int | None = None, file_tokens: int = FILE_TOKENS) -> None:
+    """Encode every text with the end id appended, in ascending order of id, and write the shards' files to ``path``.
+
+    ``bits`` is how many planes an id has (None: as many as the vocabulary needs); an id that needs more is an error.
+    """
     ship(df.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer, "bytes"), TaskContext.get().partitionId()
+        planes = bits or max(end_id, enc.tok.get_vocab_size() - 1).bit_length()
         end = np.array([end_id], "<u4").tobytes()
         docs, held, sizes, seq, start, total = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            data = to_file(np.frombuffer(b"".join(held), "<u4"), docs, offsets, bits)
+            data = to_file(np.frombuffer(b"".join(held), "<u4"), docs, offsets, planes)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
                                                "start": [start], "n_tokens": [int(offsets[-1])], "data": [data]})
 

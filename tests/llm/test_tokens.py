@@ -15,13 +15,12 @@ from tests.llm.common import EDGE, documents
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TRICKY = ["", "a", " a", "a ", "a  b", "a \n b", "a\nb", "a\n\nb c", "it's we'll 12 345 !? don't", "tab\tx", "nb sp  x", "é ÉΣ ΑΣ Σ​ x",
-          "日本 語　x", "<|endoftext|> <|startoftext|>a", "\x1c x\x85y", "a\x01b \x00c", "!!! ??\n!!!", " \n ", "ﬁ ²³ Ⅷ", "a\r\nb", "x" * 5000]
+          "日本 語　x", "<|endoftext|> <|startoftext|>a", "x <|endoftext|> y", "X<|ENDOFTEXT|>", "a<|endoftext|><|endoftext|>\n b", "\x1c x\x85y", "a\x01b \x00c", "!!! ??\n!!!", " \n ", "ﬁ ²³ Ⅷ", "a\r\nb", "x" * 5000]
 
 
 @pytest.mark.parametrize("path,kind", [(WORDS, "words"), (BYTES, "bytes")])
 def test_memo_gives_the_library_s_ids(path, kind):
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     texts = [*TRICKY, *(t or "" for _, t in EDGE)]
     want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
     enc = T.Encoder(path, kind)
@@ -30,7 +29,6 @@ def test_memo_gives_the_library_s_ids(path, kind):
 
 def reference(path, docs, end):
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     return {i: e.ids + [end] for i, e in zip(docs, lib.encode_batch([t or "" for t in docs.values()], add_special_tokens=False))}
 
 
@@ -134,3 +132,15 @@ def test_memo_generations(monkeypatch):
     enc = T.Encoder(BYTES, "bytes")
     assert enc.encode(texts) == [np.array(lib.encode(t).ids, "<u4").tobytes() for t in texts]
     assert len(enc.memo) <= 6 + 8 and len(enc.old) <= 6 + 8
+
+
+def test_special_strings_are_tokens_as_in_the_plain_call():
+    assert np.frombuffer(T.Encoder(WORDS, "words").encode(["x <|endoftext|> y"])[0], "<u4").tolist() == [343, 49407, 344]
+    assert np.frombuffer(T.Encoder(BYTES, "bytes").encode(["x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331]
+
+
+def test_ids_beyond_the_planes_are_an_error():
+    ids = np.array([70_000, 3], np.uint32)
+    with pytest.raises(ValueError, match="70000"):
+        V.WaveletMatrix.build(ids, 16)
+    assert V.WaveletMatrix.build(ids, 17).all().tolist() == [70_000, 3]
