@@ -61,6 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"kept": out["kept"], "totals": out["totals"].first().asDict()}))
     elif args.cmd == "assemble":
         kept = spark.read.parquet(args.kept)
+        # fixed values: the training configuration's weights
         weights = _pairs(args.weight, float) or {"spider": 0.4, "sqale": 0.3, "sql_context": 0.15,
                                                  "gretel": 0.1, "know_sql": 0.05}
         print(json.dumps(PL.assemble_training(spark, kept, args.out, weights, args.template, args.strategy,

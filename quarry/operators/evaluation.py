@@ -98,6 +98,8 @@ def final_attempt(attempts: DataFrame, key: str = "example_id") -> DataFrame:
                     "num_attempts")
 
 
+# --- fixed values: the sentences of the feedback blocks below must equal the reference's ---------------
+
 def attempt_feedback(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Column:
     """The feedback block an attempt adds to the next prompt (empty SQL / execution error / judge feedback)."""
     n = F.col("attempt_number").cast("string")

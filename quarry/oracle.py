@@ -34,6 +34,67 @@ INTO IS JOIN KEY LAST LATERAL LEFT LIKE LIMIT MERGE NATURAL NOT NULL NULLS OFFSE
 PRAGMA PRECEDING PRIMARY RANGE RECURSIVE REFERENCES RENAME REPLACE RETURNING RIGHT ROLLBACK ROW ROWS SELECT SET SIMILAR
 TABLE TEMPORARY THEN TO TRUNCATE UNBOUNDED UNION UNIQUE UPDATE USING VALUES VIEW WHEN WHERE WINDOW WITH
 """.split()
+# Feedback of a comparison.
+MSG_NORMALIZE = "Error normalizing results: NULL among several values in a row cannot be sorted"
+MSG_MATCH = "Results match gold standard"
+MSG_DIFFER = "Results differ from gold standard (same row count, different values)"
+# Paraphrase rules, in order; synonyms of table names; what simplification deletes.
+PARAPHRASES = [
+    (r"What (is|are) the (.+)\?", r"Show me the \2."),
+    (r"What (.+)\?", r"List the \1."),
+    (r"How many (.+)\?", r"Count the \1."),
+    (r"How many (.+) are there\?", r"What is the total number of \1?"),
+    (r"Find (.+)\.", r"Get \1."),
+    (r"Find (.+)\.", r"Retrieve \1."),
+    (r"List (.+)\.", r"Show \1."),
+    (r"List all (.+)\.", r"Display all \1."),
+    (r"Give me (.+)\.", r"Show me \1."),
+    (r"Which (.+)\?", r"What \1?"),
+]
+SYNONYMS = {
+    "student": ["pupil", "learner", "scholar"],
+    "teacher": ["instructor", "professor", "educator"],
+    "course": ["class", "subject", "lesson"],
+    "department": ["division", "unit", "section"],
+    "employee": ["worker", "staff", "personnel"],
+    "customer": ["client", "buyer", "patron"],
+    "order": ["purchase", "transaction", "sale"],
+    "product": ["item", "goods", "merchandise"],
+}
+ORDER_BY_CLAUSE, LIMIT_CLAUSE = r"\s+ORDER BY\s+[^;]+", r"\s+LIMIT\s+\d+"
+# Prompt templates; those whose inputs are trimmed first.
+INSTRUCTION = "Database Schema:\n{schema}\n\nQuestion: {question}"
+TEMPLATES = {
+    "train_response_only":
+        " ### Instruction: Generate a SQL query to answer the given question based on the provided database schema\n"
+        "{instruction}\n\n ### Response:\n{sql}{eos}",
+    "train_complete":
+        " ### Instruction:\nGenerate a SQL query to answer the given question based on the provided database schema.\n\n"
+        "Database Schema:\n{schema}\n\nQuestion: {question}\n\n ### Response:\n{sql}{eos}",
+    "published":
+        "### Task: Convert natural language question to SQL query\nDatabase: {db_id}\nDatabase Schema: {schema}\n"
+        "### Question: {question}\n### SQL: {sql}",
+    "zero_shot":
+        "### Task: Convert the following natural language question to a SQL query.  Give only SQL Query as Output\n\n"
+        "### Database Schema:\n{schema}\n\n### Question: {question}\n\n### SQL Query:\n",
+    "self_correction":
+        "### Task: Convert the following natural language question to a SQL query. Give only SQL Query as Output\n\n"
+        "### Database Schema:\n{schema}\n\n### Question: {question}\n\n### SQL Query:\n",
+    "judge":
+        "-- Database Schema\n{schema}\n\n-- Question: {question}\n-- SQL Query: {sql}\n\n"
+        "Does this SQL query correctly answer the question? Answer with 'Yes' or 'No' followed by a brief explanation.\n"
+        "Answer:",
+    "sft_inference":
+        " ### Instruction: Generate a SQL query to answer the given question based on the provided database schema\n"
+        "    {instruction}\n    \n     ### Response:\n    ",
+    "optimizer_eval":
+        "Schema:\n{schema}\n\nQuestion: {question}\nSQL:",
+    "optimizer_train":
+        "Schema:\n{schema}\nQuestion: {question}",
+}
+TRIMMED = ["train_complete", "train_response_only"]
+EOS = "</s>"
+FEW_SHOT_HEAD = ("### Task: Convert natural language questions to SQL queries.  Give only SQL Query as Output \n\n### Examples:\n\n")
 # Literal, quoted name, comment, member name, word, number, white space, anything else.
 SQL_TOKEN = (r"'[^']*'?" r'|"[^"]*"?' r"|`[^`]*`?|--[^\r\n]*|/\*(?s:.*?)(?:\*/|\z)|\.[\p{L}_][\p{L}\p{M}\p{N}_$]*"
              r"|[\p{L}_][\p{L}\p{M}\p{N}_$]*|[0-9][0-9A-Za-z_]*" rf"|[{WS}]+|(?s:.)")

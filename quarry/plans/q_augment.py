@@ -34,7 +34,7 @@ def _draw_sql(purpose: str, *extra: str) -> str:
 
 
 def _para_sql() -> str:
-    cands = [f"regexp_replace(question, {q(AU.java_pattern(p))}, {q(r)}, 'g')" for p, r in AU.PARAPHRASE_RULES]
+    cands = [f"regexp_replace(question, {q('(?i)' + p)}, {q(r)}, 'g')" for p, r in O.PARAPHRASES]
     kept = []
     for i, c in enumerate(cands):
         prev = f" AND {c} NOT IN ({', '.join(cands[:i])})" if i else ""
@@ -42,7 +42,7 @@ def _para_sql() -> str:
     return f"list_filter([{', '.join(kept)}], lambda x: x IS NOT NULL)[1:2]"
 
 
-_syn = " ".join(f"WHEN {q(k)} THEN [{', '.join(q(s) for s in v)}]" for k, v in AU.TABLE_SYNONYMS.items())
+_syn = " ".join(f"WHEN {q(k)} THEN [{', '.join(q(s) for s in v)}]" for k, v in O.SYNONYMS.items())
 
 
 def _options(t: str) -> str:
@@ -65,7 +65,7 @@ AUG = O.with_(QA, f"""qa2 AS (SELECT *, {_para_sql()} AS para, {_rename_sql()} A
   CASE WHEN strpos(upper(sql), 'ORDER BY') > 0 THEN sql ELSE regexp_replace(sql, '[;]+$', '') || ' ORDER BY ' ||
     columns[CAST({_draw_sql('order_col')} % greatest(len(columns), 1) + 1 AS BIGINT)] || ' ' ||
     ['ASC', 'DESC'][CAST({_draw_sql('order_dir')} % 2 + 1 AS BIGINT)] END AS ordered,
-  regexp_replace(regexp_replace(sql, {q('(?i)' + AU.SIMPLIFY_ORDER_BY)}, '', 'g'), {q('(?i)' + AU.SIMPLIFY_LIMIT)}, '', 'g') AS simple
+  regexp_replace(regexp_replace(sql, {q('(?i)' + O.ORDER_BY_CLAUSE)}, '', 'g'), {q('(?i)' + O.LIMIT_CLAUSE)}, '', 'g') AS simple
   FROM qa)""", """cands AS (
   SELECT example_id, 1 AS ord, 'original' AS augmentation, question, sql, db_id, false AS checked, true AS present FROM qa2
   UNION ALL SELECT example_id, 2, 'paraphrase', para[1], sql, db_id, false, len(para) >= 1 FROM qa2
@@ -123,8 +123,8 @@ def au4(spark, sf):
                     AU.add_order_by(F.col("sql"), F.col("schema.columns"), "example_id").alias("sql"))
 
 
-@register("AU-5", O.with_(QA) + f"""SELECT example_id, regexp_replace(regexp_replace(sql, {q('(?i)' + AU.SIMPLIFY_ORDER_BY)}, '', 'g'),
-  {q('(?i)' + AU.SIMPLIFY_LIMIT)}, '', 'g') AS simplified FROM qa""")
+@register("AU-5", O.with_(QA) + f"""SELECT example_id, regexp_replace(regexp_replace(sql, {q('(?i)' + O.ORDER_BY_CLAUSE)}, '', 'g'),
+  {q('(?i)' + O.LIMIT_CLAUSE)}, '', 'g') AS simplified FROM qa""")
 def au5(spark, sf):
     d = A.questions_aug(spark, sf)
     return d.select("example_id", AU.simplify(F.col("sql")).alias("simplified"))
@@ -206,7 +206,7 @@ def jn5_index(spark, sf):
     'Schema: ' || coalesce(s.context, 'N/A') || chr(10) || 'Question: ' || s.question || chr(10) || 'SQL: ' ||
     coalesce(s.sql, '') || chr(10) || chr(10), '' ORDER BY w.shot_rank) AS body
   FROM want w JOIN pos p ON p.i = w.shot_pos JOIN examples s ON s.example_id = p.example_id GROUP BY 1)""")
-    + f"""SELECT e.example_id, {q(__import__('quarry.functions.prompts', fromlist=['x']).FEW_SHOT_HEAD)} || coalesce(b.body, '') ||
+    + f"""SELECT e.example_id, {q(O.FEW_SHOT_HEAD)} || coalesce(b.body, '') ||
   '### Now convert this question:' || chr(10) || 'Schema:' || chr(10) || e.context || chr(10) || chr(10) ||
   'Question: ' || e.question || chr(10) || chr(10) || 'SQL Query:' || chr(10) AS prompt
 FROM examples e LEFT JOIN blocks b USING (example_id)""")

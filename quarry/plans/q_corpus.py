@@ -240,6 +240,7 @@ def so2(spark, sf):
     return S.top_k_share(_kept(spark, sf, "source_dataset"), "source_dataset", k=3)
 
 
+# Fixed values of the oracle: recommended weights and reasons.
 @register("AG-11", O.with_(EX, CL) + """SELECT source_dataset, CAST(count(*) AS BIGINT) AS count,
   CAST(CASE source_dataset WHEN 'spider' THEN 0.5 WHEN 'sqale' THEN 0.3 WHEN 'gretel' THEN 0.15
        WHEN 'sql_context' THEN 0.03 WHEN 'know_sql' THEN 0.02 ELSE 0.1 END AS DOUBLE) AS weight,

@@ -81,10 +81,9 @@ a0 AS (SELECT conv_id * 1000000 + nth // 3 AS example_id, CAST(nth % 3 + 1 AS IN
     CASE WHEN length(text) % 3 = 0 THEN 'no such column: y' END AS execution_error,
     CASE WHEN length(text) % 3 <> 0 THEN CASE WHEN length(text) % 5 = 0 THEN 'Yes, correct' ELSE 'No, wrong' END END AS llm_validation
   FROM a00),
-a1 AS (SELECT * FROM a0 WHERE attempt_number <= 3),
-fy AS (SELECT example_id, min(attempt_number) AS first_yes FROM a1
+fy AS (SELECT example_id, min(attempt_number) AS first_yes FROM a0
   WHERE is_valid AND starts_with(lower(llm_validation), 'yes') GROUP BY 1),
-attempts AS (SELECT a1.* FROM a1 LEFT JOIN fy USING (example_id) WHERE fy.first_yes IS NULL OR a1.attempt_number <= fy.first_yes)"""
+attempts AS (SELECT a0.* FROM a0 LEFT JOIN fy USING (example_id) WHERE fy.first_yes IS NULL OR a0.attempt_number <= fy.first_yes)"""
 
 
 @register("AG-7", O.with_(ATTEMPTS, """ranked_att AS (SELECT *,
@@ -196,9 +195,9 @@ KEYED = f"""keyed AS (SELECT pair_id, side,
   coalesce(only_gen, 0) AS only_gen, coalesce(only_gold, 0) AS only_gold, coalesce(error, false) AS error
   FROM (SELECT DISTINCT o_custkey AS pair_id FROM orders) p LEFT JOIN per_pair USING (pair_id))""")
     + f"""SELECT *, NOT error AND only_gen = 0 AND only_gold = 0 AS results_match,
-  CASE WHEN error THEN {q(CMP.MSG_NORMALIZE)} WHEN only_gen = 0 AND only_gold = 0 THEN {q(CMP.MSG_MATCH)}
+  CASE WHEN error THEN {q(O.MSG_NORMALIZE)} WHEN only_gen = 0 AND only_gold = 0 THEN {q(O.MSG_MATCH)}
        WHEN n_gen <> n_gold THEN 'Result count mismatch: generated ' || n_gen || ' rows, expected ' || n_gold || ' rows'
-       ELSE {q(CMP.MSG_DIFFER)} END AS feedback FROM pp""")
+       ELSE {q(O.MSG_DIFFER)} END AS feedback FROM pp""")
 def st2(spark, sf):
     return CMP.compare_results(A.result_rows(spark, sf), A.result_pairs(spark, sf))
 

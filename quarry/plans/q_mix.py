@@ -92,9 +92,9 @@ def so5(spark, sf):
 def _template_sql(tid: str, schema="context", question="question", sql="sql", db_id="db_id") -> str:
     def val(c):
         v = f"coalesce({c}, '')"
-        return O.strip(v) if tid in P.TRIMMED else v
+        return O.strip(v) if tid in O.TRIMMED else v
     slots = {"schema": val(schema), "question": val(question), "sql": val(sql), "db_id": val(db_id),
-             "eos": q(P.EOS)}
+             "eos": q(O.EOS)}
 
     def fill(t):
         parts, pos = [], 0
@@ -106,12 +106,12 @@ def _template_sql(tid: str, schema="context", question="question", sql="sql", db
         if pos < len(t):
             parts.append(q(t[pos:]))
         return "(" + " || ".join(parts) + ")"
-    slots["instruction"] = fill(P.INSTRUCTION)
-    return fill(P.TEMPLATES[tid])
+    slots["instruction"] = fill(O.INSTRUCTION)
+    return fill(O.TEMPLATES[tid])
 
 
 @register("SC-12", O.with_(EX) + "\nUNION ALL\n".join(
-    f"SELECT example_id, {q(t)} AS template, {_template_sql(t)} AS text FROM examples" for t in P.TEMPLATES))
+    f"SELECT example_id, {q(t)} AS template, {_template_sql(t)} AS text FROM examples" for t in O.TEMPLATES))
 def sc12(spark, sf):
     ex = A.examples(spark, sf)
     frames = [ex.select("example_id", F.lit(t).alias("template"), P.render(t).alias("text")) for t in P.TEMPLATES]

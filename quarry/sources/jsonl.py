@@ -232,9 +232,15 @@ def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> int:
-    """SNK-1/2/3: JSON Lines write keeping null fields; returns the row count observed during the write."""
+    """SNK-1/2/3: JSON Lines write keeping null fields; returns the row count observed during the write.
+
+    With ``partition_by`` the rows are first rebalanced by those columns, so a value's files follow its size (adaptive
+    execution splits a large value and joins small ones) and not the number of tasks before.
+    """
     from pyspark.sql import Observation
     obs = Observation("rows_written")
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", "false")
     if partition_by:
         w = w.partitionBy(*partition_by)
