@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir
 
+#: Whether Spark removes the shuffle files of a query as soon as it has ended (its stages can still be run again).
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The words of a text are the maximal runs of other characters than these (Java and RE2 syntax).
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -40,8 +42,14 @@ class Scratch:
         return f"{self.base}/{part}"
 
     def write(self, df: DataFrame, part: str, codec: str = "zstd") -> DataFrame:
-        path = self.path(part)
-        df.write.option("compression", codec).parquet(path)
+        """``df`` as a table. The shuffles that made it are needed no more once it is written, and their files are removed then."""
+        path, conf = self.path(part), self.spark.conf
+        before = conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, part: str) -> None:
