@@ -22,6 +22,12 @@ MSG_DIFFER = "Results differ from gold standard (same row count, different value
 MSG_NORMALIZE = "Error normalizing results: NULL among several values in a row cannot be sorted"
 
 
+# Stored feedback of predictions that were not compared, by method.
+MSG_NOT_RUN = "Query failed to execute"
+MSG_GOLD_FAILED = "Cannot compare - gold query failed"
+MSG_GENERATED = "Generated SQL failed: "
+
+
 def count_message(n_gen: Column, n_gold: Column) -> Column:
     return F.concat(F.lit("Result count mismatch: generated "), n_gen.cast("string"),
                     F.lit(" rows, expected "), n_gold.cast("string"), F.lit(" rows"))
@@ -152,3 +158,16 @@ def score(results: DataFrame, generated: str = "generated_sql") -> DataFrame:
     ok = ~empty & F.coalesce(F.col("gen_ok"), F.lit(False)) & F.coalesce(F.col("gold_ok"), F.lit(False)) \
         & F.coalesce(F.col("results_match"), F.lit(False))
     return results.withColumn("score", F.when(ok, F.lit(1)).otherwise(F.lit(0)))
+
+
+def feedback_by_method(method: Column, feedback: Column, gen_ok: Column, gold_ok: Column, error: Column) -> Column:
+    """The feedback that a method stores for a prediction, failed ones included.
+
+    Self-correction names the side that failed; fine-tuned inference quotes the error of a failed prediction and says
+    nothing where only the gold query failed; zero-shot and few-shot store none; others keep the comparison's own.
+    """
+    ran, gold = F.coalesce(gen_ok, F.lit(False)), F.coalesce(gold_ok, F.lit(False))
+    corrected = F.when(~ran, F.lit(MSG_NOT_RUN)).when(~gold, F.lit(MSG_GOLD_FAILED)).otherwise(feedback)
+    tuned = F.when(~ran, F.concat(F.lit(MSG_GENERATED), F.coalesce(error, F.lit("None")))).when(~gold, F.lit("")).otherwise(feedback)
+    return (F.when(method == "self_correction", corrected).when(method == "fine_tuned", tuned)
+            .when(method.isin("zero_shot", "few_shot"), F.lit(None).cast("string")).otherwise(feedback))

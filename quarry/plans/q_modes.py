@@ -13,7 +13,7 @@ from quarry.operators import compare as CMP
 from quarry.operators import evaluation as E
 from quarry.operators import mixing as M
 from quarry.plans import q_corpus, q_eval, q_mix
-from quarry.plans.registry import register
+from quarry.plans.registry import ORACLES, register
 from quarry.sources import adapters as A
 from quarry.sources import jsonl as J
 
@@ -177,6 +177,24 @@ def st2_outcomes(spark, sf):
     return CMP.compare_results(typed_rows(spark, sf), typed_pairs(spark, sf))
 
 
+_OUTCOMES = ORACLES["ST-2-OUTCOMES"]
+
+
+@register("ST-2-FEEDBACK", f"""SELECT pair_id, method, CASE method WHEN 'zero_shot' THEN NULL
+  WHEN 'self_correction' THEN CASE WHEN pair_id % 7 = 0 THEN 'Query failed to execute' WHEN pair_id % 11 = 0 THEN 'Cannot compare - gold query failed' ELSE feedback END
+  WHEN 'fine_tuned' THEN CASE WHEN pair_id % 7 = 0 THEN 'Generated SQL failed: ' || CASE WHEN pair_id % 2 = 0 THEN 'no such table: x' ELSE 'None' END
+                              WHEN pair_id % 11 = 0 THEN '' ELSE feedback END
+  ELSE feedback END AS feedback
+FROM (SELECT *, ['zero_shot', 'self_correction', 'fine_tuned', 'optimized'][pair_id % 4 + 1] AS method FROM ({_OUTCOMES}))""")
+def st2_feedback(spark, sf):
+    """What each method stores about its prediction, over all outcomes of the comparison."""
+    pair = F.col("pair_id")
+    r = CMP.compare_results(typed_rows(spark, sf), typed_pairs(spark, sf))
+    method = F.element_at(F.array(*[F.lit(m) for m in ("zero_shot", "self_correction", "fine_tuned", "optimized")]), (pair % 4 + 1).cast("int"))
+    error = F.when(pair % 2 == 0, F.lit("no such table: x"))
+    return r.select("pair_id", method.alias("method"), CMP.feedback_by_method(method, F.col("feedback"), pair % 7 != 0, pair % 11 != 0, error).alias("feedback"))
+
+
 # --- exact quotas and split --------------------------------------------------------------------------------
 
 _H = q_mix._hash_sql(42, "example_id") + " || ':' || CAST(example_id AS VARCHAR)"
