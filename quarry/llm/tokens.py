@@ -39,7 +39,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         #: Strings that the library takes for tokens of their own wherever they stand; a text with one is encoded whole.
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [s.encode() for s in special] if kind == "words" else special
+        self.mark = os.path.commonprefix(self.special)
         self.kind = kind
         self.memo: dict = {}
         self.old: dict = {}
@@ -85,14 +87,15 @@ class Encoder:
         self.memo.update(zip(plain, self._ids_of_pieces(plain)))
         self.memo[""], self.memo["\n"] = b"", np.array(self.line_feed, "<u4").tobytes()
 
+    def _special_in(self, text: str | bytes) -> bool:
+        return self.mark in text and any(s in text for s in self.special)
+
     def _pieces(self, text: str) -> list | None:
-        raw = text.encode()
         if self.kind == "words":
-            raw = raw.lower()  # the tokenizer lower-cases too, but only what is no such string as it stands
-        if any(s in raw for s in self.special):
+            raw = text.encode().lower()  # the tokenizer lower-cases too, but only what is no such string as it stands
+            return None if self._special_in(raw) else raw.split()
+        if self._special_in(text):
             return None
-        if self.kind == "words":
-            return raw.split()
         if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
                 or self._ODD.search(text)):
             return None  # white space next to other, at an end, or of another kind: encoded whole
