@@ -162,10 +162,11 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: str
 
 def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
             rules: Rules = Rules(), out: str = "quality_rules") -> DataFrame:
-    """All rows and columns of ``df`` with the struct ``out`` (measures, base_failed, kept). Reads ``df`` twice;
-    shuffles nothing but sketches, unless there are more than ``broadcast_rows`` languages and sources."""
+    """All rows and columns of ``df`` with the struct ``out`` (measures, base_failed, kept). Every text is measured once, and the
+    rows are written with their measures; shuffles nothing but sketches, unless there are more than ``broadcast_rows``
+    languages and sources."""
     scratch = Scratch(df.sparkSession, "quality")
-    measured = measure(df, text_col, out)
+    measured = scratch.write(measure(df, text_col, out), "measured")
     sketch = scratch.write(sketches(measured, lang_col, source_col, rules, out), "sketches")
     limits = scratch.write(fences(sketch, rules), "fences")
     return judge(measured, limits, lang_col, source_col, rules, out)
