@@ -41,6 +41,10 @@ SEGMENT = 2048
 #: Words of documents that are worked on together; a task holds some arrays of states for them.
 BATCH = 400_000
 FOLD = 32
+#: Bytes of text in a block: a larger one has fewer distinct words for its size, so less is exchanged in every iteration.
+BLOCK_BYTES = 24 << 20
+#: Bytes of a block's text that are hashed together.
+PIECE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -108,20 +112,42 @@ def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
+def _numbered(first: np.ndarray, second: np.ndarray):
+    """Distinct hashes (sorted, with a second hash) and each entry's number among them."""
+    known, at, number = np.unique(first, return_index=True, return_inverse=True)
+    return known, second[at], number.astype(np.int32)
+
+
 def _read_block(data: bytes):
-    """ids, held-out flags, tokens of each document, their distinct hashes (sorted, with a second hash) and numbers."""
+    """ids, held-out flags, tokens of each document, their distinct hashes (sorted, with a second hash) and numbers.
+
+    Runs of some documents are hashed and numbered by themselves, then their words are numbered together."""
     t = B.from_ipc(data)
-    ids, texts = t["id"].combine_chunks(), pc.fill_null(t["text"].combine_chunks().cast(pa.large_string()), "")
-    raw = texts.buffers()[2]
-    low = _LOWER[np.frombuffer(raw, np.uint8)] if raw is not None else np.zeros(0, np.uint8)
-    texts = pa.LargeStringArray.from_buffers(len(texts), texts.buffers()[1], pa.py_buffer(low.tobytes()), offset=texts.offset)
-    w = W.split(texts, 2)
-    ends = w.offsets[1:]
-    first, second = (np.insert(h, ends, e) for h, e in zip(w.hashes, END))
-    sizes = np.diff(w.offsets) + 1
-    known, at, number = np.unique(first, return_index=True, return_inverse=True)
+    ids, texts = t["id"].combine_chunks(), t["text"].combine_chunks().cast(pa.large_string())
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
     held = np.array([held_out(i) for i in ids.to_pylist()], bool)
-    return ids, held, sizes, known, second[at], number.astype(np.int32)
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    parts, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE_BYTES, "right")) - 1)
+        w = W.split(_lowered(texts.slice(lo, hi - lo)), 2)
+        ends = w.offsets[1:]
+        parts.append((np.diff(w.offsets) + 1, *_numbered(*(np.insert(h, ends, e) for h, e in zip(w.hashes, END)))))
+        lo = hi
+    if not parts:
+        return ids, held, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int32)
+    known, second, place = _numbered(*(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+    cut = np.cumsum([len(p[1]) for p in parts])[:-1]
+    number = np.concatenate([spot[p[3]] for p, spot in zip(parts, np.split(place, cut))])
+    return ids, held, np.concatenate([p[0] for p in parts]), known, second, number
+
+
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Large strings with A-Z in lower case."""
+    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    low = _LOWER[np.frombuffer(raw, np.uint8)[offs[0]:offs[-1]]] if raw is not None else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offs - offs[0]).tobytes()), pa.py_buffer(low.tobytes()))
 
 
 def _encode(shards: int):
@@ -174,7 +200,18 @@ def _vocabulary(stats: DataFrame, states: int) -> Vocabulary:
     return Vocabulary(int(sums[0]), int(sums[1]), int(sums[2]), begin)
 
 
-CODED = "block long, ids binary, tokens binary, words binary"
+CODED = "block long, ids binary, tokens binary, words binary, hashes binary"
+
+
+def _by_count(count: np.ndarray) -> np.ndarray:
+    """A block's own words, the most frequent first: tokens are stored as places in this order, which compress better."""
+    return np.argsort(-count, kind="stable")
+
+
+def _tokens(data: bytes, count: np.ndarray) -> np.ndarray:
+    """The classes that ``_code`` stored: the block's own words, words seen once, unseen words."""
+    order = np.concatenate([_by_count(count), [len(count), len(count) + 1]])
+    return order.astype(np.int32)[B.unpack(data)[0]]
 
 
 def _code(voc: Vocabulary):
@@ -183,7 +220,7 @@ def _code(voc: Vocabulary):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             none = pa.array([], pa.binary())
-            return pa.Table.from_pydict({"block": pa.array([], pa.int64()), "ids": none, "tokens": none, "words": none})
+            return pa.Table.from_pydict({"block": pa.array([], pa.int64()), "ids": none, "tokens": none, "words": none, "hashes": none})
         parts = {s: d for s, d in zip(table["shard"].to_pylist(), table["data"].to_pylist())}
         ids, valid, held, sizes, number = B.unpack(parts[-1])
         replies = dict(zip(answers["shard"].to_pylist(), answers["data"].to_pylist()))
@@ -193,16 +230,19 @@ def _code(voc: Vocabulary):
         count, spot = (np.concatenate([g[k] for g in got]) for k in range(2))
         own = spot >= 0
         m = int(own.sum())
-        cls = np.where(own, np.cumsum(own) - 1, np.where(count == 1, m, m + 1))
+        cls = np.where(count == 1, m, m + 1).astype(np.uint32)
+        place = np.empty(m, np.uint32)
+        place[_by_count(count[own])] = np.arange(m)
+        cls[own] = place
         base = np.log10((count + 0.5) / (voc.tokens + 0.5 * (voc.words + 1)))
         within = np.where(count == 1, -np.log10(max(1, voc.once)), 0.0)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         sums = [np.add.reduceat(x[number], starts) for x in (base, within, (count > 0).astype(np.int64))]
         head = B.pack(ids, valid, held, sizes, sums[0], sums[1], sums[2])
-        words = B.pack(h[own], count[own], spot[own], np.array(order, np.int32), np.array([(g[1] >= 0).sum() for g in got], np.int64))
+        words = B.pack(count[own], spot[own], np.array(order, np.int32), np.array([(g[1] >= 0).sum() for g in got], np.int64))
         return pa.Table.from_pydict({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": pa.array([head], pa.binary()),
-                                     "tokens": pa.array([B.pack(cls[number].astype(np.uint32))], pa.binary()),
-                                     "words": pa.array([words], pa.binary())})
+                                     "tokens": pa.array([B.pack(cls[number])], pa.binary()),
+                                     "words": pa.array([words], pa.binary()), "hashes": pa.array([B.pack_sorted(h[own])], pa.binary())})
 
     return run
 
@@ -232,105 +272,120 @@ class Lattice:
         self.first, self.n_seg = first, n_seg
 
     def ends(self, model: Model, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each segment's distribution before its first word, and what follows after its last one (up to a factor)."""
+        """Each segment's distribution before its first word, and what follows after its last one (up to a factor), by state."""
         k, dt = len(model.start), seen.dtype
-        before = np.tile(model.start.astype(dt), (len(self.order), 1))
-        after = np.ones((len(self.order), k), dt)
+        before = np.tile(model.start.astype(dt)[:, None], (1, len(self.order)))
+        after = np.ones((k, len(self.order)), dt)
         if len(self.long):
             many = np.flatnonzero(np.isin(self.doc[self.order], self.long))
             move = model.move.astype(dt)
             m = np.tile(np.eye(k, dtype=dt), (len(many), 1, 1))  # words of the segment: states before -> states before the next
             for t in range(int(self.length[many].max())):
                 b = int(np.searchsorted(many, self.width[t], "left"))
-                m[:b] = (m[:b] * seen[self.at[t] + many[:b]][:, None, :]) @ move
-                m[:b] /= m[:b].sum(axis=(1, 2), keepdims=True)
+                x = m[:b] * seen[:, self.at[t] + many[:b]].T[:, None, :]
+                np.matmul(x.reshape(-1, k), move, out=m[:b].reshape(-1, k))
+                if t % 2:  # two steps stay within a float's range
+                    m[:b] /= m[:b].sum(axis=(1, 2), keepdims=True)
             spot = {int(s): i for i, s in enumerate(many)}
             for d in self.long:
                 segs = [int(self.place[s]) for s in range(self.first[d], self.first[d] + self.n_seg[d])]
                 for a, b in zip(segs, segs[1:]):
-                    x = before[a] @ m[spot[a]]
-                    before[b] = x / x.sum()
+                    x = before[:, a] @ m[spot[a]]
+                    before[:, b] = x / x.sum()
                 tail = np.ones(k, dt)  # probability of what follows, by the state before the next segment's first word
                 for a, b in zip(segs[-2::-1], segs[:0:-1]):
                     tail = m[spot[b]] @ tail
                     tail /= tail.sum()
-                    after[a] = move @ tail
+                    after[:, a] = move @ tail
         return before, after
 
 
 def forward(lat: Lattice, model: Model, dtype=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(alphas, scales, emissions of the words, what follows each segment)."""
-    seen = np.ascontiguousarray(model.emit.T, dtype)[lat.cls]
+    """(alphas, scales, emissions of the words, what follows each segment); a row for each state, so that a step's words lie together."""
+    seen = np.take(np.ascontiguousarray(model.emit, dtype), lat.cls, axis=1)
     before, after = lat.ends(model, seen)
-    alpha, scale = np.empty_like(seen), np.empty(len(seen), dtype)
-    move, ones, a = model.move.astype(dtype), np.ones(seen.shape[1], dtype), before
+    alpha, scale = np.empty_like(seen), np.empty(seen.shape[1], dtype)
+    back, a = np.ascontiguousarray(model.move.T, dtype), before
     for t, b in enumerate(lat.width):
         lo, hi = lat.at[t], lat.at[t + 1]
-        x, s = alpha[lo:hi], scale[lo:hi]
-        np.multiply(a if t == 0 else a[:b] @ move, seen[lo:hi], out=x)
-        np.dot(x, ones, out=s)
-        x /= s[:, None]
+        x, s = alpha[:, lo:hi], scale[lo:hi]
+        if t:
+            np.matmul(back, a[:, :b], out=x)
+            x *= seen[:, lo:hi]
+        else:
+            np.multiply(a, seen[:, lo:hi], out=x)
+        np.add.reduce(x, axis=0, out=s)
+        x /= s
         a = x
     return alpha, scale, seen, after
 
 
 def _parts(tokens: np.ndarray, sizes: np.ndarray):
-    """Runs of documents of at most BATCH words (or one document)."""
-    ends, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+    """Documents of about the same length, at most BATCH words (or one document): which they are, their tokens and sizes.
+
+    Among such documents every step has about as many words as there are documents."""
+    order = np.argsort(sizes, kind="stable")
+    starts, ends, lo = (np.cumsum(sizes) - sizes)[order], np.concatenate([[0], np.cumsum(sizes[order])]), 0
     while lo < len(sizes):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH, "right")) - 1)
-        yield tokens[ends[lo]:ends[hi]], sizes[lo:hi]
+        n = sizes[order[lo:hi]]
+        at = np.repeat(starts[lo:hi] - ends[lo:hi], n) + np.arange(ends[lo], ends[hi])
+        yield order[lo:hi], tokens[at], n
         lo = hi
 
 
 def log10_likelihoods(tokens: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
     """log10 probability of each document's classes."""
-    out = []
-    for part, n in _parts(tokens, sizes):
+    out = np.zeros(len(sizes))
+    for docs, part, n in _parts(tokens, sizes):
         lat = Lattice(part, n)
         _, scale, _, _ = forward(lat, model)
         flat = np.empty(len(part))
         flat[lat.index] = np.log10(scale)
-        out.append(np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)])[:-1]))
-    return np.concatenate(out) if out else np.zeros(0)
+        out[docs] = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)])[:-1])
+    return out
 
 
 def expected_counts(tokens: np.ndarray, sizes: np.ndarray, model: Model, dtype=np.float32) -> np.ndarray:
     """Expected starts, moves and emissions as one vector, and the log likelihood at its end."""
     k, c = model.emit.shape
     total = np.zeros(k + k * k + k * c + 1)
-    for part, n in _parts(tokens, sizes):
-        total += _counts(Lattice(part, n), model, dtype)
+    for _, part, n in _parts(tokens, sizes):
+        _counts(Lattice(part, n), model, dtype, total)
     return total
 
 
-def _counts(lat: Lattice, model: Model, dtype) -> np.ndarray:
+def _counts(lat: Lattice, model: Model, dtype, total: np.ndarray) -> None:
+    """Add these documents' expected counts to ``total``."""
     k, c = model.emit.shape
     alpha, scale, seen, after = forward(lat, model, dtype)
     # beta is scaled so that alpha * beta sums to one at every word
-    after /= (alpha[lat.last] * after).sum(axis=1, keepdims=True)
-    finish = alpha[lat.last]
-    back, pairs = model.move.T.astype(dtype), np.zeros((k, k))
-    nxt = seen[:0]  # of the words one step on: emission * beta / scale
+    finish = alpha[:, lat.last]
+    after /= (finish * after).sum(axis=0)
+    move, pairs = np.ascontiguousarray(model.move, dtype), np.zeros((k, k))
+    nxt = seen[:, :0]  # of the words one step on: emission * beta / scale
     for t in range(len(lat.width) - 1, -1, -1):
-        lo, hi, n = lat.at[t], lat.at[t + 1], len(nxt)
-        beta = after[:lat.width[t]].copy()
+        lo, hi, n = lat.at[t], lat.at[t + 1], nxt.shape[1]
+        beta = after[:, :lat.width[t]].copy()
         if n:
-            pairs += alpha[lo:lo + n].T @ nxt
-            np.dot(nxt, back, out=beta[:n])
-        nxt = seen[lo:hi]
+            pairs += alpha[:, lo:lo + n] @ nxt.T
+            np.matmul(move, nxt, out=beta[:, :n])
+        nxt = seen[:, lo:hi]
         nxt *= beta
-        nxt /= scale[lo:hi, None]
-        alpha[lo:hi] *= beta  # now the posterior of the state
+        nxt /= scale[lo:hi]
+        alpha[:, lo:hi] *= beta  # now the posterior of the state
     # moves from the last word of a segment to the first of the document's next one
     if len(lat.long):
         more = np.flatnonzero(lat.nth > 0)
-        a, n = finish[lat.place[more - 1]], seen[lat.place[more]]
-        weight = ((a @ model.move.astype(dtype)) * n).sum(axis=1, keepdims=True)
-        pairs += a.T @ (n / weight)
-    emit = np.stack([np.bincount(lat.cls, weights=alpha[:, s], minlength=c) for s in range(k)])
-    start = alpha[lat.place[lat.first]].sum(axis=0, dtype=np.float64)
-    return np.concatenate([start, (model.move * pairs).ravel(), emit.ravel(), [np.log10(scale.astype(np.float64)).sum()]])
+        a, n = finish[:, lat.place[more - 1]], seen[:, lat.place[more]]
+        weight = ((model.move.T.astype(dtype) @ a) * n).sum(axis=0)
+        pairs += a @ (n / weight).T
+    total[:k] += alpha[:, lat.place[lat.first]].sum(axis=1, dtype=np.float64)
+    total[k:k + k * k] += (model.move * pairs).ravel()
+    emit = total[k + k * k:-1].reshape(k, c)
+    for s in range(k):
+        emit[s] += np.bincount(lat.cls, weights=alpha[s], minlength=c)
+    total[-1] += np.log10(scale.astype(np.float64)).sum()
 
 
 def initial(classes: Classes, states: int, seed: int = 7) -> Model:
@@ -403,18 +458,25 @@ def _next(counts: np.ndarray, voc: Vocabulary, k: int) -> Shared:
     return shared(start / start.sum(), move / move.sum(axis=1, keepdims=True), own, once, voc)
 
 
-def _local(sh: Shared, words: list[np.ndarray], expected: list[bytes] | None) -> Model:
+def _local(sh: Shared, words: list[np.ndarray], hashes: bytes | None, expected: list[bytes] | None) -> Model:
     """The model over a block's own words, words seen once and unseen words."""
-    h, count, k = words[0], words[1] + 0.5, len(sh.start)
+    count, k = words[0] + 0.5, len(sh.start)
     if expected is None:
-        e = count * disturbed(h, k)
+        e = count * disturbed(B.unpack_sorted(hashes)[0], k)
     else:
-        e = np.concatenate([np.zeros((k, 0)), *(np.frombuffer(d, "<f4").reshape(k, -1) for d in expected)], axis=1)
-    return Model(sh.start, sh.move, np.concatenate([(e + sh.prior * count) * sh.scale[:, None], sh.once[:, None], sh.unseen[:, None]], axis=1))
+        e = np.concatenate([np.zeros((k, 0), "<f4"), *(B.unpack(d)[0].reshape(k, -1) for d in expected)], axis=1)
+    emit = np.empty((k, len(count) + 2))
+    emit[:, :-2] = e
+    emit[:, :-2] += sh.prior * count
+    emit[:, :-2] *= sh.scale[:, None]
+    emit[:, -2], emit[:, -1] = sh.once, sh.unseen
+    return Model(sh.start, sh.move, emit)
 
 
 def _over_blocks(coded: DataFrame, totals: DataFrame | None, run, schema: str) -> DataFrame:
-    """``run(block, ids, tokens, words, expected counts by shard)`` for each block, which gives a record batch."""
+    """``run(block, ids, tokens, words, hashes, expected counts by shard)`` for each block, which gives a record batch.
+
+    Only the first emissions are drawn by the words' hashes: with ``totals`` these stay behind."""
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,27 +485,27 @@ def _over_blocks(coded: DataFrame, totals: DataFrame | None, run, schema: str) -
 
     def met(table: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("shard")
-        return pa.Table.from_batches([run(*(c[0].as_py() for c in table.columns), answers["data"].to_pylist())])
+        return pa.Table.from_batches([run(*(c[0].as_py() for c in table.columns), None, answers["data"].to_pylist())])
 
     if totals is None:
         return coded.mapInArrow(plain, schema)
-    return coded.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(met, schema)
+    return coded.drop("hashes").groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(met, schema)
 
 
 def _e_step(sh: Shared):
     """Rows of MESSAGE_SCHEMA: shard -1 gets a block's starts, moves, emissions by state and likelihood, the others its words'."""
 
-    def run(block: int, ids: bytes, tokens: bytes, words: bytes, expected: list[bytes] | None) -> pa.RecordBatch:
+    def run(block: int, ids: bytes, tokens: bytes, words: bytes, hashes: bytes | None, expected: list[bytes] | None) -> pa.RecordBatch:
         _, _, held, sizes, *_ = B.unpack(ids)
         words = B.unpack(words)
-        model, use = _local(sh, words, expected), held == 0
+        model, use = _local(sh, words, hashes, expected), held == 0
         k, c = model.emit.shape
-        got = expected_counts(B.unpack(tokens)[0][np.repeat(use, sizes)], sizes[use], model)
+        got = expected_counts(_tokens(tokens, words[0])[np.repeat(use, sizes)], sizes[use], model)
         emit = got[k + k * k:-1].reshape(k, c)
         rows = [(block, -1, np.concatenate([got[:k + k * k], emit[:, :c - 2].sum(axis=1), emit[:, c - 2], got[-1:]]).astype("<f8").tobytes())]
-        _, _, spot, shards, n = words
+        _, spot, shards, n = words
         ends = np.concatenate([[0], np.cumsum(n)])
-        rows += [(block, int(s), spot[a:b].astype("<i4").tobytes() + emit[:, a:b].astype("<f4").tobytes())
+        rows += [(block, int(s), B.pack(np.diff(spot[a:b], prepend=np.int32(0)), emit[:, a:b].astype(np.float32).ravel()))
                  for s, a, b in zip(shards, ends, ends[1:]) if b > a]
         return B.messages(rows)
 
@@ -456,13 +518,13 @@ def _total(states: int):
     def reply(shard: int, ids: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
         got = []
         for d in data:
-            n = len(d) // (4 + 4 * states)
-            got.append((np.frombuffer(d, "<i4", n), np.frombuffer(d, "<f4", n * states, 4 * n).reshape(states, n)))
-        total = np.zeros((states, 1 + max(int(spot.max()) for spot, _ in got)))
+            steps, e = B.unpack(d)  # a block's words are in the order of their hashes, so the spots ascend
+            got.append((np.cumsum(steps, dtype=np.int32), e.reshape(states, -1)))
+        total = np.zeros((states, 1 + max(int(spot[-1]) for spot, _ in got)))
         for spot, e in got:
             total[:, spot] += e
         for block, (spot, _) in zip(ids, got):
-            yield block, total[:, spot].astype("<f4").tobytes()
+            yield block, B.pack(total[:, spot].astype(np.float32).ravel())
 
     return reply
 
@@ -471,9 +533,10 @@ RESULT = "id long, held_out boolean, n_tokens long, n_known long, base_score dou
 
 
 def _score(sh: Shared):
-    def run(block: int, ids: bytes, tokens: bytes, words: bytes, expected: list[bytes] | None) -> pa.RecordBatch:
+    def run(block: int, ids: bytes, tokens: bytes, words: bytes, hashes: bytes | None, expected: list[bytes] | None) -> pa.RecordBatch:
         ids, valid, held, sizes, base, within, known = B.unpack(ids)
-        own = log10_likelihoods(B.unpack(tokens)[0], sizes, _local(sh, B.unpack(words), expected))
+        words = B.unpack(words)
+        own = log10_likelihoods(_tokens(tokens, words[0]), sizes, _local(sh, words, hashes, expected))
         return pa.RecordBatch.from_pydict({
             "id": pa.array(ids, pa.int64(), mask=valid == 0), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(sizes, pa.int64()),
             "n_known": pa.array(known, pa.int64()), "base_score": base, "score": own + within})
@@ -486,7 +549,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, stat
     """Train on the documents that are not held out and score all: id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10). ``log`` gets the training log likelihood before each iteration."""
     scratch = Scratch(df.sparkSession, "hmm")
-    stored = scratch.write(B.to_blocks(df, id_col, text_col), "blocks", codec="uncompressed")
+    stored = scratch.write(B.to_blocks(df, id_col, text_col, BLOCK_BYTES), "blocks", codec="uncompressed")
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
     shards = 1 << max(5, (total // (64 << 20)).bit_length())
     sent = scratch.write(stored.select("block", "data").mapInArrow(_encode(shards), B.MESSAGE_SCHEMA), "encoded", codec="uncompressed")

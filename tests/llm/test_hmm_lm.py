@@ -125,3 +125,38 @@ def test_edges(spark):
     only = next(i for i in range(100) if H.held_out(i))
     out = H.score(documents(spark, [(only, "never seen")])).collect()
     assert out[0].train_tokens == 0 and math.isfinite(out[0].score)
+
+
+def test_pieces_of_a_block_give_its_words(monkeypatch):
+    rows = [*EDGE, (None, "a b A"), *((100 + i, f"É{i} Straße w{i % 7} " * (i % 5)) for i in range(40))]
+    data = B.to_ipc(pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}))
+    monkeypatch.setattr(H, "PIECE_BYTES", 50)
+    _, _, sizes, known, _, number = H._read_block(data)
+    want = [w for _, t in rows for w in tokens(t)]
+    assert sizes.tolist() == [len(tokens(t)) for _, t in rows] and len(known) == len(set(want)) and (np.diff(known.astype(object)) > 0).all()
+    assert len({(w, n) for w, n in zip(want, number.tolist())}) == len(set(want)) == len(set(number.tolist()))
+
+
+def test_messages_are_packed_and_hashes_stay_behind():
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in (1.0 / rng.random(200)).astype(int) % 5000)) for i in range(300)]
+    block = B.to_ipc(pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    sent = next(H._encode(2)([pa.RecordBatch.from_pydict({"block": [0], "data": [block]})]))
+    voc, replies = np.zeros(3, np.int64), []
+    for _, s, d in zip(*(c.to_pylist() for c in sent.columns)):
+        for b, x in H._count(8)(s, [0], [d]) if s >= 0 else ():
+            if b < 0:
+                voc = voc + B.unpack(x)[0]
+            else:
+                replies.append((s, x))
+    v = H.Vocabulary(*map(int, voc), np.ones(8))
+    coded = H._code(v)(pa.Table.from_batches([sent]), pa.table({"shard": [s for s, _ in replies], "data": [x for _, x in replies]}))
+    _, ids, stored, words, hashes = (c[0].as_py() for c in coded.columns)
+    n = len(B.unpack(words)[0])
+    # frequent words have small numbers, so two bytes of every token are nearly all zeros
+    assert B.unpack_sorted(hashes)[0].shape == (n,) and np.median(B.unpack(stored)[0]) < 20
+    out = H._e_step(H.first(v, 8))(0, ids, stored, words, hashes, None)
+    sums = [d for s, d in zip(out["shard"].to_pylist(), out["data"].to_pylist()) if s >= 0]
+    assert sum(map(len, sums)) < 0.9 * 36 * n
+    assert sum(B.unpack(d)[1].sum() for d in sums) == pytest.approx(sum(
+        c for w, c in Counter(w for i, t in rows if not H.held_out(i) for w in tokens(t)).items() if c > 1), rel=1e-4)
