@@ -12,7 +12,8 @@ leaders, the members with the fullest buckets; then components are built, and me
 bucket's first leader meet the next leaders, of that component and of the others, until a round finds no further link. These
 rounds only save work: the pairs that are left, of members in different components, are all compared in the end. Buckets of up
 to FULL members are expanded for that. The members of fuller ones meet by an exact prefix filter: of two documents at similarity s
-or more, each has one of the common cells among its (1 - s) * size + 1 rarest ones. Equal texts are one member.
+or more, each has one of the common cells among its (1 - s) * size + 1 rarest ones, and the first of these leaves
+enough cells after it in both. Equal texts are one member.
 
 Shingles are 64-bit hashes. A pair at similarity s is missed with probability (1 - s**rows)**bands: 4e-7 at 0.8.
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +42,8 @@ BANDS, BAND_ROWS = 28, 4
 SHINGLE = 5
 #: Cells that are thrown at together; bounds the temporaries of a task.
 STRIDE = 1 << 18
+#: Bytes of text that are shingled together; a batch of rows may hold many times as much.
+PIECE_BYTES = 1 << 20
 #: Leaders of a bucket in the first round; further rounds have as many from its first leader's component and from the others.
 LEADERS = 2
 #: Undecided pairs for each member of a bucket up to which they are compared without further rounds of leaders.
@@ -81,6 +85,17 @@ def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return key, np.searchsorted(doc, np.arange(n_docs + 1))
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most PIECE_BYTES of text (or one row)."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def throw(cells: np.ndarray, doc: np.ndarray, limit: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """Earliest dart per document and coordinate: rank (float32 bits) and dart hash, all ones where none fell.
 
@@ -131,7 +146,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 2)):
             cells, offsets = shingles(batch.column(2), width)
             keys = band_keys(signatures(cells, offsets, bands * rows), bands, rows)
             sizes = np.diff(offsets)
@@ -146,7 +161,7 @@ def _sign(bands: int, rows: int, width: int):
 
 def _cells(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             cells, offsets = shingles(batch.column(1), width)
             data = [np.sort(cells[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "cells": pa.array(data, pa.binary())})
@@ -188,17 +203,18 @@ def _prefix_pairs(scratch: Scratch, members: DataFrame, cells: DataFrame, num: i
     scratch.drop("flat")
     # cells of one document only are the rarest ones, and nobody's common ones
     own = Window.partitionBy("id")
-    first = F.expr(f"size - (size * {num} + {den - 1}) div {den} + 1") - (F.col("size") - F.count(F.lit(1)).over(own))
-    near = shared.withColumn("nth", F.row_number().over(own.orderBy("n", "cell"))).withColumn("first", first).where("nth <= first")
-    near = scratch.write(near.select("id", "size", "cell").join(members, "id"), "prefixes")
+    at = F.row_number().over(own.orderBy("n", "cell")) + F.col("size") - F.count(F.lit(1)).over(own)
+    near = shared.withColumn("at", at).where(f"at <= size - (size * {num} + {den - 1}) div {den} + 1")
+    near = scratch.write(near.select("id", "size", "cell", "at").join(members, "id"), "prefixes")
     scratch.drop("shared")
     # members of a cell's largest component are not paired among themselves
     main = near.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(
         F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     main = scratch.write(main.select("cell", F.col("top.c").alias("main")), "prefix-main")
     rest = scratch.write(near.join(main, "cell").where("c <> main").select("cell", F.col("id").alias("x"), F.col("size").alias("m"),
-                                                                          F.col("c").alias("d")), "prefix-rest")
-    met = near.join(rest, "cell").where(f"c <> d and {den} * least(size, m) >= {num} * greatest(size, m)")
+                                                                          F.col("at").alias("p"), F.col("c").alias("d")), "prefix-rest")
+    # the first common cell of two documents has all common ones at or after its place in either
+    met = near.join(rest, "cell").where(f"c <> d and {num + den} * (1 + least(size - at, m - p)) >= {num} * (size + m)")
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 

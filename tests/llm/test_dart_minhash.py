@@ -109,3 +109,29 @@ def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = {r.doc_id: (r.component_id, r.kept) for r in QUERIES["op9_dart_minhash"](spark, sf).collect()}
     assert out == brute(docs)
+
+
+def test_rows_are_shingled_in_pieces(monkeypatch):
+    monkeypatch.setattr(D, "PIECE_BYTES", 60)
+    texts = ["a b c d e f g " * (i % 6) for i in range(30)] + [None, "", "x " * 200, None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    pieces = list(D._pieces(batch, 1))
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= 60 for p in pieces) and len(pieces) > 20
+    got = pa.Table.from_batches(D._cells(5)([batch]))["cells"].to_pylist()
+    cells, offsets = D.shingles(batch["text"])
+    assert got == [np.sort(cells[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
+
+
+def test_prefix_pairs_leave_out_what_cannot_be_similar(spark):
+    """Equal sizes with 13 % of cells of their own: in each other's prefixes, yet at 0.77 at most."""
+    rng = np.random.default_rng(8)
+    base, rows = np.arange(1, 88, dtype=np.int64), []
+    for i in range(30):
+        rows.append((i, np.sort(np.concatenate([base, rng.integers(10**6, 10**12, 13)])).astype(np.int64).tobytes()))
+    rows.append((30, np.sort(np.concatenate([base, np.frombuffer(rows[0][1], np.int64)[-13:][:9], [91, 92, 93, 94]])).astype(np.int64).tobytes()))
+    cells = spark.createDataFrame([(i, bytearray(c)) for i, c in rows], "id long, cells binary")
+    members = spark.createDataFrame([(i, i) for i, _ in rows], "id long, c long")
+    from quarry.llm.shared import Scratch
+    got = {(r.a, r.b) for r in D._prefix_pairs(Scratch(spark, "test"), members, cells, 4, 5).collect()}
+    assert got == {(0, 30)}
